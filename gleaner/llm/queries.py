@@ -5,20 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import pieces, sharding
-from gleaner.llm.common import table
+from gleaner.llm import classifier, language, pieces, sharding
+from gleaner.llm.common import held_out, table
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(~held_out(F.col("doc_id"))))
+    found = language.predict(docs, model, spans=False)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = [op5_sentencepiece, op10_rendezvous_sharding]
+QUERIES = [op4_quality_classifier, op5_sentencepiece, op8_language_id, op10_rendezvous_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
