@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, language, pieces, sharding
+from gleaner.llm import classifier, language, pieces, quality, sharding
 from gleaner.llm.common import held_out, table
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
@@ -31,7 +35,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = [op4_quality_classifier, op5_sentencepiece, op8_language_id, op10_rendezvous_sharding]
+QUERIES = [op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op8_language_id, op10_rendezvous_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
