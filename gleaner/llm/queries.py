@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, language, pieces, quality, sharding
+from gleaner.llm import classifier, language, pieces, quality, sharding, substrings
 from gleaner.llm.common import held_out, table
 
 
@@ -31,11 +31,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = [op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op8_language_id, op10_rendezvous_sharding]
+QUERIES = [op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op8_language_id, op9_substring_dedup, op10_rendezvous_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

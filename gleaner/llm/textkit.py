@@ -15,7 +15,7 @@ _U = np.uint64
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
+_BYTE_VALUE = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64) | _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -87,13 +87,17 @@ class Words:
         self.count = np.diff(self.cut)
         self.doc = np.repeat(np.arange(len(off) - 1), self.count)
 
-    def hashes(self, raw: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word; raw: the bytes to take instead, such as lower-cased ones."""
-        raw = self.raw if raw is None else raw
-        total = np.zeros(len(raw) + 1, _U)
-        np.cumsum(_BYTE_VALUE[raw] * powers(_BASE, len(raw)), out=total[1:])
-        value = (total[self.end] - total[self.start]) * powers(_BASE_INV, len(raw) + 1)[self.start]
-        return mix(value + (self.end - self.start).astype(_U) * _U(0xD6E8FEB86659FD93))
+    def hashes(self, raw: np.ndarray | None = None, family: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; raw: the bytes to take instead, such as lower-cased ones; family: 0 or 1, independent hashes."""
+        return spans(self.raw if raw is None else raw, self.start, self.end, family)
+
+
+def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of raw[start:end] for each pair."""
+    total = np.zeros(len(raw) + 1, _U)
+    np.cumsum(_BYTE_VALUE[family][raw] * powers(_BASE, len(raw)), out=total[1:])
+    value = (total[end] - total[start]) * powers(_BASE_INV, len(raw) + 1)[start]
+    return mix(value + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
