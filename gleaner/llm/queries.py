@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, language, pieces, quality, sharding, substrings
+from gleaner.llm import classifier, jaccard, language, pieces, quality, sharding, substrings
 from gleaner.llm.common import held_out, table
 
 
@@ -24,6 +24,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs.where(~held_out(F.col("doc_id"))))
@@ -39,7 +43,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = [op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op8_language_id, op9_substring_dedup, op10_rendezvous_sharding]
+QUERIES = [op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_ngram_jaccard, op8_language_id, op9_substring_dedup, op10_rendezvous_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
