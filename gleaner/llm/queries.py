@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, jaccard, language, pieces, quality, sharding, substrings
+from gleaner.llm import classifier, jaccard, language, pieces, quality, sharding, substrings, suffixes
 from gleaner.llm.common import held_out, table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = [op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_ngram_jaccard, op8_language_id, op9_substring_dedup, op10_rendezvous_sharding]
+QUERIES = [op1_suffix_array_dedup, op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_ngram_jaccard, op8_language_id, op9_substring_dedup, op10_rendezvous_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
