@@ -93,3 +93,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def reached(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (node, key, ...) with component_id and first_node, given links(a, b) between nodes.
+
+    first_node is the smallest node that links reach, component_id the smallest key; a key that is null counts only if all are.
+    """
+    found = components(links)
+    base = rows.join(found.select(F.col("id").alias("node"), "component"), "node", "left")
+    base = base.withColumn("first_node", F.coalesce("component", "node")).drop("component")
+    heads = found.select(F.col("component").alias("first_node")).distinct()
+    least = base.join(heads, "first_node", "left_semi").groupBy("first_node").agg(F.min("key").alias("least"))
+    return base.join(least, "first_node", "left").withColumn("component_id", F.coalesce("least", "key")).drop("least")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import chunks as ck
 from gleaner.llm import textkit as tk
-from gleaner.llm.common import components, discard, materialize, parts
+from gleaner.llm.common import components, discard, materialize, parts, reached
 
 SHINGLE = 5
 PERCENT = 75
@@ -197,9 +197,6 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     touching = components(grams.join(star, "gram").where("node <> a").select("a", F.col("node").alias("b")).distinct())
     families, families_path = materialize(unique.join(touching.select(F.col("id").alias("node"), F.col("component").alias("family")), "node"), "families")
     links = block_links(families, n_parts)
-    found = components(links.union(copies))
+    out = reached(sets.select("node", "key", "n_shingles"), links.union(copies))
     discard(spark, classes_path, grams_path, families_path)
-    base = sets.select("node", "key", "n_shingles").join(found.select(F.col("id").alias("node"), "component"), "node", "left")
-    base = base.withColumn("first_node", F.coalesce("component", "node")).drop("component")
-    least = base.join(found.select(F.col("component").alias("first_node")).distinct(), "first_node", "left_semi").groupBy("first_node").agg(F.min("key").alias("least"))
-    return base.join(least, "first_node", "left").select("node", F.col("key").alias(key), "n_shingles", F.coalesce("least", "key").alias("component_id"), "first_node")
+    return out.select("node", F.col("key").alias(key), "n_shingles", "component_id", "first_node")

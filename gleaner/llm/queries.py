@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, jaccard, language, pieces, quality, sharding, substrings, suffixes
+from gleaner.llm import classifier, embeddings, jaccard, language, mixing, pieces, quality, sharding, substrings, suffixes
 from gleaner.llm.common import held_out, table
 
 
@@ -15,6 +15,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weigh(table(spark, sf_dir, "documents"), mixing.Target(entropy=0.97, repetition=4.0))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs.where(~held_out(F.col("doc_id"))))
@@ -47,7 +55,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = [op1_suffix_array_dedup, op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_ngram_jaccard, op8_language_id, op9_substring_dedup, op10_rendezvous_sharding]
+QUERIES = [op1_suffix_array_dedup, op2_embedding_near_dedup, op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_ngram_jaccard, op7_source_mixing, op8_language_id, op9_substring_dedup, op10_rendezvous_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
