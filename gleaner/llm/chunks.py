@@ -25,7 +25,7 @@ LAST = np.int64((1 << 63) - 1)
 
 @dataclass
 class Chunk:
-    """ids: a number a text, LAST for null; known: whether the id is not null; raw, off: the bytes."""
+    """ids: a number a text, LAST for null; known: whether the id is not null; raw, off: the bytes; row: the carried columns, if any."""
 
     number: int
     ids: np.ndarray
@@ -33,27 +33,40 @@ class Chunk:
     raw: np.ndarray
     off: np.ndarray
     back: list
+    row: pa.Array | None = None
 
     def key_column(self) -> pa.Array:
         return pa.array(self.ids, pa.int64(), mask=~self.known)
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", batch=None, size: int = CHUNK_BYTES) -> tuple[DataFrame, str]:
-    """Write docs as chunks (chunk, batch, ids, known, off, data) in the shared folder, without a shuffle.
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", batch=None, size: int = CHUNK_BYTES, carry: list[str] | None = None) -> tuple[DataFrame, str]:
+    """Write docs as chunks (chunk, batch, ids, known, off, data, row) in the shared folder, without a shuffle.
 
-    batch: an integer column; a chunk holds rows of one batch. The rows of a task that don't fill a chunk make a smaller one.
+    batch: an integer column; a chunk holds rows of one batch. carry: columns that go along, as an Arrow stream.
+    The rows of a task that don't fill a chunk make a smaller one.
     """
-    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), (F.lit(0) if batch is None else batch).cast("int").alias("batch"))
+    rows = docs.select(
+        docs[key].cast("long").alias("key"), docs[text].alias("text"), (F.lit(0) if batch is None else batch).cast("int").alias("batch"),
+        *([F.struct(*(docs[c] for c in carry)).alias("row")] if carry else []),
+    )
 
     def run(batches):
         held: dict[int, list] = {}
-        names = ["batch", "ids", "known", "off", "data"]
+        names = ["batch", "ids", "known", "off", "data", "row"]
 
         def flush(number):
-            ids, known, sizes, data = (np.concatenate(x) for x in zip(*held.pop(number)))
+            *arrays, row = zip(*held.pop(number))
+            ids, known, sizes, data = (np.concatenate(x) for x in arrays)
+            stream = None
+            if carry:
+                table = pa.Table.from_arrays([pa.chunked_array(row)], ["row"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as out:
+                    out.write_table(table)
+                stream = sink.getvalue().to_pybytes()
             off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             values = [ids.astype(np.int64).tobytes(), known.astype(np.uint8).tobytes(), off.tobytes(), data.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], names)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([v], pa.binary()) for v in [*values, stream])], names)
 
         for part in tk.slices(batches, limit=size // 2):
             key_ = part.column("key")
@@ -64,13 +77,14 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", batch=None, s
             for b in np.unique(number).tolist():
                 mine = number == b
                 data = raw if mine.all() else raw[np.repeat(mine, np.diff(off))]
-                held.setdefault(b, []).append((ids[mine], known[mine], np.diff(off)[mine], data.copy()))
+                row = part.column("row").filter(pa.array(mine)) if carry else None
+                held.setdefault(b, []).append((ids[mine], known[mine], np.diff(off)[mine], data.copy(), row))
                 if sum(len(x[3]) for x in held[b]) >= size // 2:
                     yield flush(b)
         for b in list(held):
             yield flush(b)
 
-    packed = rows.mapInArrow(run, "batch int, ids binary, known binary, off binary, data binary").withColumn("chunk", F.monotonically_increasing_id())
+    packed = rows.mapInArrow(run, "batch int, ids binary, known binary, off binary, data binary, row binary").withColumn("chunk", F.monotonically_increasing_id())
     return materialize(packed, "chunks")
 
 
@@ -81,7 +95,9 @@ def each(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         for i in range(b.num_rows):
             get = lambda c, t: np.frombuffer(b.column(c)[i].as_buffer(), t)  # noqa: B023, E731
             got = [] if back is None or not back[i].is_valid else sorted((x["kind"], x["part"], x["value"]) for x in back[i].as_py())
-            yield Chunk(b.column("chunk")[i].as_py(), get("ids", np.int64), get("known", np.uint8).astype(bool), get("data", np.uint8), get("off", np.int64), got)
+            row = b.column("row")[i]
+            row = pa.ipc.open_stream(row.as_buffer()).read_all().column("row").combine_chunks() if row.is_valid else None
+            yield Chunk(b.column("chunk")[i].as_py(), get("ids", np.int64), get("known", np.uint8).astype(bool), get("data", np.uint8), get("off", np.int64), got, row)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:

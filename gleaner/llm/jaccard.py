@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleaner.llm import chunks as ck
 from gleaner.llm import textkit as tk
@@ -200,3 +201,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     out = reached(sets.select("node", "key", "n_shingles"), links.union(copies))
     discard(spark, classes_path, grams_path, families_path)
     return out.select("node", F.col("key").alias(key), "n_shingles", "component_id", "first_node")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group that links connect: its smallest key (nulls last). Rows without links, also empty ones, stay.
+
+    Only keys are joined back. Where a key is repeated and some of its rows stay, that many different texts of it stay.
+    """
+    rows = join(docs, key, text)
+    best = F.min(F.struct(F.col(key).isNull(), F.col(key), F.col("node"))).alias("best")
+    heads = rows.groupBy("first_node").agg(best).select(F.col("best.node").alias("node"), F.lit(1).alias("stays"))
+    by_key = rows.join(heads, "node", "left").groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("rows"), F.count("stays").alias("stay"))
+    by_key, _ = materialize(by_key.where("stay < rows"), "dropped")
+    gone = by_key.hint("shuffle_hash")
+    kept = docs.join(gone, docs[key].eqNullSafe(gone["__key"]), "left_anti")
+    some = by_key.where("stay > 0")
+    if some.isEmpty():
+        return kept
+    order = Window.partitionBy(key).orderBy(F.xxhash64(text))
+    partly = docs.join(some, docs[key].eqNullSafe(some["__key"])).dropDuplicates([key, text]).withColumn("__rank", F.row_number().over(order))
+    return kept.unionByName(partly.where("__rank <= stay").select(*docs.columns))

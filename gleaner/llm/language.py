@@ -192,12 +192,12 @@ def label_words(model: Model, scan: Scan, switch: float = SWITCH) -> tuple[np.nd
     return label, margin
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", switch: float = SWITCH, spans: bool = True) -> DataFrame:
-    """Rows (key, lang_pred, score[, spans]), one for each row of docs, from the whole text alone.
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", switch: float = SWITCH, spans: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """Rows (key, lang_pred, score[, spans][, row]), one for each row of docs, from the whole text alone.
 
     lang_pred is the language of most letters, `und` if the text is null or has no letter (or nothing was learned);
     score is the share of letters labelled so, times 1 / (1 + exp(-margin a word)). spans: (start, end, lang), byte offsets of
-    maximal runs of words of one language. Ties go to the language that sorts first; repeated rows and null keys stay.
+    maximal runs of words of one language. row: a struct of the columns to carry. Ties go to the language that sorts first; repeated rows and null keys stay.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
@@ -231,8 +231,13 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 )
                 cut = np.searchsorted(d, np.arange(n + 1)).astype(np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(cut), items))
-            yield pa.RecordBatch.from_arrays(cols, ["key", "lang_pred", "score"] + ["spans"] * spans)
+            if carry:
+                cols.append(part.column("row"))
+            yield pa.RecordBatch.from_arrays(cols, ["key", "lang_pred", "score"] + ["spans"] * spans + ["row"] * bool(carry))
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, lang_pred string, score double" + ", spans array<struct<start:long,end:long,lang:string>>" * spans
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), *([F.struct(*(docs[c] for c in carry)).alias("row")] if carry else []))
+    if carry:
+        schema += ", row " + docs.select(*carry).schema.simpleString()
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -218,17 +218,17 @@ def removed_bytes(c: ck.Chunk, n_shards: int) -> np.ndarray:
     return tk.covered((np.repeat(p.start, p.count) + within)[hit], LENGTH, len(gone))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
-    """Rows (key, n_bytes, n_removed, n_spans, kept_sha256[, kept_text, removed]), one for each row of docs.
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """Rows (key, n_bytes, n_removed, n_spans, kept_sha256[, kept_text, removed][, row]), one for each row of docs.
 
     Removes each byte of the whole UTF-8 text that a string of 50 bytes covers which also starts in a document with a smaller key, judged on
     the input; matches never cross documents. removed: (start, end) of the maximal removed runs, in bytes. kept_text: the remaining
-    bytes, a cut character replaced. A null text is empty; a null key comes after all others; equal keys aren't smaller.
+    bytes, without what is left of cut characters. row: a struct of the columns to carry. A null text is empty; a null key comes after all others; equal keys aren't smaller.
     """
     spark = docs.sparkSession
     n_parts = parts(spark)
     n_shards = SHARDS * n_parts
-    chunks, _ = ck.pack(docs, key, text)
+    chunks, _ = ck.pack(docs, key, text, carry=carry)
     counts, _ = materialize(ck.count_shared(chunks, run_keys, n_parts), "counts")
     discard(spark)
     bits, _ = materialize(sort_shards(pieces_of(chunks, counts, n_shards), n_shards), "bits")
@@ -252,9 +252,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: b
                 a, b = np.flatnonzero(start), np.flatnonzero(stop) + 1
                 base = c.off[np.searchsorted(c.off, a, "right") - 1]
                 items = pa.StructArray.from_arrays([pa.array(a - base), pa.array(b - base)], ["start", "end"])
-                cols += [pa.array([k.tobytes().decode("utf-8", "replace") for k in kept], pa.string()), pa.ListArray.from_arrays(pa.array(np.searchsorted(a, c.off).astype(np.int32)), items)]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text", "removed"] * keep_text)
+                cols += [pa.array([k.tobytes().decode("utf-8", "ignore") for k in kept], pa.string()), pa.ListArray.from_arrays(pa.array(np.searchsorted(a, c.off).astype(np.int32)), items)]
+            if carry:
+                cols.append(c.row)
+            yield pa.RecordBatch.from_arrays(cols, ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text", "removed"] * keep_text + ["row"] * bool(carry))
 
     schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, removed array<struct<start:long,end:long>>" * keep_text
+    if carry:
+        schema += ", row " + docs.select(*carry).schema.simpleString()
     found = ck.answered(chunks, counts, bits).mapInArrow(finish, schema)
     return found.withColumnRenamed("key", key) if key != "key" else found
