@@ -125,8 +125,9 @@ def random_rows(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
 def next_k(df: DataFrame, k: int, group: Sequence[str], order: Sequence[str], key: str) -> DataFrame:
     """Pairs (key, next_key, step) of each row with its next k rows in its group: leads of one sort, no self-join."""
     w = Window.partitionBy(*group).orderBy(*order)
-    leads = F.array(*(F.struct(F.lead(key, i).over(w).alias("next_key"), F.lit(i).alias("step")) for i in range(1, k + 1)))
-    pairs = df.select(*group, F.col(key), F.explode(leads).alias("p")).select(*group, F.col(key), "p.next_key", "p.step")
+    ahead = df.select(*group, key, *(F.lead(key, i).over(w).alias(f"__next{i}") for i in range(1, k + 1)))
+    leads = F.explode(F.array(*(F.struct(F.col(f"__next{i}").alias("next_key"), F.lit(i).alias("step")) for i in range(1, k + 1))))
+    pairs = ahead.select(*group, key, leads.alias("p")).select(*group, key, "p.next_key", "p.step")
     return pairs.where("next_key is not null")
 
 

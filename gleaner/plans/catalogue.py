@@ -1,15 +1,778 @@
-"""Registered queries over the driver tables and their SQL twins."""
+"""Registered queries over the driver tables and their SQL twins.
+
+Doubles are rounded on both sides. SQL builds its rows the plain way; Spark's side goes through the operators.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.crawl import evaluation as ev
+from gleaner.crawl import run as crawl
+from gleaner.functions import columns as fn
+from gleaner.operators import features as ft
+from gleaner.operators import graph as g
+from gleaner.operators import table as tb
+from gleaner.operators import windows as wd
+from gleaner.plans import views
+from gleaner.plans.views import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    """Register a function as a query of its name; sql: the same for DuckDB."""
 
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _r(column: str, digits: int = 6):
+    return F.round(F.col(column), digits).alias(column)
+
+
+# Filters, projections, arithmetic
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE ((o_orderstatus = 'F' AND o_totalprice > 50000) OR contains(o_orderpriority, 'URGENT')) AND NOT o_custkey < 20")
+def tbl_filter_tree(spark, sf):
+    p = ("AND", ("OR", ("AND", ("o_orderstatus", "EQ", ("=", "F")), ("o_totalprice", "GT", ("=", 50000.0))), ("o_orderpriority", "SUPERSTR", ("=", "URGENT"))), ("NOT", ("o_custkey", "LT", ("=", 20))))
+    return tb.select(table(spark, sf, "orders"), p).select("o_orderkey", "o_totalprice")
+
+
+@_query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey >= s_nationkey")
+def tbl_filter_colcol(spark, sf):
+    return tb.select_columns(table(spark, sf, "supplier"), "s_suppkey", "GTE", "s_nationkey").select("s_suppkey", "s_nationkey")
+
+
+@_query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal <= 1000.5")
+def tbl_filter_const(spark, sf):
+    return tb.select_constant(table(spark, sf, "customer"), "c_acctbal", "LTE", 1000.5).select("c_custkey", "c_acctbal")
+
+
+@_query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, '1')")
+def tbl_filter_substring(spark, sf):
+    return tb.select_constant(table(spark, sf, "part"), "p_name", "SUPERSTR", "1").select("p_partkey", "p_name")
+
+
+@_query("SELECT c_custkey, CASE WHEN c_acctbal > 5000 OR c_mktsegment = 'BUILDING' THEN 1 ELSE -1 END AS label FROM customer")
+def tbl_classify(spark, sf):
+    p = ("OR", ("c_acctbal", "GT", ("=", 5000.0)), ("c_mktsegment", "EQ", ("=", "BUILDING")))
+    return tb.classify(table(spark, sf, "customer"), p, "label", 1, -1).select("c_custkey", "label")
+
+
+@_query("SELECT n_nationkey AS id, n_name AS nation FROM nation")
+def tbl_project_rename(spark, sf):
+    return tb.project(table(spark, sf, "nation"), ["n_nationkey", "n_name"], {"n_nationkey": "id", "n_name": "nation"})
+
+
+@_query("SELECT event_id, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS _id FROM events")
+def tbl_row_id(spark, sf):
+    return tb.row_numbers(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"]).select("event_id", "_id")
+
+
+@_query(
+    """SELECT p_partkey, p_partkey + p_size AS a, p_partkey - p_size AS s, p_partkey * p_size AS m, p_partkey // p_size AS d, p_partkey % p_size AS r,
+    least(p_partkey, p_size) AS lo, greatest(p_partkey, p_size) AS hi, round(p_retailprice / p_size, 6) AS q FROM part"""
+)
+def tbl_arith(spark, sf):
+    a, b = F.col("p_partkey"), F.col("p_size").cast("long")
+    ops = {"a": "add", "s": "sub", "m": "mul", "d": "div", "r": "mod", "lo": "min", "hi": "max"}
+    return table(spark, sf, "part").select("p_partkey", *(fn.arithmetic(op, a, b, True).alias(n) for n, op in ops.items()), F.round(fn.arithmetic("div", F.col("p_retailprice"), b, False), 6).alias("q"))
+
+
+@_query(
+    """WITH a AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) AS i FROM customer), b AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders)
+    SELECT c_custkey, round(c_acctbal + o_totalprice, 4) AS total FROM a JOIN b USING (i)"""
+)
+def tbl_zip_arith(spark, sf):
+    a = tb.row_numbers(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_custkey"])
+    b = tb.row_numbers(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    return tb.zip_arithmetic(a, b, "_id", "add", "c_acctbal", "o_totalprice", "total").select("c_custkey", _r("total", 4))
+
+
+@_query("SELECT p_partkey, p_brand || '/' || p_type AS both_names, p_name || '-' || 'x' AS tagged FROM part")
+def tbl_concat(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), "p_type").alias("both_names"), F.concat("p_name", F.lit("-"), F.lit("x")).alias("tagged"))
+
+
+# Aggregation
+
+
+@_query(
+    """SELECT o_custkey, min(o_totalprice) AS lo, max(o_totalprice) AS hi, min_by(o_totalprice, o_orderkey) AS first, max_by(o_totalprice, o_orderkey) AS last, round(avg(o_totalprice), 4) AS mean,
+    list_sort(list(o_totalprice))[count(*) // 2 + 1] AS median, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders GROUP BY o_custkey"""
+)
+def tbl_agg_all_policies(spark, sf):
+    names = {"lo": "min", "hi": "max", "first": "first", "last": "last", "mean": "mean", "median": "median", "total": "sum", "n": "count"}
+    a = tb.aggregate(table(spark, sf, "orders"), ["o_custkey"], {n: (p, "o_totalprice") for n, p in names.items()}, "o_orderkey")
+    return a.select("o_custkey", "lo", "hi", "first", "last", _r("mean", 4), "median", _r("total", 2), "n")
+
+
+@_query("SELECT o_orderkey, round(max(o_totalprice) OVER (PARTITION BY o_custkey), 4) AS top FROM orders")
+def tbl_agg_writeback(spark, sf):
+    return tb.aggregate_back(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], "max", "o_totalprice", "top", "o_orderkey").select("o_orderkey", _r("top", 4))
+
+
+@_query("SELECT o_custkey, CAST(sum(o_orderkey) // count(*) AS BIGINT) AS mean FROM orders GROUP BY o_custkey")
+def tbl_agg_integer_mean(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(fn.integer_mean(F.col("o_orderkey")).alias("mean"))
+
+
+@_query(
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, least(l_quantity, l_discount, l_tax) AS lo, greatest(l_quantity, l_discount, l_tax) AS hi,
+    round((l_quantity + l_discount + l_tax) / 3, 6) AS mean, list_sort([l_quantity, l_discount, l_tax])[2] AS median FROM lineitem"""
+)
+def tbl_agg_cols(spark, sf):
+    t, cols = table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"]
+    for name, policy in (("lo", "min"), ("hi", "max"), ("mean", "mean"), ("median", "median")):
+        t = tb.aggregate_columns(t, cols, policy, name)
+    return t.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "lo", "hi", _r("mean"), "median")
+
+
+@_query("SELECT event_id, count(*) OVER (PARTITION BY event_type) AS n FROM events")
+def tbl_count(spark, sf):
+    return tb.count_by(table(spark, sf, "events").select("event_id", "event_type"), "event_type", "n").select("event_id", "n")
+
+
+@_query(
+    """WITH f AS (SELECT user_id, event_type, min(event_id) AS m FROM events GROUP BY ALL), d AS (SELECT user_id, event_type, row_number() OVER (ORDER BY m) - 1 AS grp FROM f)
+    SELECT event_id, CAST(grp AS BIGINT) AS grp FROM events JOIN d USING (user_id, event_type)"""
+)
+def tbl_group_id(spark, sf):
+    return tb.group_ids(table(spark, sf, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], "event_id", "grp").select("event_id", "grp")
+
+
+@_query(
+    """WITH k AS (SELECT s_suppkey, least(s_suppkey % 5, s_nationkey % 5) AS a, greatest(s_suppkey % 5, s_nationkey % 5) AS b FROM supplier), f AS (SELECT a, b, min(s_suppkey) AS m FROM k GROUP BY ALL),
+    d AS (SELECT a, b, row_number() OVER (ORDER BY m) - 1 AS grp FROM f) SELECT s_suppkey, CAST(grp AS BIGINT) AS grp FROM k JOIN d USING (a, b)"""
+)
+def tbl_group_unordered(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 5).alias("x"), (F.col("s_nationkey").cast("long") % 5).alias("y"))
+    return tb.group_ids(s, ["x", "y"], "s_suppkey", "grp", ordered=False).select("s_suppkey", "grp")
+
+
+@_query("SELECT o_custkey, min(o_orderkey) AS o_orderkey, min_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
+def tbl_unique(spark, sf):
+    return tb.unique(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey")
+
+
+# Order and windows
+
+
+@_query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS BIGINT) AS pos FROM customer")
+def tbl_order_rank(spark, sf):
+    return tb.order_rank(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"], "pos").select("c_custkey", "pos")
+
+
+@_query("SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) - 1 AS BIGINT) AS pos FROM customer")
+def tbl_order_rank_reset(spark, sf):
+    t = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return tb.order_rank(t, ["c_mktsegment", "c_acctbal", "c_custkey"], "pos", reset=True).select("c_custkey", F.col("pos").cast("long"))
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50")
+def tbl_first_n(spark, sf):
+    return tb.first_rows(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 50)
+
+
+@_query("SELECT l_suppkey AS id, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, id DESC LIMIT 20")
+def tbl_top_k(spark, sf):
+    return tb.top(table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("n")), "n", "id", 20)
+
+
+@_query(
+    """WITH o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
+    SELECT a.user_id, a.event_id, b.event_id AS next_key, CAST(b.rn - a.rn AS BIGINT) AS step FROM o a JOIN o b ON a.user_id = b.user_id AND b.rn BETWEEN a.rn + 1 AND a.rn + 3"""
+)
+def tbl_next_k(spark, sf):
+    return tb.next_k(table(spark, sf, "events"), 3, ["user_id"], ["ts", "event_id"], "event_id").withColumn("step", F.col("step").cast("long"))
+
+
+# Bags and sets
+
+_AB = "WITH a AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity <= 25), b AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 20 AND l_discount > 0.03) "
+
+
+def _ab(spark, sf):
+    t = table(spark, sf, "lineitem")
+    return t.where("l_quantity <= 25").select("l_partkey", "l_suppkey"), t.where("l_quantity > 20 and l_discount > 0.03").select("l_partkey", "l_suppkey")
+
+
+@_query(_AB + "SELECT * FROM a UNION ALL SELECT * FROM b")
+def tbl_union_all(spark, sf):
+    return tb.union_all(*_ab(spark, sf))
+
+
+@_query(_AB + "SELECT DISTINCT * FROM a UNION ALL SELECT * FROM b WHERE (l_partkey, l_suppkey) NOT IN (SELECT (l_partkey, l_suppkey) FROM a)")
+def tbl_union(spark, sf):
+    return tb.union(*_ab(spark, sf))
+
+
+@_query(_AB + "SELECT * FROM a UNION SELECT * FROM b")
+def tbl_union_distinct(spark, sf):
+    return tb.union(*_ab(spark, sf), dedup_right=True)
+
+
+@_query(_AB + "SELECT * FROM b WHERE (l_partkey, l_suppkey) IN (SELECT (l_partkey, l_suppkey) FROM a)")
+def tbl_intersection(spark, sf):
+    return tb.intersection(*_ab(spark, sf))
+
+
+@_query(_AB + "SELECT * FROM a WHERE (l_partkey, l_suppkey) NOT IN (SELECT (l_partkey, l_suppkey) FROM b)")
+def tbl_minus(spark, sf):
+    return tb.minus(*_ab(spark, sf))
+
+
+# Joins
+
+
+@_query("SELECT c_custkey, o_orderkey, c_name, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey")
+def tbl_join(spark, sf):
+    c, o = table(spark, sf, "customer").select("c_custkey", "c_name"), table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return tb.join(c, "c_custkey", o, "o_custkey").select("c_custkey", "o_orderkey", "c_name", "o_totalprice")
+
+
+@_query('SELECT a.s_suppkey AS "s_suppkey-1", b.s_suppkey AS "s_suppkey-2", a.s_nationkey AS nation FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey')
+def tbl_self_join(spark, sf):
+    return tb.self_join(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey").select("s_suppkey-1", "s_suppkey-2", F.col("s_nationkey-1").alias("nation"))
+
+
+_PAIRS = "SELECT a.o_custkey AS key1, b.o_custkey AS key2{v}, count(*) AS n FROM orders a JOIN orders b ON a.o_orderdate = b.o_orderdate GROUP BY ALL HAVING count(*) >= 2"
+
+
+@_query(_PAIRS.format(v=""))
+def tbl_threshold_join(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderdate")
+    return tb.threshold_join(o, "o_custkey", "o_orderdate", o, "o_custkey", "o_orderdate", 2)
+
+
+@_query(_PAIRS.format(v=", a.o_orderdate AS value"))
+def tbl_threshold_join_perkey(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderdate")
+    return tb.threshold_join(o, "o_custkey", "o_orderdate", o, "o_custkey", "o_orderdate", 2, per_value=True)
+
+
+@_query(
+    """SELECT a.s_suppkey AS "s_suppkey-1", b.s_suppkey AS "s_suppkey-2", round(sqrt((a.s_acctbal - b.s_acctbal) * (a.s_acctbal - b.s_acctbal) + (a.s_nationkey - b.s_nationkey) * (a.s_nationkey - b.s_nationkey)), 6) AS distance
+    FROM supplier a, supplier b WHERE sqrt((a.s_acctbal - b.s_acctbal) * (a.s_acctbal - b.s_acctbal) + (a.s_nationkey - b.s_nationkey) * (a.s_nationkey - b.s_nationkey)) <= 50"""
+)
+def tbl_sim_join_l2(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("s_nationkey"))
+    return tb.similarity_join(s, ["s_acctbal", "s_nationkey"], s, ["s_acctbal", "s_nationkey"], "distance", 50.0).select("s_suppkey-1", "s_suppkey-2", _r("distance"))
+
+
+_GEO = "SELECT s_suppkey, CAST(s_suppkey * 37 % 170 - 85 AS DOUBLE) AS lat, CAST(s_suppkey * 91 % 360 - 180 AS DOUBLE) AS lon FROM supplier"
+
+
+@_query(
+    f"""WITH s AS ({_GEO}), p AS (SELECT a.s_suppkey AS x, b.s_suppkey AS y, power(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin((radians(b.lon) - radians(a.lon)) / 2), 2) AS h FROM s a, s b)
+    SELECT x AS "s_suppkey-1", y AS "s_suppkey-2", round(2 * 6373.0 * atan2(sqrt(h), sqrt(1 - h)), 4) AS distance FROM p WHERE 2 * 6373.0 * atan2(sqrt(h), sqrt(1 - h)) <= 500"""
+)
+def tbl_sim_join_haversine(spark, sf):
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier").select("s_suppkey", (k * 37 % 170 - 85).cast("double").alias("lat"), (k * 91 % 360 - 180).cast("double").alias("lon"))
+    return tb.similarity_join(s, ["lat", "lon"], s, ["lat", "lon"], "distance", 500.0, "haversine").select("s_suppkey-1", "s_suppkey-2", _r("distance", 4))
+
+
+def _jaccard_sql(threshold: float) -> str:
+    return f"""WITH v AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS v FROM lineitem WHERE l_suppkey < 40), s AS (SELECT g, count(*) AS n FROM v GROUP BY g),
+    c AS (SELECT a.g AS x, b.g AS y, count(*) AS c FROM v a JOIN v b USING (v) GROUP BY ALL)
+    SELECT p.g AS "l_suppkey-1", q.g AS "l_suppkey-2", round(1 - coalesce(c, 0) / CAST(p.n + q.n - coalesce(c, 0) AS DOUBLE), 6) AS distance
+    FROM s p CROSS JOIN s q LEFT JOIN c ON c.x = p.g AND c.y = q.g WHERE 1 - coalesce(c, 0) / CAST(p.n + q.n - coalesce(c, 0) AS DOUBLE) <= {threshold}"""
+
+
+@_query(_jaccard_sql(0.9))
+def tbl_group_jaccard(spark, sf):
+    return tb.group_jaccard(table(spark, sf, "lineitem").where("l_suppkey < 40"), ["l_suppkey"], "l_partkey", 0.9).select("l_suppkey-1", "l_suppkey-2", _r("distance"))
+
+
+@_query(_jaccard_sql(1.0))
+def tbl_group_jaccard_all(spark, sf):
+    return tb.group_jaccard(table(spark, sf, "lineitem").where("l_suppkey < 40"), ["l_suppkey"], "l_partkey", 1.0).select("l_suppkey-1", "l_suppkey-2", _r("distance"))
+
+
+@_query("SELECT c_custkey, coalesce(v, -1.0) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS v FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def tbl_update_from(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_totalprice", "o_orderkey")
+    return tb.update_from(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_custkey", "c_acctbal", o, "o_custkey", "o_totalprice", "o_orderkey", -1.0)
+
+
+_EV = """WITH e AS (SELECT event_id AS id, user_id AS source, CAST(json_extract_string(props, '$.k') AS BIGINT) % 150 AS target, CAST(floor(epoch(ts)) AS BIGINT) AS start FROM events) """
+
+
+@_query(_EV + "SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.target = b.source AND b.start >= a.start + 3600 AND b.start - a.start - 3600 <= 86400 AND a.id <> b.id")
+def tbl_cascade_edges(spark, sf):
+    return wd.cascade_edges(views.event_intervals(spark, sf), "id", "source", "target", "start", F.lit(3600), 86400)
+
+
+@_query()
+def tbl_cascades(spark, sf):
+    return wd.cascades(wd.cascade_edges(views.event_intervals(spark, sf).where("id % 10 = 0"), "id", "source", "target", "start", F.lit(3600), 86400))
+
+
+_DAY = "WITH e AS (SELECT event_id, CAST(epoch(ts) AS BIGINT) // 86400 - (SELECT min(CAST(epoch(ts) AS BIGINT) // 86400) FROM events) AS r, user_id FROM events), m AS (SELECT max(r) AS top FROM e) "
+
+
+def _days(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).alias("day"))
+    low = e.agg(F.min("day")).first()[0] or 0
+    return e.withColumn("day", F.col("day") - F.lit(low))
+
+
+@_query(_DAY + "SELECT CAST(r // 7 AS BIGINT) AS bucket, count(*) AS n FROM e GROUP BY 1")
+def tbl_win_tumbling(spark, sf):
+    return wd.split_windows(_days(spark, sf), "day", 7, 7, 0).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@_query(_DAY + "SELECT CAST(b AS BIGINT) AS bucket, count(*) AS n FROM (SELECT unnest(range(CASE WHEN r < 7 THEN 0 ELSE (r - 7) // 3 + 1 END, least(r // 3, top // 3) + 1)) AS b FROM e, m) GROUP BY 1")
+def tbl_win_sliding(spark, sf):
+    return wd.split_windows(_days(spark, sf), "day", 7, 3, 0).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@_query(_DAY + "SELECT CAST(b AS BIGINT) AS bucket, count(*) AS n FROM (SELECT unnest(range(r // 7, top // 7 + 1)) AS b FROM e, m) GROUP BY 1")
+def tbl_win_expanding(spark, sf):
+    return wd.split_windows(_days(spark, sf), "day", 7, 0, 0).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@_query(_DAY + "SELECT i AS bucket, count(*) AS n FROM e JOIN (VALUES (CAST(0 AS BIGINT), 0, 5), (1, 3, 10), (2, 10, 20)) v(i, lo, hi) ON r >= lo AND r < hi GROUP BY 1")
+def tbl_win_intervals(spark, sf):
+    return wd.split_intervals(_days(spark, sf), "day", [(0, 5), (3, 10), (10, 20)]).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@_query(_EV + "SELECT CAST((start - (SELECT min(start) FROM e)) // 604800 AS BIGINT) AS bucket, count(DISTINCT (least(source, target), greatest(source, target))) AS edges FROM e WHERE source <> target GROUP BY 1")
+def tbl_graph_sequence(spark, sf):
+    e = views.event_intervals(spark, sf)
+    return wd.sequence_edges(wd.split_windows(e, "start", 604800, 604800), "source", "target").groupBy("bucket").agg(F.count("*").alias("edges"))
+
+
+# Graphs
+
+_COP = """edges AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL HAVING count(*) >= 2),
+adj AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), deg AS (SELECT src AS id, count(*) AS d FROM adj GROUP BY src)"""
+_TRI = """, tri AS (SELECT a.src AS id, count(*) AS t FROM adj a JOIN adj b ON a.src = b.src AND a.dst < b.dst JOIN edges x ON x.src = a.dst AND x.dst = b.dst GROUP BY a.src),
+cc AS (SELECT deg.id, d, coalesce(t, 0) AS t, CASE WHEN d < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (CAST(d AS DOUBLE) * (d - 1)) END AS cc FROM deg LEFT JOIN tri ON tri.id = deg.id)"""
+
+
+@_query(f"WITH {_COP} SELECT src, dst FROM edges")
+def g_edges(spark, sf):
+    return views.copurchase(spark, sf, 2)
+
+
+@_query(f"WITH {_COP} SELECT d AS degree, count(*) AS nodes FROM deg GROUP BY d")
+def g_degree_dist(spark, sf):
+    return g.degree_distribution(views.copurchase(spark, sf, 2))
+
+
+@_query(f"WITH {_COP} SELECT id, d AS degree FROM deg ORDER BY d DESC, id DESC LIMIT 1")
+def g_max_degree(spark, sf):
+    return g.max_degree_node(views.copurchase(spark, sf, 2))
+
+
+@_query(f"WITH {_COP}{_TRI} SELECT id, d AS degree, t AS triangles, round(cc, 6) AS cc FROM cc")
+def g_clustering(spark, sf):
+    return g.clustering(views.copurchase(spark, sf, 2)).select("id", "degree", "triangles", _r("cc"))
+
+
+@_query(f"WITH {_COP}{_TRI} SELECT count(*) AS nodes, round(avg(cc), 6) AS cc, CAST(sum(t) // 3 AS BIGINT) AS closed, CAST(sum(d * (d - 1) // 2) - sum(t) AS BIGINT) AS open FROM cc")
+def g_avg_clustering(spark, sf):
+    return g.triads(views.copurchase(spark, sf, 2)).select("nodes", _r("cc"), "closed", "open")
+
+
+@_query(f"WITH {_COP}{_TRI} SELECT d AS degree, round(avg(cc), 6) AS cc, count(*) AS nodes FROM cc GROUP BY d")
+def g_clustering_by_degree(spark, sf):
+    return g.clustering_by_degree(views.copurchase(spark, sf, 2)).select("degree", _r("cc"), "nodes")
+
+
+_CUST = """top AS (SELECT max(c_custkey) AS m FROM customer), raw AS (SELECT c_custkey AS a, c_custkey // 2 AS b FROM customer WHERE c_custkey > 3 AND c_custkey % 5 <> 0
+UNION ALL SELECT c_custkey, c_custkey + 7 FROM customer, top WHERE c_custkey % 3 = 0 AND c_custkey + 7 <= m), edges AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM raw WHERE a <> b),
+adj AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)"""
+
+
+@_query(f"WITH RECURSIVE {_CUST}, r(id, c) AS (SELECT src, src FROM adj UNION SELECT adj.dst, r.c FROM r JOIN adj ON adj.src = r.id WHERE r.c < adj.dst) SELECT id, min(c) AS component FROM r GROUP BY id")
+def g_components(spark, sf):
+    return g.components(views.customer_graph(spark, sf))
+
+
+@_query()
+def g_giant_component(spark, sf):
+    return g.giant_component(views.customer_graph(spark, sf))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = ["p0 AS (SELECT id, 1.0 / n AS r FROM nodes, cnt)"]
+    for i in range(rounds):
+        steps.append(
+            f"t{i} AS (SELECT nodes.id, coalesce(s, 0) AS t FROM nodes LEFT JOIN (SELECT adj.dst AS id, sum(0.85 * r / d) AS s FROM adj JOIN p{i} ON p{i}.id = adj.src JOIN deg ON deg.id = adj.src GROUP BY 1) q ON q.id = nodes.id), "
+            f"p{i + 1} AS (SELECT id, t + (1 - (SELECT sum(t) FROM t{i})) / n AS r FROM t{i}, cnt)"
+        )
+    return f"WITH {_CUST}, deg AS (SELECT src AS id, count(*) AS d FROM adj GROUP BY src), nodes AS (SELECT DISTINCT src AS id FROM adj), cnt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes), {', '.join(steps)} SELECT id, round(r, 9) AS rank FROM p{rounds}"
+
+
+@_query(_pagerank_sql(5))
+def g_pagerank5(spark, sf):
+    e = views.customer_graph(spark, sf)
+    return g.page_rank(g.both_ways(e), g.nodes_of(e), rounds=5, exact_rounds=True).select("id", _r("rank", 9))
+
+
+def _kcore_sql(k: int, rounds: int) -> str:
+    steps = ["e0 AS (SELECT src, dst FROM edges)"]
+    for i in range(rounds):
+        steps.append(f"k{i} AS (SELECT id FROM (SELECT src AS id FROM e{i} UNION ALL SELECT dst FROM e{i}) GROUP BY id HAVING count(*) >= {k}), e{i + 1} AS (SELECT src, dst FROM e{i} WHERE src IN (SELECT id FROM k{i}) AND dst IN (SELECT id FROM k{i}))")
+    return f"WITH {_CUST}, {', '.join(steps)} SELECT src, dst FROM e{rounds}"
+
+
+@_query(_kcore_sql(3, 12))
+def g_kcore(spark, sf):
+    return g.k_core(views.customer_graph(spark, sf), 3)
+
+
+@_query(f"WITH RECURSIVE {_CUST}, r(id, hop) AS (SELECT CAST(9 AS BIGINT), 0 UNION SELECT adj.dst, hop + 1 FROM r JOIN adj ON adj.src = r.id WHERE hop < 4) SELECT CAST(9 AS BIGINT) AS source, id, min(hop) AS hop FROM r GROUP BY id")
+def g_hops(spark, sf):
+    return g.hops(views.customer_graph(spark, sf), spark.range(9, 10), depth=4)
+
+
+@_query()
+def g_ecc_close(spark, sf):
+    e = views.customer_graph(spark, sf)
+    return g.distance_measures(g.hops(e, spark.range(9, 12)), g.nodes_of(e).count())
+
+
+@_query()
+def g_betweenness(spark, sf):
+    e = views.customer_graph(spark, sf)
+    return g.betweenness(e, g.nodes_of(e).where("id < 12")).select("id", _r("betweenness"))
+
+
+@_query()
+def g_eigenvector(spark, sf):
+    return g.eigenvector_centrality(views.customer_graph(spark, sf), rounds=10)
+
+
+@_query()
+def g_hits(spark, sf):
+    return g.hits(views.customer_graph(spark, sf), rounds=3)
+
+
+@_query(f"WITH {_COP}, p AS (SELECT src AS a, dst AS b FROM edges) SELECT a, b, (SELECT count(*) FROM adj x JOIN adj y ON x.dst = y.dst WHERE x.src = p.a AND y.src = p.b) AS n FROM p")
+def g_common_nbrs(spark, sf):
+    e = views.copurchase(spark, sf, 2)
+    return g.common_neighbours(e, e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@_query(f"WITH {_CUST}, n AS (SELECT dst AS id FROM adj WHERE src = 21 UNION SELECT 21) SELECT src, dst FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)")
+def g_ego(spark, sf):
+    return g.ego_net(views.customer_graph(spark, sf), 21)
+
+
+@_query(f"WITH {_COP} SELECT src, dst FROM edges WHERE src % 2 = 0 AND dst % 2 = 0")
+def g_induced(spark, sf):
+    return g.induced(views.copurchase(spark, sf, 2), table(spark, sf, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id")))
+
+
+@_query(
+    """WITH sp AS (SELECT DISTINCT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem), n AS (SELECT src, count(*) AS n FROM sp GROUP BY 1),
+    c AS (SELECT a.src, b.src AS other, count(*) AS c FROM sp a JOIN sp b ON a.dst = b.dst AND a.src <> b.src GROUP BY ALL),
+    s AS (SELECT c.src, other, c / CAST(x.n + y.n - c AS DOUBLE) AS s FROM c JOIN n x ON x.src = c.src JOIN n y ON y.src = c.other)
+    SELECT src, other, round(s, 6) AS similarity, CAST(rn AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, other) AS rn FROM s) WHERE rn <= 3"""
+)
+def g_knn_jaccard(spark, sf):
+    return g.knn_jaccard(views.supplier_part(spark, sf), 3).select("src", "other", _r("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@_query(
+    f"""WITH {_COP}, lab AS (SELECT p_partkey AS id, p_type AS c FROM part), m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM edges),
+    i AS (SELECT x.c, count(*) AS k FROM edges JOIN lab x ON x.id = src JOIN lab y ON y.id = dst AND x.c = y.c GROUP BY 1), w AS (SELECT c, sum(d) AS d FROM deg JOIN lab USING (id) GROUP BY 1)
+    SELECT round(sum(coalesce(k, 0) / m - power(d / (2 * m), 2)), 6) AS modularity FROM w LEFT JOIN i USING (c), m"""
+)
+def g_modularity(spark, sf):
+    lab = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("community"))
+    return g.modularity(views.copurchase(spark, sf, 2), lab).select(_r("modularity"))
+
+
+@_query(f"WITH {_COP} SELECT CAST(sum(CASE WHEN src % 3 = 0 AND dst % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS inside, CAST(sum(CASE WHEN (src % 3 = 0) <> (dst % 3 = 0) THEN 1 ELSE 0 END) AS BIGINT) AS outside FROM edges")
+def g_edges_in_out(spark, sf):
+    return g.edges_in_out(views.copurchase(spark, sf, 2), views.crawled_parts(spark, sf))
+
+
+@_query(
+    """WITH a AS (SELECT user_id AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) % 150 AS dst FROM events), d AS (SELECT DISTINCT src, dst FROM a)
+    SELECT (SELECT count(*) FROM d) AS unique_directed, (SELECT count(DISTINCT (least(src, dst), greatest(src, dst))) FROM d) AS unique_undirected,
+    (SELECT count(*) FROM d x JOIN d y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst) AS reciprocated, (SELECT count(*) FROM a WHERE src = dst) AS loops"""
+)
+def g_edge_counts(spark, sf):
+    return g.edge_counts(views.event_intervals(spark, sf).select(F.col("source").alias("src"), F.col("target").alias("dst")))
+
+
+@_query()
+def g_strong_components(spark, sf):
+    return g.strong_components(views.event_intervals(spark, sf).where("id % 20 = 0").select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct())
+
+
+@_query()
+def g_statistics(spark, sf):
+    return g.graph_statistics(views.customer_graph(spark, sf))
+
+
+@_query()
+def g_label_communities(spark, sf):
+    return g.label_communities(views.customer_graph(spark, sf), rounds=4)
+
+
+@_query()
+def g_neighbourhood_function(spark, sf):
+    return g.neighbourhood_function(views.customer_graph(spark, sf), 4)
+
+
+@_query("SELECT i AS src, i + 1 AS dst FROM range(100) t(i) WHERE i % 10 < 9 UNION ALL SELECT i, i + 10 FROM range(90) t(i)")
+def gen_grid(spark, sf):
+    return g.grid(spark, 10, 10)
+
+
+@_query("SELECT (i - 1) // 3 AS src, i AS dst FROM range(1, 40) t(i)")
+def gen_tree(spark, sf):
+    return g.tree(spark, 3, 4)
+
+
+@_query()
+def gen_random(spark, sf):
+    return g.random_edges(spark, 1000, 5000, 7)
+
+
+@_query()
+def gen_r_mat(spark, sf):
+    return g.r_mat(spark, 10, 5000, 0.6, 0.1, 0.15, 7)
+
+
+@_query()
+def gen_configuration(spark, sf):
+    return g.configuration_model(g.degrees(views.customer_graph(spark, sf)), 7)
+
+
+# Attributes, features
+
+
+@_query("SELECT p_partkey AS id, CASE WHEN p_type = 'ECONOMY' THEN 1 WHEN p_type IN ('ECONOMY', 'PROMO', 'STANDARD') THEN 0 END AS y FROM part")
+def a_oracle(spark, sf):
+    nodes = table(spark, sf, "part").withColumnRenamed("p_partkey", "id")
+    return ft.attribute_oracle(nodes, "p_type", "ECONOMY", ["ECONOMY", "PROMO", "STANDARD"])
+
+
+@_query("SELECT p_partkey AS id FROM part WHERE p_type = 'ECONOMY'")
+def a_target_set(spark, sf):
+    return ft.target_set(views.part_labels(spark, sf))
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY v) - 1 AS BIGINT) AS pos, v AS value FROM (SELECT DISTINCT p_brand AS v FROM part)")
+def a_domain(spark, sf):
+    return ft.attribute_domain(table(spark, sf, "part"), "p_brand")
+
+
+@_query("SELECT c_custkey, CAST(c_mktsegment = 'BUILDING' AS INT) AS h1, CAST(c_mktsegment = 'MACHINERY' AS INT) AS h2, CAST(c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS INT) AS h3 FROM customer")
+def a_onehot(spark, sf):
+    hot = fn.one_hot(F.col("c_mktsegment"), ["BUILDING", "MACHINERY"], add_none=True)
+    return table(spark, sf, "customer").select("c_custkey", hot.alias("h")).select("c_custkey", *(F.element_at("h", i).alias(f"h{i}") for i in (1, 2, 3)))
+
+
+_STATE = (
+    _COP
+    + """, lab AS (SELECT p_partkey AS id, CASE WHEN p_type = 'ECONOMY' THEN 1 ELSE 0 END AS y FROM part), crawled AS (SELECT id, y FROM lab WHERE id % 3 = 0),
+e2 AS (SELECT a.src, a.dst FROM adj a LEFT JOIN crawled c1 ON a.src = c1.id LEFT JOIN crawled c2 ON a.dst = c2.id WHERE c1.id IS NOT NULL OR c2.id IS NOT NULL),
+dg AS (SELECT src AS id, count(*) AS d FROM e2 GROUP BY src), nb AS (SELECT e.src AS id, count(c.id) AS cd, sum(c.y) AS ct FROM e2 e LEFT JOIN crawled c ON e.dst = c.id GROUP BY e.src),
+tr AS (SELECT a.src AS id, count(*) AS t2, sum(CASE WHEN l1.y + l2.y = 2 THEN 1 ELSE 0 END) AS k2, sum(CASE WHEN l1.y + l2.y = 1 THEN 1 ELSE 0 END) AS k1
+FROM e2 a JOIN e2 b ON a.src = b.src AND a.dst < b.dst JOIN e2 x ON x.src = a.dst AND x.dst = b.dst JOIN lab l1 ON l1.id = a.dst JOIN lab l2 ON l2.id = b.dst GROUP BY a.src),
+f AS (SELECT dg.id AS id, CAST(d AS BIGINT) AS degree, 1.0 / sqrt(CAST(d AS DOUBLE)) AS od, CASE WHEN d < 2 THEN 0 ELSE 2.0 * coalesce(t2, 0) / (CAST(d AS DOUBLE) * (d - 1)) END AS cc,
+CAST(cd AS DOUBLE) / d AS cnf, CASE WHEN cd = 0 THEN 0 ELSE CAST(ct AS DOUBLE) / cd END AS tnf, CAST(coalesce(k2, 0) AS DOUBLE) / greatest(coalesce(t2, 0), 1) AS tri2,
+CAST(coalesce(k1, 0) AS DOUBLE) / greatest(coalesce(t2, 0), 1) AS tri1, CAST(coalesce(t2, 0) - coalesce(k2, 0) - coalesce(k1, 0) AS DOUBLE) / greatest(coalesce(t2, 0), 1) AS tri0
+FROM dg JOIN nb ON nb.id = dg.id LEFT JOIN tr ON tr.id = dg.id)"""
+)
+
+
+def _state(spark, sf):
+    return views.copurchase(spark, sf, 2), views.crawled_parts(spark, sf), views.part_labels(spark, sf)
+
+
+@_query(f"WITH {_STATE} SELECT id, degree, " + ", ".join(f"round({c}, 6) AS {c}" for c in ft.FEATURES) + " FROM f")
+def f_node_features(spark, sf):
+    return ft.node_features(*_state(spark, sf)).select("id", "degree", *(_r(c) for c in ft.FEATURES))
+
+
+def _means(hop: int) -> str:
+    return ", ".join(f"round(avg({c}), 6) AS {c}{hop}" for c in ("od", "cc", "cnf", "tnf"))
+
+
+@_query(f"WITH {_STATE} SELECT e2.src AS id, {_means(1)} FROM e2 JOIN f ON f.id = e2.dst GROUP BY 1")
+def f_n1_avg(spark, sf):
+    e, c, y = _state(spark, sf)
+    out = ft.neighbour_features(e, c, ft.node_features(e, c, y), hop=1)
+    return out.select("id", *(_r(x) for x in out.columns[1:]))
+
+
+@_query(
+    f"WITH {_STATE} SELECT e2.src AS id, "
+    + ", ".join(f"round(avg(CASE WHEN least(floor(cc * 3), 2) = {i} THEN 1.0 ELSE 0.0 END), 6) AS cc1_{i}" for i in range(3))
+    + " FROM e2 JOIN f ON f.id = e2.dst GROUP BY 1"
+)
+def f_n1_hist(spark, sf):
+    e, c, y = _state(spark, sf)
+    out = ft.neighbour_features(e, c, ft.node_features(e, c, y), ["cc"], bins=3, hop=1)
+    return out.select("id", *(F.round(F.element_at("cc1", i + 1), 6).alias(f"cc1_{i}") for i in range(3)))
+
+
+@_query(
+    f"WITH {_STATE}, two AS (SELECT DISTINCT a.src, b.dst FROM e2 a JOIN e2 b ON a.dst = b.src WHERE NOT EXISTS (SELECT 1 FROM e2 x WHERE x.src = a.src AND x.dst = b.dst)) SELECT two.src AS id, {_means(2)} FROM two JOIN f ON f.id = two.dst GROUP BY 1"
+)
+def f_n2_avg(spark, sf):
+    e, c, y = _state(spark, sf)
+    out = ft.neighbour_features(e, c, ft.node_features(e, c, y), hop=2)
+    return out.select("id", *(_r(x) for x in out.columns[1:]))
+
+
+@_query(
+    f"""WITH {_STATE}, v AS (SELECT p_partkey AS id, p_type AS t FROM part) SELECT e2.src AS id, round(coalesce(avg(CASE WHEN crawled.id IS NULL THEN NULL WHEN t = 'ECONOMY' THEN 1.0 ELSE 0.0 END), 0), 6) AS economy,
+    round(coalesce(avg(CASE WHEN crawled.id IS NULL THEN NULL WHEN t = 'PROMO' THEN 1.0 ELSE 0.0 END), 0), 6) AS promo FROM e2 LEFT JOIN crawled ON crawled.id = e2.dst JOIN v ON v.id = e2.dst GROUP BY 1"""
+)
+def f_anv(spark, sf):
+    e, c, _ = _state(spark, sf)
+    out = ft.attribute_fractions(e, c, table(spark, sf, "part").withColumnRenamed("p_partkey", "id"), "p_type", ["ECONOMY", "PROMO"])
+    return out.select("id", F.round(F.element_at("fractions", 1), 6).alias("economy"), F.round(F.element_at("fractions", 2), 6).alias("promo"))
+
+
+@_query(f"WITH {_STATE} SELECT e.src AS id, round(1 - 1.0 / (sum(c.y) + 1), 6) AS score FROM e2 e JOIN crawled c ON c.id = e.dst LEFT JOIN crawled s ON s.id = e.src WHERE s.id IS NULL GROUP BY 1")
+def p_mtn(spark, sf):
+    return ft.target_neighbours_score(*_state(spark, sf)).select("id", _r("score"))
+
+
+@_query()
+def f_vector(spark, sf):
+    return ft.feature_vector(*_state(spark, sf), bins=3)[1]
+
+
+# Crawls, metrics
+
+
+@_query(f"WITH RECURSIVE {_CUST}, r(id, hop) AS (SELECT CAST(6 AS BIGINT), 0 UNION SELECT adj.dst, hop + 1 FROM r JOIN adj ON adj.src = r.id WHERE hop < 5), h AS (SELECT id, min(hop) AS hop FROM r GROUP BY id) SELECT hop, count(*) AS nodes FROM h GROUP BY hop")
+def c_bfs_levels(spark, sf):
+    return g.hops(views.customer_graph(spark, sf), spark.range(6, 7), 5).groupBy("hop").agg(F.count("*").alias("nodes"))
+
+
+def _run(name: str) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        runs = crawl.plan_runs(spark, {name: crawl.PRESETS[name]}, [6, 9, 12, 15], 60)
+        labels = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"))
+        return crawl.crawl(runs, views.customer_graph(spark, sf), labels).withColumn("score", F.round("score", 9))
+
+    return query
+
+
+for _name in crawl.PRESETS:
+    _QUERIES[f"c_run_{_name}"] = _run(_name)
+
+_LOG = "WITH log AS (SELECT 'r' || CAST(o_custkey % 4 AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderkey) AS step, o_orderkey % 199 + 1 AS node FROM orders), lab AS (SELECT p_partkey AS id, CASE WHEN p_type = 'ECONOMY' THEN 1 ELSE 0 END AS y FROM part), t AS (SELECT sum(y) AS t FROM lab) "
+
+
+def _log(spark, sf):
+    from pyspark.sql.window import Window
+
+    o = table(spark, sf, "orders")
+    k = F.col("o_custkey") % 4
+    return o.select(F.concat(F.lit("r"), k.cast("string")).alias("run_id"), F.row_number().over(Window.partitionBy(k).orderBy("o_orderkey")).alias("step"), (F.col("o_orderkey") % 199 + 1).alias("node"))
+
+
+_CUM = "c AS (SELECT run_id, step, count(*) OVER w AS crawled, CAST(sum(coalesce(y, 0)) OVER w AS BIGINT) AS hits FROM log LEFT JOIN lab ON lab.id = node WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING)) "
+
+
+@_query(_LOG + ", " + _CUM + "SELECT run_id, step, crawled, hits, round(hits / CAST(crawled AS DOUBLE), 6) AS precision, round(hits / CAST(t AS DOUBLE), 6) AS recall, round(2.0 * hits / (t + crawled), 6) AS f1 FROM c, t")
+def m_prf1(spark, sf):
+    lab = views.part_labels(spark, sf)
+    total = lab.agg(F.sum("y").alias("t"))
+    found = ev.found_by_step(_log(spark, sf), lab).crossJoin(F.broadcast(total))
+    return ev.scores(found, F.col("t")).select("run_id", F.col("step").cast("long").alias("step"), "crawled", "hits", _r("precision"), _r("recall"), _r("f1"))
+
+
+@_query(_LOG + ", " + _CUM + "SELECT run_id, step, hits FROM c WHERE step IN (1, 2, 5, 10, 20, 50, 100)")
+def m_curve(spark, sf):
+    return ev.found_by_step(_log(spark, sf), views.part_labels(spark, sf)).where(F.col("step").isin(1, 2, 5, 10, 20, 50, 100)).select("run_id", F.col("step").cast("long").alias("step"), "hits")
+
+
+_HIST = "WITH h AS (SELECT 'g' || CAST(o_custkey % 5 AS VARCHAR) AS graph, 'c' || CAST(o_orderkey % 4 AS VARCHAR) AS crawler, CAST(o_custkey % 3 AS INT) AS instance, CAST((o_orderkey % 17) * 3 + 1 AS INT) AS step, max(o_totalprice) AS value FROM orders GROUP BY ALL) "
+_MEAS = """, l AS (SELECT *, CAST(step AS DOUBLE) AS x, lag(CAST(step AS DOUBLE)) OVER w AS x0, lag(value) OVER w AS y0 FROM h WINDOW w AS (PARTITION BY graph, crawler, instance ORDER BY step)),
+m AS (SELECT graph, crawler, instance, sum(CASE WHEN x0 IS NULL THEN x * value / 2 ELSE (x - x0) * (value + y0) / 2 END) / max(x) AS aucc,
+sum((x - coalesce(x0, 0)) / x * (value + coalesce(y0, 0)) / 2) / sum((x - coalesce(x0, 0)) / x) AS waucc, max_by(value, step) AS tc FROM l GROUP BY ALL) """
+
+
+def _measures(spark, sf):
+    return ev.curve_measures(views.histories(spark, sf), ["graph", "crawler", "instance"])
+
+
+@_query(_HIST + _MEAS + "SELECT graph, crawler, instance, round(aucc, 4) AS aucc FROM m")
+def e_aucc(spark, sf):
+    return _measures(spark, sf).select("graph", "crawler", "instance", _r("aucc", 4))
+
+
+@_query(_HIST + _MEAS + "SELECT graph, crawler, instance, round(waucc, 4) AS waucc FROM m")
+def e_waucc(spark, sf):
+    return _measures(spark, sf).select("graph", "crawler", "instance", _r("waucc", 4))
+
+
+@_query(_HIST + _MEAS + "SELECT graph, crawler, instance, tc FROM m")
+def e_tc(spark, sf):
+    return _measures(spark, sf).select("graph", "crawler", "instance", "tc")
+
+
+@_query(_HIST + _MEAS + "SELECT graph, crawler, count(*) AS n, round(avg(aucc), 4) AS mean, round(stddev_pop(aucc), 4) AS std FROM m GROUP BY ALL")
+def e_aggregated(spark, sf):
+    return ev.aggregated(_measures(spark, sf), ["graph", "crawler"], "aucc").select("graph", "crawler", "n", _r("mean", 4), _r("std", 4))
+
+
+@_query(_HIST + "SELECT graph, crawler, 5 - count(DISTINCT instance) AS missing FROM h GROUP BY ALL HAVING 5 - count(DISTINCT instance) > 0")
+def e_missing(spark, sf):
+    h = views.histories(spark, sf)
+    return ev.missing(h.select("graph", "crawler").distinct().withColumn("planned", F.lit(5).cast("long")), h, ["graph", "crawler"])
+
+
+@_query(
+    _HIST + _MEAS + ", a AS (SELECT graph, crawler, avg(tc) AS mean FROM m GROUP BY ALL), b AS (SELECT graph, arg_max(crawler, (mean, crawler)) AS crawler, count(*) AS n FROM a GROUP BY graph HAVING count(*) = 4) SELECT crawler, count(*) AS wins FROM b GROUP BY 1"
+)
+def e_winners(spark, sf):
+    return ev.winners(ev.aggregated(_measures(spark, sf), ["graph", "crawler"], "tc"), 4)
+
+
+@_query(_HIST + _MEAS + "SELECT crawler, " + ", ".join(f"round(avg(CASE WHEN graph = 'g{i}' THEN tc END), 4) AS g{i}" for i in range(5)) + " FROM m GROUP BY crawler")
+def e_pivot(spark, sf):
+    names = [f"g{i}" for i in range(5)]
+    out = ev.pivot(ev.aggregated(_measures(spark, sf), ["graph", "crawler"], "tc"), names)
+    return out.select("crawler", *(_r(n, 4) for n in names))
+
+
+@_query(_HIST + "SELECT graph, crawler, CAST(step AS DOUBLE) AS x, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, count(*) AS n FROM h GROUP BY ALL")
+def e_mean_curve(spark, sf):
+    return ev.mean_curve(views.histories(spark, sf), ["graph", "crawler"]).select("graph", "crawler", "x", _r("mean", 4), _r("std", 4), "n")
+
+
+@_query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]+)', 1)), '^www[0-9]*\\.', '') AS host FROM pages")
+def u_domain(spark, sf):
+    return table(spark, sf, "pages").select("page_id", fn.domain_name(F.col("url")).alias("host"))
+
+
+@_query("SELECT page_id, CAST(len(list_filter(string_split_regex(lower(url), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS BIGINT) AS words FROM pages")
+def u_words(spark, sf):
+    return table(spark, sf, "pages").select("page_id", fn.count_words(F.col("url")).cast("long").alias("words"))
