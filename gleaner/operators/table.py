@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions import columns as fn
+from gleaner.session import materialize
 
 
 def select(df: DataFrame, predicate: tuple) -> DataFrame:
@@ -38,10 +39,13 @@ def project(df: DataFrame, columns: Sequence[str], rename: dict[str, str] | None
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], name: str = "_id") -> DataFrame:
-    """Row numbers from 0 in a total order, without sorting in one task: rows are range-partitioned, and each range starts after those before it."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    """Row numbers from 0 in a total order, without sorting in one task: rows are range-partitioned, and each range starts after those before it.
+
+    The ranges are written to the shared folder, so that their sizes and their rows come from one and the same partitioning.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt, _ = materialize(ranges.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ranges")
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__low"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = sizes.select("__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low")).alias("__shift"))
