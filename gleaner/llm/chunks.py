@@ -7,6 +7,7 @@ the answer that comes back is a byte a key. No task gets more of a frequent key
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import textkit as tk
-from gleaner.llm.common import materialize
+from gleaner.llm.common import discard, parts, shared_folder
 
 CHUNK_BYTES = 2 << 20
 #: Where a null doc_id stands in the order: after all others.
@@ -40,7 +41,9 @@ class Chunk:
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", batch=None, size: int = CHUNK_BYTES, carry: list[str] | None = None) -> tuple[DataFrame, str]:
-    """Write docs as chunks (chunk, batch, ids, known, off, data, row) in the shared folder, without a shuffle.
+    """Write docs as a table of chunks (chunk, batch, ids, known, off, data, row) in the shared folder, without a shuffle.
+
+    The table is bucketed by chunk, so that what comes back for the chunks is joined without shuffling texts again. Returns it and its name.
 
     batch: an integer column; a chunk holds rows of one batch. carry: columns that go along, as an Arrow stream.
     The rows of a task that don't fill a chunk make a smaller one.
@@ -85,7 +88,17 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", batch=None, s
             yield flush(b)
 
     packed = rows.mapInArrow(run, "batch int, ids binary, known binary, off binary, data binary, row binary").withColumn("chunk", F.monotonically_increasing_id())
-    return materialize(packed, "chunks")
+    spark = docs.sparkSession
+    name = f"chunks_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    packed.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parts(spark), "chunk").saveAsTable(name)
+    return spark.table(name), name
+
+
+def release(spark, name: str) -> None:
+    """Delete the chunks of a table that `pack` wrote."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    discard(spark, f"{shared_folder(spark)}/{name}")
 
 
 def each(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:

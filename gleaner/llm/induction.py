@@ -203,11 +203,13 @@ class _Induction:
             self.since = np.minimum(self.since, least)
 
 
-def suffixes(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks (positions, common) of all suffixes that don't start at a separator, in descending order.
+def suffixes(text: np.ndarray, depth: int, last: np.ndarray | None = None, in_memory: int = IN_MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (positions, common) of suffixes that don't start at a separator, in descending order.
 
     text: uint8 symbols, 0 only as a separator, which ends it and counts as unlike any other. common: the bytes a suffix
     shares with the one before it in this order, `depth` at most. Suffixes alike in `depth` bytes come in any order.
+    last: for each string between separators the last position whose suffix is wanted; suffixes after it that no wanted one
+    is induced from are left out. All are wanted by default.
     """
     n = len(text)
     s_type = is_s_type(text)
@@ -216,8 +218,14 @@ def suffixes(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> Iterat
     star[0] = False
     at = np.flatnonzero(star)
     ends = at[text[at] == 0]
+    every_end = np.flatnonzero(text == 0)
+    if last is not None:
+        # A suffix is induced from the next S* suffix; those beyond the first one after the last wanted suffix aren't needed.
+        enough = at[np.searchsorted(at, last, "right")]
+        at = at[at <= enough[np.searchsorted(every_end, at)]]
+        ends = at[text[at] == 0]
     at = at[text[at] != 0]
-    size = np.minimum(ends[np.searchsorted(ends, at)] - at, depth) if len(at) else at
+    size = np.minimum(every_end[np.searchsorted(every_end, at)] - at, depth)
     words = _words(text, at, size, depth)
     # equal beginnings are ranked once
     mark = words[:, 0].copy()
@@ -248,38 +256,38 @@ def suffixes(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> Iterat
     symbols = np.unique(text)
     for c in symbols[symbols > 0].tolist():
         keep = kept[c] = Queue(in_memory)
-        last = None
+        prior = None
         while c in up.queues and (up.queues[c].blocks or up.queues[c].spilled):
             for pos, l in up.queues[c].take():
-                if last is None:
+                if prior is None:
                     l = l.copy()
                     l[0] = 0
                 keep.append(pos, l)
-                last = pos[-1]
+                prior = pos[-1]
                 up.scan(pos, l)
         a, b = cuts[c], cuts[c + 1]
         for i in range(a, b, BLOCK):
             l = lcp[i : min(i + BLOCK, b)].copy()
             if i == a:
-                l[0] = 0 if last is None else min(_run_at(text, last, depth), _run_at(text, at[a], depth))
+                l[0] = 0 if prior is None else min(_run_at(text, prior, depth), _run_at(text, at[a], depth))
             up.scan(at[i : min(i + BLOCK, b)], l)
 
     down = _Induction(text, s_type, True, depth, in_memory)
     for c in symbols[symbols > 0][::-1].tolist():
-        last = None
+        prior = None
         while c in down.queues and (down.queues[c].blocks or down.queues[c].spilled):
             for pos, l in down.queues[c].take():
-                if last is None:
+                if prior is None:
                     l = l.copy()
                     l[0] = 0
-                last = pos[-1]
+                prior = pos[-1]
                 down.scan(pos, l)
                 yield pos, l
         carry = None  # going backwards, a tuple's common prefix belongs to the next one
         for pos, l in kept[c].backwards():
             shifted = np.empty_like(l)
             shifted[1:] = l[:-1]
-            shifted[0] = (0 if last is None else min(_run_at(text, last, depth), _run_at(text, pos[0], depth))) if carry is None else carry
+            shifted[0] = (0 if prior is None else min(_run_at(text, prior, depth), _run_at(text, pos[0], depth))) if carry is None else carry
             carry = l[-1]
             down.scan(pos, shifted)
             yield pos, shifted

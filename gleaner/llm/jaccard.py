@@ -47,7 +47,7 @@ def survivors(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     an overlap never exceeds them, and a link needs an overlap of PERCENT of n_shingles at least. sign stands for the whole set.
     """
     n_parts = parts(docs.sparkSession)
-    chunks, path = ck.pack(docs, key, text)
+    chunks, packed = ck.pack(docs, key, text)
     counts, counts_path = materialize(ck.count_shared(chunks, _shingles, n_parts), "counts")
 
     def send(batches):
@@ -76,7 +76,8 @@ def survivors(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
 
     found = ck.answered(chunks, counts).mapInArrow(send, "key long, n_shingles long, sign binary, keys binary, counts binary")
     out = materialize(found.withColumn("node", F.monotonically_increasing_id()), "sets")
-    discard(docs.sparkSession, path, counts_path)
+    ck.release(docs.sparkSession, packed)
+    discard(docs.sparkSession, counts_path)
     return out
 
 

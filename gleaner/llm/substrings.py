@@ -50,7 +50,12 @@ class Entries:
         self.words, h, at, least = _words(c)
         counts = ck.values_of(c, 0)
         known = ck.distinct(*gram_keys(c))[0]
-        self.at = at = at[counts[np.searchsorted(known, least)] >= 2] if len(at) else at
+        if len(at):
+            new = np.ones(len(at), bool)
+            new[1:] = least[1:] != least[:-1]
+            seen = counts[np.searchsorted(known, least[new])] >= 2
+            at = at[np.repeat(seen, np.diff(np.append(np.flatnonzero(new), len(at))))]
+        self.at = at
         self.h = np.zeros(0, np.uint64)
         self.v = self.first = self.h
         self.entry = np.zeros(0, np.int64)

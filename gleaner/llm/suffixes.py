@@ -30,23 +30,18 @@ class Runs:
     """Runs of neighbouring strings of a chunk with the same least hash: first byte, number of strings, hash and text."""
 
     def __init__(self, c: ck.Chunk):
-        size = np.diff(c.off)
-        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         n = len(c.raw) - LENGTH + 1
         if n <= 0:
             self.start, self.count, self.least, self.doc = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
             return
-        grams = tk.spans(c.raw, np.arange(len(c.raw) - GRAM + 1), np.arange(GRAM, len(c.raw) + 1))
-        least = tk.sliding_min(grams, LENGTH - GRAM + 1)
-        whole = doc[:n] == doc[LENGTH - 1 :]
-        new = whole.copy()
-        new[1:] &= (least[1:] != least[:-1]) | (doc[1:n] != doc[: n - 1]) | ~whole[:-1]
-        self.start = np.flatnonzero(new)
-        stop = np.append(self.start[1:], n)
-        inside = np.zeros(n + 1, np.int64)
-        np.cumsum(whole, out=inside[1:])
-        self.count = inside[stop] - inside[self.start]
-        self.least, self.doc = least[self.start], doc[self.start].astype(np.int64)
+        least = tk.sliding_min(tk.rolling(c.raw, GRAM), LENGTH - GRAM + 1)
+        long = np.flatnonzero(np.diff(c.off) >= LENGTH)
+        start = np.union1d(np.flatnonzero(least[1:] != least[:-1]) + 1, c.off[long])
+        doc = np.searchsorted(c.off, start, "right") - 1
+        stop = np.minimum(np.append(start[1:], n), c.off[doc + 1] - LENGTH + 1)
+        real = stop > start
+        self.start, self.doc = start[real], doc[real]
+        self.count, self.least = stop[real] - self.start, tk.mix(least[self.start])
 
 
 def run_keys(c: ck.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +107,7 @@ def smallest_holders(texts: list[bytes], first: np.ndarray) -> np.ndarray:
             held.clear()
 
     broken = True
-    for pos, common in suffixes(symbols, LENGTH):
+    for pos, common in suffixes(symbols, LENGTH, begin + strings - 1):
         broken_before = np.cumsum(common < LENGTH)
         index = string_of[pos]
         at = np.flatnonzero(index >= 0)
@@ -152,8 +147,8 @@ def sort_shards(pieces: DataFrame, n_shards: int) -> DataFrame:
             firsts: list[int] = []
             own = []
             for r in rows:
-                data = r["data"].to_pybytes()
-                strings = np.frombuffer(r["strings"], np.int64)
+                strings = np.frombuffer(r["strings"], np.int32).astype(np.int64)
+                data = pa.decompress(r["data"], int((strings + LENGTH - 1).sum()), "zstd").to_pybytes()
                 first = np.frombuffer(r["first"], np.int64)
                 mine = np.empty(len(strings), np.int64)
                 at = 0
@@ -193,7 +188,7 @@ def pieces_of(chunks: DataFrame, counts: DataFrame, n_shards: int) -> DataFrame:
                 data = c.raw[np.repeat(p.at[a:b], size) + _counting(size)]
                 blob = lambda x: pa.array([x.tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int32()), pa.array([c.number]), blob(p.strings[a:b]), blob(p.first[a:b]), blob(data)], ["part", "chunk", "strings", "first", "data"]
+                    [pa.array([shard], pa.int32()), pa.array([c.number]), blob(p.strings[a:b].astype(np.int32)), blob(p.first[a:b]), pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary())], ["part", "chunk", "strings", "first", "data"]
                 )
 
     return ck.answered(chunks, counts).mapInArrow(send, "part int, chunk long, strings binary, first binary, data binary")
@@ -230,7 +225,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: b
     n_shards = SHARDS * n_parts
     chunks, _ = ck.pack(docs, key, text, carry=carry)
     counts, _ = materialize(ck.count_shared(chunks, run_keys, n_parts), "counts")
-    discard(spark)
+    discard(spark)  # frees the shuffle of the counts
     bits, _ = materialize(sort_shards(pieces_of(chunks, counts, n_shards), n_shards), "bits")
     discard(spark)
 

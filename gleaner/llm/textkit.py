@@ -100,6 +100,15 @@ def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0)
     return mix(value + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def rolling(raw: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of raw[i:i+k] for each i; mix() it before its low bits are used."""
+    total = np.zeros(len(raw) + 1, _U)
+    np.cumsum(_BYTE_VALUE[0][raw] * powers(_BASE, len(raw)), out=total[1:])
+    out = total[k:] - total[:-k]
+    out *= powers(_BASE_INV, len(raw) + 1)[: len(out)]
+    return out
+
+
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
     upper = (raw >= 65) & (raw <= 90)
     return raw + (upper.astype(np.uint8) << 5)
