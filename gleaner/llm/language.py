@@ -224,7 +224,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 new = np.ones(len(at), bool)
                 new[1:] = (label[at][1:] != label[at][:-1]) | (w.doc[at][1:] != w.doc[at][:-1])
                 head = np.flatnonzero(new)
-                tail = np.append(head[1:], len(at)) - 1
+                tail = np.append(head[1:], len(at))[: len(head)] - 1
                 d = w.doc[at][head] if len(at) else np.zeros(0, int)
                 items = pa.StructArray.from_arrays(
                     [pa.array(w.start[at][head] - off[d]), pa.array(w.end[at][tail] - off[d]), pa.array([m.languages[i] for i in label[at][head]], pa.string())], fields=list(span)
