@@ -1,0 +1 @@
+"""Streams: the same operators over Structured Streaming."""
