@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -167,21 +167,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (id, component) for each node with an edge: the smallest id it reaches. Edges may be any pairs (src, dst); loops and nulls are ignored.
 
     Alternates large-star and small-star rounds until a round changes nothing. A round needs only a minimum for each node,
-    combined before the shuffle, so a hub isn't gathered.
+    combined before the shuffle, so a hub isn't gathered; a round is one job, which writes its edges and sums up their hashes on the way.
     """
     spark = edges.sparkSession
-    now, path = materialize(
-        edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges"
-    )
-    last = None
+    pairs = edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+
+    def written(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+        seen = Observation()
+        out, path = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("mark")), "edges")
+        return out, path, tuple(seen.get.values())
+
+    now, path, last = written(pairs)
     for _ in range(max_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        nxt, nxt_path = materialize(small.where("u <> v").distinct(), "edges")
-        mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        nxt, nxt_path, mark = written(small.where("u <> v").distinct())
         discard(spark, path)
         now, path = nxt, nxt_path
         if mark == last:

@@ -41,8 +41,12 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> tuple[Da
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete tables in the shared folder that nothing reads any more, and let Spark free unused shuffle files."""
+    """Delete tables in the shared folder that nothing reads any more."""
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles that nothing refers to any more, and delete their files."""
     spark._jvm.System.gc()
