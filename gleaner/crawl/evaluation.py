@@ -31,7 +31,7 @@ def found_by_step(log: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (run_id, step, crawled, hits): targets among the nodes crawled up to each step."""
     y = labels.select(F.col("id").alias("node"), F.coalesce("y", F.lit(0)).alias("y"))
     w = Window.partitionBy("run_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    hits = log.join(y, "node", "left").select("run_id", "step", F.coalesce("y", F.lit(0)).alias("y"))
+    hits = log.select("run_id", "step", "node").join(y, "node", "left").select("run_id", "step", F.coalesce("y", F.lit(0)).alias("y"))
     return hits.select("run_id", "step", F.count("*").over(w).alias("crawled"), F.sum("y").over(w).cast("long").alias("hits"))
 
 
