@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import textkit as tk
-from gleaner.llm.common import discard, parts, shared_folder
+from gleaner.llm.common import discard, free_shuffles, parts, shared_folder
 
 CHUNK_BYTES = 2 << 20
 #: Where a null doc_id stands in the order: after all others.
@@ -99,6 +99,7 @@ def release(spark, name: str) -> None:
     """Delete the chunks of a table that `pack` wrote."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     discard(spark, f"{shared_folder(spark)}/{name}")
+    free_shuffles(spark)
 
 
 def each(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -163,8 +164,14 @@ def gather(rows: DataFrame, parts: int) -> DataFrame:
 KeyMaker = Callable[[Chunk], tuple[np.ndarray, np.ndarray]]
 
 
+def level(count: np.ndarray) -> np.ndarray:
+    """A count in a byte: itself below 192, and then four steps for each doubling."""
+    far = 192 + np.floor(4 * np.log2(np.maximum(count, 192) / 192)).astype(np.int64)
+    return np.where(count < 192, count, np.minimum(far, 255)).astype(np.uint8)
+
+
 def count_shared(chunks: DataFrame, keys: KeyMaker, parts: int) -> DataFrame:
-    """Rows (chunk, part, value): for each distinct key of the chunk, in order, in how many documents it is (255: or more).
+    """Rows (chunk, part, value): for each distinct key of the chunk, in order, the level() of how many documents it is in.
 
     40 bits of a key are compared within its hash range, so that a key is seldom counted with another; counts are only ever
     too high, and serve to leave out what nothing else shares.
@@ -173,11 +180,12 @@ def count_shared(chunks: DataFrame, keys: KeyMaker, parts: int) -> DataFrame:
     def send(batches):
         for c in each(batches):
             k, n = distinct(*keys(c))
-            for p, a, b in blocks(k, parts):
-                low = np.ascontiguousarray(k[a:b].view(np.uint8).reshape(-1, 8)[:, :5])
-                yield tk.batch(
-                    ["part", "chunk", "low", "n"], [pa.array([p], pa.int32()), pa.array([c.number]), pa.array([low.tobytes()], pa.binary()), pa.array([np.minimum(n[a:b], 255).astype(np.uint8).tobytes()], pa.binary())]
-                )
+            low = np.ascontiguousarray(k.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+            few = np.minimum(n, 255).astype(np.uint8).tobytes()
+            rows = [(p, low[5 * a : 5 * b], few[a:b]) for p, a, b in blocks(k, parts)]
+            if rows:
+                own, lows, counts = zip(*rows)
+                yield tk.batch(["part", "chunk", "low", "n"], [pa.array(own, pa.int32()), pa.array([c.number] * len(rows)), pa.array(lows, pa.binary()), pa.array(counts, pa.binary())])
 
     def count(batches):
         for rows in grouped(batches):
@@ -192,7 +200,7 @@ def count_shared(chunks: DataFrame, keys: KeyMaker, parts: int) -> DataFrame:
             new[1:] = s[1:] != s[:-1]
             total = np.add.reduceat(n[order], np.flatnonzero(new))
             value = np.empty(len(s), np.uint8)
-            value[order] = np.minimum(total, 255).astype(np.uint8)[np.cumsum(new) - 1]
+            value[order] = level(total)[np.cumsum(new) - 1]
             cut = np.cumsum([0] + [len(x) for x in lows])
             yield tk.batch(
                 ["chunk", "part", "value"],

@@ -1,13 +1,15 @@
-"""What all operators share: tables, the shared folder, hash-range parts, components."""
+"""What all operators share: tables, hash-range parts, folds, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators import graph
+from gleaner.session import discard, free_shuffles, materialize, shared_folder
+
+__all__ = ["bound_batches", "components", "discard", "free_shuffles", "held_out", "materialize", "parts", "reached", "shared_folder", "table"]
+
 #: Texts go to Python in Arrow batches of at most this many bytes and rows.
 ARROW_BYTES = 4 << 20
 ARROW_ROWS = 2000
@@ -25,30 +27,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, as in tests, one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete tables in the shared folder that nothing reads any more, and let Spark free unused shuffle files."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    spark._jvm.System.gc()
-
-
 def parts(spark: SparkSession) -> int:
     """Hash ranges for binary-packed keys: as many as the session's shuffle partitions, which grow with the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -64,35 +42,9 @@ def held_out(doc_id: Column) -> Column:
     return shard_of(doc_id) % 5 == 0
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges(a, b), both bigint: rows (id, component), the smallest id that each one reaches.
-
-    Alternates large-star and small-star rounds until a round changes nothing. Each round needs only
-    a minimum per node, combined before the shuffle, so a hub isn't gathered; each round is written to the
-    shared folder. Nodes without an edge aren't returned; null ends, loops and repeated edges are ignored.
-    """
-    spark = edges.sparkSession
-    now, path = materialize(
-        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-    last = None
-    for _ in range(max_rounds):
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        small = small.where("u <> v").distinct()
-        nxt, nxt_path = materialize(small, "edges")
-        mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        discard(spark, path)
-        now, path = nxt, nxt_path
-        if mark == last:
-            break
-        last = mark
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges(a, b), both bigint: rows (id, component), the smallest id that each one reaches; nodes without an edge aren't returned."""
+    return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 def reached(rows: DataFrame, links: DataFrame) -> DataFrame:

@@ -62,5 +62,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+#: The least id that each one reaches over links(a, b) both ways, of all(id).
+_REACH = """reach(id, c) AS (SELECT id, id FROM every UNION SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.id WHERE reach.c < links.b),
+comp AS (SELECT id, min(c) AS c FROM reach GROUP BY id)"""
+
+ORACLES = {
+    "op2_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+    links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.93),
+    every AS (SELECT vec_id AS id FROM embeddings), {_REACH}, n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT id AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, id = c AS kept FROM comp LEFT JOIN n ON n.a = comp.id""",
+    "op6_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) t(i) WHERE len(ws) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+    every AS (SELECT doc_id AS id FROM documents), {_REACH}
+    SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM comp LEFT JOIN n ON n.doc_id = comp.id""",
+    "op9_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+    win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM w, unnest(range(1, len(ws) - 11)) t(i)),
+    f AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+    gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM win JOIN f USING (k), range(13) r(j) WHERE m < doc_id),
+    word AS (SELECT doc_id, i AS pos, ws[i] AS word FROM w, unnest(range(1, len(ws) + 1)) t(i)),
+    kept AS (SELECT doc_id, count(*) AS n, count(gone.pos) AS r, string_agg(word, ' ' ORDER BY word.pos) FILTER (gone.pos IS NULL) AS t FROM word LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import chunks as ck
 from gleaner.llm import textkit as tk
-from gleaner.llm.common import discard, materialize, parts, shared_folder
+from gleaner.llm.common import discard, free_shuffles, materialize, parts, shared_folder
 
 WINDOW = 13
 #: A window is looked up only if the least hash among its runs of GRAM words is in another document too.
@@ -134,10 +134,15 @@ class FingerprintIndex:
                     old = np.minimum(old, merge_join(_arrays([r for r in group if r["run"] == i]), batch))
                 least = np.minimum(least, old)
                 whole = (batch[0], batch[1], least)
+                values = []
                 for r in new:
                     h, v, first = _arrays([r])
-                    value = (merge_join(whole, (h, v)) < first).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), part, pa.array([r["chunk"]]), empty, empty, empty, _blob(value)], names)
+                    values.append((merge_join(whole, (h, v)) < first).astype(np.uint8).tobytes())
+                n = len(new)
+                none = pa.nulls(n, pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([0] * n, pa.int32()), pa.array([group[0]["part"]] * n, pa.int32()), pa.array([r["chunk"] for r in new]), none, none, none, pa.array(values, pa.binary())], names
+                )
                 fresh = batch[2] < old
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([1], pa.int32()), part, pa.array([None], pa.int64()), _blob(batch[0][fresh]), _blob(batch[1][fresh]), _blob(batch[2][fresh]), empty], names
@@ -183,8 +188,10 @@ def entries_of(chunks: DataFrame, counts: DataFrame, n_parts: int) -> DataFrame:
     def send(batches):
         for c in ck.each(batches):
             e = Entries(c)
-            for p, a, b in ck.blocks(e.h, n_parts):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([c.number]), _blob(e.h[a:b]), _blob(e.v[a:b]), _blob(e.first[a:b])], ["part", "chunk", "h", "v", "first"])
+            rows = [(p, e.h[a:b].tobytes(), e.v[a:b].tobytes(), e.first[a:b].tobytes()) for p, a, b in ck.blocks(e.h, n_parts)]
+            if rows:
+                own, *blobs = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([c.number] * len(rows)), *(pa.array(x, pa.binary()) for x in blobs)], ["part", "chunk", "h", "v", "first"])
 
     return ck.answered(chunks, counts).mapInArrow(send, "part int, chunk long, h binary, v binary, first binary")
 
@@ -210,7 +217,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int
         entries = entries_of(chunks.where(F.col("batch") == b), counts, n_parts)
         found = index.add(entries)
         flags = found if flags is None else flags.union(found)
-        discard(spark)
+        free_shuffles(spark)
     index.close()
 
     def finish(batches_):

@@ -15,15 +15,15 @@ from pyspark.sql import DataFrame
 
 from gleaner.llm import chunks as ck
 from gleaner.llm import textkit as tk
-from gleaner.llm.common import discard, materialize, parts
+from gleaner.llm.common import free_shuffles, materialize, parts
 from gleaner.llm.induction import suffixes
 
 LENGTH = 50
 GRAM = 24
 #: Shards for each hash range of the counts.
 SHARDS = 3
-#: A least hash in so many documents is hot: its strings are dealt one by one, by a hash of their own.
-HOT = 100
+#: A least hash in about so many documents is hot: its strings are dealt one by one, by a hash of their own.
+HOT = 900
 
 
 class Runs:
@@ -34,9 +34,11 @@ class Runs:
         if n <= 0:
             self.start, self.count, self.least, self.doc = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
             return
-        least = tk.sliding_min(tk.rolling(c.raw, GRAM), LENGTH - GRAM + 1)
-        long = np.flatnonzero(np.diff(c.off) >= LENGTH)
-        start = np.union1d(np.flatnonzero(least[1:] != least[:-1]) + 1, c.off[long])
+        least = tk.least_rolling(c.raw, GRAM, LENGTH - GRAM + 1)
+        new = np.ones(n, bool)
+        new[1:] = least[1:] != least[:-1]
+        new[c.off[:-1][np.diff(c.off) >= LENGTH]] = True
+        start = np.flatnonzero(new)
         doc = np.searchsorted(c.off, start, "right") - 1
         stop = np.minimum(np.append(start[1:], n), c.off[doc + 1] - LENGTH + 1)
         real = stop > start
@@ -56,7 +58,8 @@ class Pieces:
         r = Runs(c)
         known = ck.distinct(r.least, r.doc)[0]
         seen = ck.values_of(c, 0)[np.searchsorted(known, r.least)] if len(known) else np.zeros(0, np.uint8)
-        warm, hot = (seen >= 2) & (seen < HOT), seen >= HOT
+        hot = seen >= ck.level(np.array([HOT]))[0]
+        warm = (seen >= 2) & ~hot
         each = np.repeat(r.start[hot], r.count[hot]) + _counting(r.count[hot])
         self.start = np.concatenate([r.start[warm], each])
         self.count = np.concatenate([r.count[warm], np.ones(len(each), np.int64)])
@@ -65,7 +68,7 @@ class Pieces:
             self.piece = self.first = self.at = self.strings = self.shard = np.zeros(0, np.int64)
             return
         end = self.start + self.count + LENGTH - 1
-        a, b = tk.spans(c.raw, self.start, end, 0), tk.spans(c.raw, self.start, end, 1)
+        a, b = tk.spans(c.raw, self.start, end, 0), tk.spans(c.raw, self.start, end, 1)  # 128 bits stand for a piece
         route = np.concatenate([tk.mix(r.least[warm]), tk.mix(a[warm.sum() :])])
         shard = ck.part_of(route, n_shards)
         ids = c.ids[self.doc]
@@ -137,42 +140,44 @@ def smallest_holders(texts: list[bytes], first: np.ndarray) -> np.ndarray:
     return out
 
 
+def sort_shard(rows: list[dict]) -> pa.RecordBatch:
+    """The answers (chunk, part, value) of one shard."""
+    place: dict[bytes, int] = {}
+    firsts: list[int] = []
+    own = []
+    for r in rows:
+        count = np.frombuffer(r["strings"], np.int32).astype(np.int64)
+        first = np.frombuffer(r["first"], np.int64)
+        ends = np.cumsum(count + LENGTH - 1)
+        data = pa.decompress(r["data"], int(ends[-1]), "zstd").to_pybytes()
+        mine = []
+        at = 0
+        for end, f in zip(ends.tolist(), first.tolist()):
+            j = place.setdefault(data[at:end], len(firsts))
+            at = end
+            if j == len(firsts):
+                firsts.append(f)
+            elif f < firsts[j]:
+                firsts[j] = f
+            mine.append(j)
+        own.append((r["chunk"], np.array(mine), count, first))
+    texts = list(place)
+    del place
+    holders = smallest_holders(texts, np.array(firsts))
+    strings = np.array([len(t) - LENGTH + 1 for t in texts])
+    base = np.cumsum(strings) - strings
+    values = []
+    for _, mine, count, first in own:
+        where = np.repeat(base[mine], count) + _counting(count)
+        values.append(np.packbits(holders[where] < np.repeat(first, count)).tobytes())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([o[0] for o in own]), pa.array([rows[0]["part"]] * len(own), pa.int32()), pa.array(values, pa.binary())], ["chunk", "part", "value"]
+    )
+
+
 def sort_shards(pieces: DataFrame, n_shards: int) -> DataFrame:
     """Rows (chunk, part, value): for each piece of the chunk in the shard, a bit a string: 1 if a smaller id than the piece's holds it."""
-
-    def run(batches):
-        for rows in ck.grouped(batches):
-            place: dict[bytes, int] = {}
-            texts: list[bytes] = []
-            firsts: list[int] = []
-            own = []
-            for r in rows:
-                strings = np.frombuffer(r["strings"], np.int32).astype(np.int64)
-                data = pa.decompress(r["data"], int((strings + LENGTH - 1).sum()), "zstd").to_pybytes()
-                first = np.frombuffer(r["first"], np.int64)
-                mine = np.empty(len(strings), np.int64)
-                at = 0
-                for i, (size, f) in enumerate(zip((strings + LENGTH - 1).tolist(), first.tolist())):
-                    t = data[at : at + size]
-                    at += size
-                    j = place.setdefault(t, len(texts))
-                    if j == len(texts):
-                        texts.append(t)
-                        firsts.append(f)
-                    elif f < firsts[j]:
-                        firsts[j] = f
-                    mine[i] = j
-                own.append((r["chunk"], mine, strings, first))
-            holders = smallest_holders(texts, np.array(firsts))
-            strings = np.array([len(t) - LENGTH + 1 for t in texts])
-            base = np.cumsum(strings) - strings
-            part = pa.array([rows[0]["part"]], pa.int32())
-            for chunk, mine, count, first in own:
-                where = np.repeat(base[mine], count) + _counting(count)
-                flag = holders[where] < np.repeat(first, count)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), part, pa.array([np.packbits(flag).tobytes()], pa.binary())], ["chunk", "part", "value"])
-
-    return ck.gather(pieces, n_shards).mapInArrow(run, "chunk long, part int, value binary")
+    return ck.gather(pieces, n_shards).mapInArrow(lambda batches: map(sort_shard, ck.grouped(batches)), "chunk long, part int, value binary")
 
 
 def pieces_of(chunks: DataFrame, counts: DataFrame, n_shards: int) -> DataFrame:
@@ -182,13 +187,17 @@ def pieces_of(chunks: DataFrame, counts: DataFrame, n_shards: int) -> DataFrame:
         for c in ck.each(batches):
             p = Pieces(c, n_shards)
             cut = np.searchsorted(p.shard, np.arange(n_shards + 1))
+            size = p.strings + LENGTH - 1
+            data = c.raw[np.repeat(p.at, size) + _counting(size)].tobytes()
+            ends = np.append(0, np.cumsum(size))
+            strings, rows = p.strings.astype(np.int32), []
             for shard in np.flatnonzero(np.diff(cut)).tolist():
                 a, b = cut[shard], cut[shard + 1]
-                size = p.strings[a:b] + LENGTH - 1
-                data = c.raw[np.repeat(p.at[a:b], size) + _counting(size)]
-                blob = lambda x: pa.array([x.tobytes()], pa.binary())
+                rows.append((shard, strings[a:b].tobytes(), p.first[a:b].tobytes(), pa.compress(data[ends[a] : ends[b]], "zstd", asbytes=True)))
+            if rows:
+                shards, *blobs = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int32()), pa.array([c.number]), blob(p.strings[a:b].astype(np.int32)), blob(p.first[a:b]), pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary())], ["part", "chunk", "strings", "first", "data"]
+                    [pa.array(shards, pa.int32()), pa.array([c.number] * len(rows)), *(pa.array(x, pa.binary()) for x in blobs)], ["part", "chunk", "strings", "first", "data"]
                 )
 
     return ck.answered(chunks, counts).mapInArrow(send, "part int, chunk long, strings binary, first binary, data binary")
@@ -225,9 +234,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: b
     n_shards = SHARDS * n_parts
     chunks, _ = ck.pack(docs, key, text, carry=carry)
     counts, _ = materialize(ck.count_shared(chunks, run_keys, n_parts), "counts")
-    discard(spark)  # frees the shuffle of the counts
+    free_shuffles(spark)
     bits, _ = materialize(sort_shards(pieces_of(chunks, counts, n_shards), n_shards), "bits")
-    discard(spark)
+    free_shuffles(spark)
 
     def finish(batches):
         for c in ck.each(batches):

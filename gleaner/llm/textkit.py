@@ -92,10 +92,21 @@ class Words:
         return spans(self.raw if raw is None else raw, self.start, self.end, family)
 
 
+def _totals(raw: np.ndarray, family: int, block: int = 1 << 15) -> np.ndarray:
+    """Sums of value * base**position before each position, made in blocks that stay in a core's cache."""
+    total = np.zeros(len(raw) + 1, _U)
+    base, value = powers(_BASE, len(raw)), _BYTE_VALUE[family]
+    for a in range(0, len(raw), block):
+        part = value[raw[a : a + block]]
+        part *= base[a : a + block]
+        part[:1] += total[a : a + 1]
+        np.cumsum(part, out=total[a + 1 : a + 1 + len(part)])
+    return total
+
+
 def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
     """A 64-bit hash of raw[start:end] for each pair."""
-    total = np.zeros(len(raw) + 1, _U)
-    np.cumsum(_BYTE_VALUE[family][raw] * powers(_BASE, len(raw)), out=total[1:])
+    total = _totals(raw, family)
     value = (total[end] - total[start]) * powers(_BASE_INV, len(raw) + 1)[start]
     return mix(value + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
@@ -109,6 +120,18 @@ def rolling(raw: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def least_rolling(raw: np.ndarray, k: int, w: int, block: int = 1 << 16) -> np.ndarray:
+    """sliding_min(rolling(raw, k), w), made in blocks that stay in a core's cache."""
+    n = len(raw) - k - w + 2
+    if n <= 0:
+        return np.zeros(0, _U)
+    out = np.empty(n, _U)
+    for a in range(0, n, block):
+        b = min(n, a + block)
+        out[a:b] = sliding_min(rolling(raw[a : b + k + w - 2], k), w)
+    return out
+
+
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
     upper = (raw >= 65) & (raw <= 90)
     return raw + (upper.astype(np.uint8) << 5)
