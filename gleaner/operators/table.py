@@ -126,6 +126,13 @@ def random_rows(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(k)
 
 
+def cumulative(df: DataFrame, value: str) -> DataFrame:
+    """Rows (value, at_most, at_least): how many rows have a value up to, and from, each one; the windows run over distinct values only."""
+    n = df.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    up, down = Window.orderBy("value"), Window.orderBy(F.desc("value"))
+    return n.select("value", F.sum("n").over(up).alias("at_most"), F.sum("n").over(down).alias("at_least"))
+
+
 def next_k(df: DataFrame, k: int, group: Sequence[str], order: Sequence[str], key: str) -> DataFrame:
     """Pairs (key, next_key, step) of each row with its next k rows in its group: leads of one sort, no self-join."""
     w = Window.partitionBy(*group).orderBy(*order)

@@ -15,6 +15,7 @@ from gleaner.crawl import run as crawl
 from gleaner.functions import columns as fn
 from gleaner.operators import features as ft
 from gleaner.operators import graph as g
+from gleaner.operators import networks as nw
 from gleaner.operators import table as tb
 from gleaner.operators import windows as wd
 from gleaner.plans import views
@@ -324,7 +325,12 @@ def tbl_cascade_edges(spark, sf):
     return wd.cascade_edges(views.event_intervals(spark, sf), "id", "source", "target", "start", F.lit(3600), 86400)
 
 
-@_query()
+@_query(
+    "WITH RECURSIVE"
+    + _EV[4:]
+    + """, c AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.target = b.source AND b.start >= a.start + 3600 AND b.start - a.start - 3600 <= 86400 AND a.id <> b.id WHERE a.id % 10 = 0 AND b.id % 10 = 0),
+    r(root, event) AS (SELECT DISTINCT a, a FROM c WHERE a NOT IN (SELECT b FROM c) UNION SELECT root, b FROM r JOIN c ON c.a = r.event) SELECT root, event FROM r"""
+)
 def tbl_cascades(spark, sf):
     return wd.cascades(wd.cascade_edges(views.event_intervals(spark, sf).where("id % 10 = 0"), "id", "source", "target", "start", F.lit(3600), 86400))
 
@@ -412,7 +418,10 @@ def g_components(spark, sf):
     return g.components(views.customer_graph(spark, sf))
 
 
-@_query()
+_COMP = "r(id, c) AS (SELECT src, src FROM adj UNION SELECT adj.dst, r.c FROM r JOIN adj ON adj.src = r.id WHERE r.c < adj.dst), comp AS (SELECT id, min(c) AS c FROM r GROUP BY id), size AS (SELECT c, count(*) AS n FROM comp GROUP BY c)"
+
+
+@_query(f"WITH RECURSIVE {_CUST}, {_COMP} SELECT src, dst FROM edges WHERE src IN (SELECT id FROM comp WHERE c = (SELECT c FROM size ORDER BY n DESC, c LIMIT 1))")
 def g_giant_component(spark, sf):
     return g.giant_component(views.customer_graph(spark, sf))
 
@@ -450,10 +459,15 @@ def g_hops(spark, sf):
     return g.hops(views.customer_graph(spark, sf), spark.range(9, 10), depth=4)
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {_CUST}, r(source, id, hop) AS (SELECT i, i, 0 FROM (VALUES (CAST(9 AS BIGINT)), (10), (11)) v(i) UNION SELECT source, adj.dst, hop + 1 FROM r JOIN adj ON adj.src = r.id WHERE hop < 40),
+    h AS (SELECT source, id, min(hop) AS hop FROM r GROUP BY ALL), n AS (SELECT count(DISTINCT src) AS n FROM adj), m AS (SELECT source, count(*) AS reached, sum(hop) AS s, max(hop) AS eccentricity FROM h GROUP BY 1)
+    SELECT source, reached, round(s / CAST(reached - 1 AS DOUBLE), 6) AS farness, round((reached - 1) / CAST(s AS DOUBLE), 6) AS closeness, round((reached - 1) / (CAST(s AS DOUBLE) * (n - 1) / (reached - 1)), 6) AS closeness_normalized, eccentricity FROM m, n"""
+)
 def g_ecc_close(spark, sf):
     e = views.customer_graph(spark, sf)
-    return g.distance_measures(g.hops(e, spark.range(9, 12)), g.nodes_of(e).count())
+    m = g.distance_measures(g.hops(e, spark.range(9, 12)), g.nodes_of(e).count())
+    return m.select("source", "reached", _r("farness"), _r("closeness"), _r("closeness_normalized"), "eccentricity")
 
 
 @_query()
@@ -527,9 +541,14 @@ def g_strong_components(spark, sf):
     return g.strong_components(views.event_intervals(spark, sf).where("id % 20 = 0").select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct())
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {_CUST}, deg AS (SELECT src AS id, count(*) AS d FROM adj GROUP BY src){_TRI}, {_COMP}
+    SELECT count(*) AS nodes, CAST(sum(d) // 2 AS BIGINT) AS edges, max(d) AS max_degree, round(avg(d), 6) AS mean_degree, round(avg(cc), 6) AS mean_clustering, CAST(sum(t) // 3 AS BIGINT) AS triangles,
+    CAST(sum(d * (d - 1) // 2) AS BIGINT) AS wedges, (SELECT count(*) FROM size) AS components, (SELECT max(n) FROM size) AS largest_component FROM cc"""
+)
 def g_statistics(spark, sf):
-    return g.graph_statistics(views.customer_graph(spark, sf))
+    out = g.graph_statistics(views.customer_graph(spark, sf))
+    return out.select("nodes", "edges", "max_degree", _r("mean_degree"), _r("mean_clustering"), "triangles", "wedges", "components", "largest_component")
 
 
 @_query()
@@ -776,3 +795,137 @@ def u_domain(spark, sf):
 @_query("SELECT page_id, CAST(len(list_filter(string_split_regex(lower(url), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS BIGINT) AS words FROM pages")
 def u_words(spark, sf):
     return table(spark, sf, "pages").select("page_id", fn.count_words(F.col("url")).cast("long").alias("words"))
+
+
+@_query()
+def u_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", fn.without_tags(F.col("html")).alias("text"), fn.normalized_url(F.col("url")).alias("url"))
+
+
+@_query()
+def tbl_weighted_sample(spark, sf):
+    return tb.weighted_sample(table(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "p_partkey", 25, 3)
+
+
+@_query()
+def tbl_random_rows(spark, sf):
+    return tb.random_rows(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", 25, 3)
+
+
+@_query("SELECT p_size AS value, CAST(sum(n) OVER (ORDER BY p_size) AS BIGINT) AS at_most, CAST(sum(n) OVER (ORDER BY p_size DESC) AS BIGINT) AS at_least FROM (SELECT p_size, count(*) AS n FROM part GROUP BY 1)")
+def tbl_cumulative(spark, sf):
+    return tb.cumulative(table(spark, sf, "part"), "p_size")
+
+
+# More graphs
+
+
+@_query(f"WITH {_COP} SELECT id, CAST(d * (d - 1) // 2 AS BIGINT) AS paths FROM deg")
+def g_two_paths(spark, sf):
+    return nw.two_paths(views.copurchase(spark, sf, 2))
+
+
+@_query(f"WITH {_COP}{_TRI} SELECT t AS triangles, count(*) AS nodes FROM cc GROUP BY 1")
+def g_triad_participation(spark, sf):
+    return nw.triad_participation(views.copurchase(spark, sf, 2))
+
+
+@_query(
+    f"WITH {_COP}, o AS (SELECT DISTINCT dst AS id FROM adj WHERE src % 10 = 0 AND dst % 10 <> 0) SELECT round((SELECT count(*) FROM o) / CAST((SELECT count(*) FROM deg WHERE id % 10 <> 0) AS DOUBLE), 6) AS centrality"
+)
+def g_group_degree(spark, sf):
+    group = table(spark, sf, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"))
+    return nw.group_degree_centrality(views.copurchase(spark, sf, 2), group).select(_r("centrality"))
+
+
+@_query(f"WITH {_COP} SELECT id, round(d / CAST((SELECT count(*) - 1 FROM deg) AS DOUBLE), 6) AS centrality FROM deg")
+def g_degree_centrality(spark, sf):
+    return g.degree_centrality(views.copurchase(spark, sf, 2)).select("id", _r("centrality"))
+
+
+def _timed(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select(F.col("user_id").alias("src"), (F.get_json_object("props", "$.k").cast("long") % 150).alias("dst"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@_query("SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS bucket, count(*) AS edges FROM events GROUP BY 1")
+def g_time_buckets(spark, sf):
+    return nw.time_buckets(_timed(spark, sf)).select(F.unix_timestamp("bucket").alias("bucket"), "edges")
+
+
+@_query(
+    """WITH e AS (SELECT user_id AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) % 150 AS dst, ts FROM events), n AS (SELECT id, min(ts) AS ts FROM (SELECT src AS id, ts FROM e UNION ALL SELECT dst, ts FROM e) GROUP BY 1),
+    p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(ts) AS ts FROM e GROUP BY 1, 2), x AS (SELECT date_trunc('day', ts) AS d, count(*) AS nodes FROM n GROUP BY 1), y AS (SELECT date_trunc('day', ts) AS d, count(*) AS edges FROM p GROUP BY 1)
+    SELECT CAST(epoch(d) AS BIGINT) AS bucket, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges FROM x FULL JOIN y USING (d)"""
+)
+def g_growth(spark, sf):
+    return nw.growth(_timed(spark, sf)).select(F.unix_timestamp("bucket").alias("bucket"), "nodes", "edges")
+
+
+@_query()
+def g_bridges(spark, sf):
+    return nw.bridges(views.customer_graph(spark, sf))
+
+
+@_query()
+def g_articulation_points(spark, sf):
+    return nw.articulation_points(views.customer_graph(spark, sf))
+
+
+@_query()
+def g_personal_ranks(spark, sf):
+    e = views.customer_graph(spark, sf)
+    arcs = g.both_ways(e).withColumn("weight", F.lit(1.0) + F.col("src") % 3)
+    return nw.weighted_page_rank(arcs, g.nodes_of(e), spark.range(9, 12), rounds=5).select("id", _r("rank", 9))
+
+
+@_query()
+def g_weighted_distances(spark, sf):
+    arcs = g.both_ways(views.customer_graph(spark, sf)).withColumn("weight", 1.0 + (F.col("src") + F.col("dst")) % 4)
+    return g.weighted_distances(arcs, spark.range(9, 10))
+
+
+@_query()
+def g_core_periphery(spark, sf):
+    return nw.core_periphery(views.copurchase(spark, sf, 2))
+
+
+@_query()
+def g_kcore_sizes(spark, sf):
+    return g.k_core_sizes(views.customer_graph(spark, sf), 3)
+
+
+@_query(
+    f"WITH RECURSIVE {_CUST}, r(id, hop) AS (SELECT CAST(9 AS BIGINT), 0 UNION SELECT adj.dst, hop + 1 FROM r JOIN adj ON adj.src = r.id WHERE hop < 40), h AS (SELECT id, min(hop) AS hop FROM r GROUP BY id) SELECT CAST(9 AS BIGINT) AS seed, step, node FROM (SELECT row_number() OVER (ORDER BY hop, id) AS step, id AS node FROM h) WHERE step <= 50"
+)
+def c_levels(spark, sf):
+    return crawl.crawl_levels(views.customer_graph(spark, sf), spark.range(9, 10), 50).withColumn("step", F.col("step").cast("long"))
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS src, i AS dst FROM range(1, 30) t(i)")
+def gen_star(spark, sf):
+    return g.star(spark, 30)
+
+
+@_query("SELECT least(i, (i + 1) % 30) AS src, greatest(i, (i + 1) % 30) AS dst FROM range(30) t(i)")
+def gen_circle(spark, sf):
+    return g.circle(spark, 30)
+
+
+@_query("SELECT a.i AS src, b.i AS dst FROM range(12) a(i), range(12) b(i) WHERE a.i < b.i")
+def gen_complete(spark, sf):
+    return g.complete(spark, 12)
+
+
+@_query(
+    _EV + ", b AS (SELECT *, (start - (SELECT min(start) FROM e)) // 604800 AS w FROM e) SELECT w AS bucket, source AS node, count(*) AS n FROM b WHERE w < 3 GROUP BY ALL"
+)
+def tbl_windowed_out_degree(spark, sf):
+    e = wd.split_windows(views.event_intervals(spark, sf), "start", 604800, 604800).where("bucket < 3")
+    return e.groupBy("bucket", F.col("source").alias("node")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT user_id AS id, min(value) AS low, max_by(event_type, event_id) AS kind FROM (SELECT user_id, value, event_type, event_id FROM events) GROUP BY 1")
+def g_network_nodes(spark, sf):
+    e = table(spark, sf, "events").withColumn("same", F.col("user_id"))
+    return g.network(e, "user_id", "same", ["event_id"], {"low": ("min", "value"), "kind": ("last", "event_type")}, "event_id")[1]
