@@ -449,9 +449,9 @@ def _kcore_sql(k: int, rounds: int) -> str:
     return f"WITH {_CUST}, {', '.join(steps)} SELECT src, dst FROM e{rounds}"
 
 
-@_query(_kcore_sql(3, 12))
+@_query(_kcore_sql(2, 16))
 def g_kcore(spark, sf):
-    return g.k_core(views.customer_graph(spark, sf), 3)
+    return g.k_core(views.customer_graph(spark, sf), 2)
 
 
 @_query(f"WITH RECURSIVE {_CUST}, r(id, hop) AS (SELECT CAST(9 AS BIGINT), 0 UNION SELECT adj.dst, hop + 1 FROM r JOIN adj ON adj.src = r.id WHERE hop < 4) SELECT CAST(9 AS BIGINT) AS source, id, min(hop) AS hop FROM r GROUP BY id")
