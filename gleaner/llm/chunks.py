@@ -87,7 +87,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", batch=None, s
         for b in list(held):
             yield flush(b)
 
-    packed = rows.mapInArrow(run, "batch int, ids binary, known binary, off binary, data binary, row binary").withColumn("chunk", F.monotonically_increasing_id())
+    packed = rows.mapInArrow(tk.lean(run), "batch int, ids binary, known binary, off binary, data binary, row binary").withColumn("chunk", F.monotonically_increasing_id())
     spark = docs.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
@@ -207,8 +207,8 @@ def count_shared(chunks: DataFrame, keys: KeyMaker, parts: int) -> DataFrame:
                 [pa.array([r["chunk"] for r in rows]), pa.array([r["part"] for r in rows], pa.int32()), pa.array([value[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())],
             )
 
-    sent = chunks.mapInArrow(send, "part int, chunk long, low binary, n binary")
-    return gather(sent, parts).mapInArrow(count, "chunk long, part int, value binary")
+    sent = chunks.mapInArrow(tk.lean(send), "part int, chunk long, low binary, n binary")
+    return gather(sent, parts).mapInArrow(tk.lean(count), "chunk long, part int, value binary")
 
 
 def answered(chunks: DataFrame, *values: DataFrame) -> DataFrame:

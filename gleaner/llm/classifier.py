@@ -100,7 +100,7 @@ def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(cut, pa.array(x.astype(np.float32).ravel()))], ["key", "stats"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, stats array<float>").withColumnRenamed("key", key)
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(tk.lean(run), f"key {kind}, stats array<float>").withColumnRenamed("key", key)
 
 
 @dataclass
@@ -147,7 +147,7 @@ def _summed(rows: DataFrame, make, size: int, fan: int = 16) -> np.ndarray:
                 total += np.frombuffer(v)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    got = rows.mapInArrow(part, "v binary").repartition(fan).mapInArrow(add, "v binary").collect()
+    got = rows.mapInArrow(tk.lean(part), "v binary").repartition(fan).mapInArrow(tk.lean(add), "v binary").collect()
     return sum((np.frombuffer(r["v"]) for r in got), np.zeros(size))
 
 
@@ -210,7 +210,7 @@ def score(stats: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sent.value.score(_matrix(b.column("stats"), len(STATISTICS))))], ["key", "score"])
 
     kind = stats.schema[key].dataType.simpleString()
-    return stats.select(stats[key].alias("key"), "stats").mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return stats.select(stats[key].alias("key"), "stats").mapInArrow(tk.lean(run), f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def classify(docs: DataFrame, labels: DataFrame, fold, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:

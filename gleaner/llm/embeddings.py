@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import discard, materialize, parts, reached
+from gleaner.llm import textkit as tk
 from gleaner.llm.chunks import grouped
+from gleaner.llm.common import discard, materialize, parts, reached
 
 COSINE = 0.93
 #: Vectors of a tree; a label with more is split into blocks, and each pair of blocks is a unit of work.
@@ -182,7 +183,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             some = np.flatnonzero((count > 0) | (root != np.arange(len(root))))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]]), pa.array(count[some])], ["a", "b", "n"])
 
-    found = dealt.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, n long")
+    found = dealt.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(tk.lean(run), "a long, b long, n long")
     found, found_path = materialize(found, "links")
     counts = found.groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("rep"), "n")
     links = found.where("a <> b").select("a", "b").union(live.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))

@@ -74,7 +74,7 @@ def survivors(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
             for a in range(0, n, 256):
                 yield whole.slice(a, 256)
 
-    found = ck.answered(chunks, counts).mapInArrow(send, "key long, n_shingles long, sign binary, keys binary, counts binary")
+    found = ck.answered(chunks, counts).mapInArrow(tk.lean(send), "key long, n_shingles long, sign binary, keys binary, counts binary")
     out = materialize(found.withColumn("node", F.monotonically_increasing_id()), "sets")
     ck.release(docs.sparkSession, packed)
     discard(docs.sparkSession, counts_path)
@@ -98,7 +98,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes))], ["gram", "node"])
 
-    return sets.select("node", "n_shingles", "keys", "counts").mapInArrow(run, "gram long, node long")
+    return sets.select("node", "n_shingles", "keys", "counts").mapInArrow(tk.lean(run), "gram long, node long")
 
 
 def linked(a: list[np.ndarray], size_a: np.ndarray, b: list[np.ndarray], size_b: np.ndarray) -> np.ndarray:
@@ -175,7 +175,7 @@ def block_links(rows: DataFrame, n_parts: int) -> DataFrame:
             real = x != y
             yield pa.RecordBatch.from_arrays([pa.array(x[real]), pa.array(y[real])], ["a", "b"])
 
-    return dealt.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    return dealt.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(tk.lean(run), "a long, b long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -128,7 +128,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", max_languages
             at = np.flatnonzero(own)
             yield tk.batch(["lang", "slot", "n"], [pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])])
 
-    counts, path = materialize(rows.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "grams")
+    counts, path = materialize(rows.mapInArrow(tk.lean(count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "grams")
     top = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
     table = np.zeros((len(top), (1 << GRAM_BITS) + len(SCRIPT_NAMES)))
     for r in counts.where(F.col("lang").isin(top)).toLocalIterator() if top else []:
@@ -240,4 +240,4 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), *([F.struct(*(docs[c] for c in carry)).alias("row")] if carry else []))
     if carry:
         schema += ", row " + docs.select(*carry).schema.simpleString()
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(tk.lean(run), schema).withColumnRenamed("key", key)

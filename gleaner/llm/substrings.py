@@ -148,7 +148,7 @@ class FingerprintIndex:
                     [pa.array([1], pa.int32()), part, pa.array([None], pa.int64()), _blob(batch[0][fresh]), _blob(batch[1][fresh]), _blob(batch[2][fresh]), empty], names
                 )
 
-        merged = ck.gather(rows, self.n_parts).mapInArrow(merge, "kind int, part int, chunk long, h binary, v binary, first binary, value binary")
+        merged = ck.gather(rows, self.n_parts).mapInArrow(tk.lean(merge), "kind int, part int, chunk long, h binary, v binary, first binary, value binary")
         path = f"{shared_folder(self.spark)}/run-{id(self)}-{len(self.runs)}-{hashlib.sha1(repr(merged).encode() + np.random.bytes(8)).hexdigest()[:16]}"
         merged.write.option("compression", "zstd").partitionBy("kind").parquet(path)
         both = self.spark.read.schema(merged.drop("kind").schema)
@@ -173,7 +173,7 @@ class FingerprintIndex:
         rows = self.runs[0][0].select("part", "h", "v", "first")
         for run, _ in self.runs[1:]:
             rows = rows.union(run.select("part", "h", "v", "first"))
-        merged = materialize(ck.gather(rows, self.n_parts).mapInArrow(merge, _ENTRY), "run")
+        merged = materialize(ck.gather(rows, self.n_parts).mapInArrow(tk.lean(merge), _ENTRY), "run")
         discard(self.spark, *(p for _, p in self.runs))
         self.runs = [merged]
 
@@ -193,7 +193,7 @@ def entries_of(chunks: DataFrame, counts: DataFrame, n_parts: int) -> DataFrame:
                 own, *blobs = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([c.number] * len(rows)), *(pa.array(x, pa.binary()) for x in blobs)], ["part", "chunk", "h", "v", "first"])
 
-    return ck.answered(chunks, counts).mapInArrow(send, "part int, chunk long, h binary, v binary, first binary")
+    return ck.answered(chunks, counts).mapInArrow(tk.lean(send), "part int, chunk long, h binary, v binary, first binary")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES, keep_text: bool = True) -> DataFrame:
@@ -244,7 +244,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "key long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, removed array<struct<start:long,end:long>>" * keep_text
-    return ck.answered(chunks, counts, flags).mapInArrow(finish, schema).withColumnRenamed("key", key)
+    return ck.answered(chunks, counts, flags).mapInArrow(tk.lean(finish), schema).withColumnRenamed("key", key)
 
 
 def _spans(gone: np.ndarray, w: tk.Words) -> pa.Array:

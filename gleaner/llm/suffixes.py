@@ -177,7 +177,7 @@ def sort_shard(rows: list[dict]) -> pa.RecordBatch:
 
 def sort_shards(pieces: DataFrame, n_shards: int) -> DataFrame:
     """Rows (chunk, part, value): for each piece of the chunk in the shard, a bit a string: 1 if a smaller id than the piece's holds it."""
-    return ck.gather(pieces, n_shards).mapInArrow(lambda batches: map(sort_shard, ck.grouped(batches)), "chunk long, part int, value binary")
+    return ck.gather(pieces, n_shards).mapInArrow(tk.lean(lambda batches: map(sort_shard, ck.grouped(batches))), "chunk long, part int, value binary")
 
 
 def pieces_of(chunks: DataFrame, counts: DataFrame, n_shards: int) -> DataFrame:
@@ -200,7 +200,7 @@ def pieces_of(chunks: DataFrame, counts: DataFrame, n_shards: int) -> DataFrame:
                     [pa.array(shards, pa.int32()), pa.array([c.number] * len(rows)), *(pa.array(x, pa.binary()) for x in blobs)], ["part", "chunk", "strings", "first", "data"]
                 )
 
-    return ck.answered(chunks, counts).mapInArrow(send, "part int, chunk long, strings binary, first binary, data binary")
+    return ck.answered(chunks, counts).mapInArrow(tk.lean(send), "part int, chunk long, strings binary, first binary, data binary")
 
 
 def removed_bytes(c: ck.Chunk, n_shards: int) -> np.ndarray:
@@ -264,5 +264,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: b
     schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, removed array<struct<start:long,end:long>>" * keep_text
     if carry:
         schema += ", row " + docs.select(*carry).schema.simpleString()
-    found = ck.answered(chunks, counts, bits).mapInArrow(finish, schema)
+    found = ck.answered(chunks, counts, bits).mapInArrow(tk.lean(finish), schema)
     return found.withColumnRenamed("key", key) if key != "key" else found
