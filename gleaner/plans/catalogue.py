@@ -69,9 +69,9 @@ def tbl_filter_const(spark, sf):
     return tb.select_constant(table(spark, sf, "customer"), "c_acctbal", "LTE", 1000.5).select("c_custkey", "c_acctbal")
 
 
-@_query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, '1')")
+@_query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'bolt')")
 def tbl_filter_substring(spark, sf):
-    return tb.select_constant(table(spark, sf, "part"), "p_name", "SUPERSTR", "1").select("p_partkey", "p_name")
+    return tb.select_constant(table(spark, sf, "part"), "p_name", "SUPERSTR", "bolt").select("p_partkey", "p_name")
 
 
 @_query("SELECT c_custkey, CASE WHEN c_acctbal > 5000 OR c_mktsegment = 'BUILDING' THEN 1 ELSE -1 END AS label FROM customer")
