@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.llm import chunks as ck
 from gleaner.llm import textkit as tk
-from gleaner.llm.common import discard, materialize
+from gleaner.llm.common import discard, materialize, parts
 
-#: Symbols of the model's alphabet take 6 bits: a-z, blank, digit, punctuation, other, and classes of bytes above 127.
-BITS = 6
-ORDER = 4
-#: Languages with a model of their own; the rest share one. Each model has at most 64**4 n-grams, whatever the input.
-MAX_LANGUAGES = 32
+#: The model's symbols are bytes as they are. An n-gram is a number of ORDER bytes, newest lowest; a text follows blanks.
+BITS = 8
+ORDER = 5
+BLANK = 32
+#: Stands for null, which is a language of its own.
 REST = "\x00rest"
+#: Bytes of text whose distinct n-grams are looked up at once.
+CHUNK_BYTES = 4 << 20
 #: A document is kept while its log perplexity is this close to its language's median, in units of the language's robust spread.
 BAND = 8.0
 #: Texts of n characters vary by about 1/sqrt(n) more.
@@ -27,15 +30,6 @@ PERPLEXITY_STEP = 0.005
 REPEAT_WINDOW = 5
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
-#: Symbol of each byte.
-_CODE = np.full(256, 29, np.uint8)
-for _i in range(26):
-    _CODE[97 + _i] = _CODE[65 + _i] = _i
-_CODE[list(tk.SPACES)] = 26
-_CODE[48:58] = 27
-_CODE[list(b".,;:!?'\"()-")] = 28
-_CODE[128:] = 30 + np.arange(128) % 34
-
 
 def text_counts(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """For each text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
@@ -66,77 +60,73 @@ def text_counts(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each byte, packed into an integer, newest symbol lowest, and whether it lies in one text."""
-    code = _CODE[raw].astype(np.int32)
-    key = np.zeros(len(code), np.int32)
+    """The n-gram that ends at each byte, packed into an integer, newest symbol lowest, and whether it lies in one text; what is before a text counts as blanks."""
+    code = raw.astype(np.int64)
+    key = np.zeros(len(code), np.int64)
     for j in range(ORDER):
-        part = np.full(len(code), 26, np.int32)
+        part = np.full(len(code), BLANK, np.int64)
         part[j:] = code[: len(code) - j] if j else code
         key |= part << (BITS * j)
     whole = np.ones(len(code), bool)
     for j in range(ORDER - 1):
         at = off[:-1] + j
-        whole[at[at < off[1:]]] = False
+        at = at[at < off[1:]]
+        whole[at] = False
+        key[at] = (key[at] & ((1 << (BITS * (j + 1))) - 1)) | sum(BLANK << (BITS * q) for q in range(j + 1, ORDER))
     return key, whole
 
 
 @dataclass
 class KneserNey:
-    """Per language, for each order: sorted hash arrays of n-grams with discounted shares, and of contexts with back-off weights."""
+    """Tables in the shared folder, for each order: n-grams (lang, gram, p) with their probability, and contexts (lang, context, back) with back-off weights."""
+
+    tables: list[tuple[DataFrame, DataFrame]]
+    paths: list[str]
 
-    languages: list[str]
-    tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+    @property
+    def languages(self) -> list[str]:
+        return sorted(r["lang"] for r in self.tables[0][0].select("lang").distinct().collect())
 
     def log_prob(self, lang: int, key: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each n-gram's last symbol after the ones before it."""
-        p = np.full(len(key), 1.0 / (1 << BITS))
-        for order, (grams_, share, contexts, back) in enumerate(self.tables[lang], 1):
-            # keys hold the newest symbol lowest, so the suffix of `order` symbols is the low bits
+        """Natural log of the probability of each n-gram's last symbol after the ones before it; a look at single n-grams, seen or not."""
+        name, rows = self.languages[lang], None
+        key = np.asarray(key, np.int64)
+        for order, (seen, contexts) in enumerate(self.tables, 1):
+            low = key & ((1 << (BITS * order)) - 1)
+            for kind, table, column, value, wanted in ((0, seen, "gram", "p", low), (1, contexts, "context", "back", low >> BITS)):
+                own = table.where((F.col("lang") == name) & F.col(column).isin(np.unique(wanted).tolist())).select(F.lit(order).alias("o"), F.lit(kind).alias("kind"), F.col(column).alias("k"), F.col(value).alias("v"))
+                rows = own if rows is None else rows.union(own)
+        found = {(r["o"], r["kind"], r["k"]): r["v"] for r in rows.collect()}
+        out = np.full(len(key), 1.0 / (1 << BITS))
+        for order in range(1, ORDER + 1):
             low = key & ((1 << (BITS * order)) - 1)
-            context = low >> BITS
-            p = _look(grams_, share, low, 0.0) + _look(contexts, back, context, 1.0) * p
-        return np.log(np.maximum(p, 1e-12))
+            back = np.array([found.get((order, 1, k), 1.0) for k in (low >> BITS).tolist()])
+            out = np.array([found.get((order, 0, k), p) for k, p in zip(low.tolist(), (back * out).tolist())])
+        return np.log(np.maximum(out, 1e-12))
 
 
-def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), default)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], default)
-
-
-def smooth(keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The tables of one language from its n-grams of the highest order: modified Kneser-Ney with three discounts an order."""
-    levels = [(keys, counts)]
-    for order in range(ORDER - 1, 0, -1):
-        # a shorter n-gram counts once for each symbol seen before it
-        short = levels[0][0] & ((1 << (BITS * order)) - 1)
-        levels.insert(0, np.unique(short, return_counts=True))
-    out = []
-    for k, c in levels:
-        n = [max(int((c == i).sum()), 1) for i in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        d = np.array([0.0] + [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.0), i - 0.0) for i in (1, 2, 3)])
-        d = np.minimum(d, [0, 0.95, 1.9, 2.85])
-        off = d[np.minimum(c, 3)]
-        order = np.argsort(k, kind="stable")
-        k, c, off = k[order], c[order].astype(float), off[order]
-        context, at = np.unique(k >> BITS, return_inverse=True)
-        total = np.bincount(at, c, minlength=len(context))
-        lost = np.bincount(at, off, minlength=len(context))
-        out.append((k, (c - off) / total[at], context, lost / total))
-    return out
+def _smoothed(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of n-grams (lang, gram, n) of one order: (lang, gram, context, share) and (lang, context, back), by three discounts a language."""
+    seen = level.groupBy("lang").agg(*(F.greatest(F.sum((F.col("n") == i).cast("long")), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    d = [F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.0)), F.lit(0.95 * i)) for i in (1, 2, 3)]
+    seen = seen.select("lang", *(x.alias(f"d{i}") for i, x in enumerate(d, 1)))
+    lost = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    rows = level.join(F.broadcast(seen), "lang").select("lang", "gram", F.shiftright("gram", BITS).alias("context"), "n", lost.alias("lost"))
+    sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("lost").alias("gone"))
+    shares = rows.join(sums, ["lang", "context"]).select("lang", "gram", "context", ((F.col("n") - F.col("lost")) / F.col("total")).alias("share"))
+    return shares, sums.select("lang", "context", (F.col("gone") / F.col("total")).alias("back"))
 
 
 def _language(lang: str) -> F.Column:
     return F.coalesce(F.col(lang), F.lit(REST))
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text", max_languages: int = MAX_LANGUAGES) -> KneserNey:
-    """Count the n-grams of every document, language by language, and smooth them.
+def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> KneserNey:
+    """Count the n-grams of every document, language by language, and smooth them (modified Kneser-Ney).
 
-    A task sums its own counts before the shuffle. The counts of a language number at most 64**ORDER however large the
-    input, which bounds the model that is broadcast. Null and rare languages share one model; without documents the model is uniform.
+    A task sums its own counts before the shuffle. All tables are written to the shared folder and joined; they grow with the n-grams
+    that the input has, and none comes to the driver. Every language has a model of its own, null too. Discounts (a row a language) are broadcast.
     """
 
     def count(batches):
@@ -144,75 +134,195 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", max_languages
         waiting: dict[str, list] = {}
 
         def merge(name):
-            parts = waiting.pop(name)
+            parts_ = waiting.pop(name)
             if name in total:
-                parts.append(total[name])
-            k, c = (np.concatenate(x) for x in zip(*parts))
+                parts_.append(total[name])
+            k, c = (np.concatenate(x) for x in zip(*parts_))
             k, at = np.unique(k, return_inverse=True)
             total[name] = k, np.bincount(at, c).astype(np.int64)
 
+        def flush():
+            for name in list(waiting):
+                merge(name)
+            for name, (k, c) in total.items():
+                for a in range(0, len(k), 1 << 16):
+                    own = k[a : a + (1 << 16)]
+                    yield tk.batch(["lang", "gram", "n"], [pa.array([name] * len(own), pa.string()), pa.array(own), pa.array(c[a : a + (1 << 16)])])
+            total.clear()
+
         for part in tk.slices(batches):
             raw, off = tk.bytes_of(part.column("text"))
-            key, whole = grams(raw, off)
+            key, _ = grams(raw, off)
             names = np.array(part.column("lang").to_pylist(), object)
             of_byte = np.repeat(np.arange(len(names)), np.diff(off))
             for name in set(names):
-                mine = whole & (names == name)[of_byte]
+                mine = (names == name)[of_byte]
                 waiting.setdefault(name, []).append(np.unique(key[mine], return_counts=True))
                 if len(waiting[name]) >= 16:
                     merge(name)
-        for name in list(waiting):
-            merge(name)
-        for name, (k, c) in total.items():
-            for a in range(0, len(k), 1 << 16):
-                yield tk.batch(["lang", "gram", "n"], [pa.array([name] * len(k[a : a + (1 << 16)]), pa.string()), pa.array(k[a : a + (1 << 16)].astype(np.int64)), pa.array(c[a : a + (1 << 16)])])
+            if sum(len(k) for k, _ in total.values()) > 8 << 20:  # a task's memory is bounded
+                yield from flush()
+        yield from flush()
 
     rows = docs.select(_language(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counted, path = materialize(rows.mapInArrow(tk.lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngrams")
-    top = [r["lang"] for r in counted.where(F.col("lang") != REST).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
-    own = F.when(F.col("lang").isin(top), F.col("lang")).otherwise(F.lit(REST)) if top else F.lit(REST)
-    tables = []
-    for name in [*top, REST]:
-        got = counted.where(own == name).groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
-        tables.append(smooth(got.column("gram").to_numpy().astype(np.int64), got.column("n").to_numpy().astype(np.int64)))
-    discard(docs.sparkSession, path)
-    return KneserNey([*top, REST], tables)
+    counted = rows.mapInArrow(tk.lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    level, path = materialize(counted, "ngrams")
+    levels, done = [(level, path)], []
+    for order in range(ORDER - 1, 0, -1):
+        # a shorter n-gram counts once for each symbol seen before it
+        short = F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
+        levels.insert(0, materialize(levels[0][0].groupBy("lang", short.alias("gram")).agg(F.count("*").alias("n")), "ngrams"))
+    tables, lower = [], None
+    for order, (level, _) in enumerate(levels, 1):
+        shares, contexts = _smoothed(level)
+        contexts, path = materialize(contexts, "contexts")
+        rows = shares.join(contexts, ["lang", "context"])
+        if lower is None:
+            rows = rows.withColumn("below", F.lit(1.0 / (1 << BITS)))
+        else:
+            suffix = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
+            rows = rows.withColumn("suffix", suffix).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
+        lower, path_ = materialize(rows.select("lang", "gram", (F.col("share") + F.col("back") * F.col("below")).alias("p")), "probabilities")
+        tables.append((lower, contexts))
+        done += [path, path_]
+    discard(docs.sparkSession, *(path for _, path in levels))
+    return KneserNey(tables, done)
+
+
+def _distinct(c: ck.Chunk, n_parts: int) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """The languages of a chunk, for each its sorted distinct n-grams, their hash ranges, and the bytes that it has; and the n-gram at each byte."""
+    key, _ = grams(c.raw, c.off)
+    lang = c.row.field("lang").to_pylist()
+    names = sorted(set(lang))
+    place = {x: i for i, x in enumerate(names)}
+    of_byte = np.repeat(np.array([place[x] for x in lang], np.int32), np.diff(c.off))
+    out = []
+    for i in range(len(names)):
+        mine = np.flatnonzero(of_byte == i)
+        k = np.unique(key[mine])
+        out.append((k, ck.part_of(tk.mix(k.view(np.uint64)), n_parts), mine))
+    return names, out, key
+
+
+def _looked_up(chunks: DataFrame, model: KneserNey, n_parts: int) -> DataFrame:
+    """Rows (chunk, part, value): the log probabilities of the chunk's distinct n-grams of a hash range, language by language, in order.
+
+    Both sides go to the hash ranges as sorted binary blocks; a range is a task's work, and there are as many as shuffle partitions.
+    """
+
+    def block(part, chunk, names, keys, values):
+        low = [np.ascontiguousarray(k.view(np.uint8).reshape(-1, 8)[:, :ORDER]).tobytes() for k in keys]
+        return part, chunk, names, [len(k) for k in keys], b"".join(low), values
+
+    def batch(rows):
+        kinds = [pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["part", "chunk", "langs", "sizes", "low", "p"])
+
+    def send(batches):
+        for c in ck.each(batches):
+            names, found, _ = _distinct(c, n_parts)
+            by_part: dict[int, list] = {}
+            for name, (k, part, _) in zip(names, found):
+                order = np.argsort(part, kind="stable")
+                cut = np.searchsorted(part[order], np.arange(n_parts + 1))
+                for p in np.flatnonzero(np.diff(cut)).tolist():
+                    by_part.setdefault(p, []).append((name, k[order[cut[p] : cut[p + 1]]]))
+            if by_part:
+                yield batch([block(p, c.number, [x for x, _ in own], [k for _, k in own], None) for p, own in sorted(by_part.items())])
+
+    def pack(batches):
+        def flush(held):
+            table = pa.Table.from_batches(held)
+            name, k, v = table.column("lang").to_numpy(), table.column("gram").to_numpy(), np.log(table.column("p").to_numpy()).astype(np.float32)
+            part = ck.part_of(tk.mix(k.view(np.uint64)), n_parts)
+            for x in sorted(set(name)):
+                mine = np.flatnonzero(name == x)
+                mine = mine[np.lexsort((k[mine], part[mine]))]
+                cut = np.searchsorted(part[mine], np.arange(n_parts + 1))
+                for p in np.flatnonzero(np.diff(cut)).tolist():
+                    own = mine[cut[p] : cut[p + 1]]
+                    yield batch([block(p, None, [x], [k[own]], v[own].tobytes())])
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= 1 << 20:
+                yield from flush(held)
+                held, size = [], 0
+        if size:
+            yield from flush(held)
+
+    def keys_of(row):
+        wide = np.zeros((sum(row["sizes"]), 8), np.uint8)
+        wide[:, :ORDER] = np.frombuffer(row["low"], np.uint8).reshape(-1, ORDER)
+        cut = np.cumsum([0, *row["sizes"]])
+        return {x: wide.view(np.int64).ravel()[a:b] for x, a, b in zip(row["langs"], cut, cut[1:])}
+
+    def answer(batches):
+        for rows in ck.grouped(batches):
+            known: dict[str, list] = {}
+            for r in rows:
+                if r["chunk"] is None:
+                    ((x, k),) = keys_of(r).items()
+                    known.setdefault(x, []).append((k, np.frombuffer(r["p"], np.float32)))
+            table = {}
+            for x, own in known.items():
+                k, v = (np.concatenate(y) for y in zip(*own))
+                order = np.argsort(k)
+                table[x] = k[order], v[order]
+            for r in rows:
+                if r["chunk"] is None:
+                    continue
+                out = []
+                for x, wanted in keys_of(r).items():
+                    k, v = table[x]
+                    at = np.minimum(np.searchsorted(k, wanted), len(k) - 1)
+                    if not (k[at] == wanted).all():
+                        raise ValueError("an n-gram that the model has not counted")
+                    out.append(v[at].tobytes())
+                yield tk.batch(["chunk", "part", "value"], [pa.array([r["chunk"]]), pa.array([r["part"]], pa.int32()), pa.array([b"".join(out)], pa.binary())])
+
+    schema = "part int, chunk long, langs array<string>, sizes array<int>, low binary, p binary"
+    rows = chunks.mapInArrow(tk.lean(send), schema).union(model.tables[-1][0].mapInArrow(tk.lean(pack), schema))
+    return ck.gather(rows, n_parts).mapInArrow(tk.lean(answer), "chunk long, part int, value binary")
 
 
 def measure(docs: DataFrame, model: KneserNey, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
-    """Rows (key, model, n_bytes, log_ppl, counts of text_counts), one for each row of docs; log_ppl is null for an empty text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """Rows (key, model, n_bytes, log_ppl, counts of text_counts), one for each row of docs, which model has counted; log_ppl is null for an empty text."""
+    spark = docs.sparkSession
+    n_parts = parts(spark)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    rows = docs.select(F.lit(0).alias("zero"), docs[key].alias("key"), _language(lang).alias("lang"), docs[text].alias("text"))
+    chunks, packed = ck.pack(rows, "zero", "text", size=CHUNK_BYTES, carry=["key", "lang"])
 
     def run(batches):
-        m = sent.value
-        place = {x: i for i, x in enumerate(m.languages)}
-        for part in tk.slices(batches):
-            raw, off = tk.bytes_of(part.column("text"))
-            found = text_counts(raw, off)
-            lang_of = np.array([place.get(x, place[REST]) for x in part.column("lang").to_pylist()])
-            gram, _ = grams(raw, off)
-            for r in range(ORDER - 1):  # symbols before the text count as blanks
-                at = off[:-1] + r
-                at = at[at < off[1:]]
-                gram[at] = (gram[at] & ((1 << (BITS * (r + 1))) - 1)) | sum(26 << (BITS * q) for q in range(r + 1, ORDER))
-            value = np.zeros(len(raw))
-            of_byte = np.repeat(lang_of, np.diff(off))
-            for i in np.unique(lang_of):
-                mine = np.flatnonzero(of_byte == i)
-                distinct, at = np.unique(gram[mine], return_inverse=True)
-                value[mine] = m.log_prob(int(i), distinct)[at]
-            size = np.diff(off)
-            ppl = pa.array(-tk.per_text(value, off) / np.maximum(size, 1), mask=size == 0)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("key"), pa.array([m.languages[i] for i in lang_of], pa.string()), pa.array(size), ppl, *(pa.array(found[x].astype(np.int64)) for x in names)],
-                ["key", "model", "n_bytes", "log_ppl", *names],
-            )
+        for c in ck.each(batches):
+            langs, found, gram = _distinct(c, n_parts)
+            sent = {p: np.frombuffer(v, np.float32) for _, p, v in c.back}
+            used = dict.fromkeys(sent, 0)
+            value = np.zeros(len(gram))
+            for k, part, mine in found:
+                order = np.argsort(part, kind="stable")
+                cut = np.searchsorted(part[order], np.arange(n_parts + 1))
+                p = np.empty(len(k))
+                for q in np.flatnonzero(np.diff(cut)).tolist():
+                    n = cut[q + 1] - cut[q]
+                    p[order[cut[q] : cut[q + 1]]] = sent[q][used[q] : used[q] + n]
+                    used[q] += n
+                value[mine] = p[np.searchsorted(k, gram[mine])]
+            counts = text_counts(c.raw, c.off)
+            size = np.diff(c.off)
+            ppl = pa.array(-tk.per_text(value, c.off) / np.maximum(size, 1), mask=size == 0)
+            out = pa.RecordBatch.from_arrays([c.row.field("key"), c.row.field("lang"), pa.array(size), ppl, *(pa.array(counts[x].astype(np.int64)) for x in names)], ["key", "model", "n_bytes", "log_ppl", *names])
+            yield out
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, model string, n_bytes long, log_ppl double, " + ", ".join(f"{x} long" for x in names)
-    rows = docs.select(docs[key].alias("key"), _language(lang).alias("lang"), docs[text].alias("text"))
-    return rows.mapInArrow(tk.lean(run), schema).withColumnRenamed("key", key)
+    found = ck.answered(chunks, _looked_up(chunks, model, n_parts)).mapInArrow(tk.lean(run), schema).withColumnRenamed("key", key)
+    out, _ = materialize(found, "measured")
+    ck.release(spark, packed)
+    return out
 
 
 def bands(measured: DataFrame) -> DataFrame:
@@ -238,10 +348,11 @@ def judge(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str =
 
     base_failed: fewer than 10 words, or more than 20 % of the words in repeated 5-word windows. kept: not base_failed, and the log
     perplexity under its language's model lies in that language's band (lower, upper), which is wider for short texts. A null text
-    has no words. Repeated rows and null keys stay. Bands are a row a model (MAX_LANGUAGES + 1 at most), so they are broadcast.
+    has no words. Repeated rows and null keys stay. Bands are a row a language, so they are broadcast.
     """
     model = train(docs, lang, text)
-    measured, _ = materialize(measure(docs, model, key, lang, text), "measured")
+    measured = measure(docs, model, key, lang, text)
+    discard(docs.sparkSession, *model.paths)
     width = F.lit(band) * F.col("spread") + F.lit(BAND_SHORT) / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     joined = measured.join(F.broadcast(bands(measured)), "model", "left").withColumn("lower", F.col("median") - width).withColumn("upper", F.col("median") + width)

@@ -340,3 +340,44 @@ def test_hashes_do_not_depend_on_place():
     r = tk.rolling(raw, 3)
     assert r[0] == r[4] == r[9]
     assert (tk.least_rolling(raw, 3, 2, block=3) == tk.sliding_min(r, 2)).all()
+
+
+def test_every_language_has_a_model_that_grows(spark):
+    """35 languages and null: log_ppl is that of a modified Kneser-Ney model counted in plain Python, with bytes as they are, a language at a time."""
+    rng = random.Random(6)
+    names = [f"l{i:02}" for i in range(35)] + [None]
+    rows = [(3 * i + j, sentence(rng, 30).upper() if j == 2 else sentence(rng, 30), x) for i, x in enumerate(names) for j in range(3)] + [(900, "", "l01"), (901, None, "l01")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = quality.train(df)
+    assert len(model.languages) == 36
+    got = {r["doc_id"]: r for r in quality.measure(df, model).collect()}
+    assert got[900]["log_ppl"] is None and got[901]["log_ppl"] is None and len(got) == len(rows)
+    n = quality.ORDER
+    for x in (names[0], names[33], names[34], None):
+        texts = {i: (b" " * (n - 1) + (t or "").encode()) for i, t, lang in rows if lang == x}
+        level = {}
+        for t in texts.values():
+            for a in range(len(t) - n + 1):
+                level[t[a : a + n]] = level.get(t[a : a + n], 0) + 1
+        levels = [level]
+        for _ in range(n - 1):
+            short = {}
+            for k in levels[0]:
+                short[k[1:]] = short.get(k[1:], 0) + 1
+            levels.insert(0, short)
+        p = {b"": 1 / 256}
+        for level in levels:
+            m = [max(sum(c == i for c in level.values()), 1) for i in (1, 2, 3, 4)]
+            y = m[0] / (m[0] + 2 * m[1])
+            off = [min(max(i - (i + 1) * y * m[i] / m[i - 1], 0.0), 0.95 * i) for i in (1, 2, 3)]
+            total, lost, out = {}, {}, {}
+            for k, c in level.items():
+                total[k[:-1]] = total.get(k[:-1], 0) + c
+                lost[k[:-1]] = lost.get(k[:-1], 0) + off[min(c, 3) - 1]
+            for k, c in level.items():
+                out[k] = (c - off[min(c, 3) - 1] + lost[k[:-1]] * p[k[1:]]) / total[k[:-1]]
+            p = out
+        for i, t in texts.items():
+            if len(t) > n:
+                want = -sum(np.log(p[t[a : a + n]]) for a in range(len(t) - n + 1))
+                assert got[i]["log_ppl"] * got[i]["n_bytes"] == pytest.approx(want, rel=1e-5)
