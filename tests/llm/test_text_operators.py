@@ -380,4 +380,16 @@ def test_every_language_has_a_model_that_grows(spark):
         for i, t in texts.items():
             if len(t) > n:
                 want = -sum(np.log(p[t[a : a + n]]) for a in range(len(t) - n + 1))
-                assert got[i]["log_ppl"] * got[i]["n_bytes"] == pytest.approx(want, rel=1e-5)
+                assert got[i]["log_ppl"] * sum(b > 127 or chr(b).isalnum() for b in t) == pytest.approx(want, rel=1e-5)
+
+
+def test_junk_of_ordinary_letters_is_rejected(spark):
+    """Plain words between bars or with signs behind them go, though no letter of them is odd; plain texts stay."""
+    rng = random.Random(8)
+    plain = [sentence(rng, 60) for _ in range(200)]
+    junk = [" | ".join(sentence(rng, 60).split()) for _ in range(6)] + [" ".join(w + rng.choice(["&&&", "$$$", "***"]) for w in sentence(rng, 60).split()) for _ in range(6)]
+    df = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(plain + junk)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert not any(got[i]["kept"] for i in range(200, 212))
+    assert sum(got[i]["kept"] for i in range(200)) >= 196
