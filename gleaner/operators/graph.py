@@ -204,18 +204,20 @@ def giant_component(edges: DataFrame) -> DataFrame:
     return induced(edges, labels.join(best, "component", "left_semi").select("id"))
 
 
-def strong_components(directed: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def strong_components(directed: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Rows (id, component) of directed edges (src, dst): the smallest id of each strongly connected set.
 
     Rounds of forward colouring: nodes take the least id that reaches them; those that their colour's root reaches backwards form its component and leave.
+    Goes on until no node is left; a long chain needs a round a node. With max_rounds, it raises if nodes are left after so many.
     """
     spark = directed.sparkSession
     left, _ = materialize(directed.where("src <> dst").select("src", "dst").distinct(), "arcs")
     nodes, _ = materialize(directed.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "ids")
-    done = None
-    for _ in range(max_rounds):
-        if nodes.isEmpty():
-            break
+    done, at = None, 0
+    while not nodes.isEmpty():
+        if at == max_rounds:
+            raise RuntimeError("strong_components did not settle")
+        at += 1
         colour = _spread(nodes.select("id", F.col("id").alias("colour")), left)
         tagged = left.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("c2")), "dst")
         inside, _ = materialize(tagged.where("c1 = c2").select("src", "dst"), "arcs")

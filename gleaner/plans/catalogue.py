@@ -538,7 +538,7 @@ def g_edge_counts(spark, sf):
 
 @_query()
 def g_strong_components(spark, sf):
-    return g.strong_components(views.event_intervals(spark, sf).where("id % 20 = 0").select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct())
+    return g.strong_components(views.event_intervals(spark, sf).select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct())
 
 
 @_query(

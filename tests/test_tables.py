@@ -10,6 +10,7 @@ from gleaner.functions import columns as fn
 from gleaner.operators import graph as g
 from gleaner.operators import table as tb
 from gleaner.operators import windows as wd
+from gleaner.plans import catalogue, views
 from gleaner.sources import files
 from gleaner.sources.catalog import GraphCatalog
 
@@ -202,3 +203,30 @@ def test_column_functions(spark):
     assert get(fn.count_words(F.lit("A b, c-d"))) == 4
     assert get(fn.is_latin(F.lit("naïve"))) and not get(fn.is_latin(F.lit("мир")))
     assert get(fn.histogram_slot(F.lit(1.0), 3)) == 2
+
+
+def test_strong_components_says_when_nodes_are_left(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 5)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        g.strong_components(chain, max_rounds=2)
+    assert rows(g.strong_components(chain)) == [(i, i) for i in range(1, 6)]
+
+
+def test_strong_components_of_all_events(spark, data):
+    arcs = {tuple(r) for r in views.event_intervals(spark, data).select("source", "target").distinct().collect()}
+    nodes = {v for a in arcs for v in a if v is not None}
+    to = {}
+    for a, b in arcs:
+        to.setdefault(a, []).append(b)
+
+    def reach(v):
+        seen, todo = {v}, [v]
+        while todo:
+            for u in to.get(todo.pop(), ()):
+                if u not in seen:
+                    seen.add(u)
+                    todo.append(u)
+        return seen
+
+    far = {v: reach(v) for v in nodes}
+    assert rows(catalogue.queries()["g_strong_components"](spark, data)) == sorted((v, min(u for u in far[v] if v in far[u])) for v in nodes)
