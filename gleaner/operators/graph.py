@@ -360,17 +360,37 @@ def weighted_distances(arcs: DataFrame, sources: DataFrame, max_rounds: int = 10
     raise RuntimeError("distances did not settle")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, block: int = 1024) -> DataFrame:
     """Rows (id, betweenness) summed over sources(id), each pair counted once (halved), by breadth-first levels of path counts.
 
-    Levels and their backward pass are joins over (source, id) rows, so neither a graph nor a source's paths sit in one task.
+    Sources are taken in hash blocks of about `block`, so at most block x nodes rows are on disk at once. Levels and their backward pass
+    are joins over (source, id) rows, so neither a graph nor a source's paths sit in one task. The work is that of all pairs.
     """
+    spark = edges.sparkSession
     adj, _ = materialize(both_ways(edges), "adj")
-    level, _ = materialize(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hop"), F.lit(1.0).alias("paths")), "level")
+    n_blocks = max(1, -(-sources.count() // block))
+    total = None
+    for i in range(n_blocks):
+        paths: list[str] = []
+        part, _ = materialize(_dependencies(adj, sources.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i), paths), "betweenness")
+        discard(spark, *paths)
+        total = part if total is None else total.unionByName(part)
+    return total.groupBy("id").agg((F.sum("flow") / 2).alias("betweenness"))
+
+
+def _dependencies(adj: DataFrame, sources: DataFrame, paths: list[str]) -> DataFrame:
+    """Rows (id, flow): what the shortest paths from sources(id) bring each node; paths gets the tables written on the way."""
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        out, path = materialize(df, name)
+        paths.append(path)
+        return out
+
+    level = written(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hop"), F.lit(1.0).alias("paths")), "level")
     reached, levels = level, [level]
     while True:
         step = level.join(adj, F.col("id") == F.col("src")).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        level, _ = materialize(step.join(reached.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(len(levels)).alias("hop"), "paths"), "level")
+        level = written(step.join(reached.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(len(levels)).alias("hop"), "paths"), "level")
         if level.isEmpty():
             break
         levels.append(level)
@@ -384,12 +404,12 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
             down = below.select("source", F.col("id").alias("dst"), ((1 + F.col("flow")) / F.col("paths")).alias("share"))
             gained = own.join(adj, F.col("id") == F.col("src")).join(down, ["source", "dst"]).groupBy("source", "id").agg(F.sum("share").alias("share"))
             scored = own.join(gained, ["source", "id"], "left").withColumn("flow", F.col("paths") * F.coalesce("share", F.lit(0.0))).drop("share")
-        below, _ = materialize(scored, "flow")
+        below = written(scored, "flow")
         parts.append(below)
     total = parts[0]
     for p in parts[1:]:
         total = total.unionByName(p)
-    return total.where("source <> id").groupBy("id").agg((F.sum("flow") / 2).alias("betweenness"))
+    return total.where("source <> id").groupBy("id").agg(F.sum("flow").alias("flow"))
 
 
 # Ranks

@@ -230,3 +230,32 @@ def test_strong_components_of_all_events(spark, data):
 
     far = {v: reach(v) for v in nodes}
     assert rows(catalogue.queries()["g_strong_components"](spark, data)) == sorted((v, min(u for u in far[v] if v in far[u])) for v in nodes)
+
+
+def test_betweenness_from_all_sources(spark, data):
+    """Brandes' algorithm over every customer; blocks of sources don't change sums."""
+    e = views.customer_graph(spark, data)
+    to = {}
+    for r in e.collect():
+        to.setdefault(r["src"], []).append(r["dst"])
+        to.setdefault(r["dst"], []).append(r["src"])
+    want = dict.fromkeys(to, 0.0)
+    for s in to:
+        hop, paths, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for u in to[v]:
+                if u not in hop:
+                    hop[u], paths[u] = hop[v] + 1, 0.0
+                    order.append(u)
+                if hop[u] == hop[v] + 1:
+                    paths[u] += paths[v]
+        flow = dict.fromkeys(order, 0.0)
+        for v in reversed(order[1:]):
+            want[v] += flow[v] / 2
+            for u in to[v]:
+                if hop[u] == hop[v] - 1:
+                    flow[u] += paths[u] / paths[v] * (1 + flow[v])
+    got = {r["id"]: r["betweenness"] for r in catalogue.queries()["g_betweenness"](spark, data).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+    star = spark.createDataFrame([(0, i) for i in range(1, 6)], "src long, dst long")
+    assert {r["id"]: r["betweenness"] for r in g.betweenness(star, g.nodes_of(star), block=2).collect()} == {0: 10.0, **dict.fromkeys(range(1, 6), 0.0)}
