@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gleaner.llm import chunks as ck
 from gleaner.llm import textkit as tk
@@ -40,14 +39,15 @@ def _shingles(c: ck.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return key[new], doc[new]
 
 
-def survivors(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
-    """Rows (node, key, n_shingles, sign, keys, counts) for each row of docs, written to the shared folder.
+def survivors(docs: DataFrame, key: str, text: str, mark: str | None = None) -> tuple[DataFrame, str]:
+    """Rows (node, key, n_shingles, sign, keys, counts, mark) for each row of docs, written to the shared folder.
 
     keys are the shingles that other documents have too, with how many do; both are null if they are too few for any link:
     an overlap never exceeds them, and a link needs an overlap of PERCENT of n_shingles at least. sign stands for the whole set.
+    mark: a bigint column of docs that goes along; null without one.
     """
     n_parts = parts(docs.sparkSession)
-    chunks, packed = ck.pack(docs, key, text)
+    chunks, packed = ck.pack(docs, key, text, carry=[mark] if mark else None)
     counts, counts_path = materialize(ck.count_shared(chunks, _shingles, n_parts), "counts")
 
     def send(batches):
@@ -68,13 +68,14 @@ def survivors(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
                 c.key_column(), pa.array(size.astype(np.int64)),
                 pa.array([sign[:, i].tobytes() + int(size[i]).to_bytes(8, "little") if keep[i] else None for i in range(n)], pa.binary()),
                 pa.array([r and r[0].tobytes() for r in rows], pa.binary()), pa.array([r and r[1].tobytes() for r in rows], pa.binary()),
+                c.row.field(mark) if mark else pa.nulls(n, pa.int64()),
             ]
-            names = ["key", "n_shingles", "sign", "keys", "counts"]
+            names = ["key", "n_shingles", "sign", "keys", "counts", "mark"]
             whole = pa.RecordBatch.from_arrays(cols, names)
             for a in range(0, n, 256):
                 yield whole.slice(a, 256)
 
-    found = ck.answered(chunks, counts).mapInArrow(tk.lean(send), "key long, n_shingles long, sign binary, keys binary, counts binary")
+    found = ck.answered(chunks, counts).mapInArrow(tk.lean(send), "key long, n_shingles long, sign binary, keys binary, counts binary, mark long")
     out = materialize(found.withColumn("node", F.monotonically_increasing_id()), "sets")
     ck.release(docs.sparkSession, packed)
     discard(docs.sparkSession, counts_path)
@@ -178,8 +179,8 @@ def block_links(rows: DataFrame, n_parts: int) -> DataFrame:
     return dealt.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(tk.lean(run), "a long, b long")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (node, key, n_shingles, component_id, first_node), one for each row of docs.
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
+    """Rows (node, key, n_shingles, component_id, first_node[, mark]), one for each row of docs.
 
     Two rows link when 100 * overlap >= 75 * union of their sets of distinct 5-word shingles (A-Z lower-cased; a text of fewer words
     is one shingle; a text without words, or null, links with nothing). component_id is the smallest key that links reach,
@@ -189,7 +190,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     n_parts = parts(spark)
-    sets, _ = survivors(docs, key, text)
+    sets, _ = survivors(docs, key, text, mark)
     live = sets.where("sign is not null")
     classes, classes_path = materialize(live.groupBy("sign").agg(F.min("node").alias("node"), F.max("node").alias("last")), "classes")
     copies = live.select("sign", F.col("node").alias("b")).join(classes.where("last > node").select("sign", F.col("node").alias("a")), "sign").where("a <> b").select("a", "b")
@@ -199,26 +200,27 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     touching = components(grams.join(star, "gram").where("node <> a").select("a", F.col("node").alias("b")).distinct())
     families, families_path = materialize(unique.join(touching.select(F.col("id").alias("node"), F.col("component").alias("family")), "node"), "families")
     links = block_links(families, n_parts)
-    out = reached(sets.select("node", "key", "n_shingles"), links.union(copies))
+    out = reached(sets.select("node", "key", "n_shingles", *["mark"] * bool(mark)), links.union(copies))
     discard(spark, classes_path, grams_path, families_path)
-    return out.select("node", F.col("key").alias(key), "n_shingles", "component_id", "first_node")
+    return out.select("node", F.col("key").alias(key), "n_shingles", "component_id", "first_node", *([F.col("mark").alias(mark)] if mark else []))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group that links connect: its smallest key (nulls last). Rows without links, also empty ones, stay.
 
-    Only keys are joined back. Where a key is repeated and some of its rows stay, that many different texts of it stay.
+    Keys and 64-bit hashes of texts are joined back, so of rows with one key, or null, exactly those go that the join drops. Rows with
+    equal keys and equal texts link with each other, unless they have no words; one of them stays at most.
     """
-    rows = join(docs, key, text)
+    marked = docs.withColumn("__mark", F.xxhash64(text))
+    rows = join(marked, key, text, "__mark")
     best = F.min(F.struct(F.col(key).isNull(), F.col(key), F.col("node"))).alias("best")
     heads = rows.groupBy("first_node").agg(best).select(F.col("best.node").alias("node"), F.lit(1).alias("stays"))
-    by_key = rows.join(heads, "node", "left").groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("rows"), F.count("stays").alias("stay"))
-    by_key, _ = materialize(by_key.where("stay < rows"), "dropped")
-    gone = by_key.hint("shuffle_hash")
-    kept = docs.join(gone, docs[key].eqNullSafe(gone["__key"]), "left_anti")
-    some = by_key.where("stay > 0")
+    by_text = rows.join(heads, "node", "left").groupBy(F.col(key).alias("__key"), F.col("__mark").alias("__text")).agg(F.count("*").alias("rows"), F.count("stays").alias("stay"))
+    by_text, _ = materialize(by_text.where("stay < rows"), "dropped")
+    same = lambda other: marked[key].eqNullSafe(other["__key"]) & (marked["__mark"] == other["__text"])
+    gone = by_text.hint("shuffle_hash")
+    kept = marked.join(gone, same(gone), "left_anti").select(*docs.columns)
+    some = by_text.where("stay > 0")
     if some.isEmpty():
         return kept
-    order = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    partly = docs.join(some, docs[key].eqNullSafe(some["__key"])).dropDuplicates([key, text]).withColumn("__rank", F.row_number().over(order))
-    return kept.unionByName(partly.where("__rank <= stay").select(*docs.columns))
+    return kept.unionByName(marked.join(some, same(some)).dropDuplicates(["__key", "__text"]).select(*docs.columns))

@@ -393,3 +393,15 @@ def test_junk_of_ordinary_letters_is_rejected(spark):
     assert not any(r["base_failed"] for r in got.values())
     assert not any(got[i]["kept"] for i in range(200, 212))
     assert sum(got[i]["kept"] for i in range(200)) >= 196
+
+
+def test_keep_one_drops_the_rows_that_the_join_drops(spark):
+    """Rows of one key, or null, that repeat another document go; the others of that key stay, whatever their hashes."""
+    rng = random.Random(10)
+    base = [sentence(rng, 40) for _ in range(20)]
+    alone = [sentence(rng, 40) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(None, t + " x") for t in base[:10]] + [(None, t) for t in alone[:10]]
+    rows += [(50, t + " y") for t in base[10:]] + [(50, t) for t in alone[10:]] + [(None, ""), (None, ""), (60, None), (60, alone[0] + " z"), (61, "")]
+    want = [(i, t) for i, t in enumerate(base)] + [(None, t) for t in alone[1:10]] + [(50, t) for t in alone[10:]] + [(None, ""), (None, ""), (60, None), (60, alone[0] + " z"), (61, "")]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert as_bag(map(tuple, got.collect())) == as_bag(want)
