@@ -193,12 +193,12 @@ def _codec(key: int, data: bytes, built: str) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text: str = "text", key: str = "doc_id", parity_every: int = 64, keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text: str = "text", key: str = "doc_id", parity_every: int = 1, keep_ids: bool = True) -> DataFrame:
     """Rows (key, n_bytes, n_tokens, n_byte_tokens, ids_sha256, round_trip, parity[, ids]), one for each row of docs.
 
     ids are the token ids of the whole text; ids_sha256 is the hash of them as little-endian 32-bit numbers.
-    round_trip: decoding gives the text again (U+2581 counts as a space, as in the model itself). parity: for rows whose
-    crc32(key as text) is a multiple of parity_every, whether the sentencepiece library gives the same ids; else null.
+    round_trip: decoding gives the text again (U+2581 counts as a space, as in the model itself). parity: whether the
+    sentencepiece library gives the same ids, for rows whose crc32(key as text) is a multiple of parity_every (all by default); else null.
     A null or empty text has no tokens. Repeated rows and null keys stay; other columns of docs are ignored. The text is
     read in one pass without a shuffle; a worker holds one slice of about 1 MB, or one text.
     """

@@ -405,3 +405,7 @@ def test_keep_one_drops_the_rows_that_the_join_drops(spark):
     want = [(i, t) for i, t in enumerate(base)] + [(None, t) for t in alone[1:10]] + [(50, t) for t in alone[10:]] + [(None, ""), (None, ""), (60, None), (60, alone[0] + " z"), (61, "")]
     got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert as_bag(map(tuple, got.collect())) == as_bag(want)
+
+
+def test_parity_is_checked_for_every_row(docs):
+    assert pieces.encode(docs).where("parity is null").count() == 0
