@@ -56,18 +56,21 @@ def observed_by_step(log: DataFrame, adjacency: DataFrame) -> DataFrame:
 
 
 def curve_measures(history: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows (keys, aucc, waucc, tc) of each curve (step, value), steps from above 0.
+    """Rows (keys, aucc, waucc, tc) of each curve (step, value), steps from 0 on.
 
-    aucc: area by trapezoids over steps as shares of the last one, with a first triangle from 0. waucc: mean of the trapezoids' heights weighted by width over
-    step. tc: the last value.
+    aucc: area by trapezoids over steps as shares of the last one, with a first triangle from 0. waucc: mean of the trapezoids' heights, weighted by width
+    over step; before them the first value counts in full, with weight 1, unless the curve starts at step 0. tc: the last value.
     """
     w = Window.partitionBy(*keys).orderBy("step")
     x, y = F.col("step").cast("double"), F.col("value")
-    lag = history.where("step > 0").select(*keys, "step", "value", F.lag(x).over(w).alias("x0"), F.lag(y).over(w).alias("y0"))
-    wide = x - F.coalesce("x0", F.lit(0.0))
-    high = (y + F.coalesce("y0", F.lit(0.0))) / 2
-    area = F.sum(F.when(F.col("x0").isNull(), x * y / 2).otherwise(wide * high)) / F.max(x)
-    return lag.groupBy(*keys).agg(area.alias("aucc"), (F.sum(wide / x * high) / F.sum(wide / x)).alias("waucc"), F.max_by("value", "step").alias("tc"))
+    lag = history.select(*keys, "step", "value", F.lag(x).over(w).alias("x0"), F.lag(y).over(w).alias("y0"))
+    first = F.col("x0").isNull()
+    high = (y + F.col("y0")) / 2
+    area = F.sum(F.when(first, x * y / 2).otherwise((x - F.col("x0")) * high)) / F.nullif(F.max(x), F.lit(0.0))
+    weight = F.when(first, (x > 0).cast("double")).otherwise((x - F.col("x0")) / x)
+    return lag.groupBy(*keys).agg(
+        area.alias("aucc"), (F.sum(weight * F.when(first, y).otherwise(high)) / F.nullif(F.sum(weight), F.lit(0.0))).alias("waucc"), F.max_by("value", "step").alias("tc")
+    )
 
 
 def aggregated(measures: DataFrame, keys: Sequence[str], value: str, median: bool = False) -> DataFrame:

@@ -11,59 +11,56 @@ from gleaner.crawl.state import Crawl, Csr
 
 @dataclass
 class Schedule:
-    """Due once `train_from` nodes are crawled, and then whenever their number has grown by the factor `exponent`."""
+    """Due once `train_from` nodes are crawled, and then whenever their number has grown by the factor `exponent` since the model last learned."""
 
     train_from: int = 10
     exponent: float = 1.15
     last: int = 0
 
     def due(self, n: int) -> bool:
-        if n < self.train_from or n < self.last * self.exponent:
-            return False
+        return n >= self.train_from and n >= self.last * self.exponent
+
+    def learned(self, n: int) -> None:
         self.last = n
-        return True
 
 
 class Online:
-    """Inputs of the seeds as they were right after they were crawled; the newest `window` are taken, and more until both classes are there."""
+    """Inputs of the seeds as they were right after they were crawled; a seed without a label counts as no target.
+
+    The newest `window` are taken, half as many more until both classes are there; nothing if they aren't before that exceeds what was seen.
+    """
 
     def __init__(self, state: Crawl, rng: np.random.Generator, window: int = 300, **_):
-        self.state, self.window, self.seen, self.cache = state, window, [], {}
+        self.state, self.window, self.labels, self.inputs = state, window, [], {}
 
-    def saw(self, seed: int) -> None:
-        if self.state.graph.y[seed] >= 0:
-            self.seen.append(seed)
-            self.cache[seed] = {}
+    def saw(self, seed: int, models: list) -> None:
+        self.labels.append(int(self.state.graph.y[seed] == 1))
+        for m in models:
+            if m.learns:
+                self.inputs.setdefault(id(m), []).append(m.inputs(seed))
 
     def samples(self, model) -> tuple[list, list]:
         if not model.learns:
             return [], []
-        size = self.window
-        while True:
-            use = self.seen[-size:]
-            y = [int(self.state.graph.y[v]) for v in use]
-            if len(set(y)) > 1 or size >= len(self.seen):
-                break
-            size = int(size * 1.5)
-        own = [self.cache[v].setdefault(id(model), None) for v in use]
-        x = []
-        for v, known in zip(use, own):
-            if known is None:
-                known = self.cache[v][id(model)] = model.inputs(v)
-            x.append(known)
-        return x, y
+        size = min(self.window, len(self.labels))
+        while len(set(self.labels[-size:])) < 2:
+            size = int(size * 1.5) if size > 1 else size + 1
+            if size > len(self.labels):
+                return [], []
+        return self.inputs[id(model)][-size:], self.labels[-size:]
 
 
 class Boosting:
-    """Random re-crawls of the crawled part of the graph: inputs are taken near the end of each, for as many targets as others.
+    """Random re-crawls of the crawled part of the graph: inputs are taken from the end of each backwards, for as many targets as others.
 
-    The labels of a re-crawl are those of the nodes at hand; a re-crawl sees no label of a node that it hasn't crawled.
+    A re-crawl gives `share` of its steps, half of them targets, with both numbers rounded up or down at random so that they hold on average; fewer if it has
+    fewer of a kind, and never its first node. It sees no label of a node that it hasn't crawled.
     """
 
     def __init__(self, state: Crawl, rng: np.random.Generator, samples: int = 300, iterations: int = 20, share: float = 0.2, **_):
         self.state, self.rng, self.wanted, self.iterations, self.share = state, rng, samples, iterations, share
 
-    def saw(self, seed: int) -> None:
+    def saw(self, seed: int, models: list) -> None:
         pass
 
     def samples(self, model) -> tuple[list, list]:
@@ -86,23 +83,38 @@ class Boosting:
             ys += t
             if len(xs) >= self.wanted:
                 break
-        return xs, ys
+        return xs[: self.wanted], ys[: self.wanted]
 
-    def _replay(self, model, graph: Csr) -> tuple[list, list]:
+    def _round(self, x: float) -> int:
+        return int(x) + int(self.rng.random() < x - int(x))
+
+    def _order(self, graph: Csr) -> list[int]:
+        """A random crawl of all of the graph's nodes that the first one reaches."""
         state = Crawl(graph)
-        n = len(graph.ids)
-        first = int(self.rng.integers(n))
-        state.observe(first)
-        order, pool = [], [first]
-        steps: list[tuple[int, int]] = []
-        begin = max(1, int(n * (1 - self.share)))
-        picks: dict[int, list] = {0: [], 1: []}
+        pool, order = [int(self.rng.integers(len(graph.ids)))], []
+        state.observe(pool[0])
         while pool:
-            v = pool.pop(int(self.rng.integers(len(pool))))
-            if len(order) >= begin and graph.y[v] >= 0:
-                picks[int(graph.y[v])].append((len(order), model.inputs(v, state)))
-            pool += state.crawl(v)
-            order.append(v)
-        k = min(len(picks[0]), len(picks[1]))
-        steps = [(p[1], label) for label in (0, 1) for p in picks[label][:k]]
-        return [s[0] for s in steps], [s[1] for s in steps]
+            order.append(pool.pop(int(self.rng.integers(len(pool)))))
+            pool += state.crawl(order[-1])
+        return order
+
+    def _replay(self, model, graph: Csr) -> tuple[list, list]:
+        order = self._order(graph)
+        size = self.share * len(order)
+        left = {1: self._round(size / 2)}
+        left[0] = self._round(size - left[1])
+        picked: dict[int, int] = {}
+        for v in reversed(order[1:]):
+            y = int(graph.y[v])
+            if left.get(y, 0) > 0:
+                picked[v] = y
+                left[y] -= 1
+        state = Crawl(graph)
+        state.observe(order[0])
+        x, t = [], []
+        for v in order:
+            if v in picked:
+                x.append(model.inputs(v, state))
+                t.append(picked[v])
+            state.crawl(v)
+        return x, t

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,9 +26,11 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, as in tests, one of our own."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset and all runs in one process, as in tests, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
