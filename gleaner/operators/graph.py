@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions.columns import POLICIES
+from gleaner.operators.table import join_counted
 from gleaner.session import discard, materialize
 
-#: A node with fewer neighbours is never treated as a hub.
-HUB = 1000
-
 
 def edges_from(df: DataFrame, source: str, target: str) -> DataFrame:
     """Distinct undirected edges without loops, src < dst; nulls go."""
@@ -170,7 +168,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (id, component) for each node with an edge: the smallest id it reaches. Edges may be any pairs (src, dst); loops and nulls are ignored.
 
     Alternates large-star and small-star rounds until a round changes nothing. A round needs only a minimum for each node, combined before the
-    shuffle, and the minima of hubs are broadcast (see _with_minimum), so a hub isn't gathered; a round is one job, which writes its edges
+    shuffle, and the minima of hubs are broadcast (see join_counted), so a hub isn't gathered; a round is one job, which writes its edges
     and sums up their hashes on the way.
     """
     spark = edges.sparkSession
@@ -185,9 +183,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = _with_minimum(both.where("v > u"), low, last[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_counted(both.where("v > u"), low, "u", 2 * last[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_minimum(large, least, last[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = join_counted(large, least, "u", 2 * last[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         nxt, nxt_path, mark = written(small.where("u <> v").distinct())
         discard(spark, path)
         now, path = nxt, nxt_path
@@ -197,21 +195,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _with_minimum(pairs: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
-    """pairs (u, v) with the m of low (u, m, n), one row a u; n counts the pairs of u, both ways, out of n_edges edges.
-
-    A u with more than a ten-thousandth of the edges (HUB pairs at least) is a hub: of those there are at most 20,000, whatever the input, so their
-    minima are broadcast. No other u brings more than that share of the rows to the task that joins it.
-    """
-    hub = max(HUB, n_edges // 10_000)
-    if n_edges <= hub:
-        return pairs.join(low.select("u", "m"), "u")
-    hubs = low.where(F.col("n") > hub).select("u", F.col("m").alias("of_hub"))
-    marked = pairs.join(F.broadcast(hubs), "u", "left")
-    rest = marked.where("of_hub is null").select("u", "v").join(low.where(F.col("n") <= hub).select("u", "m"), "u")
-    return rest.unionByName(marked.where("of_hub is not null").select("u", "v", F.col("of_hub").alias("m")))
-
-
 def component_sizes(edges: DataFrame) -> DataFrame:
     return components(edges).groupBy("component").agg(F.count("*").alias("nodes"))
 

@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -43,6 +44,13 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> tuple[Da
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, str, int]:
+    """materialize, and the number of rows, counted while they are written."""
+    seen = Observation()
+    out, path = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, path, seen.get["n"]
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables in the shared folder that nothing reads any more."""
     for path in paths:
