@@ -91,7 +91,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", batch=None, s
     spark = docs.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    packed.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parts(spark), "chunk").saveAsTable(name)
+    packed.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parts(docs), "chunk").saveAsTable(name)
     return spark.table(name), name
 
 

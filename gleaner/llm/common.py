@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import graph
-from gleaner.session import discard, free_shuffles, materialize, shared_folder
+from gleaner.operators.table import join_counted
+from gleaner.session import discard, free_shuffles, materialize, materialize_counted, shared_folder
 
-__all__ = ["bound_batches", "components", "discard", "free_shuffles", "held_out", "materialize", "parts", "reached", "shared_folder", "table"]
+__all__ = [
+    "bound_batches", "components", "discard", "free_shuffles", "held_out", "input_bytes", "join_counted", "materialize", "materialize_counted", "parts", "reached", "shared_folder", "table",
+]
 
 #: Texts go to Python in Arrow batches of at most this many bytes and rows.
 ARROW_BYTES = 4 << 20
 ARROW_ROWS = 2000
+#: Bytes of files for each hash range, so that what a task holds doesn't grow with the input, whatever the session's settings.
+PART_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +32,15 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def parts(spark: SparkSession) -> int:
-    """Hash ranges for binary-packed keys: as many as the session's shuffle partitions, which grow with the input."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def input_bytes(df: DataFrame) -> int:
+    """What Spark expects df to read (the size of its files); 0 if it can't tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def parts(df: DataFrame) -> int:
+    """Hash ranges for binary-packed keys of df: one for each PART_BYTES of its files, and the session's shuffle partitions at least."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // PART_BYTES))
 
 
 def shard_of(text_id: Column) -> Column:
@@ -47,14 +58,11 @@ def components(edges: DataFrame) -> DataFrame:
     return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def reached(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows (node, key, ...) with component_id and first_node, given links(a, b) between nodes.
+def reached(rows: DataFrame, total: int, found: DataFrame) -> DataFrame:
+    """rows (node, rep, key, ...), `total` of them, with component_id and first_node; found: components (id, component) of reps.
 
-    first_node is the smallest node that links reach, component_id the smallest key; a key that is null counts only if all are.
+    first_node is the component, or the rep where it has none; component_id the smallest key of all rows with that first_node; a key that is null counts only if all are.
     """
-    found = components(links)
-    base = rows.join(found.select(F.col("id").alias("node"), "component"), "node", "left")
-    base = base.withColumn("first_node", F.coalesce("component", "node")).drop("component")
-    heads = found.select(F.col("component").alias("first_node")).distinct()
-    least = base.join(heads, "first_node", "left_semi").groupBy("first_node").agg(F.min("key").alias("least"))
-    return base.join(least, "first_node", "left").withColumn("component_id", F.coalesce("least", "key")).drop("least")
+    base = rows.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("first_node", F.coalesce("component", "rep")).drop("component")
+    least = base.groupBy("first_node").agg(F.min("key").alias("component_id"), F.count("*").alias("n"))
+    return join_counted(base, least, "first_node", total)

@@ -149,7 +149,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     count for each vector and links enough to connect them, not all pairs.
     """
     spark = vectors.sparkSession
-    n_parts = parts(spark)
+    n_parts = parts(vectors)
     wide = F.transform(F.col("vector"), lambda v: v.cast("double"))
     fine = F.size("vector") > 0
     fine &= F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))

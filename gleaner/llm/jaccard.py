@@ -1,21 +1,36 @@
-"""Exact Jaccard join of documents on word shingles, as a blocked product of the sparse document by n-gram incidence."""
+"""Exact Jaccard join of documents on word shingles, as a blocked product of the sparse document by n-gram incidence.
+
+Candidates are pairs that share one of their rarest shingles, as far as sizes and the places of that shingle allow a link. Their overlaps are entries
+of the product of the incidence matrix with its transpose: only the wanted entries are worked out, in blocks of n-grams, and a pair goes as soon as what
+is left can't bring it to its bound. As only what links connect is asked for, pairs that earlier links connect already aren't looked at, which keeps
+a group of many copies from being compared pair by pair; everything else is.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import chunks as ck
 from gleaner.llm import textkit as tk
-from gleaner.llm.common import components, discard, materialize, parts, reached
+from gleaner.llm.common import components, discard, join_counted, materialize, materialize_counted, parts, reached
 
 SHINGLE = 5
 PERCENT = 75
-#: Documents a side of a block of the product, and n-grams a step of it.
+#: N-grams a step of the product.
+COLUMNS = 4096
+#: Pivots of a shingle that all its other documents are compared with first, and how often at most that is done anew.
+PIVOTS = 3
+ROUNDS = 4
+#: Pairs for each prefix entry that are worth enumerating without another round of pivots.
+ENOUGH = 16
+#: Documents of a shingle that are paired by a join; more are paired in blocks.
+FEW = 256
 BLOCK = 1024
-COLUMNS = 2048
+#: The comparisons with a document are dealt to so many tasks at least, and to one more for each 100,000 pairs there are.
+SPLITS = 8
 
 
 def _shingles(c: ck.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -39,14 +54,14 @@ def _shingles(c: ck.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return key[new], doc[new]
 
 
-def survivors(docs: DataFrame, key: str, text: str, mark: str | None = None) -> tuple[DataFrame, str]:
+def survivors(docs: DataFrame, key: str, text: str, mark: str | None = None) -> tuple[DataFrame, str, int]:
     """Rows (node, key, n_shingles, sign, keys, counts, mark) for each row of docs, written to the shared folder.
 
     keys are the shingles that other documents have too, with how many do; both are null if they are too few for any link:
     an overlap never exceeds them, and a link needs an overlap of PERCENT of n_shingles at least. sign stands for the whole set.
     mark: a bigint column of docs that goes along; null without one.
     """
-    n_parts = parts(docs.sparkSession)
+    n_parts = parts(docs)
     chunks, packed = ck.pack(docs, key, text, carry=[mark] if mark else None)
     counts, counts_path = materialize(ck.count_shared(chunks, _shingles, n_parts), "counts")
 
@@ -76,107 +91,187 @@ def survivors(docs: DataFrame, key: str, text: str, mark: str | None = None) ->
                 yield whole.slice(a, 256)
 
     found = ck.answered(chunks, counts).mapInArrow(tk.lean(send), "key long, n_shingles long, sign binary, keys binary, counts binary, mark long")
-    out = materialize(found.withColumn("node", F.monotonically_increasing_id()), "sets")
+    out = materialize_counted(found.withColumn("node", F.monotonically_increasing_id()), "sets")
     ck.release(docs.sparkSession, packed)
     discard(docs.sparkSession, counts_path)
     return out
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """Rows (gram, node): of each set the rarest shingles, enough that two sets that link share one (ties by hash)."""
+    """Rows (gram, node, size, place): of each set the rarest shingles, enough that two sets that link share one (ties by hash), and their places in that order."""
 
     def run(batches):
         for b in batches:
-            nodes, grams = [], []
+            out = []
             for node, n, k, c in zip(b.column("node").to_pylist(), b.column("n_shingles").to_pylist(), b.column("keys"), b.column("counts")):
                 k, c = np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint8)
                 alone = n - len(k)  # these come first in the order, and nothing shares them
                 take = n - (PERCENT * n + 99) // 100 + 1 - alone
                 if take > 0:
                     pick = k[np.lexsort((k, c))[:take]]
-                    grams.append(pick)
-                    nodes.append(np.full(len(pick), node))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes))], ["gram", "node"])
+                    out.append((pick.view(np.int64), np.full(len(pick), node), np.full(len(pick), n), alone + np.arange(len(pick))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["gram", "node", "size", "place"])
 
-    return sets.select("node", "n_shingles", "keys", "counts").mapInArrow(tk.lean(run), "gram long, node long")
+    return sets.select("node", "n_shingles", "keys", "counts").mapInArrow(tk.lean(run), "gram long, node long, size long, place long")
 
 
-def linked(a: list[np.ndarray], size_a: np.ndarray, b: list[np.ndarray], size_b: np.ndarray) -> np.ndarray:
-    """Which sets of a and b link, as a matrix: overlap counts accumulate over blocks of n-grams.
+def may_link(size_a, place_a, size_b, place_b):
+    """Whether sizes, and the places of the first shingle that both sets have, allow a link; of columns or arrays.
 
-    Pairs whose sizes alone forbid a link are discarded first, and rows or columns without any other pair left don't take part.
+    What comes before that place is not shared, so the overlap is at most what is left of either set.
     """
-    fit = (100 * np.minimum.outer(size_a, size_b) >= PERCENT * np.maximum.outer(size_a, size_b)) & (np.minimum.outer(size_a, size_b) > 0)
-    rows, cols = np.flatnonzero(fit.any(1)), np.flatnonzero(fit.any(0))
-    overlap = np.zeros((len(rows), len(cols)), np.float32)
-    if len(rows) and len(cols):
-        ka, kb = np.concatenate([a[i] for i in rows]), np.concatenate([b[i] for i in cols])
-        ra = np.repeat(np.arange(len(rows)), [len(a[i]) for i in rows])
-        rb = np.repeat(np.arange(len(cols)), [len(b[i]) for i in cols])
-        both = np.intersect1d(ka, kb)
-        if len(both):
-            ia, ib = np.searchsorted(both, ka), np.searchsorted(both, kb)
-            ina, inb = both[np.minimum(ia, len(both) - 1)] == ka, both[np.minimum(ib, len(both) - 1)] == kb
-            ia, ra, ib, rb = ia[ina], ra[ina], ib[inb], rb[inb]
-            oa, ob = np.argsort(ia, kind="stable"), np.argsort(ib, kind="stable")
-            ia, ra, ib, rb = ia[oa], ra[oa], ib[ob], rb[ob]
-            for at in range(0, len(both), COLUMNS):
-                width = min(COLUMNS, len(both) - at)
-                sa, sb = slice(*np.searchsorted(ia, [at, at + width])), slice(*np.searchsorted(ib, [at, at + width]))
-                ma, mb = np.zeros((len(rows), width), np.float32), np.zeros((len(cols), width), np.float32)
-                ma[ra[sa], ia[sa] - at] = 1
-                mb[rb[sb], ib[sb] - at] = 1
-                overlap += ma @ mb.T
-    out = np.zeros(fit.shape, bool)
-    o = np.rint(overlap).astype(np.int64)
-    out[np.ix_(rows, cols)] = (100 * o >= PERCENT * (size_a[rows][:, None] + size_b[cols][None, :] - o)) & (o > 0)
-    return out & fit
-
-
-def forest(node_a: np.ndarray, node_b: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links enough to connect what the matrix connects: at most one a node."""
-    n, m = link.shape
-    label = np.arange(n + m)
-    while True:
-        left = np.where(link, label[n:][None, :], n + m).min(1, initial=n + m)
-        left = np.minimum(left, label[:n])
-        right = np.minimum(np.where(link, left[:, None], n + m).min(0, initial=n + m), label[n:])
-        now = np.concatenate([left, right])
-        if (now == label).all():
-            break
-        label = now
-    nodes = np.concatenate([node_a, node_b])
-    return nodes, nodes[label]
+    least = F.least if isinstance(size_a, Column) else np.minimum
+    most = F.greatest if isinstance(size_a, Column) else np.maximum
+    rest = least(size_a - place_a, size_b - place_b)
+    return (100 * least(size_a, size_b) >= PERCENT * most(size_a, size_b)) & ((100 + PERCENT) * rest >= PERCENT * (size_a + size_b))
 
 
-def block_links(rows: DataFrame, n_parts: int) -> DataFrame:
-    """Rows (a, b) that connect the sets of each group; groups beyond BLOCK sets are split into pairs of blocks.
+def product(rows: list[np.ndarray], size: np.ndarray, pivot_of: np.ndarray, pivots: list[np.ndarray], pivot_size: np.ndarray) -> np.ndarray:
+    """Which rows link with their pivot: the wanted entries of the product of two incidence matrices.
 
-    rows: (node, family, n_shingles, keys). A pair of blocks is a task's work; a set goes to as many as its family has blocks.
+    Overlap counts accumulate over blocks of n-grams; after each block the rows whose overlap can't reach its bound any more are discarded.
     """
-    sizes = rows.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    need = -(-PERCENT * (size + pivot_size[pivot_of]) // (100 + PERCENT))
+    overlap = np.zeros(len(rows), np.int64)
+    grams = np.unique(np.concatenate(pivots)) if pivots else np.zeros(0, np.uint64)
+    if not len(grams) or not len(rows):
+        return np.zeros(len(rows), bool)
+    column = np.searchsorted(grams, np.concatenate(pivots))
+    entry = np.sort(column * len(pivots) + np.repeat(np.arange(len(pivots)), [len(p) for p in pivots]))
+    keys, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
+    real = grams[at] == keys
+    at, owner = at[real], owner[real]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    left = np.bincount(owner, minlength=len(rows))
+    alive = left >= need
+    for first in range(0, len(grams), COLUMNS):
+        mine = slice(*np.searchsorted(at, [first, first + COLUMNS]))
+        a, o = at[mine], owner[mine]
+        left -= np.bincount(o, minlength=len(rows))
+        a, o = a[alive[o]], o[alive[o]]
+        wanted = a * len(pivots) + pivot_of[o]
+        found = np.minimum(np.searchsorted(entry, wanted), len(entry) - 1)
+        overlap += np.bincount(o[entry[found] == wanted], minlength=len(rows))
+        alive &= overlap + left >= need
+        if not alive.any():
+            break
+    return alive & (overlap >= need) & (overlap > 0)
+
+
+def verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, n_parts: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. The comparisons with one a are dealt to several tasks by b, and a task takes them batch by batch."""
+    pairs = pairs.withColumn("split", F.pmod(F.xxhash64("b"), F.lit(SPLITS + n_pairs // 100_000)).cast("int"))
+    own = sets.select("node", F.col("n_shingles").alias("size"), "keys")
+    heads = pairs.select("a", "split").distinct().join(own, F.col("a") == F.col("node")).select("a", "split", F.lit(0).alias("role"), "node", "size", "keys")
+    others = pairs.join(own, F.col("b") == F.col("node")).select("a", "split", F.lit(1).alias("role"), "node", "size", "keys")
+
+    def run(batches):
+        pivots, sizes, names = [], [], []
+        for b in batches:
+            pivots, sizes, names = pivots[-1:], sizes[-1:], names[-1:]  # the last one's others may go on
+            rows, size, pivot_of, node = [], [], [], []
+            for a, role, v, n, k in zip(b.column("a").to_pylist(), b.column("role").to_pylist(), b.column("node").to_pylist(), b.column("size").to_pylist(), b.column("keys")):
+                k = np.frombuffer(k.as_buffer(), np.uint64)
+                if role == 0:
+                    pivots.append(k.copy())
+                    sizes.append(n)
+                    names.append(a)
+                else:
+                    rows.append(k)
+                    size.append(n)
+                    pivot_of.append(len(pivots) - 1)
+                    node.append(v)
+            pivot_of = np.array(pivot_of, np.int64)
+            link = product(rows, np.array(size, np.int64), pivot_of, pivots, np.array(sizes, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[pivot_of[link]]), pa.array(np.array(node, np.int64)[link])], ["a", "b"])
+
+    both = heads.union(others).repartition(n_parts, "a", "split").sortWithinPartitions("a", "split", "role")
+    return both.mapInArrow(tk.lean(run), "a long, b long")
+
+
+def _pivot_pairs(entries: DataFrame, total: int, turn: int) -> DataFrame:
+    """Pairs (a, b): of each shingle that more than one component has in its prefixes, some documents by a random rank, with all others that they may link with."""
+    rank = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + i)).alias("rank"), "node", "size", "place", "component"))
+    grams = entries.groupBy("gram").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.array(*(rank(i) for i in range(PIVOTS))).alias("pivots"))
+    met = join_counted(entries, grams.where("lo < hi").select("gram", "n", "pivots"), "gram", total).withColumn("p", F.explode("pivots"))
+    fits = may_link(F.col("p.size"), F.col("p.place"), F.col("size"), F.col("place"))
+    return met.where((F.col("p.component") != F.col("component")) & fits).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _all_pairs(entries: DataFrame, total: int, n_parts: int) -> DataFrame:
+    """Pairs (a, b) of different components that may link, of each shingle; a shingle of many documents is split into pairs of blocks."""
+    grams = entries.groupBy("gram").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram", "n", F.col("n").alias("m"))
+    live = join_counted(entries, grams, "gram", total)
+    few = live.where(F.col("m") <= FEW)
+    x, y = (few.select("gram", *(F.col(c).alias(f"{c}{i}") for c in ("node", "size", "place", "component"))) for i in (1, 2))
+    fits = may_link(F.col("size1"), F.col("place1"), F.col("size2"), F.col("place2")) & (F.col("component1") != F.col("component2")) & (F.col("node1") < F.col("node2"))
+    joined = x.join(y, (x["gram"] == y["gram"]) & fits).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (
-        rows.join(sizes, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n_shingles", "keys")
-    )
-    dealt = dealt.withColumn("cell", F.xxhash64("family", "i", "j"))
+    dealt = live.where(F.col("m") > FEW).withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("cell", F.xxhash64("gram", "i", "j"))
+    dealt = dealt.select("cell", "gram", "i", "j", "own", "node", "size", "place", "component")
 
     def run(batches):
         for group in ck.grouped(batches, "cell"):
-            i, j = group[0]["i"], group[0]["j"]
-            side = [[r for r in group if r["own"] == x] for x in ((i,) if i == j else (i, j))]
-            if not all(side):
-                continue
-            a, b = side[0], side[-1]
-            take = lambda rows: ([np.frombuffer(r["keys"], np.uint64) for r in rows], np.array([r["n_shingles"] for r in rows]), np.array([r["node"] for r in rows]))
-            (ka, sa, na), (kb, sb, nb) = take(a), take(b)
-            x, y = forest(na, nb, linked(ka, sa, kb, sb))
-            real = x != y
-            yield pa.RecordBatch.from_arrays([pa.array(x[real]), pa.array(y[real])], ["a", "b"])
+            for gram in {(r["gram"], r["i"], r["j"]) for r in group}:  # one, unless hashes of cells are equal
+                rows = [r for r in group if (r["gram"], r["i"], r["j"]) == gram]
+                one = {c: np.array([r[c] for r in rows if r["own"] == gram[1]], np.int64) for c in ("node", "size", "place", "component")}
+                two = {c: np.array([r[c] for r in rows if r["own"] == gram[2]], np.int64) for c in ("node", "size", "place", "component")}
+                for k in range(len(one["node"])):
+                    ok = may_link(one["size"][k], one["place"][k], two["size"], two["place"]) & (two["component"] != one["component"][k])
+                    b = two["node"][ok & (two["node"] > one["node"][k]) if gram[1] == gram[2] else ok]
+                    if len(b):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, one["node"][k])), pa.array(np.maximum(b, one["node"][k]))], ["a", "b"])
+
+    many = dealt.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(tk.lean(run), "a long, b long")
+    return joined.union(many).distinct()
 
-    return dealt.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(tk.lean(run), "a long, b long")
+
+def connected(sets: DataFrame, n_parts: int) -> tuple[DataFrame, str]:
+    """Components (id, component) of the links between sets (node, n_shingles, keys, counts); sets without a link aren't returned. Also where they are written."""
+    spark = sets.sparkSession
+    entries, entries_path, total = materialize_counted(prefixes(sets), "prefixes")
+    paths, links, found = [entries_path], None, None
+
+    def compared(pairs: DataFrame) -> bool:
+        nonlocal links, found
+        pairs, pairs_path, n = materialize_counted(pairs, "pairs")
+        if n:
+            new, new_path = materialize(verified(pairs, n, sets, n_parts), "links")
+            links = new if links is None else links.union(new)
+            old = found
+            found, found_path = materialize(components(links), "found")
+            discard(spark, pairs_path, *([old[1]] if old else []))
+            found = (found, found_path)
+            paths.append(new_path)
+        else:
+            discard(spark, pairs_path)
+        return n > 0
+
+    def labelled() -> DataFrame:
+        if found is None:
+            return entries.withColumn("component", F.col("node"))
+        return entries.join(found[0].select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    for turn in range(ROUNDS):
+        own, own_path = materialize(labelled(), "entries")
+        more = compared(_pivot_pairs(own, total, turn))
+        discard(spark, own_path)
+        own, own_path = materialize(labelled(), "entries")
+        grams = own.groupBy("gram").agg(F.count("*").cast("double").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        work = grams.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
+        if work and (work <= ENOUGH * total or not more or turn == ROUNDS - 1):
+            compared(_all_pairs(own, total, n_parts))
+        discard(spark, own_path)
+        if work <= ENOUGH * total or not more:
+            break
+    discard(spark, *paths)
+    return found if found else (spark.createDataFrame([], "id long, component long"), "")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
@@ -185,23 +280,21 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str | N
     Two rows link when 100 * overlap >= 75 * union of their sets of distinct 5-word shingles (A-Z lower-cased; a text of fewer words
     is one shingle; a text without words, or null, links with nothing). component_id is the smallest key that links reach,
     the row's own included (null only if all of them are null); first_node is the same number for all rows that links connect.
-    Rows with equal keys are rows of their own. Equal sets count once; the rest is exact: candidates share one of their rarest
-    shingles, and each candidate family is compared as a whole, in blocks.
+    Rows with equal keys are rows of their own. Equal sets count once, and shingles are told apart by 64 bits; the rest is exact.
+    A text of any length is one set; a task holds the sets of a batch of rows and those of a chunk's texts (CHUNK_BYTES, or one text).
     """
     spark = docs.sparkSession
-    n_parts = parts(spark)
-    sets, _ = survivors(docs, key, text, mark)
+    n_parts = parts(docs)
+    sets, _, total = survivors(docs, key, text, mark)
     live = sets.where("sign is not null")
-    classes, classes_path = materialize(live.groupBy("sign").agg(F.min("node").alias("node"), F.max("node").alias("last")), "classes")
-    copies = live.select("sign", F.col("node").alias("b")).join(classes.where("last > node").select("sign", F.col("node").alias("a")), "sign").where("a <> b").select("a", "b")
-    unique = live.join(classes.select("node"), "node", "left_semi").select("node", "n_shingles", "keys", "counts")
-    grams, grams_path = materialize(prefixes(unique), "prefixes")
-    star = grams.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("last > a")
-    touching = components(grams.join(star, "gram").where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    families, families_path = materialize(unique.join(touching.select(F.col("id").alias("node"), F.col("component").alias("family")), "node"), "families")
-    links = block_links(families, n_parts)
-    out = reached(sets.select("node", "key", "n_shingles", *["mark"] * bool(mark)), links.union(copies))
-    discard(spark, classes_path, grams_path, families_path)
+    classes, classes_path = materialize(live.groupBy("sign").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "classes")
+    reps, _ = materialize(join_counted(live.select("node", "sign"), classes, "sign", total).select("node", "rep"), "reps")
+    unique = live.join(classes.select(F.col("rep").alias("node")), "node", "left_semi").select("node", "n_shingles", "keys", "counts")
+    unique, unique_path = materialize(unique, "unique")
+    found, _ = connected(unique, n_parts)
+    rows = sets.select("node", "key", "n_shingles", *["mark"] * bool(mark)).join(reps, "node", "left").withColumn("rep", F.coalesce("rep", "node"))
+    out = reached(rows, total, found)
+    discard(spark, classes_path, unique_path)
     return out.select("node", F.col("key").alias(key), "n_shingles", "component_id", "first_node", *([F.col("mark").alias(mark)] if mark else []))
 
 

@@ -297,7 +297,7 @@ def measure(docs: DataFrame, model: KneserNey, key: str = "doc_id", lang: str =
     log_ppl is the surprise of all bytes for each letter, as bars, signs and blanks that repeat are easily foreseen and would dilute it.
     """
     spark = docs.sparkSession
-    n_parts = parts(spark)
+    n_parts = parts(docs)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = docs.select(F.lit(0).alias("zero"), docs[key].alias("key"), _language(lang).alias("lang"), docs[text].alias("text"))
     chunks, packed = ck.pack(rows, "zero", "text", size=CHUNK_BYTES, carry=["key", "lang"])

@@ -106,8 +106,8 @@ def merge_join(run: tuple, wanted: tuple) -> np.ndarray:
 class FingerprintIndex:
     """Sorted runs of window fingerprints in the shared folder."""
 
-    def __init__(self, spark: SparkSession, n_parts: int | None = None, fan: int = FAN):
-        self.spark, self.n_parts, self.fan = spark, n_parts or parts(spark), fan
+    def __init__(self, spark: SparkSession, n_parts: int, fan: int = FAN):
+        self.spark, self.n_parts, self.fan = spark, n_parts, fan
         self.runs: list[tuple[DataFrame, str]] = []
 
     def add(self, entries: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int
     a null key comes after all others, and equal keys don't count as smaller. Other columns are ignored.
     """
     spark = docs.sparkSession
-    n_parts = parts(spark)
+    n_parts = parts(docs)
     number = F.lit(0)
     if batches > 1:
         for edge in docs.select(docs[key].cast("double").alias("k")).approxQuantile("k", [i / batches for i in range(1, batches)], 0.02):

@@ -230,7 +230,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: b
     bytes, without what is left of cut characters. row: a struct of the columns to carry. A null text is empty; a null key comes after all others; equal keys aren't smaller.
     """
     spark = docs.sparkSession
-    n_parts = parts(spark)
+    n_parts = parts(docs)
     n_shards = SHARDS * n_parts
     chunks, _ = ck.pack(docs, key, text, carry=carry)
     counts, _ = materialize(ck.count_shared(chunks, run_keys, n_parts), "counts")

@@ -113,23 +113,40 @@ class Words:
         return spans(self.raw if raw is None else raw, self.start, self.end, family)
 
 
-def _totals(raw: np.ndarray, family: int, block: int = 1 << 15) -> np.ndarray:
-    """Sums of value * base**position before each position, made in blocks that stay in a core's cache."""
-    total = np.zeros(len(raw) + 1, _U)
-    base, value = powers(_BASE, len(raw)), _BYTE_VALUE[family]
-    for a in range(0, len(raw), block):
-        part = value[raw[a : a + block]]
-        part *= base[a : a + block]
-        part[:1] += total[a : a + 1]
-        np.cumsum(part, out=total[a + 1 : a + 1 + len(part)])
-    return total
+_PLACE = (0xA24BAED4963EE407, 0x8EBC6AF09C88C6E3)
+#: Bytes that are hashed at once, so that they stay in a core's cache.
+_SPAN_BLOCK = 1 << 15
 
 
 def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
-    """A 64-bit hash of raw[start:end] for each pair."""
-    total = _totals(raw, family)
-    value = (total[end] - total[start]) * powers(_BASE_INV, len(raw) + 1)[start]
-    return mix(value + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+    """A 64-bit hash of raw[start:end] for each pair; pairs may overlap.
+
+    Each byte is mixed together with its place in the span before it is summed up, so that no arithmetic relation between bytes and places
+    carries over to the sums. The two families have tables and constants of their own: both together are a 128-bit hash.
+    """
+    size = (end - start).astype(np.int64)
+    out = np.zeros(len(size), _U)
+    value, place = _BYTE_VALUE[family], _U(_PLACE[family])
+    reach = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + _SPAN_BLOCK, "right")))
+        own = size[at:to]
+        head = np.cumsum(own) - own
+        total = int(own.sum())
+        if total == own[0] and total > _SPAN_BLOCK:  # one long span
+            for i in range(0, total, _SPAN_BLOCK):
+                part = raw[start[at] + i : min(start[at] + i + _SPAN_BLOCK, end[at])]
+                out[at : at + 1] += mix(value[part] + np.arange(i, i + len(part), dtype=_U) * place).sum(dtype=_U)
+        elif total:
+            where = np.arange(total) - np.repeat(head, own)
+            x = value[raw[where + np.repeat(start[at:to], own)]]
+            x += where.astype(_U) * place
+            sums = np.zeros(total + 1, _U)
+            np.cumsum(mix(x), out=sums[1:])
+            out[at:to] = sums[head + own] - sums[head]
+        at = to
+    return mix(out + size.astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 def rolling(raw: np.ndarray, k: int) -> np.ndarray:
