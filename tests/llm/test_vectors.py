@@ -51,6 +51,13 @@ def test_repeated_and_null_keys(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_extreme_doubles(spark):
+    """Vectors whose squares under- or overflow are compared as any others."""
+    rows = [(1, [1e-170, 0.0], 0), (2, [3e-170, 1e-180], 0), (3, [1e200, 0.0], 0), (4, [0.0, 5e-324], 0), (5, [1e-320, 1e300], 0), (6, [1.0, 1.0], 0), (7, [1.0, 1e-9], 0)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 3, 1)]
+
+
 def test_tree_covers():
     x = np.random.default_rng(1).normal(size=(300, 5))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
