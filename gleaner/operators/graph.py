@@ -168,7 +168,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (id, component) for each node with an edge: the smallest id it reaches. Edges may be any pairs (src, dst); loops and nulls are ignored.
 
     Alternates large-star and small-star rounds until a round changes nothing. A round needs only a minimum for each node, combined before the
-    shuffle, and the minima of hubs are broadcast (see join_counted), so a hub isn't gathered; a round is one job, which writes its edges
+    shuffle, and a hub's neighbours are dealt to several tasks (see join_counted), so it isn't gathered; a round is one job, which writes its edges
     and sums up their hashes on the way.
     """
     spark = edges.sparkSession
@@ -183,9 +183,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = join_counted(both.where("v > u"), low, "u", 2 * last[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_counted(both.where("v > u"), low, "u", 2 * last[0], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_counted(large, least, "u", 2 * last[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = join_counted(large, least, "u", 2 * last[0], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         nxt, nxt_path, mark = written(small.where("u <> v").distinct())
         discard(spark, path)
         now, path = nxt, nxt_path

@@ -185,23 +185,23 @@ def self_join(df: DataFrame, key: str) -> DataFrame:
     return join(df, key, df, key)
 
 
-#: A key with fewer rows is never treated as hot.
-HOT = 1000
+#: A key with fewer rows is never treated as hot; the rows of a hot one are dealt to SALTS tasks.
+HOT, SALTS = 1000, 64
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int, spread: str, n: str = "n") -> DataFrame:
     """rows joined with the other columns of counted, which has one row a key and n, how many rows have it, out of total.
 
-    A key with more than a ten-thousandth of the rows (HOT at least) is hot. There are at most 10,000 of those, whatever the input, so their rows of
-    counted are broadcast; no other key brings more than that share of the rows to the task that joins it.
+    A key with more than a ten-thousandth of the rows (HOT at least) is hot. There are at most 10,000 of those, whatever the input, so the list of them is
+    broadcast. Their rows are dealt by a hash of the column `spread`, and their row of counted goes to each of those tasks.
     """
     least, values = max(HOT, total // 10_000), [c for c in counted.columns if c not in (key, n)]
     if total <= least:
         return rows.join(counted.select(key, *values), key)
-    hot = counted.where(F.col(n) > least).select(key, F.struct(*values).alias("__hot"))
-    marked = rows.join(F.broadcast(hot), key, "left")
-    rest = marked.where("__hot is null").drop("__hot").join(counted.where(F.col(n) <= least).select(key, *values), key)
-    return rest.unionByName(marked.where("__hot is not null").select(*rows.columns, *(F.col(f"__hot.{v}").alias(v) for v in values)))
+    hot = counted.where(F.col(n) > least).select(key, F.lit(SALTS).alias("__salts"))
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__salts")), F.lit(0)).cast("int")).drop("__salts")
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col(n) > least, F.lit(SALTS - 1)).otherwise(F.lit(0)))).alias("__salt")
+    return salted.join(counted.select(key, *values, copies), [key, "__salt"]).drop("__salt")
 
 
 def threshold_join(left: DataFrame, key1: str, on1: str, right: DataFrame, key2: str, on2: str, threshold: int, per_value: bool = False) -> DataFrame:
