@@ -65,4 +65,4 @@ def reached(rows: DataFrame, total: int, found: DataFrame) -> DataFrame:
     """
     base = rows.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("first_node", F.coalesce("component", "rep")).drop("component")
     least = base.groupBy("first_node").agg(F.min("key").alias("component_id"), F.count("*").alias("n"))
-    return join_counted(base, least, "first_node", total)
+    return join_counted(base, least, "first_node", total, "node")

@@ -290,7 +290,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     found, found_path = materialize(dealt.repartition(n_parts, "unit").sortWithinPartitions("unit").mapInArrow(tk.lean(run), "a long, b long, n long"), "links")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     counted = kinds.join(counts, "rep", "left").select("kind", "rep", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    live, _ = materialize(join_counted(same, counted, "kind", total).select("node", "rep", "n_links"), "copies")
+    live, _ = materialize(join_counted(same, counted, "kind", total, "node").select("node", "rep", "n_links"), "copies")
     whole = base.select("node", "key").join(live, "node", "left").select("node", "key", F.coalesce("rep", "node").alias("rep"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = reached(whole, total, components(found.where("a <> b").select("a", "b")))
     discard(spark, kinds_path, found_path, units_path)

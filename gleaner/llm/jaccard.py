@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import chunks as ck
 from gleaner.llm import textkit as tk
-from gleaner.llm.common import components, discard, join_counted, materialize, materialize_counted, parts, reached
+from gleaner.llm.common import components, discard, free_shuffles, join_counted, materialize, materialize_counted, parts, reached
 
 SHINGLE = 5
 PERCENT = 75
@@ -30,7 +30,7 @@ ENOUGH = 16
 FEW = 256
 BLOCK = 1024
 #: The comparisons with a document are dealt to so many tasks at least, and to one more for each 100,000 pairs there are.
-SPLITS = 8
+SPLITS = 64
 
 
 def _shingles(c: ck.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +196,7 @@ def _pivot_pairs(entries: DataFrame, total: int, turn: int) -> DataFrame:
     """Pairs (a, b): of each shingle that more than one component has in its prefixes, some documents by a random rank, with all others that they may link with."""
     rank = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + i)).alias("rank"), "node", "size", "place", "component"))
     grams = entries.groupBy("gram").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.array(*(rank(i) for i in range(PIVOTS))).alias("pivots"))
-    met = join_counted(entries, grams.where("lo < hi").select("gram", "n", "pivots"), "gram", total).withColumn("p", F.explode("pivots"))
+    met = join_counted(entries, grams.where("lo < hi").select("gram", "n", "pivots"), "gram", total, "node").withColumn("p", F.explode("pivots"))
     fits = may_link(F.col("p.size"), F.col("p.place"), F.col("size"), F.col("place"))
     return met.where((F.col("p.component") != F.col("component")) & fits).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
 
@@ -204,7 +204,7 @@ def _pivot_pairs(entries: DataFrame, total: int, turn: int) -> DataFrame:
 def _all_pairs(entries: DataFrame, total: int, n_parts: int) -> DataFrame:
     """Pairs (a, b) of different components that may link, of each shingle; a shingle of many documents is split into pairs of blocks."""
     grams = entries.groupBy("gram").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram", "n", F.col("n").alias("m"))
-    live = join_counted(entries, grams, "gram", total)
+    live = join_counted(entries, grams, "gram", total, "node")
     few = live.where(F.col("m") <= FEW)
     x, y = (few.select("gram", *(F.col(c).alias(f"{c}{i}") for c in ("node", "size", "place", "component"))) for i in (1, 2))
     fits = may_link(F.col("size1"), F.col("place1"), F.col("size2"), F.col("place2")) & (F.col("component1") != F.col("component2")) & (F.col("node1") < F.col("node2"))
@@ -239,37 +239,33 @@ def connected(sets: DataFrame, n_parts: int) -> tuple[DataFrame, str]:
     paths, links, found = [entries_path], None, None
 
     def compared(pairs: DataFrame) -> bool:
+        """Verify pairs; whether any of them link, and components have changed."""
         nonlocal links, found
         pairs, pairs_path, n = materialize_counted(pairs, "pairs")
-        if n:
-            new, new_path = materialize(verified(pairs, n, sets, n_parts), "links")
+        new, new_path, n_links = materialize_counted(verified(pairs, n, sets, n_parts), "links") if n else (None, "", 0)
+        discard(spark, pairs_path, *([new_path] if n and not n_links else []))
+        free_shuffles(spark)
+        if n_links:
             links = new if links is None else links.union(new)
-            old = found
-            found, found_path = materialize(components(links), "found")
-            discard(spark, pairs_path, *([old[1]] if old else []))
-            found = (found, found_path)
             paths.append(new_path)
-        else:
-            discard(spark, pairs_path)
-        return n > 0
-
-    def labelled() -> DataFrame:
-        if found is None:
-            return entries.withColumn("component", F.col("node"))
-        return entries.join(found[0].select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+            old, found = found, materialize(components(links), "found")
+            discard(spark, *([old[1]] if old else []))
+        return n_links > 0
 
+    own, own_path = entries.withColumn("component", F.col("node")), ""
     for turn in range(ROUNDS):
-        own, own_path = materialize(labelled(), "entries")
-        more = compared(_pivot_pairs(own, total, turn))
-        discard(spark, own_path)
-        own, own_path = materialize(labelled(), "entries")
+        changed = compared(_pivot_pairs(own, total, turn))
+        if changed:
+            discard(spark, *([own_path] if own_path else []))
+            own = entries.join(found[0].select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+            own, own_path = materialize(own, "entries")
         grams = own.groupBy("gram").agg(F.count("*").cast("double").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         work = grams.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
-        if work and (work <= ENOUGH * total or not more or turn == ROUNDS - 1):
-            compared(_all_pairs(own, total, n_parts))
-        discard(spark, own_path)
-        if work <= ENOUGH * total or not more:
+        if work <= ENOUGH * total or not changed or turn == ROUNDS - 1:
+            if work:
+                compared(_all_pairs(own, total, n_parts))
             break
+    discard(spark, *([own_path] if own_path else []))
     discard(spark, *paths)
     return found if found else (spark.createDataFrame([], "id long, component long"), "")
 
@@ -288,7 +284,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str | N
     sets, _, total = survivors(docs, key, text, mark)
     live = sets.where("sign is not null")
     classes, classes_path = materialize(live.groupBy("sign").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "classes")
-    reps, _ = materialize(join_counted(live.select("node", "sign"), classes, "sign", total).select("node", "rep"), "reps")
+    reps, _ = materialize(join_counted(live.select("node", "sign"), classes, "sign", total, "node").select("node", "rep"), "reps")
     unique = live.join(classes.select(F.col("rep").alias("node")), "node", "left_semi").select("node", "n_shingles", "keys", "counts")
     unique, unique_path = materialize(unique, "unique")
     found, _ = connected(unique, n_parts)
