@@ -43,7 +43,7 @@ class Chunk:
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", batch=None, size: int = CHUNK_BYTES, carry: list[str] | None = None) -> tuple[DataFrame, str]:
     """Write docs as a table of chunks (chunk, batch, ids, known, off, data, row) in the shared folder, without a shuffle.
 
-    The table is bucketed by chunk, so that what comes back for the chunks is joined without shuffling texts again. Returns it and its name.
+    The table is bucketed by chunk, so that what comes back for the chunks is joined without shuffling texts again. Returns it and its folder.
 
     batch: an integer column; a chunk holds rows of one batch. carry: columns that go along, as an Arrow stream.
     The rows of a task that don't fill a chunk make a smaller one.
@@ -92,13 +92,19 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", batch=None, s
     name = f"chunks_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
     packed.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parts(docs), "chunk").saveAsTable(name)
-    return spark.table(name), name
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and out knows them and their buckets
+    return out, path
 
 
-def release(spark, name: str) -> None:
-    """Delete the chunks of a table that `pack` wrote."""
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    discard(spark, f"{shared_folder(spark)}/{name}")
+def exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def release(spark, path: str) -> None:
+    """Delete the chunks that `pack` wrote."""
+    discard(spark, path)
     free_shuffles(spark)
 
 

@@ -25,9 +25,9 @@ COLUMNS = 4096
 PIVOTS = 3
 ROUNDS = 4
 #: Pairs for each prefix entry that are worth enumerating without another round of pivots.
-ENOUGH = 16
+ENOUGH = 64
 #: Documents of a shingle that are paired by a join; more are paired in blocks.
-FEW = 256
+FEW = 4096
 BLOCK = 1024
 #: The comparisons with a document are dealt to so many tasks at least, and to one more for each 100,000 pairs there are.
 SPLITS = 64
@@ -232,14 +232,14 @@ def _all_pairs(entries: DataFrame, total: int, n_parts: int) -> DataFrame:
     return joined.union(many).distinct()
 
 
-def connected(sets: DataFrame, n_parts: int) -> tuple[DataFrame, str]:
+def connected(sets: DataFrame, n_sets: int, n_parts: int) -> tuple[DataFrame, str]:
     """Components (id, component) of the links between sets (node, n_shingles, keys, counts); sets without a link aren't returned. Also where they are written."""
     spark = sets.sparkSession
     entries, entries_path, total = materialize_counted(prefixes(sets), "prefixes")
     paths, links, found = [entries_path], None, None
 
-    def compared(pairs: DataFrame) -> bool:
-        """Verify pairs; whether any of them link, and components have changed."""
+    def compared(pairs: DataFrame) -> int:
+        """Verify pairs; how many of them link."""
         nonlocal links, found
         pairs, pairs_path, n = materialize_counted(pairs, "pairs")
         new, new_path, n_links = materialize_counted(verified(pairs, n, sets, n_parts), "links") if n else (None, "", 0)
@@ -250,18 +250,18 @@ def connected(sets: DataFrame, n_parts: int) -> tuple[DataFrame, str]:
             paths.append(new_path)
             old, found = found, materialize(components(links), "found")
             discard(spark, *([old[1]] if old else []))
-        return n_links > 0
+        return n_links
 
     own, own_path = entries.withColumn("component", F.col("node")), ""
     for turn in range(ROUNDS):
-        changed = compared(_pivot_pairs(own, total, turn))
-        if changed:
+        added = compared(_pivot_pairs(own, total, turn))
+        if added:
             discard(spark, *([own_path] if own_path else []))
             own = entries.join(found[0].select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
             own, own_path = materialize(own, "entries")
-        grams = own.groupBy("gram").agg(F.count("*").cast("double").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        work = grams.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
-        if work <= ENOUGH * total or not changed or turn == ROUNDS - 1:
+        each = own.groupBy("gram", "component").agg(F.count("*").cast("double").alias("k")).groupBy("gram").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inner"))
+        work = each.agg(F.sum(F.col("n") * F.col("n") - F.col("inner"))).first()[0] or 0.0  # twice the pairs of different components
+        if work <= ENOUGH * total or 4 * added < n_sets or turn == ROUNDS - 1:  # another round of pivots wouldn't connect much
             if work:
                 compared(_all_pairs(own, total, n_parts))
             break
@@ -286,8 +286,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str | N
     classes, classes_path = materialize(live.groupBy("sign").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "classes")
     reps, _ = materialize(join_counted(live.select("node", "sign"), classes, "sign", total, "node").select("node", "rep"), "reps")
     unique = live.join(classes.select(F.col("rep").alias("node")), "node", "left_semi").select("node", "n_shingles", "keys", "counts")
-    unique, unique_path = materialize(unique, "unique")
-    found, _ = connected(unique, n_parts)
+    unique, unique_path, n_sets = materialize_counted(unique, "unique")
+    found, _ = connected(unique, n_sets, n_parts)
     rows = sets.select("node", "key", "n_shingles", *["mark"] * bool(mark)).join(reps, "node", "left").withColumn("rep", F.coalesce("rep", "node"))
     out = reached(rows, total, found)
     discard(spark, classes_path, unique_path)

@@ -1,13 +1,16 @@
 """Incremental removal of repeated word windows by a log-structured index of window fingerprints.
 
-The index is a list of immutable runs, sorted by hash within hash ranges. A batch of documents is merge-joined with every run,
-hits are verified by a second, independent hash, what is new becomes one more run, and runs are compacted
-into one when there are FAN of them.
+The index lies in a folder and outlives a call: immutable runs of fingerprints, each a table bucketed by hash range and sorted within it. The windows
+of a batch of documents are shuffled to those ranges and merge-joined there with every run, which stay where they are; hits must agree in
+further bits of an independent hash. What is new becomes one more run, and runs are compacted into one, range by range, when there are FAN of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
+import uuid
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -20,73 +23,72 @@ from gleaner.llm import textkit as tk
 from gleaner.llm.common import discard, free_shuffles, materialize, parts, shared_folder
 
 WINDOW = 13
-#: A window is looked up only if the least hash among its runs of GRAM words is in another document too.
-GRAM = 8
 BATCHES = 4
 FAN = 3
-_ENTRY = "part int, h binary, v binary, first binary"
+#: Ranges of the index for each hash range of the input.
+RANGES = 4
+_ENTRY = "kind int, part int, chunk long, h binary, v binary, first binary"
+_COLUMNS = ["kind", "part", "chunk", "h", "v", "first"]
 
 
-def _words(c: ck.Chunk) -> tuple[tk.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """The chunk's words, their hashes, where windows start, and the least gram hash of each window."""
-    w = tk.Words(c.raw, c.off)
-    h = w.hashes()
-    at = np.flatnonzero(tk.inside(w.doc, WINDOW))
-    least = tk.sliding_min(tk.windows(h, GRAM), WINDOW - GRAM + 1)
-    return w, h, at, least[at] if len(at) else np.zeros(0, np.uint64)
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers as their least and the differences to it, byte plane by byte plane, without planes of zeros above."""
+    low = x.min() if len(x) else np.uint64(0)
+    rest = x - low
+    planes = (int(rest.max(initial=0)).bit_length() + 7) // 8
+    return struct.pack("<QQB", len(x), int(low), planes) + np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
 
 
-def gram_keys(c: ck.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    w, _, at, least = _words(c)
-    new = np.ones(len(at), bool)
-    new[1:] = (least[1:] != least[:-1]) | (w.doc[at][1:] != w.doc[at][:-1])
-    return least[new], w.doc[at][new]
+def unpacked(data) -> np.ndarray:
+    n, low, planes = struct.unpack_from("<QQB", data)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :planes] = np.frombuffer(data, np.uint8, n * planes, 17).reshape(planes, n).T
+    return wide.view(np.uint64).ravel() + np.uint64(low)
+
+
+def sorted_packed(h: np.ndarray) -> bytes:
+    """Ascending numbers as packed steps."""
+    return packed(np.diff(h, prepend=np.uint64(0)))
+
+
+def sorted_unpacked(data) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
 class Entries:
-    """Distinct windows of a chunk that may occur elsewhere: two hashes, the smallest id that has each, and each window's entry."""
+    """Distinct windows of a chunk in order: hash h, 16 bits v of another, the smallest id that has each; and each window's entry."""
 
     def __init__(self, c: ck.Chunk):
-        self.words, h, at, least = _words(c)
-        counts = ck.values_of(c, 0)
-        known = ck.distinct(*gram_keys(c))[0]
-        if len(at):
-            new = np.ones(len(at), bool)
-            new[1:] = least[1:] != least[:-1]
-            seen = counts[np.searchsorted(known, least[new])] >= 2
-            at = at[np.repeat(seen, np.diff(np.append(np.flatnonzero(new), len(at))))]
-        self.at = at
-        self.h = np.zeros(0, np.uint64)
-        self.v = self.first = self.h
+        self.words = w = tk.Words(c.raw, c.off)
+        self.at = at = np.flatnonzero(tk.inside(w.doc, WINDOW))
         self.entry = np.zeros(0, np.int64)
         if not len(at):
+            self.h, self.v, self.first = np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64)
             return
-        a = tk.windows(h, WINDOW)[at]
-        b = tk.windows(self.words.hashes(family=1), WINDOW, 0x9FB21C651E98DF25)[at]
-        ids = c.ids[self.words.doc[at]]
-        order = np.lexsort((ids, b, a))
+        a = tk.windows(w.hashes(), WINDOW)[at]
+        b = (tk.windows(w.hashes(family=1), WINDOW, 0x9FB21C651E98DF25)[at] >> np.uint64(48)).astype(np.uint16)
+        order = np.argsort(a)
+        a, b, ids = a[order], b[order], c.ids[w.doc[at[order]]]
         new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        self.h, self.v, self.first = a[order][new], b[order][new], ids[order][new]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        head = np.flatnonzero(new)
+        self.h, self.v, self.first = a[head], b[head], np.minimum.reduceat(ids, head)
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
 
 
-def _blob(x: np.ndarray) -> pa.Array:
-    return pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
-
-
-def _arrays(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    get = lambda name, t: np.concatenate([np.frombuffer(r[name], t) for r in rows])
-    return get("h", np.uint64), get("v", np.uint64), get("first", np.int64)
-
-
-def _sorted_distinct(h: np.ndarray, v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((first, v, h))
+def _distinct(h: np.ndarray, v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (h, v) with the least first."""
+    order = np.argsort(h, kind="stable")
     h, v, first = h[order], v[order], first[order]
+    tied = np.flatnonzero((h[1:] == h[:-1]) & (v[1:] != v[:-1]))
+    if len(tied):  # two windows share the first hash
+        order = np.lexsort((v, h))
+        h, v, first = h[order], v[order], first[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (v[1:] != v[:-1])
-    return h[new], v[new], first[new]
+    head = np.flatnonzero(new)
+    return h[head], v[head], np.minimum.reduceat(first, head) if len(head) else first
 
 
 def merge_join(run: tuple, wanted: tuple) -> np.ndarray:
@@ -94,131 +96,199 @@ def merge_join(run: tuple, wanted: tuple) -> np.ndarray:
     h, v, first = run
     out = np.full(len(wanted[0]), ck.LAST)
     lo = np.searchsorted(h, wanted[0], "left")
-    hi = np.searchsorted(h, wanted[0], "right")
-    for step in range(int((hi - lo).max(initial=0))):  # more than one only where two windows share the first hash
-        i = lo + step
-        live = np.flatnonzero(i < hi)
-        hit = live[v[i[live]] == wanted[1][live]]
-        out[hit] = np.minimum(out[hit], first[i[hit]])
+    live = np.flatnonzero(lo < len(h))
+    while len(live):  # again only where two windows share the first hash
+        live = live[h[lo[live]] == wanted[0][live]]
+        hit = live[v[lo[live]] == wanted[1][live]]
+        out[hit] = np.minimum(out[hit], first[lo[hit]])
+        lo[live] += 1
+        live = live[lo[live] < len(h)]
     return out
 
 
-class FingerprintIndex:
-    """Sorted runs of window fingerprints in the shared folder."""
+def _row(kind: int, part: int, chunk: int | None, h=None, v=None, first=None) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((kind, part, chunk, h, v, first), kinds)], _COLUMNS)
+
+
+def _encoded(h: np.ndarray, v: np.ndarray, first: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return sorted_packed(h), v.tobytes(), packed(first.view(np.uint64))
+
 
-    def __init__(self, spark: SparkSession, n_parts: int, fan: int = FAN):
-        self.spark, self.n_parts, self.fan = spark, n_parts, fan
-        self.runs: list[tuple[DataFrame, str]] = []
+def _decoded(h, v, first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return sorted_unpacked(h), np.frombuffer(v, np.uint16), unpacked(first).view(np.int64)
+
+
+class FingerprintIndex:
+    """Runs of window fingerprints in a folder; ranges is the number of hash ranges, fixed when the index is made, of which a task holds one at a time."""
+
+    def __init__(self, spark: SparkSession, path: str, ranges: int, runs: list[str] | None = None, fan: int = FAN):
+        self.spark, self.path, self.ranges, self.runs, self.fan = spark, path, ranges, runs or [], fan
+        self.tables: dict[str, str] = {}
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, fan: int = FAN) -> FingerprintIndex:
+        """The index that an earlier call saved there."""
+        rows = spark.read.parquet(f"{path}/manifest").collect()  # a row a version and run
+        version = max(r["version"] for r in rows)
+        own = sorted((r for r in rows if r["version"] == version), key=lambda r: r["at"])
+        out = cls(spark, path, own[0]["ranges"], [r["run"] for r in own if r["run"]], fan)
+        out.version = version
+        return out
+
+    def save(self) -> None:
+        """Write down which runs there are; a reader sees the newest list whole."""
+        self.version += 1
+        rows = [(self.version, i, self.ranges, r) for i, r in enumerate(self.runs)] or [(self.version, 0, self.ranges, None)]
+        self.spark.createDataFrame(rows, "version int, at int, ranges int, run string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _table(self, run: str) -> DataFrame:
+        """A run as a table that Spark knows to be bucketed, so that reading it needs no shuffle."""
+        if run not in self.tables:  # of an earlier call
+            name = self.tables[run] = f"run_{uuid.uuid4().hex}"
+            columns = "part int, chunk long, h binary, v binary, first binary, kind int"
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (kind) CLUSTERED BY (part) INTO {self.ranges} BUCKETS LOCATION '{run}'")
+            self.spark.sql(f"MSCK REPAIR TABLE {name}")
+        return self.spark.table(self.tables[run])
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"run_{uuid.uuid4().hex}"
+        run = f"{self.path}/{name}"
+        rows.write.partitionBy("kind").bucketBy(self.ranges, "part").option("path", run).option("compression", "zstd").saveAsTable(name)
+        self.tables[run] = name
+        return run
+
+    def _with_runs(self, rows: DataFrame | None) -> DataFrame:
+        for i, run in enumerate(self.runs):
+            own = self._table(run).where("kind = 1").select("part", F.lit(-1).cast("long").alias("chunk"), F.lit(i).alias("run"), "h", "v", "first")
+            rows = own if rows is None else rows.union(own)
+        return rows
 
     def add(self, entries: DataFrame) -> DataFrame:
         """Look up a batch and add it: entries (part, chunk, h, v, first), sorted distinct windows of a chunk in a hash range.
 
-        Returns rows (chunk, part, value): a byte for each window, 1 if a smaller id has it, in this batch or an earlier one.
-        Batches may come in any order of ids; a window's smallest id is kept, by a newer run if need be.
+        Returns rows (chunk, part, value): a bit for each window, 1 if a smaller id has it, in this batch or an earlier one.
+        Batches may come in any order of ids; a window's smallest id is kept, by a newer run if need be. Only the batch is shuffled.
         """
-        rows = entries.select("part", "chunk", F.lit(-1).alias("run"), "h", "v", "first")
-        for i, (run, _) in enumerate(self.runs):
-            rows = rows.union(run.select("part", F.lit(-1).cast("long").alias("chunk"), F.lit(i).alias("run"), "h", "v", "first"))
-
-        def merge(batches):
-            names = ["kind", "part", "chunk", "h", "v", "first", "value"]
-            empty = pa.array([None], pa.binary())
-            for group in ck.grouped(batches):
-                part = pa.array([group[0]["part"]], pa.int32())
-                new = [r for r in group if r["run"] < 0]
-                if not new:
-                    continue
-                batch = _sorted_distinct(*_arrays(new))
-                least, old = batch[2].copy(), np.full(len(batch[0]), ck.LAST)
-                for i in sorted({r["run"] for r in group} - {-1}):
-                    old = np.minimum(old, merge_join(_arrays([r for r in group if r["run"] == i]), batch))
-                least = np.minimum(least, old)
-                whole = (batch[0], batch[1], least)
-                values = []
-                for r in new:
-                    h, v, first = _arrays([r])
-                    values.append((merge_join(whole, (h, v)) < first).astype(np.uint8).tobytes())
-                n = len(new)
-                none = pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * n, pa.int32()), pa.array([group[0]["part"]] * n, pa.int32()), pa.array([r["chunk"] for r in new]), none, none, none, pa.array(values, pa.binary())], names
-                )
-                fresh = batch[2] < old
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([1], pa.int32()), part, pa.array([None], pa.int64()), _blob(batch[0][fresh]), _blob(batch[1][fresh]), _blob(batch[2][fresh]), empty], names
-                )
-
-        merged = ck.gather(rows, self.n_parts).mapInArrow(tk.lean(merge), "kind int, part int, chunk long, h binary, v binary, first binary, value binary")
-        path = f"{shared_folder(self.spark)}/run-{id(self)}-{len(self.runs)}-{hashlib.sha1(repr(merged).encode() + np.random.bytes(8)).hexdigest()[:16]}"
-        merged.write.option("compression", "zstd").partitionBy("kind").parquet(path)
-        both = self.spark.read.schema(merged.drop("kind").schema)
-        fs = lambda k: both.parquet(f"{path}/kind={k}") if self._exists(f"{path}/kind={k}") else self.spark.createDataFrame([], merged.drop("kind").schema)
-        self.runs.append((fs(1), f"{path}/kind=1"))
         if len(self.runs) >= self.fan:
             self.compact()
-        return fs(0).select("chunk", "part", "value")
-
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        batch = entries.select("part", "chunk", F.lit(-1).alias("run"), "h", "v", "first").repartition(self.ranges, "part")
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, chunks, own, runs = 0, [], [], []
+            for b in batches:
+                for i in range(b.num_rows):
+                    part = b.column("part")[i].as_py()
+                    blobs = [b.column(c)[i].as_buffer() for c in ("h", "v", "first")]
+                    if b.column("run")[i].as_py() < 0:
+                        chunks.append(b.column("chunk")[i].as_py())
+                        own.append(_decoded(*blobs))
+                    else:
+                        runs.append(blobs)  # decoded one after another below
+            if not own:
+                return
+            h, v, first = _distinct(*(np.concatenate(x) for x in zip(*own)))
+            old = np.full(len(h), ck.LAST)
+            for blobs in runs:
+                old = np.minimum(old, merge_join(_decoded(*blobs), (h, v)))
+            least = np.minimum(first, old)
+            for chunk, (a, b, c) in zip(chunks, own):
+                yield _row(0, part, chunk, np.packbits(merge_join((h, v, least), (a, b)) < c).tobytes())
+            fresh = first < old
+            if fresh.any():
+                yield _row(1, part, None, *_encoded(h[fresh], v[fresh], first[fresh]))
+
+        run = self._write(self._with_runs(batch).groupBy("part").applyInArrow(merge, _ENTRY))
+        self.runs.append(run)
+        if not ck.exists(self.spark, f"{run}/kind=0"):
+            return self.spark.createDataFrame([], "chunk long, part int, value binary")
+        return self.spark.read.schema("chunk long, part int, h binary").parquet(f"{run}/kind=0").withColumnRenamed("h", "value")
 
     def compact(self) -> None:
-        """Merge all runs into one, which keeps each window's smallest id."""
-
-        def merge(batches):
-            for group in ck.grouped(batches):
-                h, v, first = _sorted_distinct(*_arrays(group))
-                yield pa.RecordBatch.from_arrays([pa.array([group[0]["part"]], pa.int32()), _blob(h), _blob(v), _blob(first)], ["part", "h", "v", "first"])
-
-        rows = self.runs[0][0].select("part", "h", "v", "first")
-        for run, _ in self.runs[1:]:
-            rows = rows.union(run.select("part", "h", "v", "first"))
-        merged = materialize(ck.gather(rows, self.n_parts).mapInArrow(tk.lean(merge), _ENTRY), "run")
-        discard(self.spark, *(p for _, p in self.runs))
-        self.runs = [merged]
+        """Merge all runs into one, which keeps each window's smallest id; nothing is shuffled. Answers that were written with the old runs stay."""
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, part = [], 0
+            for b in batches:
+                for i in range(b.num_rows):
+                    part = b.column("part")[i].as_py()
+                    held.append(_decoded(*(b.column(c)[i].as_buffer() for c in ("h", "v", "first"))))
+            yield _row(1, part, None, *_encoded(*_distinct(*(np.concatenate(x) for x in zip(*held)))))
+
+        if len(self.runs) > 1:
+            new = self._write(self._with_runs(None).groupBy("part").applyInArrow(merge, _ENTRY))
+            self._forget()
+            self.runs = [new]
+
+    def _forget(self) -> None:
+        discard(self.spark, *(f"{run}/kind=1" for run in self.runs))
+
+    def drop(self) -> None:
+        """Delete the fingerprints; answers stay."""
+        self._forget()
+        self.runs = []
 
     def close(self) -> None:
-        discard(self.spark, *(p for _, p in self.runs))
-        self.runs = []
+        """Take the tables out of the catalog; their files stay."""
+        for name in self.tables.values():
+            self.spark.sql(f"DROP TABLE {name}")
+        self.tables = {}
 
 
-def entries_of(chunks: DataFrame, counts: DataFrame, n_parts: int) -> DataFrame:
-    """Rows (part, chunk, h, v, first) for FingerprintIndex.add: the windows of each chunk that may occur elsewhere."""
+def entries_of(chunks: DataFrame, ranges: int) -> DataFrame:
+    """Rows (part, chunk, h, v, first) for FingerprintIndex.add: the windows of each chunk."""
 
     def send(batches):
         for c in ck.each(batches):
             e = Entries(c)
-            rows = [(p, e.h[a:b].tobytes(), e.v[a:b].tobytes(), e.first[a:b].tobytes()) for p, a, b in ck.blocks(e.h, n_parts)]
+            rows = [(p, *_encoded(e.h[a:b], e.v[a:b], e.first[a:b])) for p, a, b in ck.blocks(e.h, ranges)]
             if rows:
                 own, *blobs = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([c.number] * len(rows)), *(pa.array(x, pa.binary()) for x in blobs)], ["part", "chunk", "h", "v", "first"])
 
-    return ck.answered(chunks, counts).mapInArrow(tk.lean(send), "part int, chunk long, h binary, v binary, first binary")
+    return chunks.mapInArrow(tk.lean(send), "part int, chunk long, h binary, v binary, first binary")
+
+
+def _flags(c: ck.Chunk, e: Entries, ranges: int) -> np.ndarray:
+    """The answer for each entry."""
+    sent = {part: v for _, part, v in c.back}
+    out = np.zeros(len(e.h), bool)
+    for p, a, b in ck.blocks(e.h, ranges):
+        out[a:b] = np.unpackbits(np.frombuffer(sent[p], np.uint8), count=b - a)
+    return out
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES, keep_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES, keep_text: bool = True, index: str | None = None) -> DataFrame:
     """Rows (key, n_words, n_removed, kept_sha256[, kept_text, removed]), one for each row of docs.
 
     Removes each word covered by a window of 13 words that also starts in a document with a smaller key, judged on the input.
-    Documents enter the index in `batches` ranges of the key. removed: (start, end) in words. A null text has no words;
-    a null key comes after all others, and equal keys don't count as smaller. Other columns are ignored.
+    Documents enter the index in `batches` ranges of the key. index: a folder that all executors see; documents of earlier calls with it count as well, and
+    it is kept (made if there is none) and holds those of docs afterwards. Without one, the fingerprints are deleted at the end.
+    removed: (start, end) in words. A null text has no words; a null key comes after all others, and equal keys don't count as smaller. Keys are whole
+    numbers (others are cast). Texts of any length are whole; a longer one than a chunk (CHUNK_BYTES) is a chunk of its own. Other columns are ignored.
     """
     spark = docs.sparkSession
-    n_parts = parts(docs)
     number = F.lit(0)
     if batches > 1:
         for edge in docs.select(docs[key].cast("double").alias("k")).approxQuantile("k", [i / batches for i in range(1, batches)], 0.02):
             number = number + F.coalesce((docs[key] > edge).cast("int"), F.lit(1))
     chunks, _ = ck.pack(docs, key, text, number)
-    counts, _ = materialize(ck.count_shared(chunks, gram_keys, n_parts), "counts")
-    index = FingerprintIndex(spark, n_parts)
-    flags = None
+    if index and ck.exists(spark, f"{index}/manifest"):
+        log = FingerprintIndex.open(spark, index)
+    else:
+        log = FingerprintIndex(spark, index or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", RANGES * parts(docs))
+    ranges, flags = log.ranges, None
     for b in range(batches):
-        entries = entries_of(chunks.where(F.col("batch") == b), counts, n_parts)
-        found = index.add(entries)
+        found = log.add(entries_of(chunks.where(F.col("batch") == b), ranges))
         flags = found if flags is None else flags.union(found)
         free_shuffles(spark)
-    index.close()
+    if index:
+        log.save()
+        flags, _ = materialize(flags, "flags")  # later calls may compact, and delete, the tables that hold them
+    else:
+        log.drop()
+    log.close()
 
     def finish(batches_):
         names = ["key", "n_words", "n_removed", "kept_sha256"] + ["kept_text", "removed"] * keep_text
@@ -227,8 +297,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int
             w = e.words
             gone = np.zeros(len(w.start), bool)
             if len(e.at):
-                flag = ck.values_of(c, 1) > 0
-                hit = flag[e.entry] | (e.first[e.entry] < c.ids[w.doc[e.at]])
+                hit = _flags(c, e, ranges)[e.entry] | (e.first[e.entry] < c.ids[w.doc[e.at]])
                 gone = tk.covered(e.at[hit], WINDOW, len(gone))
             removed = tk.per_text(gone, w.cut)
             data = c.raw.tobytes()
@@ -244,7 +313,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "key long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, removed array<struct<start:long,end:long>>" * keep_text
-    return ck.answered(chunks, counts, flags).mapInArrow(tk.lean(finish), schema).withColumnRenamed("key", key)
+    return ck.answered(chunks, flags).mapInArrow(tk.lean(finish), schema).withColumnRenamed("key", key)
 
 
 def _spans(gone: np.ndarray, w: tk.Words) -> pa.Array:
