@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import textkit as tk
-from gleaner.llm.common import discard, materialize
 
 UNKNOWN = "und"
 GRAM_BITS = 15
 #: Nats that a change of language within a text costs.
 SWITCH = 12.0
-#: At most so many languages, the most frequent ones, are learned.
-MAX_LANGUAGES = 200
+#: With more languages than this, texts are taken in smaller slices, as a slice needs some bytes a word and language.
+WIDE = 64
 #: A language is a candidate for words of a script that has at least this share of its learned letters.
 SCRIPT_SHARE = 0.002
 #: First code points of script blocks, and the script of each up to the next.
@@ -98,11 +97,12 @@ class Model:
     allowed: np.ndarray  # script x language
 
 
-def learn(docs: DataFrame, lang: str = "lang", text: str = "text", max_languages: int = MAX_LANGUAGES) -> Model:
-    """Count byte trigrams and letters by script of every row of docs with a language.
+def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
+    """Count byte trigrams and letters by script of every row of docs with a language, for every language there is.
 
     Counts are summed in each task before the shuffle; a language has at most 2**GRAM_BITS + len(SCRIPT_NAMES) of them,
-    whatever the size of docs, and at most max_languages languages are kept, so the model's size has a fixed bound.
+    whatever the size of docs. They become a vector a language on the executors, and those come to the driver: some 130 kB for each language.
+    Rows whose language or text is null are not learned from; repeated rows count each time.
     """
     rows = docs.where(docs[lang].isNotNull() & docs[text].isNotNull()).select(docs[lang].alias("lang"), docs[text].alias("text"))
 
@@ -128,25 +128,26 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", max_languages
             at = np.flatnonzero(own)
             yield tk.batch(["lang", "slot", "n"], [pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])])
 
-    counts, path = materialize(rows.mapInArrow(tk.lean(count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "grams")
-    top = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
-    table = np.zeros((len(top), (1 << GRAM_BITS) + len(SCRIPT_NAMES)))
-    for r in counts.where(F.col("lang").isin(top)).toLocalIterator() if top else []:
-        table[top.index(r["lang"]), r["slot"]] = r["n"]
-    discard(docs.sparkSession, path)
-    order = np.argsort(top, kind="stable")
-    table, top = table[order], [top[i] for i in order]
-    grams = table[:, : 1 << GRAM_BITS] + 0.5
-    share = np.log(grams / grams.sum(1, keepdims=True)) if top else grams
-    script = table[:, 1 << GRAM_BITS :]
+    counts = rows.mapInArrow(tk.lean(count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+
+    def vector(table: pa.Table) -> pa.Table:
+        own = np.zeros((1 << GRAM_BITS) + len(SCRIPT_NAMES))
+        own[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+        grams = own[: 1 << GRAM_BITS] + 0.5
+        values = [table.column("lang")[0].as_py(), np.log(grams / grams.sum()).astype(np.float32).tobytes(), own[1 << GRAM_BITS :].tobytes()]
+        return pa.table([pa.array([v]) for v in values], ["lang", "shares", "scripts"])
+
+    found = sorted(counts.groupBy("lang").applyInArrow(vector, "lang string, shares binary, scripts binary").collect(), key=lambda r: r["lang"])
+    share = np.stack([np.frombuffer(r["shares"], np.float32) for r in found]) if found else np.zeros((0, 1 << GRAM_BITS), np.float32)
+    script = np.stack([np.frombuffer(r["scripts"]) for r in found]) if found else np.zeros((0, len(SCRIPT_NAMES)))
     allowed = (script / np.maximum(script.sum(1, keepdims=True), 1) >= SCRIPT_SHARE).T
-    return Model(top, share.astype(np.float32), allowed)
+    return Model([r["lang"] for r in found], share, allowed)
 
 
 def label_words(model: Model, scan: Scan, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray]:
     """Label of each word (-1: no letters) by Viterbi, and its margin: log score over the mean of the other candidates'."""
     w, n_lang = scan.words, len(model.languages)
-    score = np.empty((len(w.start), n_lang))
+    score = np.empty((len(w.start), n_lang), np.float32)
     total = np.zeros(len(w.raw) + 1)
     for i in range(n_lang):
         np.cumsum(model.log_share[i][scan.gram], dtype=np.float64, out=total[1:])
@@ -198,6 +199,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     lang_pred is the language of most letters, `und` if the text is null or has no letter (or nothing was learned);
     score is the share of letters labelled so, times 1 / (1 + exp(-margin a word)). spans: (start, end, lang), byte offsets of
     maximal runs of words of one language. row: a struct of the columns to carry. Ties go to the language that sorts first; repeated rows and null keys stay.
+    A text is labelled as a whole, however long: a task holds some 6 bytes for each of its words and languages.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
@@ -205,7 +207,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     def run(batches):
         m = sent.value
         n_lang = len(m.languages)
-        for part in tk.slices(batches, limit=2 * tk.SLICE_BYTES):
+        for part in tk.slices(batches, limit=2 * tk.SLICE_BYTES * WIDE // max(n_lang, WIDE)):
             raw, off = tk.bytes_of(part.column("text"))
             n = len(off) - 1
             scan = Scan(raw, off)

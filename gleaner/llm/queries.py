@@ -37,14 +37,13 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.weigh(table(spark, sf_dir, "documents"), mixing.Target(entropy=0.97, repetition=4.0))
+    return mixing.weigh(table(spark, sf_dir, "documents"), mixing.Target(entropy=0.9999, repetition=2.0))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs.where(~held_out(F.col("doc_id"))))
-    found = language.predict(docs, model, spans=False)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return language.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"), "spans")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,23 +297,60 @@ def test_mixing(spark, docs, none):
     assert mixing.entropy(w) == pytest.approx(0.9 * np.log(3), abs=1e-6)
     _, w = mixing.solve(tokens, mixing.Target(entropy=0.9, repetition=3.0))
     assert mixing.repetition(tokens, w, mixing.Target()) == pytest.approx(3.0, rel=1e-6)
-    assert mixing.solve([5.0], mixing.Target())[1] == [1.0] and mixing.solve([], mixing.Target())[1] == []
+    assert mixing.solve([5.0], mixing.Target())[1].tolist() == [1.0] and mixing.solve([], mixing.Target())[1].tolist() == []
+
+    many = mixing.solve([50.0, 3.0], mixing.Target(entropy=0.95, repetition=None), count=np.array([1.0, 40.0]))  # equal sources may come as a count
+    single = mixing.solve([50.0] + [3.0] * 40, mixing.Target(entropy=0.95, repetition=None))
+    assert many[0] == pytest.approx(single[0]) and many[1][1] == pytest.approx(single[1][7])
 
     rows = [(i, "w " * 10, "hot" if i % 10 else "cold") for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     target = mixing.Target(entropy=None, repetition=None, budget=30_000.0)
     got = mixing.weigh(df, target)
-    by = {r["source"]: r for r in got.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("read"), F.max("weight").alias("w"), F.sum("tokens").alias("n")).collect()}
+    read = got.where("epoch is not null")
+    by = {r["source"]: r for r in read.groupBy("source").agg(F.sum("tokens").alias("read"), F.max("weight").alias("w")).collect()}
     for r in by.values():  # the budget is met to a block
-        assert abs(r["read"] - 30_000 * r["w"]) <= 3 * r["n"] / mixing.BLOCKS + 100
-    plan = {(r["source"], r["block"]): r["copies"] for r in got.collect()}
-    assert sorted(r["doc_id"] for r in mixing.realise(df, target).collect()) == sorted(r["doc_id"] for r in got.collect() for _ in range(plan[r["source"], r["block"]]))
+        assert abs(r["read"] - 30_000 * r["w"]) <= 3 * 40_000 / mixing.BLOCKS + 100
+    assert sorted(r["doc_id"] for r in mixing.realise(df, target).collect()) == sorted(r["doc_id"] for r in read.collect())
+    assert {r["doc_id"] for r in got.collect()} == set(range(4000))
     whole = mixing.realise(docs, mixing.Target(repetition=1.5))
     assert whole.columns == docs.columns and whole.count() >= len(ROWS)
-    assert mixing.weigh(docs, mixing.Target()).count() == len(ROWS)
+    assert mixing.weigh(docs, mixing.Target()).select("doc_id", "source").distinct().count() == len({(r[0], r[3]) for r in ROWS})
     assert mixing.weigh(none).count() == 0 and mixing.realise(none).count() == 0
 
 
+def test_mixing_against_plain_python(spark):
+    """Every read of every document, from the same permutations by plain Python."""
+    rng = random.Random(12)
+    rows = [(i, " ".join("w" * rng.randint(0, 30)), rng.choice(["a"] * 12 + ["b", "c", None])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = mixing.Target(entropy=0.98, repetition=3.0)
+    block = {r["doc_id"]: r["b"] for r in df.select("doc_id", mixing.block_of(F.col("doc_id"), target.seed).alias("b")).collect()}
+    tokens, blocks = {}, {}
+    for i, t, s in rows:
+        n = len(t.split())
+        tokens[s] = tokens.get(s, 0) + n
+        blocks.setdefault(s, {})[block[i]] = blocks.get(s, {}).get(block[i], 0) + n
+    names = sorted(tokens, key=str)
+    exponent, weights = mixing.solve([tokens[s] for s in names], target)
+    assert 0 < exponent < 1  # the target binds
+    budget = mixing.budget_of([tokens[s] for s in names], weights, target)
+    marks = {(r["b"], r["e"]): r["h"] for r in spark.range(mixing.BLOCKS).select(F.col("id").cast("int").alias("b")).crossJoin(spark.range(6).select(F.col("id").alias("e"))).select("b", "e", F.xxhash64("b", "e", F.lit(target.seed)).alias("h")).collect()}
+    turns = {}
+    for s, w in zip(names, weights):
+        repeat = budget * w / tokens[s]
+        assert 1 - 1e-9 <= repeat <= 3 + 1e-6
+        for epoch in range(int(repeat + 1e-9) + 1):
+            before = 0
+            for place, b in enumerate(sorted(blocks[s], key=lambda b: (marks[b, epoch], b))):
+                if epoch < int(repeat + 1e-9) or before < (repeat - int(repeat + 1e-9)) * tokens[s] - 0.5:
+                    turns.setdefault((s, b), []).append((epoch, place))
+                before += blocks[s][b]
+    want = [(i, s, e, p) for i, t, s in rows for e, p in turns[s, block[i]]]
+    got = [(r["doc_id"], r["source"], r["epoch"], r["place"]) for r in mixing.weigh(df, target).collect()]
+    assert as_bag(got) == as_bag(want) and len(got) > len(rows)
+
+
 def test_sharding(docs, none):
     got = sharding.assign(docs, 16).collect()
     assert len(got) == len(ROWS)
