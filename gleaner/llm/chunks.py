@@ -7,6 +7,7 @@ the answer that comes back is a byte a key. No task gets more of a frequent key
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -120,6 +121,36 @@ def each(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             yield Chunk(b.column("chunk")[i].as_py(), get("ids", np.int64), get("known", np.uint8).astype(bool), get("data", np.uint8), get("off", np.int64), got, row)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers as their least and the differences to it, byte plane by byte plane, without planes of zeros above."""
+    low = x.min() if len(x) else np.uint64(0)
+    rest = x - low
+    planes = (int(rest.max(initial=0)).bit_length() + 7) // 8
+    return struct.pack("<QQB", len(x), int(low), planes) + np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    n, low, planes = struct.unpack_from("<QQB", data)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :planes] = np.frombuffer(data, np.uint8, n * planes, 17).reshape(planes, n).T
+    return wide.view(np.uint64).ravel() + np.uint64(low)
+
+
+def packed_size(data) -> int:
+    """Bytes of the packed numbers at the beginning of data."""
+    n, _, planes = struct.unpack_from("<QQB", data)
+    return 17 + n * planes
+
+
+def sorted_packed(h: np.ndarray) -> bytes:
+    """Ascending numbers as packed steps."""
+    return packed(np.diff(h, prepend=np.uint64(0)))
+
+
+def sorted_unpacked(data) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """Hash range of each key; sorted keys have sorted parts."""
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)

@@ -1,9 +1,10 @@
 """Exact Jaccard join of documents on word shingles, as a blocked product of the sparse document by n-gram incidence.
 
-Candidates are pairs that share one of their rarest shingles, as far as sizes and the places of that shingle allow a link. Their overlaps are entries
-of the product of the incidence matrix with its transpose: only the wanted entries are worked out, in blocks of n-grams, and a pair goes as soon as what
-is left can't bring it to its bound. As only what links connect is asked for, pairs that earlier links connect already aren't looked at, which keeps
-a group of many copies from being compared pair by pair; everything else is.
+Documents that share one of their rarest shingles, or are joined by a chain of such, form a family. A family is cut into blocks, and the overlaps of
+a pair of blocks are worked out as a product of the incidence matrix with its transpose, for pairs whose sizes allow a link. A family of too many
+blocks is compared pair by pair instead, where sizes and the places of the shared shingle allow a link; as only what links connect is asked for,
+its documents are first compared with a few pivots of each shingle, and pairs that links connect already aren't looked at, so that
+neither a large group of copies nor a long chain of documents with little in common takes all pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ ROUNDS = 4
 ENOUGH = 64
 #: Documents of a shingle that are paired by a join; more are paired in blocks.
 FEW = 4096
-BLOCK = 1024
+#: Documents a side of a block of the product; families of more than MANY blocks are compared pair by pair.
+BLOCK, MANY = 1024, 8
+#: An n-gram that so many documents of a side have is a column of a dense product; the others' pairs are counted one by one.
+DENSE = 16
 #: The comparisons with a document are dealt to so many tasks at least, and to one more for each 100,000 pairs there are.
 SPLITS = 64
 
@@ -232,11 +236,12 @@ def _all_pairs(entries: DataFrame, total: int, n_parts: int) -> DataFrame:
     return joined.union(many).distinct()
 
 
-def connected(sets: DataFrame, n_sets: int, n_parts: int) -> tuple[DataFrame, str]:
-    """Components (id, component) of the links between sets (node, n_shingles, keys, counts); sets without a link aren't returned. Also where they are written."""
+def pair_links(sets: DataFrame, entries: DataFrame, total: int, n_parts: int) -> tuple[DataFrame | None, list[str]]:
+    """links_between for sets of large families, given their prefixes: by pivots, and then by all pairs that aren't connected yet and may link."""
     spark = sets.sparkSession
-    entries, entries_path, total = materialize_counted(prefixes(sets), "prefixes")
-    paths, links, found = [entries_path], None, None
+    entries, entries_path = materialize(entries, "prefixes")
+    n_sets = sets.count()
+    paths, links, found = [], None, None
 
     def compared(pairs: DataFrame) -> int:
         """Verify pairs; how many of them link."""
@@ -265,9 +270,130 @@ def connected(sets: DataFrame, n_sets: int, n_parts: int) -> tuple[DataFrame, st
             if work:
                 compared(_all_pairs(own, total, n_parts))
             break
-    discard(spark, *([own_path] if own_path else []))
-    discard(spark, *paths)
-    return found if found else (spark.createDataFrame([], "id long, component long"), "")
+    discard(spark, entries_path, *([own_path] if own_path else []), *([found[1]] if found else []))
+    return links, paths
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of a shares with each one of b: a product of two sparse incidence matrices, accumulated over blocks of n-grams.
+
+    An n-gram of few sets adds one to each pair of them; those of many make columns of dense blocks.
+    """
+    out = np.zeros((len(a), len(b)), np.int32)
+    ka, kb = np.concatenate(a), np.concatenate(b)
+    ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    both = np.intersect1d(ka, kb)
+    if not len(both):
+        return out
+
+    def entries(k, r):
+        at = np.minimum(np.searchsorted(both, k), len(both) - 1)
+        real = both[at] == k
+        order = np.argsort(at[real], kind="stable")
+        return at[real][order], r[real][order]
+
+    (ia, ra), (ib, rb) = entries(ka, ra), entries(kb, rb)
+    na, nb = np.bincount(ia, minlength=len(both)), np.bincount(ib, minlength=len(both))
+    dense = (na >= DENSE) & (nb >= DENSE)
+    first_b = np.cumsum(nb) - nb
+    flat = out.reshape(-1)
+    light = np.flatnonzero(~dense[ia])
+    for at in range(0, len(light), 1 << 16):  # each entry of a with all of b's in its column
+        own = light[at : at + (1 << 16)]
+        times = nb[ia[own]]
+        within = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        pair = np.repeat(ra[own], times) * len(b) + rb[np.repeat(first_b[ia[own]], times) + within]
+        cell, n = np.unique(pair, return_counts=True)
+        flat[cell] += n.astype(np.int32)
+    column = np.cumsum(dense) - 1
+    keep_a, keep_b = dense[ia], dense[ib]
+    ca, ra, cb, rb = column[ia[keep_a]], ra[keep_a], column[ib[keep_b]], rb[keep_b]
+    for at in range(0, int(dense.sum()), COLUMNS):
+        width = min(COLUMNS, int(dense.sum()) - at)
+        sa, sb = slice(*np.searchsorted(ca, [at, at + width])), slice(*np.searchsorted(cb, [at, at + width]))
+        ma, mb = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        ma[ra[sa], ca[sa] - at] = 1
+        mb[rb[sb], cb[sb] - at] = 1
+        out += np.rint(ma @ mb.T).astype(np.int32)  # at most COLUMNS, so exact
+    return out
+
+
+def linked(a: list[np.ndarray], size_a: np.ndarray, b: list[np.ndarray], size_b: np.ndarray) -> np.ndarray:
+    """Which sets of a and b link, as a matrix. Sets that no other's size allows a link with take no part in the product."""
+    fit = (100 * np.minimum.outer(size_a, size_b) >= PERCENT * np.maximum.outer(size_a, size_b)) & (np.minimum.outer(size_a, size_b) > 0)
+    rows, cols = np.flatnonzero(fit.any(1)), np.flatnonzero(fit.any(0))
+    out = np.zeros(fit.shape, bool)
+    if len(rows) and len(cols):
+        o = overlaps([a[i] for i in rows], [b[i] for i in cols])
+        out[np.ix_(rows, cols)] = ((100 + PERCENT) * o.astype(np.int64) >= PERCENT * np.add.outer(size_a[rows], size_b[cols])) & (o > 0)
+    return out & fit
+
+
+def forest(node_a: np.ndarray, node_b: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links enough to connect what the matrix connects: at most one a node."""
+    n, m = link.shape
+    i, j = np.nonzero(link)
+    label = np.arange(n + m)
+    while True:
+        now = label.copy()
+        np.minimum.at(now, i, label[n + j])
+        np.minimum.at(now, n + j, label[i])
+        now = np.minimum(now, now[now])
+        if (now == label).all():
+            break
+        label = now
+    nodes = np.concatenate([node_a, node_b])
+    return nodes, nodes[label]
+
+
+def block_links(rows: DataFrame, n_parts: int) -> DataFrame:
+    """Rows (a, b) that connect the sets of each family; rows: (node, family, blocks, size, keys).
+
+    A pair of blocks is a task's work; a set goes to as many as its family has blocks, MANY at most.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "keys")
+    )
+    dealt = dealt.withColumn("cell", F.struct("family", "i", "j"))
+
+    def run(batches):
+        for group in ck.grouped(batches, "cell"):
+            i, j = group[0]["i"], group[0]["j"]
+            side = [[r for r in group if r["own"] == x] for x in ((i,) if i == j else (i, j))]
+            if not all(side):
+                continue
+            take = lambda rows: ([np.frombuffer(r["keys"], np.uint64) for r in rows], np.array([r["size"] for r in rows]), np.array([r["node"] for r in rows]))
+            (ka, sa, na), (kb, sb, nb) = take(side[0]), take(side[-1])
+            x, y = forest(na, nb, linked(ka, sa, kb, sb))
+            real = x != y
+            yield pa.RecordBatch.from_arrays([pa.array(x[real]), pa.array(y[real])], ["a", "b"])
+
+    return dealt.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(tk.lean(run), "a long, b long")
+
+
+def links_between(sets: DataFrame, n_sets: int, n_parts: int) -> tuple[DataFrame, list[str]]:
+    """Rows (a, b): links enough to connect what all links between sets (node, n_shingles, keys, counts) connect. Also the tables that they are read from."""
+    entries, entries_path, total = materialize_counted(prefixes(sets), "prefixes")
+    star = entries.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.count("*").alias("n")).where("last > a").select("gram", "a", "n")
+    touching = join_counted(entries.select("gram", "node"), star, "gram", total, "node").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    found, found_path = materialize(components(touching), "families")
+    sizes = found.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    tagged = join_counted(found.select(F.col("id").alias("node"), F.col("component").alias("family")), sizes, "family", n_sets, "node")
+    tagged, tagged_path = materialize(tagged, "families")
+    small = sets.select("node", F.col("n_shingles").alias("size"), "keys").join(tagged.where(F.col("blocks") <= MANY), "node")
+    links, path = materialize(block_links(small, n_parts), "links")
+    paths = [path]
+    if not tagged.where(F.col("blocks") > MANY).isEmpty():
+        large, large_path = materialize(sets.join(tagged.where(F.col("blocks") > MANY).select("node"), "node", "left_semi"), "large")
+        more, more_paths = pair_links(large, entries.join(large.select("node"), "node", "left_semi"), total, n_parts)
+        links = links.union(more) if more is not None else links
+        paths += more_paths
+        discard(sets.sparkSession, large_path)
+    discard(sets.sparkSession, entries_path, found_path, tagged_path)
+    free_shuffles(sets.sparkSession)
+    return links, paths
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
@@ -287,10 +413,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str | N
     reps, _ = materialize(join_counted(live.select("node", "sign"), classes, "sign", total, "node").select("node", "rep"), "reps")
     unique = live.join(classes.select(F.col("rep").alias("node")), "node", "left_semi").select("node", "n_shingles", "keys", "counts")
     unique, unique_path, n_sets = materialize_counted(unique, "unique")
-    found, _ = connected(unique, n_sets, n_parts)
+    links, paths = links_between(unique, n_sets, n_parts)
+    found = components(links)
     rows = sets.select("node", "key", "n_shingles", *["mark"] * bool(mark)).join(reps, "node", "left").withColumn("rep", F.coalesce("rep", "node"))
     out = reached(rows, total, found)
-    discard(spark, classes_path, unique_path)
+    discard(spark, classes_path, unique_path, *paths)
     return out.select("node", F.col("key").alias(key), "n_shingles", "component_id", "first_node", *([F.col("mark").alias(mark)] if mark else []))
 
 

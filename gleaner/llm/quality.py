@@ -207,6 +207,15 @@ def _distinct(c: ck.Chunk, n_parts: int) -> tuple[list[str], list[tuple[np.ndarr
     return names, out, key
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Floats byte plane by byte plane, of which those of the exponents compress well."""
+    return np.ascontiguousarray(x.astype(np.float32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _floats(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.float32).ravel()
+
+
 def _looked_up(chunks: DataFrame, model: KneserNey, n_parts: int) -> DataFrame:
     """Rows (chunk, part, value): the log probabilities of the chunk's distinct n-grams of a hash range, language by language, in order.
 
@@ -214,12 +223,11 @@ def _looked_up(chunks: DataFrame, model: KneserNey, n_parts: int) -> DataFrame:
     """
 
     def block(part, chunk, names, keys, values):
-        low = [np.ascontiguousarray(k.view(np.uint8).reshape(-1, 8)[:, :ORDER]).tobytes() for k in keys]
-        return part, chunk, names, [len(k) for k in keys], b"".join(low), values
+        return part, chunk, names, b"".join(ck.sorted_packed(k.view(np.uint64)) for k in keys), values
 
     def batch(rows):
-        kinds = [pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["part", "chunk", "langs", "sizes", "low", "p"])
+        kinds = [pa.int32(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["part", "chunk", "langs", "low", "p"])
 
     def send(batches):
         for c in ck.each(batches):
@@ -244,7 +252,7 @@ def _looked_up(chunks: DataFrame, model: KneserNey, n_parts: int) -> DataFrame:
                 cut = np.searchsorted(part[mine], np.arange(n_parts + 1))
                 for p in np.flatnonzero(np.diff(cut)).tolist():
                     own = mine[cut[p] : cut[p + 1]]
-                    yield batch([block(p, None, [x], [k[own]], v[own].tobytes())])
+                    yield batch([block(p, None, [x], [k[own]], _planes(v[own]))])
 
         held, size = [], 0
         for b in batches:
@@ -257,10 +265,11 @@ def _looked_up(chunks: DataFrame, model: KneserNey, n_parts: int) -> DataFrame:
             yield from flush(held)
 
     def keys_of(row):
-        wide = np.zeros((sum(row["sizes"]), 8), np.uint8)
-        wide[:, :ORDER] = np.frombuffer(row["low"], np.uint8).reshape(-1, ORDER)
-        cut = np.cumsum([0, *row["sizes"]])
-        return {x: wide.view(np.int64).ravel()[a:b] for x, a, b in zip(row["langs"], cut, cut[1:])}
+        data, out = memoryview(row["low"]), {}
+        for x in row["langs"]:
+            out[x] = ck.sorted_unpacked(data).view(np.int64)
+            data = data[ck.packed_size(data) :]
+        return out
 
     def answer(batches):
         for rows in ck.grouped(batches):
@@ -268,7 +277,7 @@ def _looked_up(chunks: DataFrame, model: KneserNey, n_parts: int) -> DataFrame:
             for r in rows:
                 if r["chunk"] is None:
                     ((x, k),) = keys_of(r).items()
-                    known.setdefault(x, []).append((k, np.frombuffer(r["p"], np.float32)))
+                    known.setdefault(x, []).append((k, _floats(r["p"])))
             table = {}
             for x, own in known.items():
                 k, v = (np.concatenate(y) for y in zip(*own))
@@ -283,10 +292,10 @@ def _looked_up(chunks: DataFrame, model: KneserNey, n_parts: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(k, wanted), len(k) - 1)
                     if not (k[at] == wanted).all():
                         raise ValueError("an n-gram that the model has not counted")
-                    out.append(v[at].tobytes())
-                yield tk.batch(["chunk", "part", "value"], [pa.array([r["chunk"]]), pa.array([r["part"]], pa.int32()), pa.array([b"".join(out)], pa.binary())])
+                    out.append(v[at])
+                yield tk.batch(["chunk", "part", "value"], [pa.array([r["chunk"]]), pa.array([r["part"]], pa.int32()), pa.array([_planes(np.concatenate(out))], pa.binary())])
 
-    schema = "part int, chunk long, langs array<string>, sizes array<int>, low binary, p binary"
+    schema = "part int, chunk long, langs array<string>, low binary, p binary"
     rows = chunks.mapInArrow(tk.lean(send), schema).union(model.tables[-1][0].mapInArrow(tk.lean(pack), schema))
     return ck.gather(rows, n_parts).mapInArrow(tk.lean(answer), "chunk long, part int, value binary")
 
@@ -305,7 +314,7 @@ def measure(docs: DataFrame, model: KneserNey, key: str = "doc_id", lang: str =
     def run(batches):
         for c in ck.each(batches):
             langs, found, gram = _distinct(c, n_parts)
-            sent = {p: np.frombuffer(v, np.float32) for _, p, v in c.back}
+            sent = {p: _floats(v) for _, p, v in c.back}
             used = dict.fromkeys(sent, 0)
             value = np.zeros(len(gram))
             for k, part, mine in found:

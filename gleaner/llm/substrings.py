@@ -8,7 +8,6 @@ further bits of an independent hash. What is new becomes one more run, and runs
 from __future__ import annotations
 
 import hashlib
-import struct
 import uuid
 from collections.abc import Iterator
 from itertools import compress
@@ -31,30 +30,6 @@ _ENTRY = "kind int, part int, chunk long, h binary, v binary, first binary"
 _COLUMNS = ["kind", "part", "chunk", "h", "v", "first"]
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Unsigned 64-bit numbers as their least and the differences to it, byte plane by byte plane, without planes of zeros above."""
-    low = x.min() if len(x) else np.uint64(0)
-    rest = x - low
-    planes = (int(rest.max(initial=0)).bit_length() + 7) // 8
-    return struct.pack("<QQB", len(x), int(low), planes) + np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
-
-
-def unpacked(data) -> np.ndarray:
-    n, low, planes = struct.unpack_from("<QQB", data)
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :planes] = np.frombuffer(data, np.uint8, n * planes, 17).reshape(planes, n).T
-    return wide.view(np.uint64).ravel() + np.uint64(low)
-
-
-def sorted_packed(h: np.ndarray) -> bytes:
-    """Ascending numbers as packed steps."""
-    return packed(np.diff(h, prepend=np.uint64(0)))
-
-
-def sorted_unpacked(data) -> np.ndarray:
-    return np.cumsum(unpacked(data), dtype=np.uint64)
-
-
 class Entries:
     """Distinct windows of a chunk in order: hash h, 16 bits v of another, the smallest id that has each; and each window's entry."""
 
@@ -112,11 +87,11 @@ def _row(kind: int, part: int, chunk: int | None, h=None, v=None, first=None) ->
 
 
 def _encoded(h: np.ndarray, v: np.ndarray, first: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    return sorted_packed(h), v.tobytes(), packed(first.view(np.uint64))
+    return ck.sorted_packed(h), v.tobytes(), ck.packed(first.view(np.uint64))
 
 
 def _decoded(h, v, first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return sorted_unpacked(h), np.frombuffer(v, np.uint16), unpacked(first).view(np.int64)
+    return ck.sorted_unpacked(h), np.frombuffer(v, np.uint16), ck.unpacked(first).view(np.int64)
 
 
 class FingerprintIndex:

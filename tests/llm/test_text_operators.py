@@ -145,9 +145,12 @@ def test_jaccard_join(docs, none):
     assert jaccard.keep_one(none).count() == 0
 
 
-def test_jaccard_blocks(spark, monkeypatch):
-    """Families beyond a block are compared in pairs of blocks, with the same result."""
+@pytest.mark.parametrize("many, few", [(8, 4096), (0, 4096), (0, 4)])
+def test_jaccard_blocks(spark, monkeypatch, many, few):
+    """Families beyond a block are compared in pairs of blocks, and large ones by pivots and pairs, with the same result."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "MANY", many)
+    monkeypatch.setattr(jaccard, "FEW", few)
     rng = random.Random(1)
     base = sentence(rng, 60).split()
     rows = []
@@ -168,6 +171,59 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert len(set(label)) > 1
 
 
+def test_overlaps():
+    """Dense and light columns of the product, against sets."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(100, 5000, 50)])).astype(np.uint64) for _ in range(120)]
+    got = jaccard.overlaps(sets[:70], sets[60:])
+    assert (got == [[len(set(x.tolist()) & set(y.tolist())) for y in sets[60:]] for x in sets[:70]]).all()
+
+
+def test_long_structured_words_are_told_apart(spark):
+    """Words that arithmetic hashes confuse (Thue-Morse words) make different windows and shingles."""
+    turn = lambda n, c: "".join(c[bin(i).count("1") & 1] for i in range(n))
+    a, b = turn(2048, "ab"), turn(2048, "ba")
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([a, *words])), (2, " ".join([b, *words])), (3, " ".join([a] * 2 + [b] * 3)), (4, " ".join([b] * 2 + [a] * 3)), (5, " ".join([a, *words]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.dedup(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}  # 1 and 2 share 8 of 10 shingles
+    both = [tk.spans(np.frombuffer((a + b).encode(), np.uint8), np.array([0, 2048]), np.array([2048, 4096]), f) for f in (0, 1)]
+    assert both[0][0] != both[0][1] and both[1][0] != both[1][1]
+    assert {r["doc_id"]: r["n_repeat_words"] for r in quality.judge(df.withColumn("lang", F.lit("x"))).collect()}[3] == 0
+
+
+def test_index_outlives_a_call(spark, docs, tmp_path):
+    """Documents dealt to two calls, and to a third one after compaction, lose what one call over all of them takes; earlier windows that nothing shared then count."""
+    plain = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
+    want = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substrings.dedup(plain).collect()}
+    got, path = {}, f"file://{tmp_path}/index"
+    for lo, hi in ((0, 30), (30, 50), (50, 60), (60, 1000)):
+        part = substrings.dedup(plain.where(f"doc_id >= {lo} and doc_id < {hi}"), batches=1, index=path)
+        got |= {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in part.collect()}
+    assert got == want and sum(w[0] for w in want.values()) > 200
+    assert len(substrings.FingerprintIndex.open(spark, path).runs) < 4  # it was compacted
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("run_", "chunks_"))]
+
+
+def test_texts_beyond_a_chunk(spark):
+    """Texts larger than a slice and a chunk, of which one repeats most of another."""
+    rng = random.Random(5)
+    words = [sentence(rng, 1) for _ in range(3000)]
+    one = " ".join(rng.choice(words) for _ in range(330_000))
+    rows = [(1, one), (2, "start " + one[: 9 * len(one) // 10]), (3, "short text")]
+    assert len(one.encode()) > 2 << 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r["doc_id"]: r for r in substrings.dedup(df, keep_text=False).collect()}
+    n = len(rows[1][1].split())
+    assert cut[1]["n_removed"] == 0 and n - 3 <= cut[2]["n_removed"] <= n - 1 and cut[1]["n_words"] == 330_000
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(df).collect()} == {1: 1, 2: 1, 3: 3}
+    gone = {r["doc_id"]: r for r in suffixes.dedup(df, keep_text=False).collect()}
+    assert gone[1]["n_removed"] == 0 and gone[2]["n_bytes"] - gone[2]["n_removed"] < 60
+    assert {r["doc_id"]: r["n_words"] for r in quality.judge(df.withColumn("lang", F.lit("x"))).collect()} == {1: 330_000, 2: n, 3: 2}
+    assert all(r["round_trip"] for r in pieces.encode(df, keep_ids=False).collect())
+
+
 def test_quality_counts(docs, none):
     got = quality.judge(docs)
     want = []
