@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm import textkit as tk
-from gleaner.llm.common import discard, materialize
+from gleaner.llm.common import discard, materialize, parts
 
 N_FOURIER = 192
 #: Width of the Gaussian kernel, in standard deviations of a statistic.
 WIDTH = 5.0
 RIDGE = 1e-3
 SCORE_BINS = 2000
+FAN = 16
+#: One in so many labelled rows, by a hash of the key, is kept from the fit and calibrates its scores.
+CALIBRATE = 4
 STATISTICS = [
     "log_bytes", "log_words", "word_length", "word_length_sd", "upper_share", "digit_share", "symbol_share", "punct_share", "space_share", "high_share",
     "distinct_words", "top_word_share", "repeat_next", "repeat_pairs", "log_lines", "words_a_line", "repeat_lines", "all_upper_words", "marked_words",
@@ -130,8 +133,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(-1, width)
 
 
-def _summed(rows: DataFrame, make, size: int, fan: int = 16) -> np.ndarray:
-    """Sum of make(matrix, labels) over all batches: one vector of a fixed size a task, then `fan` partial sums, then one."""
+def _summed(rows: DataFrame, make, size: int) -> np.ndarray:
+    """Sum of make(matrix, labels) over all batches: one vector of a fixed size a task, then partial sums of FAN times fewer, down to FAN, then one."""
 
     def part(batches):
         total = np.zeros(size)
@@ -147,7 +150,11 @@ def _summed(rows: DataFrame, make, size: int, fan: int = 16) -> np.ndarray:
                 total += np.frombuffer(v)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    got = rows.mapInArrow(tk.lean(part), "v binary").repartition(fan).mapInArrow(tk.lean(add), "v binary").collect()
+    found, n = rows.mapInArrow(tk.lean(part), "v binary"), parts(rows)
+    while n > FAN * FAN:
+        n = -(-n // FAN)
+        found = found.repartition(n).mapInArrow(tk.lean(add), "v binary")
+    got = found.repartition(FAN).mapInArrow(tk.lean(add), "v binary").collect()
     return sum((np.frombuffer(r["v"]) for r in got), np.zeros(size))
 
 
@@ -163,8 +170,11 @@ def pool_adjacent(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(b[2], b[0]) for b in blocks]) if blocks else np.zeros(0)
 
 
-def learn(rows: DataFrame, seed: int = 7) -> Model:
-    """Fit on all rows (stats array<float>, y 0/1). Without rows, or with one class, the score is the prior (0.5 without rows)."""
+def learn(rows: DataFrame, seed: int = 7, later: DataFrame | None = None) -> Model:
+    """Fit on all rows (stats array<float>, y 0/1) and calibrate the scores on `later`, rows of the same kind that the fit doesn't see.
+
+    Without rows, or with one class, the score is the prior (0.5 without rows). Where `later` is missing or has one class, rows calibrate themselves.
+    """
     width = len(STATISTICS)
     moments = _summed(rows, lambda x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * width)
     n, positive = moments[0], moments[1]
@@ -192,8 +202,10 @@ def learn(rows: DataFrame, seed: int = 7) -> Model:
         at = np.clip(((model.raw(x) - lo) / (hi - lo) * SCORE_BINS).astype(int), 0, SCORE_BINS - 1)
         return np.concatenate([np.bincount(at, minlength=SCORE_BINS), np.bincount(at, y, minlength=SCORE_BINS)]).astype(float)
 
-    hist = _summed(rows, bins, 2 * SCORE_BINS)
+    hist = _summed(rows if later is None else later, bins, 2 * SCORE_BINS)
     count, ones = hist[:SCORE_BINS], hist[SCORE_BINS:]
+    if later is not None and not 0 < ones.sum() < count.sum():
+        return learn(rows, seed)
     used = np.flatnonzero(count)
     model.bin_edges = lo + (used + 0.5) * (hi - lo) / SCORE_BINS
     model.bin_value = pool_adjacent(ones[used] / count[used], count[used])
@@ -217,11 +229,14 @@ def classify(docs: DataFrame, labels: DataFrame, fold, key: str = "doc_id", text
     """Rows (key, held_out, score), one for each row of docs, learned from the labelled rows that `fold` (a column of key) doesn't hold out.
 
     A document with several labels counts once for each; labels that are null, or whose key is null, are not learned from.
-    Statistics are computed once and written to the shared folder; they are all that is joined with the labels.
+    Statistics are computed once and written to the shared folder; they are all that is joined with the labels. Null and empty texts have statistics of
+    zeros and get a score as all others; equal texts get equal scores; repeated rows and null keys stay; other columns are ignored. A text
+    of any length is taken whole.
     """
     stats, path = materialize(describe(docs, key, text), "stats")
     y = labels.where(labels[label].isNotNull() & labels[key].isNotNull()).select(labels[key].alias(key), labels[label].cast(T.IntegerType()).alias("y"))
-    train, train_path = materialize(stats.where(~fold(F.col(key))).join(y, key).select("stats", "y"), "train")
-    model = learn(train)
+    later = F.pmod(F.xxhash64(key, F.lit(41)), F.lit(CALIBRATE)) == 0
+    train, train_path = materialize(stats.where(~fold(F.col(key))).join(y, key).select("stats", "y", later.alias("later")), "train")
+    model = learn(train.where("not later"), later=train.where("later"))
     discard(docs.sparkSession, train_path)
     return score(stats, model, key).select(key, fold(F.col(key)).alias("held_out"), "score")

@@ -8,7 +8,6 @@ merges in score order.
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import struct
 import zlib
@@ -84,24 +83,30 @@ def parse(data: bytes) -> Model:
             t = dict(_fields(value))
             unk = t.get(40, 0)
             found |= {"kind": t.get(3, UNIGRAM), "unk_id": unk, "byte_fallback": bool(t.get(35, 0))}
+            if t.get(24, 0):
+                raise ValueError("models that mark spaces behind words are not supported")
         elif number == 3:
             n = dict(_fields(value))
             found |= {"charsmap": n.get(2, b""), "dummy_prefix": bool(n.get(3, 1)), "squeeze": bool(n.get(4, 1)), "escape": bool(n.get(5, 1))}
     if not pieces:
         raise ValueError("the model has no pieces")
+    if any(kind == USER_DEFINED for _, _, kind in pieces):
+        raise ValueError("models with pieces of the user's own, which are matched before segmentation, are not supported")
     return Model(tuple(pieces), **found)
 
 
 def build(model: Model):
-    """A tokenizers.Tokenizer that encodes as the model does."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    """A tokenizers.Tokenizer that encodes as the model does; decoding is by piece_bytes."""
+    from tokenizers import Regex, Tokenizer, models, normalizers
 
     names = [p for p, _, _ in model.pieces]
     if model.kind == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], model.unk_id, model.byte_fallback)
+        # control and unused pieces keep their ids under names that no text has, as a text may spell them out
+        hidden = [f"\x00{i}\x00" if kind in (CONTROL, UNUSED, UNKNOWN) else p for i, (p, _, kind) in enumerate(model.pieces)]
+        core = models.Unigram([(p, s) for p, (_, s, _) in zip(hidden, model.pieces)], model.unk_id, model.byte_fallback)
     elif model.kind == BPE:
         vocab = {p: i for i, p in enumerate(names)}
-        usable = {p for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED)}
+        usable = {p for p, _, kind in model.pieces if kind == NORMAL}
         merges = []
         for piece, score, kind in model.pieces:
             if kind == NORMAL and len(piece) > 1:
@@ -123,10 +128,6 @@ def build(model: Model):
     if model.escape:
         steps.append(normalizers.Replace(" ", MARK))
     out.normalizer = normalizers.Sequence(steps)
-    ends = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-    if model.dummy_prefix:
-        ends.append(decoders.Strip(" ", 1, 0))
-    out.decoder = decoders.Sequence(ends)
     return out
 
 
@@ -200,7 +201,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text: str = "text",
     round_trip: decoding gives the text again (U+2581 counts as a space, as in the model itself). parity: whether the
     sentencepiece library gives the same ids, for rows whose crc32(key as text) is a multiple of parity_every (all by default); else null.
     A null or empty text has no tokens. Repeated rows and null keys stay; other columns of docs are ignored. The text is
-    read in one pass without a shuffle; a worker holds one slice of about 1 MB, or one text.
+    read in one pass without a shuffle; a worker holds one slice of about 1 MB, or one text. model_path: a unigram or BPE model; the driver reads it.
     """
     spark: SparkSession = docs.sparkSession
     with open(model_path, "rb") as f:
@@ -254,8 +255,3 @@ def decode(rows: DataFrame, model_path: str = DEFAULT_MODEL, ids: str = "ids", k
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(rows[key].alias("key"), rows[ids].alias("ids")).mapInArrow(tk.lean(run), f"key {kind}, text string").withColumnRenamed("key", key)
 
-
-def model_summary(model_path: str = DEFAULT_MODEL) -> str:
-    with open(model_path, "rb") as f:
-        m = parse(f.read())
-    return json.dumps({"pieces": len(m.pieces), "kind": m.kind, "byte_fallback": m.byte_fallback, "dummy_prefix": m.dummy_prefix})

@@ -1,12 +1,15 @@
 """The text operators against brute force, over tables with nulls, empty, long and repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gleaner.llm import classifier, jaccard, language, mixing, pieces, quality, sharding, substrings, suffixes
@@ -311,6 +314,48 @@ def test_classifier(spark, docs, none):
     assert {r["score"] for r in classifier.classify(docs, y.limit(0), held_out).collect()} == {0.5}
 
 
+def test_classifier_against_dense_algebra(spark):
+    """Every score from a ridge solved in one piece and an isotonic fit by minima of maxima of means."""
+    rng = random.Random(16)
+    rows, marks = [], []
+    for i in range(240):
+        words = sentence(rng, 40).split()
+        bad = rng.random() < 0.4
+        rows.append((i, " ".join(w + "#" * (rng.random() < (0.3 if bad else 0.12)) for w in words)))
+        marks.append((i, int(not bad)))
+    rows += [(300, ""), (301, None), (302, rows[0][1])]
+    df, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in classifier.classify(df, y, held_out).collect()}
+    stats = {r["doc_id"]: np.array(r["stats"], float) for r in classifier.describe(df).collect()}
+    later = {r["doc_id"] for r in df.where(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(classifier.CALIBRATE)) == 0).collect()}
+    mark = dict(marks)
+    fit = [i for i in mark if zlib.crc32(str(i).encode()) % 5 and i not in later]
+    after = [i for i in mark if zlib.crc32(str(i).encode()) % 5 and i in later]
+    x = np.stack([stats[i] for i in fit])
+    mean, scale = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-8))
+    draw = np.random.Generator(np.random.PCG64(7))
+    freq, phase = draw.normal(size=(x.shape[1], classifier.N_FOURIER)) / classifier.WIDTH, draw.uniform(0, 2 * np.pi, classifier.N_FOURIER)
+
+    def features(z):
+        z = np.clip((z - mean) / scale, -8, 8)
+        return np.concatenate([np.sqrt(2 / classifier.N_FOURIER) * np.cos(z @ freq + phase), z / 8, np.ones((len(z), 1))], 1)
+
+    f = features(x)
+    coef = np.linalg.solve(f.T @ f / len(f) + classifier.RIDGE / f.shape[1] * np.eye(f.shape[1]), f.T @ np.array([mark[i] for i in fit]) / len(f))
+    width = 3.0 / classifier.SCORE_BINS
+    raw = {i: float((features(s[None]) @ coef)[0]) for i, s in stats.items()}
+    bins = {}
+    for i in after:
+        bins.setdefault(int(min(max((raw[i] + 1) / width, 0), classifier.SCORE_BINS - 1)), []).append(mark[i])
+    order_ = sorted(bins)
+    ones, n = [sum(bins[b]) for b in order_], [len(bins[b]) for b in order_]
+    level = [max(min(sum(ones[a : b + 1]) / sum(n[a : b + 1]) for b in range(k, len(n))) for a in range(k + 1)) for k in range(len(n))]
+    edges = [-1 + (b + 0.5) * width for b in order_]
+    for i, v in raw.items():
+        assert got[i] == pytest.approx(float(np.interp(v, edges, level)), abs=1e-4), i
+    assert len(set(level)) > 3 and got[300] == got[301] and got[302] == got[0]
+
+
 def test_pool_adjacent():
     got = classifier.pool_adjacent(np.array([0.1, 0.5, 0.3, 0.2, 0.9]), np.array([1.0, 1, 1, 2, 1]))
     assert got == pytest.approx([0.1, 0.3, 0.3, 0.3, 0.9])
@@ -336,11 +381,11 @@ def test_unigram_model_is_rebuilt():
     def piece(text, score, kind=1):
         return field(1, field(1, text.encode()) + b"\x15" + np.float32(score).tobytes() + bytes([3 << 3, kind]))
 
-    vocab = [("<unk>", 0, 2), ("▁", -3, 1), ("a", -3, 1), ("b", -3, 1), ("ab", -4, 1), ("▁ab", -5, 1), ("▁a", -4, 1)] + [(f"<0x{i:02X}>", -10, 6) for i in range(256)]
+    vocab = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("▁", -3, 1), ("a", -3, 1), ("b", -3, 1), ("ab", -4, 1), ("▁ab", -5, 1), ("▁a", -4, 1)] + [(f"<0x{i:02X}>", -10, 6) for i in range(256)]
     data = b"".join(piece(*p) for p in vocab) + field(2, bytes([3 << 3, 1]) + bytes([35 << 3 & 127 | 128, 35 << 3 >> 7, 1])) + field(3, bytes([3 << 3, 1, 4 << 3, 0, 5 << 3, 1]))
     codec = pieces.Codec(data)
     assert codec.model.kind == pieces.UNIGRAM and codec.model.byte_fallback
-    texts = ["ab", "aab ab", "ba é", "", "abab"]
+    texts = ["ab", "aab ab", "ba é", "", "abab", "a <s> b </s>", "<unk>ab"]
     for t, ids in zip(texts, codec.encode(texts)):
         assert codec.decode(ids) == t
         assert ids.tolist() == codec.reference_ids(t)
@@ -416,6 +461,18 @@ def test_sharding(docs, none):
     assert as_bag((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == as_bag((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in ROWS)
     assert sharding.assign(none).count() == 0
 
+    def wins(i, n):
+        """The shard by its definition; the hash is XXH64 of the key's 8 bytes seeded 42, and of the shard's 4 bytes seeded with that."""
+        score = {}
+        for shard in range(n):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", i), 42) if i is not None else 42
+            h = xxhash.xxh64_intdigest(struct.pack("<i", shard), h)
+            score[shard] = -1.0 / math.log(((h >> 11) + 0.5) / 2**53)
+        return max(score, key=lambda k: (score[k], k))
+
+    for r in got:
+        assert (r["shard"], r["grown_shard"]) == (wins(r["doc_id"], 16), wins(r["doc_id"], 17))
+
 
 def test_weighted_sharding(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
