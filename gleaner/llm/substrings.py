@@ -23,7 +23,7 @@ from gleaner.llm.common import discard, free_shuffles, materialize, parts, share
 
 WINDOW = 13
 BATCHES = 4
-FAN = 3
+FAN = 4
 #: Ranges of the index for each hash range of the input.
 RANGES = 4
 _ENTRY = "kind int, part int, chunk long, h binary, v binary, first binary"
@@ -97,13 +97,13 @@ def _decoded(h, v, first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class FingerprintIndex:
     """Runs of window fingerprints in a folder; ranges is the number of hash ranges, fixed when the index is made, of which a task holds one at a time."""
 
-    def __init__(self, spark: SparkSession, path: str, ranges: int, runs: list[str] | None = None, fan: int = FAN):
-        self.spark, self.path, self.ranges, self.runs, self.fan = spark, path, ranges, runs or [], fan
+    def __init__(self, spark: SparkSession, path: str, ranges: int, runs: list[str] | None = None, fan: int | None = None):
+        self.spark, self.path, self.ranges, self.runs, self.fan = spark, path, ranges, runs or [], fan or FAN
         self.tables: dict[str, str] = {}
         self.version = 0
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, fan: int = FAN) -> FingerprintIndex:
+    def open(cls, spark: SparkSession, path: str, fan: int | None = None) -> FingerprintIndex:
         """The index that an earlier call saved there."""
         rows = spark.read.parquet(f"{path}/manifest").collect()  # a row a version and run
         version = max(r["version"] for r in rows)

@@ -196,8 +196,9 @@ def test_long_structured_words_are_told_apart(spark):
     assert {r["doc_id"]: r["n_repeat_words"] for r in quality.judge(df.withColumn("lang", F.lit("x"))).collect()}[3] == 0
 
 
-def test_index_outlives_a_call(spark, docs, tmp_path):
+def test_index_outlives_a_call(spark, docs, tmp_path, monkeypatch):
     """Documents dealt to two calls, and to a third one after compaction, lose what one call over all of them takes; earlier windows that nothing shared then count."""
+    monkeypatch.setattr(substrings, "FAN", 3)
     plain = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
     want = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substrings.dedup(plain).collect()}
     got, path = {}, f"file://{tmp_path}/index"
