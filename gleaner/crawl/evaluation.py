@@ -55,6 +55,54 @@ def observed_by_step(log: DataFrame, adjacency: DataFrame) -> DataFrame:
     return log.join(change, ["run_id", "step"], "left").select("run_id", "step", F.sum(F.coalesce("d", F.lit(0))).over(w).alias("observed"))
 
 
+def parts_by_step(log: DataFrame, adjacency: DataFrame, labels: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Rows (run_id, step, part, size, hits) after each step: of the nodes crawled, of those observed (seen, not crawled), of both together, and of answers.
+
+    log: (run_id, step, node); adjacency: both-way edges (src, dst); labels (id, y); answers: (run_id, step, node), the nodes that a run gives as its answer at a step.
+    """
+    y = labels.select(F.col("id").alias("node"), F.coalesce("y", F.lit(0)).cast("long").alias("y"))
+    own = log.select("run_id", "node", F.col("step").alias("crawled"))
+    seen = log.join(adjacency, F.col("node") == F.col("src")).groupBy("run_id", F.col("dst").alias("node")).agg(F.min("step").alias("seen"))
+    both = own.join(seen, ["run_id", "node"], "full").join(y, "node", "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    change = lambda part, step, sign: F.struct(F.lit(part).alias("part"), step.alias("step"), F.lit(sign).cast("long").alias("n"), (F.col("y") * sign).alias("hits"))
+    waits = F.col("seen").isNotNull() & (F.col("crawled").isNull() | (F.col("crawled") > F.col("seen")))
+    events = F.array(
+        F.when(F.col("crawled").isNotNull(), change("crawled", F.col("crawled"), 1)), F.when(waits, change("observed", F.col("seen"), 1)), F.when(waits & F.col("crawled").isNotNull(), change("observed", F.col("crawled"), -1)),
+        change("nodes", F.least(F.coalesce("crawled", "seen"), F.coalesce("seen", "crawled")), 1),
+    )
+    moved = both.select("run_id", F.explode(F.array_compact(events)).alias("e")).groupBy("run_id", "e.part", "e.step").agg(F.sum("e.n").alias("n"), F.sum("e.hits").alias("h"))
+    grid = log.select("run_id", "step").distinct().withColumn("part", F.explode(F.array(F.lit("crawled"), F.lit("observed"), F.lit("nodes"))))
+    w = Window.partitionBy("run_id", "part").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(w)
+    out = grid.join(moved, ["run_id", "part", "step"], "left").select("run_id", "step", "part", total("n").alias("size"), total("h").alias("hits"))
+    if answers is None:
+        return out
+    given = answers.select("run_id", "step", "node").distinct().join(y, "node", "left").groupBy("run_id", "step").agg(F.count("*").alias("size"), F.sum(F.coalesce("y", F.lit(0))).alias("hits"))
+    return out.unionByName(given.select("run_id", "step", F.lit("answer").alias("part"), "size", "hits"))
+
+
+def part_scores(parts: DataFrame, n_targets: Column) -> DataFrame:
+    """parts_by_step with precision, recall and f1 of each part; a score without a base is null."""
+    return scores(parts.withColumn("crawled", F.col("size")), n_targets).drop("crawled")
+
+
+def metric_values(log: DataFrame, metrics: dict[str, object], steps: Sequence[int] | None = None) -> DataFrame:
+    """Rows (run_id, step, metric, value) of metrics: name to a function of the log that gives rows (run_id, step, value); at some steps only, if given."""
+    found = None
+    for name, metric in metrics.items():
+        own = metric(log).select("run_id", "step", F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
+        found = own if found is None else found.unionByName(own)
+    return found if steps is None else found.where(F.col("step").isin(list(steps)))
+
+
+def merged(stores: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Histories merged by content, in the order given: curves that an earlier one has are left out, others get the next instance numbers."""
+    out = stores[0]
+    for other in stores[1:]:
+        out = out.unionByName(next_instances(out, other, keys).select(*out.columns))
+    return out
+
+
 def curve_measures(history: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows (keys, aucc, waucc, tc) of each curve (step, value), steps from 0 on.
 

@@ -93,6 +93,11 @@ def arithmetic(op: str, a: Column, b: Column, integer: bool) -> Column:
     return {"add": lambda: a + b, "sub": lambda: a - b, "mul": lambda: a * b, "min": lambda: F.least(a, b), "max": lambda: F.greatest(a, b)}[op]()
 
 
+def arithmetic_with(op: str, a: Column, number: float, integer: bool) -> Column:
+    """arithmetic with a literal; for an integer column the literal is cut to an integer (pass integer=False to compute in doubles)."""
+    return arithmetic(op, a, F.lit(int(number)), True) if integer else arithmetic(op, a.cast("double"), F.lit(float(number)), False)
+
+
 def euclidean(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, ((x - y) * (x - y) for x, y in zip(left, right, strict=True))))
 
@@ -155,3 +160,25 @@ def sentences(text: Column) -> Column:
 
 def is_latin(text: Column) -> Column:
     return ~F.rlike(text, F.lit(r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]"))
+
+
+def site_name(url: Column) -> Column:
+    """The last two labels of a URL's host, three where the last but one is a short second-level domain such as co.uk."""
+    host = F.split(domain_name(url), r"\.")
+    n = F.when((F.size(host) > 2) & (F.length(F.element_at(host, -2)) <= 3) & (F.length(F.element_at(host, -1)) == 2), F.lit(3)).otherwise(F.lit(2))
+    return F.array_join(F.slice(host, F.greatest(F.size(host) - n + 1, F.lit(1)), n), ".")
+
+
+def standard_name(text: Column) -> Column:
+    """Lower-case words of letters and digits joined by underscores."""
+    return F.array_join(clean_words(text), "_")
+
+
+def lines(text: Column) -> Column:
+    """Lines with something in them, without blanks at their ends."""
+    return F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda s: s != "")
+
+
+def time_of(text: Column, formats: Sequence[str] = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy")) -> Column:
+    """A time by the first of some formats that fits; null if none does."""
+    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))

@@ -121,18 +121,38 @@ def neighbour_features(edges: DataFrame, crawled: DataFrame, features: DataFrame
     return _encoded(values, names, bins).select("id", *(F.col(n).alias(f"{n}{hop}") for n in names))
 
 
-def feature_vector(edges: DataFrame, crawled: DataFrame, labels: DataFrame, bins: int = 0) -> tuple[list[str], DataFrame]:
-    """Names, and rows (id, features): own features, then those of first and of second neighbours. Nodes without a visible edge aren't there: all theirs are 0."""
+def feature_vector(
+    edges: DataFrame, crawled: DataFrame, labels: DataFrame, bins: int = 0, n_crawled: int | None = None, nodes: DataFrame | None = None, attributes: dict[str, Sequence] | None = None
+) -> tuple[list[str], DataFrame]:
+    """Names, and rows (id, features): own features, then those of first and of second neighbours. Nodes without a visible edge aren't there: all theirs are 0.
+
+    n_crawled: puts the crawl index first. attributes: column of nodes(id, ...) to its domain; each adds a slot for every value and one for none of them, to the
+    node's own features (as it is known once crawled; zeros before) and to those of first neighbours (shares among the crawled ones).
+    """
     own = node_features(edges, crawled, labels)
     names = ["od", "cc", "cnf", "tnf"]
     one, two = (neighbour_features(edges, crawled, own, names, bins, h) for h in (1, 2))
     whole = own.join(one, "id", "left").join(two, "id", "left")
     layout, parts = list(FEATURES), [F.array(*(F.col(n) for n in FEATURES))]
-    for h in (1, 2):
-        for n in names:
+    if n_crawled is not None:
+        layout, parts = ["ix", *layout], [F.array(crawl_index(F.lit(n_crawled))), *parts]
+    blocks: dict[int, list[tuple[list[str], Column]]] = {0: [], 1: []}
+    for column, domain in (attributes or {}).items():
+        slots = [f"{column}={v}" for v in domain] + [f"{column}_is_undef"]
+        none = F.array(*(F.lit(0.0) for _ in slots))
+        hot = nodes.join(crawled.select("id"), "id", "left_semi").select("id", F.transform(fn.one_hot(F.col(column), domain, add_none=True), lambda x: x.cast("double")).alias(f"__{column}0"))
+        near = attribute_fractions(edges, crawled, nodes, column, domain).withColumnRenamed("fractions", f"__{column}1")
+        whole = whole.join(hot, "id", "left").join(near, "id", "left")
+        for h in (0, 1):
+            blocks[h].append(([f"{x}{h or ''}" for x in slots], F.coalesce(F.col(f"__{column}{h}"), none)))
+    for h in (0, 1, 2):
+        for n in names if h else ():
             c = F.col(f"{n}{h}")
             layout += [f"{n}{h}"] if bins == 0 else [f"{n}{h}_{i}" for i in range(bins)]
             parts.append(F.array(F.coalesce(c, F.lit(0.0))) if bins == 0 else F.coalesce(c, F.array(*(F.lit(0.0) for _ in range(bins)))))
+        for slots, c in blocks.get(h, ()):
+            layout += slots
+            parts.append(c)
     return layout, whole.select("id", F.concat(*parts).alias("features"))
 
 

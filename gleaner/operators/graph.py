@@ -75,6 +75,60 @@ def edge_counts(directed: DataFrame) -> DataFrame:
     )
 
 
+def has_node(edges: DataFrame, node: int) -> bool:
+    return not edges.where((F.col("src") == node) | (F.col("dst") == node)).isEmpty()
+
+
+def has_edge(edges: DataFrame, a: int, b: int) -> bool:
+    return not edges.where((F.col("src") == min(a, b)) & (F.col("dst") == max(a, b))).isEmpty()
+
+
+def directed_degrees(arcs: DataFrame) -> DataFrame:
+    """Rows (id, in_degree, out_degree) of directed arcs (src, dst)."""
+    ends = F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    return arcs.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
+
+
+def undirected(arcs: DataFrame) -> DataFrame:
+    """Arcs in both directions, once each."""
+    return both_ways(arcs).distinct()
+
+
+def with_loops(edges: DataFrame) -> DataFrame:
+    """Edges and a loop on every node."""
+    return edges.select("src", "dst").unionByName(nodes_of(edges).select(F.col("id").alias("src"), F.col("id").alias("dst"))).distinct()
+
+
+def without_loops(edges: DataFrame) -> DataFrame:
+    return edges.where("src <> dst")
+
+
+def without_degree(edges: DataFrame, k: int) -> DataFrame:
+    """Edges that touch no node of degree k; for k = 0 all of them, as a node without edges isn't in an edge table."""
+    return without_nodes(edges, degrees(edges).where(F.col("degree") == k))
+
+
+def tree_root(arcs: DataFrame) -> DataFrame:
+    """Rows (id): ends that no arc (from parent to child) leads to; one row for a tree."""
+    return arcs.select(F.col("src").alias("id")).distinct().join(arcs.select(F.col("dst").alias("id")), "id", "left_anti")
+
+
+def random_subgraph(edges: DataFrame, n: int, seed: int) -> DataFrame:
+    """Edges among n nodes drawn by a hash."""
+    return induced(edges, nodes_of(edges).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n))
+
+
+def edge_subgraph(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of wanted(src, dst), in either direction, that are edges."""
+    own = wanted.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return edges.join(own, ["src", "dst"], "left_semi")
+
+
+def random_edge_subgraph(edges: DataFrame, m: int, seed: int) -> DataFrame:
+    """m edges drawn by a hash."""
+    return edges.orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst").limit(m)
+
+
 def without_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with neither end in nodes(id)."""
     return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_anti").join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
@@ -139,6 +193,18 @@ def triads(edges: DataFrame) -> DataFrame:
     return c.select("nodes", "cc", "closed", (F.col("pairs") - 3 * F.col("closed")).cast("long").alias("open"))
 
 
+def triad_edges(edges: DataFrame) -> DataFrame:
+    """Rows (src, dst, triangles): edges that are in a triangle, and in how many."""
+    sides = F.array(*(F.struct(F.least(F.col(x), F.col(y)).alias("src"), F.greatest(F.col(x), F.col(y)).alias("dst")) for x, y in (("a", "b"), ("b", "c"), ("a", "c"))))
+    return triangles(edges).select(F.explode(sides).alias("e")).groupBy("e.src", "e.dst").agg(F.count("*").alias("triangles"))
+
+
+def node_triads(edges: DataFrame) -> DataFrame:
+    """Rows (id, closed, open): pairs of a node's neighbours that are linked, and that aren't."""
+    pairs = (F.col("degree") * (F.col("degree") - 1) / 2).cast("long")
+    return clustering(edges).select("id", F.col("triangles").alias("closed"), (pairs - F.col("triangles")).alias("open"))
+
+
 def clustering_by_degree(edges: DataFrame) -> DataFrame:
     return clustering(edges).groupBy("degree").agg(F.avg("cc").alias("cc"), F.count("*").alias("nodes"))
 
@@ -320,6 +386,27 @@ def bfs_tree(edges: DataFrame, source: DataFrame, depth: int | None = None) -> D
     return h.join(parent, "id", "left").select("id", "parent", "hop")
 
 
+def subtree_sizes(tree: DataFrame) -> DataFrame:
+    """Rows (id, size) of a tree (id, parent, hop): nodes at or below each one, level by level from the deepest."""
+    levels = [r["hop"] for r in tree.select("hop").distinct().orderBy(F.desc("hop")).collect()]  # a row a level
+    done, below = None, None
+    for hop in levels:
+        own = tree.where(F.col("hop") == hop).select("id", "parent")
+        if below is not None:
+            own = own.join(below, own["id"] == below["up"], "left").select("id", "parent", (F.lit(1) + F.coalesce("n", F.lit(0))).cast("long").alias("size"))
+        else:
+            own = own.withColumn("size", F.lit(1).cast("long"))
+        own, _ = materialize(own, "subtrees")
+        below = own.groupBy(F.col("parent").alias("up")).agg(F.sum("size").alias("n"))
+        done = own if done is None else done.unionByName(own)
+    return done.select("id", "size")
+
+
+def full_diameter(distances: DataFrame) -> DataFrame:
+    """One row (diameter, mean): the longest and the mean distance of hops() between different nodes."""
+    return distances.where("hop > 0").agg(F.max("hop").alias("diameter"), F.avg("hop").alias("mean"))
+
+
 def effective_diameter(distances: DataFrame, percentile: float = 0.9) -> float:
     """Interpolated hop within which a share of the reached pairs lie, pairs of a node with itself included."""
     counts = distances.groupBy("hop").count().orderBy("hop").collect()
@@ -380,8 +467,25 @@ def betweenness(edges: DataFrame, sources: DataFrame, block: int = 1024) -> Data
     return total.groupBy("id").agg((F.sum("flow") / 2).alias("betweenness"))
 
 
-def _dependencies(adj: DataFrame, sources: DataFrame, paths: list[str]) -> DataFrame:
-    """Rows (id, flow): what the shortest paths from sources(id) bring each node; paths gets the tables written on the way."""
+def edge_betweenness(edges: DataFrame, sources: DataFrame, block: int = 1024) -> DataFrame:
+    """Rows (src, dst, betweenness): as betweenness, for the shortest paths that run over each edge."""
+    spark = edges.sparkSession
+    adj, adj_path = materialize(both_ways(edges), "adj")
+    n_blocks = max(1, -(-sources.count() // block))
+    total = None
+    for i in range(n_blocks):
+        paths: list[str] = []
+        flows = _dependencies(adj, sources.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i), paths, over_edges=True)
+        part, _ = materialize(flows, "betweenness")
+        discard(spark, *paths)
+        total = part if total is None else total.unionByName(part)
+    discard(spark, adj_path)
+    found = total.groupBy("src", "dst").agg((F.sum("flow") / 2).alias("betweenness"))
+    return edges.select("src", "dst").join(found, ["src", "dst"], "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+
+
+def _dependencies(adj: DataFrame, sources: DataFrame, paths: list[str], over_edges: bool = False) -> DataFrame:
+    """Rows (id, flow), or (src, dst, flow) over edges: what the shortest paths from sources(id) bring; paths gets the tables written on the way."""
 
     def written(df: DataFrame, name: str) -> DataFrame:
         out, path = materialize(df, name)
@@ -398,19 +502,26 @@ def _dependencies(adj: DataFrame, sources: DataFrame, paths: list[str]) -> DataF
         levels.append(level)
         reached = reached.unionByName(level)
     below = None
-    parts = []
+    parts, run = [], []
     for own in reversed(levels):
         if below is None:
             scored = own.withColumn("flow", F.lit(0.0))
         else:
             down = below.select("source", F.col("id").alias("dst"), ((1 + F.col("flow")) / F.col("paths")).alias("share"))
-            gained = own.join(adj, F.col("id") == F.col("src")).join(down, ["source", "dst"]).groupBy("source", "id").agg(F.sum("share").alias("share"))
+            met = own.join(adj, F.col("id") == F.col("src")).join(down, ["source", "dst"])
+            if over_edges:
+                run.append(written(met.select(F.least("id", "dst").alias("src"), F.greatest("id", "dst").alias("dst"), (F.col("paths") * F.col("share")).alias("flow")), "edge-flow"))
+            gained = met.groupBy("source", "id").agg(F.sum("share").alias("share"))
             scored = own.join(gained, ["source", "id"], "left").withColumn("flow", F.col("paths") * F.coalesce("share", F.lit(0.0))).drop("share")
         below = written(scored, "flow")
         parts.append(below)
+    if over_edges:
+        parts = run or [parts[0].select(F.col("id").alias("src"), F.col("id").alias("dst"), "flow").limit(0)]
     total = parts[0]
     for p in parts[1:]:
         total = total.unionByName(p)
+    if over_edges:
+        return total.groupBy("src", "dst").agg(F.sum("flow").alias("flow"))
     return total.where("source <> id").groupBy("id").agg(F.sum("flow").alias("flow"))
 
 
@@ -561,6 +672,33 @@ def graph_statistics(edges: DataFrame) -> DataFrame:
     return base.crossJoin(comp)
 
 
+def more_statistics(edges: DataFrame) -> DataFrame:
+    """One row: leaves (degree 1), density, transitivity, share of nodes in a triangle, and share of the largest component."""
+    c, path = materialize(clustering(edges), "stats")
+    n, pairs = F.count("*"), F.sum(F.col("degree") * (F.col("degree") - 1) / 2)
+    base = c.agg(
+        F.sum((F.col("degree") == 1).cast("long")).alias("leaves"), (F.sum("degree") / F.nullif(n * (n - 1), F.lit(0))).alias("density"), (F.sum("triangles") / F.nullif(pairs, F.lit(0))).alias("transitivity"),
+        F.avg((F.col("triangles") > 0).cast("double")).alias("in_triangles"), n.alias("n"),
+    )
+    return base.crossJoin(component_sizes(edges).agg(F.max("nodes").alias("top"))).select("leaves", "density", "transitivity", "in_triangles", (F.col("top") / F.col("n")).alias("largest_share"))
+
+
+def distributions(edges: DataFrame) -> DataFrame:
+    """Rows (name, x, y): nodes by degree, components by size, mean clustering and mean neighbour degree by degree, and nodes by number of triangles."""
+    c, _ = materialize(clustering(edges), "stats")
+    row = lambda name, x, y: (F.lit(name).alias("name"), F.col(x).cast("long").alias("x"), F.col(y).cast("double").alias("y"))
+    near = both_ways(edges).join(c.select(F.col("id").alias("dst"), F.col("degree").alias("d2")), "dst").groupBy("src").agg(F.avg("d2").alias("k")).join(c.select(F.col("id").alias("src"), "degree"), "src")
+    parts = [
+        c.groupBy("degree").agg(F.count("*").alias("n")).select(*row("degree", "degree", "n")), component_sizes(edges).groupBy("nodes").agg(F.count("*").alias("n")).select(*row("component", "nodes", "n")),
+        c.groupBy("degree").agg(F.avg("cc").alias("m")).select(*row("clustering", "degree", "m")), near.groupBy("degree").agg(F.avg("k").alias("m")).select(*row("neighbour_degree", "degree", "m")),
+        c.groupBy("triangles").agg(F.count("*").alias("n")).select(*row("triangles", "triangles", "n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def neighbourhood_function(edges: DataFrame, depth: int) -> DataFrame:
     """Rows (hop, pairs): approximate numbers of pairs within a hop, from a sketch a node that neighbours merge round by round."""
     adj, _ = materialize(both_ways(edges), "adj")
@@ -619,6 +757,63 @@ def r_mat(spark, levels: int, m: int, a: float, b: float, c: float, seed: int) -
     return spark.range(m).select(src.alias("src"), dst.alias("dst")).distinct()
 
 
+def bipartite(spark, left: int, right: int, m: int, seed: int) -> DataFrame:
+    """About m distinct arcs from 0 .. left - 1 to left .. left + right - 1, drawn evenly."""
+    draw = lambda n, k: F.floor(_u(F.col("id"), F.lit(seed), F.lit(k)) * n)
+    return spark.range(m).select(draw(left, 1).alias("src"), (draw(right, 2) + left).alias("dst")).distinct()
+
+
+def hierarchical(spark, levels: int) -> DataFrame:
+    """A hierarchical network of 5**levels nodes: cliques of five, of which each level's outer nodes are linked with the centre of five modules put together.
+
+    Numbers in base 5 tell the module; the centre of a module is its member of zeros, and its outer nodes have no zero in it.
+    """
+    node = spark.range(5**levels)
+    inner = node.select("id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("step")).where(F.col("id") % 5 + F.col("step") < 5)
+    out = inner.select(F.col("id").alias("src"), (F.col("id") + F.col("step")).alias("dst"))
+    for level in range(1, levels):
+        digits = [F.floor(F.col("id") / 5**i) % 5 != 0 for i in range(level + 1)]
+        outer = digits[0]
+        for d in digits[1:]:
+            outer = outer & d
+        out = out.unionByName(node.where(outer).select((F.col("id") - F.col("id") % 5 ** (level + 1)).alias("src"), F.col("id").alias("dst")))
+    return out
+
+
+def regular(spark, n: int, k: int, seed: int) -> DataFrame:
+    """A random graph of n nodes of degree k, less the loops and repeats that the matching gives."""
+    return configuration_model(spark.range(n).withColumn("degree", F.lit(k)), seed)
+
+
+def power_law(spark, n: int, exponent: float, most: int, seed: int) -> DataFrame:
+    """A random graph whose degrees follow a power law up to `most`, less loops and repeats."""
+    u = _u(F.col("id"), F.lit(seed), F.lit(3))
+    degree = F.least(F.floor(F.pow(1 - u * (1 - float(most) ** (1 - exponent)), F.lit(1 / (1 - exponent)))), F.lit(most))
+    return configuration_model(spark.range(n).withColumn("degree", degree.cast("int")), seed)
+
+
+def rewired(edges: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """Edges with ends swapped at random, all degrees kept: in a round random pairs (a, b), (c, d) become (a, d), (c, b), unless that makes a loop or an edge that is there already."""
+    from gleaner.operators.table import row_numbers
+
+    now = edges.select("src", "dst")
+    for i in range(rounds):
+        flip = F.xxhash64("src", "dst", F.lit(seed + i), F.lit(1)) % 2 == 0
+        mixed = now.withColumn("u", F.xxhash64("src", "dst", F.lit(seed + i))).withColumn("a", F.when(flip, F.col("src")).otherwise(F.col("dst"))).withColumn("b", F.when(flip, F.col("dst")).otherwise(F.col("src")))
+        placed = row_numbers(mixed, ["u", "src", "dst"], "at").withColumn("pair", F.floor(F.col("at") / 2))
+        old, new = F.sort_array(F.collect_list(F.struct("at", "src", "dst", "a", "b"))), F.col("e")
+        pairs, path = materialize(placed.groupBy("pair").agg(old.alias("e")), "pairs")
+        made = F.array(*(F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")) for x, y in ((new[0]["a"], new[1]["b"]), (new[1]["a"], new[0]["b"]))))
+        tried = pairs.where(F.size("e") == 2).select("pair", F.explode(made).alias("n")).select("pair", "n.src", "n.dst")
+        twice = tried.groupBy("src", "dst").agg(F.count("*").alias("k"))
+        bad = tried.join(twice, ["src", "dst"]).join(now.withColumn("there", F.lit(True)), ["src", "dst"], "left").where("src = dst or k > 1 or there").select("pair").distinct()
+        good = tried.join(bad, "pair", "left_anti").select("src", "dst")
+        kept = pairs.join(bad, "pair", "left_semi").unionByName(pairs.where(F.size("e") < 2)).select(F.explode("e").alias("o")).select("o.src", "o.dst")
+        now, _ = materialize(good.unionByName(kept), "rewired")
+        discard(edges.sparkSession, path)
+    return now
+
+
 def configuration_model(degree: DataFrame, seed: int) -> DataFrame:
     """Edges by random matching of the stubs of degree(id, degree); loops and repeats are dropped."""
     from gleaner.operators.table import row_numbers
@@ -630,7 +825,7 @@ def configuration_model(degree: DataFrame, seed: int) -> DataFrame:
 
 
 def growth_graph(n: int, fan: int, seed: int, kind: str = "preferential", p: float = 0.5) -> pd.DataFrame:
-    """Edges of a grown graph, which is sequential by nature: preferential attachment, copying, forest fire or small world."""
+    """Edges of a grown graph, which is sequential by nature: preferential attachment (also geometric: among near points only), copying, forest fire or small world."""
     rng = np.random.Generator(np.random.PCG64(seed))
     edges: set[tuple[int, int]] = set()
     near: list[set[int]] = [set() for _ in range(n)]
@@ -647,12 +842,20 @@ def growth_graph(n: int, fan: int, seed: int, kind: str = "preferential", p: flo
                 link(v, int(rng.integers(n)) if rng.random() < p else (v + j) % n)
         return pd.DataFrame(sorted(edges), columns=["src", "dst"])
     ends: list[int] = [0]
+    place = rng.normal(size=(n, 3))
+    place /= np.linalg.norm(place, axis=1, keepdims=True)
     for v in range(1, n):
         if kind == "preferential":
             for _ in range(min(fan, v)):
                 t = ends[int(rng.integers(len(ends)))]
                 link(v, t)
                 ends += [v, t]
+        elif kind == "geometric":  # p: the radius within which a point sees others, all if there are none
+            near_by = np.flatnonzero(np.linalg.norm(place[:v] - place[v], axis=1) <= p)
+            near_by = near_by if len(near_by) else np.arange(v)
+            weight = np.array([len(near[t]) + 1.0 for t in near_by])
+            for t in rng.choice(near_by, size=min(fan, len(near_by)), replace=False, p=weight / weight.sum()).tolist():
+                link(v, t)
         elif kind == "copying":
             model = int(rng.integers(v))
             link(v, model)

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleaner.operators import graph as g
 from gleaner.session import discard, materialize
@@ -164,16 +165,179 @@ def max_flow(arcs: pd.DataFrame, source: int, sink: int) -> float:
 
 
 def core_periphery(edges: DataFrame) -> DataFrame:
-    """One row (core_size, z): nodes by degree, and how many of them make the core where edges to earlier nodes are densest by the running optimum."""
-    ranked = g.degrees(edges).toPandas().sort_values(["degree", "id"], ascending=[False, True])
-    degree = ranked["degree"].to_numpy()
-    half = degree.sum() / 2
-    z, best, size = half, np.inf, 0
-    for k, d in enumerate(degree, 1):
-        z += k - 1 - d
-        if z < best - 1e-12:
-            best, size = z, k
-    return edges.sparkSession.createDataFrame([(int(size), float(best) if np.isfinite(best) else 0.0)], "core_size long, z double")
+    """One row (core_size, z): the core that leaves the fewest wrong pairs, that is core pairs without an edge and periphery pairs with one.
+
+    With the k nodes of largest degree as the core, that number is z(k) = k (k - 1) / 2 + m - (sum of their degrees). Among nodes of one degree d it is
+    convex in k and least at k = d, or at the end nearest to it, so a row a degree is enough; of equal ones the smallest core counts.
+    """
+    d = F.col("degree")
+    each = g.degrees(edges).groupBy("degree").agg(F.count("*").alias("n"))
+    before = Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)  # a row a degree
+    sums = each.select("degree", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("k0"), F.coalesce(F.sum(d * F.col("n")).over(before), F.lit(0)).alias("d0"), (F.sum(d * F.col("n")).over(Window.partitionBy()) / 2).alias("m"))
+    k = F.least(F.greatest(d, F.col("k0") + 1), F.col("k0") + F.col("n"))
+    z = k * (k - 1) / 2 + F.col("m") - F.col("d0") - d * (k - F.col("k0"))
+    best = sums.select(z.alias("z"), k.alias("core_size")).agg(F.min(F.struct("z", "core_size")).alias("b"))
+    return best.select(F.coalesce("b.core_size", F.lit(0)).cast("long").alias("core_size"), F.coalesce("b.z", F.lit(0.0)).alias("z"))
+
+
+def core_fit(edges: DataFrame, core: DataFrame) -> DataFrame:
+    """One row (correlation): of edges with the ideal pattern in which exactly the pairs with an end in core(id) are linked, over all pairs of nodes."""
+    n = g.nodes_of(edges).agg(F.count("*").cast("double").alias("n"))
+    k = g.nodes_of(edges).join(core.select("id"), "id", "left_semi").agg(F.count("*").cast("double").alias("k"))
+    out = g.without_nodes(edges, core).agg(F.count("*").cast("double").alias("out"))
+    one = edges.agg(F.count("*").cast("double").alias("a")).crossJoin(n).crossJoin(k).crossJoin(out)
+    p, rest = F.col("n") * (F.col("n") - 1) / 2, F.col("n") - F.col("k")
+    ideal = p - rest * (rest - 1) / 2
+    top = p * (F.col("a") - F.col("out")) - F.col("a") * ideal
+    return one.select((top / F.nullif(F.sqrt((p * F.col("a") - F.col("a") * F.col("a")) * (p * ideal - ideal * ideal)), F.lit(0.0))).alias("correlation"))
+
+
+def weighted_closeness(distances: DataFrame, n_nodes: int) -> DataFrame:
+    """Rows (source, farness, closeness) from weighted_distances(): mean distance to the other nodes reached, and its inverse, scaled by the share reached."""
+    own = distances.groupBy("source").agg((F.count("*") - 1).alias("r"), F.sum("distance").alias("total"))
+    far = F.when(F.col("r") > 0, F.col("total") / F.col("r")).otherwise(0.0)
+    return own.select("source", far.alias("farness"), F.when(far > 0, F.col("r") / (n_nodes - 1) / far).otherwise(0.0).alias("closeness"))
+
+
+def covering_group(edges: DataFrame, size: int) -> DataFrame:
+    """Rows (rank, id, gain): greedily the node that adds most nodes to those that the group holds or touches; ties go to the smallest id."""
+    spark = edges.sparkSession
+    reach = g.both_ways(edges).unionByName(g.nodes_of(edges).select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    left, path = materialize(reach, "cover")
+    found: list[tuple[int, int, int]] = []
+    for rank in range(1, size + 1):
+        best = left.groupBy("src").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", (-F.col("src")).alias("i"))).alias("b")).select("b.n", "b.i").first()
+        if best["n"] is None:
+            break
+        found.append((rank, -best["i"], best["n"]))
+        covered = left.where(F.col("src") == -best["i"]).select("dst")
+        nxt, nxt_path = materialize(left.join(covered, "dst", "left_anti").select("src", "dst"), "cover")
+        discard(spark, path)
+        left, path = nxt, nxt_path
+    return spark.createDataFrame(found, "rank int, id long, gain long")
+
+
+def blocks_of(edges: pd.DataFrame) -> list[list[tuple[int, int]]]:
+    """The biconnected sets of one graph, as lists of edges: edges of one set lie on a common cycle; a bridge is a set of its own."""
+    near: dict[int, list[int]] = {}
+    for a, b in edges[["src", "dst"]].itertuples(index=False):
+        near.setdefault(int(a), []).append(int(b))
+        near.setdefault(int(b), []).append(int(a))
+    seen: dict[int, int] = {}
+    low: dict[int, int] = {}
+    out: list[list[tuple[int, int]]] = []
+    for root in sorted(near):
+        if root in seen:
+            continue
+        seen[root] = low[root] = len(seen)
+        way, trail = [(root, None, iter(sorted(near[root])))], []
+        while way:
+            v, up, rest = way[-1]
+            u = next(rest, None)
+            if u is None:
+                way.pop()
+                if up is not None:
+                    low[up] = min(low[up], low[v])
+                    if low[v] >= seen[up]:  # nothing below v gets past up
+                        cut = trail.index((up, v))
+                        out.append(sorted((min(e), max(e)) for e in trail[cut:]))
+                        del trail[cut:]
+            elif u not in seen:
+                seen[u] = low[u] = len(seen)
+                trail.append((v, u))
+                way.append((u, v, iter(sorted(near[u]))))
+            elif u != up and seen[u] < seen[v]:
+                trail.append((v, u))
+                low[v] = min(low[v], seen[u])
+    return out
+
+
+def biconnected(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
+    """Rows (block, src, dst): the biconnected sets, named by their smallest edge's ends. A component is one task's work, up to `most` edges."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [("%d-%d" % own[0], *e) for own in blocks_of(pdf) for e in own]
+        return pd.DataFrame(rows, columns=["block", "src", "dst"])
+
+    return _by_component(edges, work, "block string, src long, dst long", most)
+
+
+def biconnected_sizes(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
+    """Rows (nodes, blocks): how many biconnected sets of more than one edge have so many nodes."""
+    b = biconnected(edges, most)
+    own = b.select("block", F.explode(F.array("src", "dst")).alias("id")).groupBy("block").agg(F.countDistinct("id").alias("nodes"))
+    return own.where("nodes > 2").groupBy("nodes").agg(F.count("*").alias("blocks"))
+
+
+def without_bridges(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
+    """Rows (nodes, components): sizes of what is left when all bridges are taken away, single nodes left out."""
+    kept = edges.join(bridges(edges, most), ["src", "dst"], "left_anti")
+    return g.component_sizes(kept).groupBy("nodes").agg(F.count("*").alias("components"))
+
+
+def split_communities(edges: pd.DataFrame) -> pd.DataFrame:
+    """Communities of one small graph by taking away the edge of most shortest paths again and again, at the stage of largest modularity (rows id, community)."""
+    near: dict[int, set[int]] = {}
+    for a, b in edges[["src", "dst"]].itertuples(index=False):
+        near.setdefault(int(a), set()).add(int(b))
+        near.setdefault(int(b), set()).add(int(a))
+    degree, m = {v: len(u) for v, u in near.items()}, len(edges)
+    whole = [(int(a), int(b)) for a, b in edges[["src", "dst"]].itertuples(index=False)]
+
+    def parts() -> dict[int, int]:
+        label: dict[int, int] = {}
+        for root in sorted(near):
+            todo = [root] if root not in label else []
+            while todo:
+                v = todo.pop()
+                if v not in label:
+                    label[v] = root
+                    todo += near[v]
+        return label
+
+    def quality(label: dict[int, int]) -> float:
+        weight: dict[int, int] = {}
+        for v, c in label.items():
+            weight[c] = weight.get(c, 0) + degree[v]
+        return sum(label[a] == label[b] for a, b in whole) / m - sum((w / (2 * m)) ** 2 for w in weight.values())
+
+    def busiest() -> tuple[int, int]:
+        load = {(a, b): 0.0 for a in near for b in near[a] if a < b}
+        for s in near:
+            level, paths, order, queue = {s: 0}, {s: 1.0}, [], deque([s])
+            while queue:
+                v = queue.popleft()
+                order.append(v)
+                for u in near[v]:
+                    if u not in level:
+                        level[u] = level[v] + 1
+                        queue.append(u)
+                    if level[u] == level[v] + 1:
+                        paths[u] = paths.get(u, 0.0) + paths[v]
+            flow = dict.fromkeys(order, 1.0)
+            for v in reversed(order):
+                for u in near[v]:
+                    if level[u] == level[v] - 1:
+                        share = flow[v] * paths[u] / paths[v]
+                        load[min(u, v), max(u, v)] += share
+                        flow[u] += share
+        return max(sorted(load), key=lambda e: round(load[e], 9))
+
+    best = parts()
+    score = quality(best)
+    while any(near.values()):
+        a, b = busiest()
+        near[a].discard(b)
+        near[b].discard(a)
+        now = parts()
+        if (value := quality(now)) > score + 1e-12:
+            best, score = now, value
+    return pd.DataFrame(sorted(best.items()), columns=["id", "community"])
+
+
+def split_communities_by_component(edges: DataFrame, most: int = 2_000) -> DataFrame:
+    """split_communities of each component, one a task, of at most `most` edges: the work grows with the cube of a component."""
+    return _by_component(edges, split_communities, "id long, community long", most)
 
 
 def singular_values(edges: DataFrame, k: int, rounds: int = 30, seed: int = 1) -> DataFrame:
@@ -208,8 +372,6 @@ def time_buckets(edges: DataFrame, unit: str = "day", cumulative: bool = False)
     each = edges.groupBy(F.date_trunc(unit, "ts").alias("bucket")).agg(F.count("*").alias("edges"))
     if not cumulative:
         return each
-    from pyspark.sql.window import Window
-
     return each.select("bucket", F.sum("edges").over(Window.orderBy("bucket")).alias("edges"))  # a row a bucket
 
 

@@ -215,6 +215,34 @@ def threshold_join(left: DataFrame, key1: str, on1: str, right: DataFrame, key2:
     return a.join(b, "value").groupBy(*keys).agg(F.sum(F.col("n1") * F.col("n2")).alias("n")).where(F.col("n") >= threshold)
 
 
+def threshold_join_rows(left: DataFrame, key1: str, on1: str, id1: str, right: DataFrame, key2: str, on2: str, id2: str, threshold: int, per_value: bool = False) -> DataFrame:
+    """threshold_join's pairs as one joint row each, with all columns of both sides: the one of least id1, and then of least id2."""
+    a = left.groupBy(F.col(key1).alias("key1"), F.col(on1).alias("value")).agg(F.count("*").alias("n1"), F.min(id1).alias("i"))
+    b = right.groupBy(F.col(key2).alias("key2"), F.col(on2).alias("value")).agg(F.count("*").alias("n2"), F.min(id2).alias("j"))
+    keys = ["key1", "key2"] + ["value"] * per_value
+    best = a.join(b, "value").groupBy(*keys).agg(F.sum(F.col("n1") * F.col("n2")).alias("n"), F.min(F.struct("i", "j")).alias("row")).where(F.col("n") >= threshold)
+    x, y = _suffixed(left, right)
+    xid, yid = f"{id1}-1" if id1 in right.columns else id1, f"{id2}-2" if id2 in left.columns else id2
+    pairs = best.select(F.col("row.i").alias("__i"), F.col("row.j").alias("__j"))
+    return pairs.join(x, pairs["__i"] == x[f"`{xid}`"]).join(y, F.col("__j") == y[f"`{yid}`"]).drop("__i", "__j")
+
+
+def bottom(df: DataFrame, weight: str, key: str, k: int) -> DataFrame:
+    """The k rows of least weight; ties go to the least key."""
+    return df.orderBy(weight, key).limit(k)
+
+
+def exponential_bins(df: DataFrame, value: str, factor: float = 2.0, least: float = 1.0) -> DataFrame:
+    """Rows (low, high, n, pdf, cdf): values from `least` on in bins that widen by a factor; pdf is a bin's share over its width, cdf the share up to its end."""
+    at = F.floor(F.log(F.col(value) / least) / F.log(F.lit(float(factor)))).cast("int")
+    low = lambda i: F.lit(float(least)) * F.pow(F.lit(float(factor)), i)
+    bins = df.where(F.col(value) >= least).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    w = Window.orderBy("bin")  # a row a bin
+    total, up_to = F.sum("n").over(Window.partitionBy()), F.sum("n").over(w)
+    wide = low(F.col("bin") + 1) - low(F.col("bin"))
+    return bins.select(low(F.col("bin")).alias("low"), low(F.col("bin") + 1).alias("high"), "n", (F.col("n") / total / wide).alias("pdf"), (up_to / total).alias("cdf"))
+
+
 def similarity_join(left: DataFrame, columns1: Sequence[str], right: DataFrame, columns2: Sequence[str], distance: str, threshold: float, metric: str = "l2") -> DataFrame:
     """Pairs of rows within a distance, both sides' columns with suffixes where names clash.
 

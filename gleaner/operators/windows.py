@@ -49,6 +49,12 @@ def sequence_edges(windows: DataFrame, source: str, target: str, bucket: str = "
     return windows.where(s != t).select(bucket, F.least(s, t).alias("src"), F.greatest(s, t).alias("dst")).distinct()
 
 
+def each_window(windows: DataFrame, bucket: str = "bucket"):
+    """(bucket, its rows) one window after another, in order; the list of buckets is all that comes to the driver."""
+    for r in windows.select(bucket).distinct().orderBy(bucket).collect():
+        yield r[bucket], windows.where(F.col(bucket).eqNullSafe(F.lit(r[bucket]))).drop(bucket)
+
+
 def cascade_edges(events: DataFrame, key: str, source: str, target: str, start: str, duration: str | Column, wait: int) -> DataFrame:
     """Pairs (a, b) of events where b starts at a's target, no earlier than a ends and at most `wait` after.
 

@@ -82,8 +82,65 @@ def pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return vertices, edges.dropna()
 
 
-def write_edge_list(edges: DataFrame, path: str, separator: str = " ") -> None:
-    edges.select(F.concat_ws(separator, "src", "dst")).write.mode("overwrite").text(path)
+def adjacency_list_named(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, numbers) of lines that hold a node's name and then its neighbours' names, numbered as edge_list_named does."""
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.where((F.col("value") != "") & ~F.substring("value", 1, 1).isin("#", "%")).select("line", F.posexplode(F.split("value", r"\s+")).alias("at", "name"))
+    first = lines.groupBy("name").agg(F.min(F.struct("line", "at")).alias("seen")).select("name", "seen.line", "seen.at")
+    numbers = row_numbers(first, ["line", "at"], "number").select("name", "number")
+    placed = lines.join(numbers, "name")
+    heads = placed.where("at = 0").select("line", F.col("number").alias("a"))
+    return edges_from(placed.where("at > 0").select("line", F.col("number").alias("b")).join(heads, "line"), "a", "b"), numbers
+
+
+def edge_list_with(spark: SparkSession, path: str, columns: str, separator: str | None = None) -> DataFrame:
+    """Rows of an edge list with attributes: columns is DDL such as "src long, dst long, weight double"; a field that doesn't parse is null, and rows without both ends go."""
+    schema = T.StructType.fromDDL(columns)
+    rows = _lines(spark, path).select(F.expr("1").alias("one"), _fields(separator).alias("f"))
+    rows = rows.select(*(F.get("f", F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema)))
+    return rows.dropna(subset=schema.names[:2])
+
+
+def write_edge_list(edges: DataFrame, path: str, separator: str = " ", description: str | None = None, attributes: Sequence[str] = ()) -> None:
+    """Lines of src, dst and attributes; with a description, comment lines with it, the numbers of nodes and edges and the columns come first."""
+    names = ["src", "dst", *attributes]
+    lines = edges.select(F.concat_ws(separator, *(F.col(n).cast("string") for n in names)).alias("value"))
+    if description is not None:
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).agg(F.countDistinct("id").alias("n"), F.count("*").alias("m"))
+        size = ends.select(F.concat(F.lit("# Nodes: "), F.col("n"), F.lit(" Edges: "), (F.col("m") / 2).cast("long")).alias("size"))
+        head = size.select(F.explode(F.array(F.lit(f"# {description}"), "size", F.lit(f"# {separator.join(names)}"))).alias("value"))
+        lines = head.coalesce(1).unionByName(lines)
+    lines.write.mode("overwrite").text(path)
+
+
+def write_benchmark(edges: DataFrame, communities: DataFrame, path: str) -> None:
+    """A benchmark graph's two files: network (both directions) and community (a node and all its communities), numbered from 1, with tabs."""
+    arcs = edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
+    arcs.select(F.concat_ws("\t", F.col("e.src") + 1, F.col("e.dst") + 1)).write.mode("overwrite").text(f"{path}/network")
+    own = communities.groupBy("id").agg(F.sort_array(F.collect_set(F.col("community") + 1)).alias("c"))
+    own.select(F.concat_ws("\t", F.col("id") + 1, F.array_join(F.transform("c", lambda x: x.cast("string")), " "))).write.mode("overwrite").text(f"{path}/community")
+
+
+def dense_arcs(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(arcs, numbers) for graph libraries: both directions of each edge under dense numbers from 0 in the order of ids."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    numbers = row_numbers(ends, ["id"], "number")
+    a, b = numbers.select(F.col("id").alias("src"), F.col("number").alias("s")), numbers.select(F.col("id").alias("dst"), F.col("number").alias("d"))
+    both = edges.join(a, "src").join(b, "dst")
+    return both.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("d").alias("dst")), F.struct(F.col("d").alias("src"), F.col("s").alias("dst")))).alias("e")).select("e.src", "e.dst"), numbers
+
+
+def to_networkx(edges: DataFrame, attributes: DataFrame | None = None, most: int = 10_000_000):
+    """A networkx graph on the driver, of at most `most` edges, with the columns of attributes(id, ...) on its nodes; needs the networkx package."""
+    import networkx
+
+    if edges.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} edges")
+    out = networkx.Graph()
+    out.add_edges_from((r["src"], r["dst"]) for r in edges.select("src", "dst").toLocalIterator())
+    for r in attributes.toLocalIterator() if attributes is not None else ():
+        out.add_node(r["id"], **{k: v for k, v in r.asDict().items() if k != "id"})
+    return out
 
 
 def attribute(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -129,5 +186,38 @@ def write_table(df: DataFrame, path: str, separator: str = "\t") -> None:
     df.write.mode("overwrite").csv(path, sep=separator, header=True)
 
 
+def dump(df: DataFrame, path: str, separator: str = "\t") -> None:
+    """A table as text: a comment line with the names, then rows, floats with six digits."""
+    shown = [F.format_string("%f", F.col(f"`{f.name}`").cast("double")) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{f.name}`").cast("string") for f in df.schema]
+    head = df.sparkSession.range(1, numPartitions=1).select(F.lit("# " + separator.join(df.columns)).alias("value"))
+    head.unionByName(df.select(F.concat_ws(separator, *(F.coalesce(c, F.lit("")) for c in shown)).alias("value"))).write.mode("overwrite").text(path)
+
+
+def save(df: DataFrame, path: str) -> None:
+    """A table in binary columns (Parquet)."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def append_rows(df: DataFrame, rows: Sequence[tuple]) -> DataFrame:
+    """df and some literal rows of its columns."""
+    return df.unionByName(df.sparkSession.createDataFrame(list(rows), df.schema))
+
+
+def append_column(df: DataFrame, order: Sequence[str], values: DataFrame, value: str, value_order: Sequence[str], name: str) -> DataFrame:
+    """df with a column whose values match its rows by position; a row beyond the values gets null."""
+    own = row_numbers(values.select(value, *(c for c in value_order if c != value)), value_order, "__at").select("__at", F.col(value).alias(name))
+    return row_numbers(df, order, "__at").join(own, "__at", "left").drop("__at")
+
+
+def read_column(df: DataFrame, column: str, order: Sequence[str]):
+    """The values of a column in order, one partition after another, as an iterator on the driver."""
+    return (r[0] for r in df.orderBy(*order).select(column).toLocalIterator())
+
+
 def from_map(spark: SparkSession, values: dict, key: str = "key", value: str = "value") -> DataFrame:
+    """Two columns from a map."""
     return spark.createDataFrame(list(values.items()), [key, value])
