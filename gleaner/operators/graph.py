@@ -275,51 +275,49 @@ def giant_component(edges: DataFrame) -> DataFrame:
 def strong_components(directed: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Rows (id, component) of directed edges (src, dst): the smallest id of each strongly connected set.
 
-    Rounds of forward colouring: nodes take the least id that reaches them; those that their colour's root reaches backwards form its component and leave.
-    Goes on until no node is left; a long chain needs a round a node. With max_rounds, it raises if nodes are left after so many.
+    Nodes fall into parts, at first one. A round drops nodes that no arc of their part leads to or from, each a component of its own, and takes a random pivot
+    of each part: what it reaches both forwards and backwards is a component, and the nodes that it reaches one way, the other, or not at all make new
+    parts, as no component lies across them. So the number of rounds grows with the logarithm of the nodes, a round's joins with the length of paths.
+    It goes on until no node is left; with max_rounds, it raises if nodes are left after so many.
     """
     spark = directed.sparkSession
-    left, _ = materialize(directed.where("src <> dst").select("src", "dst").distinct(), "arcs")
-    nodes, _ = materialize(directed.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "ids")
+    arcs, arcs_path = materialize(directed.where("src <> dst").select("src", "dst").distinct(), "arcs")
+    nodes, nodes_path = materialize(directed.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("part", F.lit(0).cast("long")), "parts")
     done, at = None, 0
     while not nodes.isEmpty():
         if at == max_rounds:
             raise RuntimeError("strong_components did not settle")
-        at += 1
-        colour = _spread(nodes.select("id", F.col("id").alias("colour")), left)
-        tagged = left.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("c2")), "dst")
-        inside, _ = materialize(tagged.where("c1 = c2").select("src", "dst"), "arcs")
-        member, _ = materialize(_backward(colour.where("id = colour").select("id", "colour"), inside), "members")
-        done = member if done is None else done.unionByName(member)
-        nodes, _ = materialize(nodes.join(member, "id", "left_anti"), "ids")
-        left, _ = materialize(without_nodes(left, member), "arcs")
-    if done is None:
-        return spark.createDataFrame([], "id long, component long")
-    return done.select("id", F.col("colour").alias("component"))
-
-
-def _spread(colour: DataFrame, arcs: DataFrame) -> DataFrame:
-    """The least colour that reaches each node along arcs."""
-    now, path = materialize(colour, "colour")
-    while True:
-        came = arcs.join(now, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("colour").alias("c"))
-        nxt = now.join(came, F.col("id") == F.col("dst"), "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("new"))
-        nxt, nxt_path = materialize(nxt, "colour")
-        more = not nxt.where("new").isEmpty()
-        discard(now.sparkSession, path)
-        now, path = nxt.select("id", "colour"), nxt_path
-        if not more:
-            return now
-
-
-def _backward(roots: DataFrame, arcs: DataFrame) -> DataFrame:
-    reached, _ = materialize(roots, "back")
-    frontier = reached
+        both = arcs.select(F.col("src").alias("id")).distinct().join(arcs.select(F.col("dst").alias("id")).distinct(), "id")
+        live, live_path = materialize(nodes.join(both, "id", "left_semi"), "parts")
+        pivots = live.groupBy("part").agg(F.min_by("id", F.xxhash64("id", F.lit(at))).alias("id"))
+        ahead, ahead_paths = _reach(pivots, arcs)
+        back, back_paths = _reach(pivots, arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        marked = live.join(ahead.select("id", F.lit(1).alias("f")), "id", "left").join(back.select("id", F.lit(1).alias("b")), "id", "left")
+        marked, marked_path = materialize(marked.select("id", "part", F.coalesce("f", F.lit(0)).alias("f"), F.coalesce("b", F.lit(0)).alias("b")), "parts")
+        member = marked.where("f + b = 2")
+        found = member.join(member.groupBy("part").agg(F.min("id").alias("component")), "part").select("id", "component")
+        alone = nodes.join(live, "id", "left_anti").select("id", F.col("id").alias("component"))
+        found, _ = materialize(found.unionByName(alone), "members")
+        done = found if done is None else done.unionByName(found)
+        rest = marked.where("f + b < 2").select("id", F.xxhash64("part", "f", "b", F.lit(at)).alias("part"))
+        nxt, nxt_path = materialize(rest, "parts")
+        ends = arcs.join(nxt.select(F.col("id").alias("src"), F.col("part").alias("p")), "src").join(nxt.select(F.col("id").alias("dst"), F.col("part").alias("q")), "dst")
+        left, left_path = materialize(ends.where("p = q").select("src", "dst"), "arcs")
+        discard(spark, arcs_path, nodes_path, live_path, marked_path, *ahead_paths, *back_paths)
+        nodes, nodes_path, arcs, arcs_path, at = nxt, nxt_path, left, left_path, at + 1
+    return done if done is not None else spark.createDataFrame([], "id long, component long")
+
+
+def _reach(roots: DataFrame, arcs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows (id) that arcs lead to from roots(id, ...), those included; and the tables that they are read from."""
+    reached, path = materialize(roots.select("id"), "reach")
+    frontier, paths = reached, [path]
     while True:
-        step = arcs.join(frontier, F.col("dst") == F.col("id")).select(F.col("src").alias("id"), "colour").distinct()
-        frontier, _ = materialize(step.join(reached, ["id", "colour"], "left_anti"), "back")
+        step = arcs.join(frontier, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct()
+        frontier, path = materialize(step.join(reached, "id", "left_anti"), "reach")
+        paths.append(path)
         if frontier.isEmpty():
-            return reached
+            return reached, paths
         reached = reached.unionByName(frontier)
 
 

@@ -144,14 +144,15 @@ def to_networkx(edges: DataFrame, attributes: DataFrame | None = None, most: int
 
 
 def attribute(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows (id, value) of a JSON object {node: value}; value is JSON text, or what the key path leads to (null where it leads nowhere)."""
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,variant>")).alias("id", "v"))
+    """Rows (id, value) of a JSON object {node: value}, or of several in a file; value is JSON text, or what the key path leads to (null where it leads nowhere)."""
+    text = F.regexp_replace("value", r"\}\s*\n\s*\{", ",")  # stands between objects only
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(text, "map<string,variant>")).alias("id", "v"))
     value = F.try_variant_get("v", "$" + "".join(f"['{k}']" for k in keys), "string") if keys else F.to_json("v")
     return whole.select(F.col("id").try_cast("long").alias("id"), value.alias("value"))
 
 
 def write_attribute(values: DataFrame, path: str) -> None:
-    """One JSON object {node: value} a partition file, from rows (id, value)."""
+    """JSON objects {node: value}, one a line, from rows (id, value)."""
     values.select(F.to_json(F.create_map(F.col("id").cast("string"), F.col("value")))).write.mode("overwrite").text(path)
 
 
@@ -209,8 +210,8 @@ def append_rows(df: DataFrame, rows: Sequence[tuple]) -> DataFrame:
 
 def append_column(df: DataFrame, order: Sequence[str], values: DataFrame, value: str, value_order: Sequence[str], name: str) -> DataFrame:
     """df with a column whose values match its rows by position; a row beyond the values gets null."""
-    own = row_numbers(values.select(value, *(c for c in value_order if c != value)), value_order, "__at").select("__at", F.col(value).alias(name))
-    return row_numbers(df, order, "__at").join(own, "__at", "left").drop("__at")
+    own = row_numbers(values.select(value, *(c for c in value_order if c != value)), value_order, "__pos").select("__pos", F.col(value).alias(name))
+    return row_numbers(df, order, "__pos").join(own, "__pos", "left").drop("__pos")
 
 
 def read_column(df: DataFrame, column: str, order: Sequence[str]):
