@@ -12,45 +12,55 @@ from gleaner.llm.common import held_out, table
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 1; null and empty texts have no bytes, null ids come after all others, rows of one id do not cut each other."""
     return suffixes.dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 2; null labels and vectors without a direction link with nothing, repeated rows link with each other."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 3; null and empty texts have no words and fail the base rules, null is a language of its own."""
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 4; null and empty texts get a score as all others, equal texts equal scores."""
     found = classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and hashes, round trip and parity of each document; null and empty texts have no tokens."""
     return pieces.encode(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 6; texts without words link with nothing, rows of one id are rows of their own."""
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each read of each document in a mix of nearly equal source weights, no source more than twice; a null source is one of its own."""
     return mixing.weigh(table(spark, sf_dir, "documents"), mixing.Target(entropy=0.9999, repetition=2.0))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 8, with the spans of one language; null texts and those without letters are und."""
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs.where(~held_out(F.col("doc_id"))))
     return language.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"), "spans")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 9; null texts have no words, null ids come after all others, rows of one id do not cut each other."""
     return substrings.dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 10 by the law `key`; null texts have size 1, equal and null ids go to one shard each and get slots of their own."""
     return sharding.assign(table(spark, sf_dir, "documents"), shards=16)
 
 

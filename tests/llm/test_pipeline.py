@@ -76,3 +76,28 @@ def test_empty(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_odd_rows(spark):
+    """Null and repeated ids, null and empty texts and a text beyond a chunk go through every stage."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    rng = random.Random(4)
+    plain = [text(rng, "aa", 60) for _ in range(30)]
+    words = [text(rng, "aa", 1) for _ in range(4000)]
+    long_one = " ".join(rng.choice(words) for _ in range(260_000))
+    rows = [(i, t, "aa", "s", 1) for i, t in enumerate(plain)] + [(None, plain[3] + " x", None, None, None), (None, text(rng, "aa", 60), None, None, None), (5, text(rng, "aa", 60), "aa", "t", 1)]
+    rows += [(5, plain[7] + " y", "aa", "t", 1), (40, long_one, "aa", "s", 1), (41, long_one + " z", "aa", "s", 1), (42, None, None, None, None), (43, "", "aa", "s", 0)]
+    assert len(long_one.encode()) > 2 << 20
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        assert docs.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+        kept[name] = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+    first = [(r[0], r[1]) for r in rows if r[1]]
+    assert kept["language_id"] == sorted(first, key=str) and docs.where("lang is null").count() == 0
+    gone = {plain[3] + " x", plain[7], long_one + " z"}  # 5 is the smaller id
+    assert kept["near_duplicates"] == sorted((r for r in first if r[1] not in gone), key=str)
+    assert {i for i, _ in kept["mix_sources"]} == {i for i, _ in kept["near_duplicates"]}
+    last = pipeline.STAGES[-1][1](spark, docs, "")
+    assert last.where("not round_trip or not parity").count() == 0 and last.count() == docs.count()
