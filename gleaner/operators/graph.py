@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from gleaner.functions.columns import POLICIES
 from gleaner.operators.table import join_counted
-from gleaner.session import discard, materialize
+from gleaner.session import discard, materialize, materialize_counted
 
 
 def edges_from(df: DataFrame, source: str, target: str) -> DataFrame:
@@ -323,11 +323,11 @@ def _reach(roots: DataFrame, arcs: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def k_core(edges: DataFrame, k: int, max_rounds: int = 10_000) -> DataFrame:
     """Edges left when nodes of degree below k are peeled off until none remains."""
-    now, path = materialize(edges, "core")
+    now, path, n = materialize_counted(edges, "core")
     for _ in range(max_rounds):
         weak = degrees(now).where(F.col("degree") < k).select("id")
-        nxt, nxt_path = materialize(without_nodes(now, weak), "core")
-        settled = nxt.count() == now.count()
+        nxt, nxt_path, left = materialize_counted(without_nodes(now, weak), "core")
+        settled, n = left == n, left
         discard(edges.sparkSession, path)
         now, path = nxt, nxt_path
         if settled:
@@ -351,16 +351,21 @@ def k_core_sizes(edges: DataFrame, most: int) -> DataFrame:
 
 
 def hops(edges: DataFrame, sources: DataFrame, depth: int | None = None, directed: bool = False) -> DataFrame:
-    """Rows (source, id, hop) by breadth-first frontiers from sources(id), up to depth."""
+    """Rows (source, id, hop) by breadth-first frontiers from sources(id), up to depth.
+
+    Without directions a frontier's neighbours lie on its own level or on one next to it, so they are held against two levels and not against all that was reached.
+    """
     adj = edges.select("src", "dst") if directed else both_ways(edges)
     reached, _ = materialize(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hop")), "hops")
-    frontier, at = reached, 0
+    frontier, before, at = reached, None, 0
     while depth is None or at < depth:
         at += 1
         step = frontier.join(adj, F.col("id") == F.col("src")).select("source", F.col("dst").alias("id")).distinct()
-        frontier, _ = materialize(step.join(reached, ["source", "id"], "left_anti").withColumn("hop", F.lit(at)), "hops")
-        if frontier.isEmpty():
+        known = reached if directed else frontier if before is None else frontier.unionByName(before)
+        new, _ = materialize(step.join(known.select("source", "id"), ["source", "id"], "left_anti").withColumn("hop", F.lit(at)), "hops")
+        if new.isEmpty():
             break
+        frontier, before = new, frontier
         reached = reached.unionByName(frontier)
     return reached
 
@@ -491,14 +496,14 @@ def _dependencies(adj: DataFrame, sources: DataFrame, paths: list[str], over_edg
         return out
 
     level = written(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hop"), F.lit(1.0).alias("paths")), "level")
-    reached, levels = level, [level]
+    levels = [level]
     while True:
         step = level.join(adj, F.col("id") == F.col("src")).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        level = written(step.join(reached.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(len(levels)).alias("hop"), "paths"), "level")
+        known = level if len(levels) == 1 else level.unionByName(levels[-2])  # neighbours lie on this level or on one next to it
+        level = written(step.join(known.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(len(levels)).alias("hop"), "paths"), "level")
         if level.isEmpty():
             break
         levels.append(level)
-        reached = reached.unionByName(level)
     below = None
     parts, run = [], []
     for own in reversed(levels):
@@ -550,12 +555,14 @@ def page_rank(arcs: DataFrame, nodes: DataFrame, damping: float = 0.85, toleranc
 def hits(arcs: DataFrame, rounds: int = 20) -> DataFrame:
     """Rows (id, hub, authority) along arcs (src, dst), each normalised to length 1."""
     nodes = nodes_of(arcs)
-    now, _ = materialize(nodes.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority")), "hits")
+    now, path = materialize(nodes.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority")), "hits")
     for _ in range(rounds):
         a = arcs.join(now, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum("hub").alias("a"))
-        mid, _ = materialize(_unit(nodes.join(a, F.col("id") == F.col("dst"), "left").select("id", F.coalesce("a", F.lit(0.0)).alias("authority")), "authority"), "hits")
+        mid, mid_path = materialize(_unit(nodes.join(a, F.col("id") == F.col("dst"), "left").select("id", F.coalesce("a", F.lit(0.0)).alias("authority")), "authority"), "hits")
         h = arcs.join(mid, F.col("dst") == F.col("id")).groupBy("src").agg(F.sum("authority").alias("h"))
-        now, _ = materialize(_unit(mid.join(h, F.col("id") == F.col("src"), "left").select("id", F.coalesce("h", F.lit(0.0)).alias("hub"), "authority"), "hub"), "hits")
+        nxt, nxt_path = materialize(_unit(mid.join(h, F.col("id") == F.col("src"), "left").select("id", F.coalesce("h", F.lit(0.0)).alias("hub"), "authority"), "hub"), "hits")
+        discard(arcs.sparkSession, path, mid_path)
+        now, path = nxt, nxt_path
     return now
 
 
@@ -607,12 +614,15 @@ def edges_in_out(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """Rows (id, community) by label propagation: a node takes its neighbours' most frequent label, ties to the least, for a fixed number of rounds."""
-    adj, _ = materialize(both_ways(edges), "adj")
-    now, _ = materialize(nodes_of(edges).select("id", F.col("id").alias("community")), "community")
+    adj, adj_path = materialize(both_ways(edges), "adj")
+    now, path = materialize(nodes_of(edges).select("id", F.col("id").alias("community")), "community")
     for _ in range(rounds):
         votes = adj.join(now, F.col("dst") == F.col("id")).groupBy("src", "community").agg(F.count("*").alias("n"))
         best = votes.groupBy("src").agg(F.max(F.struct("n", (-F.col("community")).alias("c"))).alias("m"))
-        now, _ = materialize(best.select(F.col("src").alias("id"), (-F.col("m.c")).alias("community")), "community")
+        nxt, nxt_path = materialize(best.select(F.col("src").alias("id"), (-F.col("m.c")).alias("community")), "community")
+        discard(edges.sparkSession, path)
+        now, path = nxt, nxt_path
+    discard(edges.sparkSession, adj_path)
     return now
 
 

@@ -185,6 +185,8 @@ def self_join(df: DataFrame, key: str) -> DataFrame:
     return join(df, key, df, key)
 
 
+#: Columns that make the grid of a similarity join; a row meets three cells for each.
+GRID = 3
 #: A key with fewer rows is never treated as hot; the rows of a hot one are dealt to SALTS tasks.
 HOT, SALTS = 1000, 64
 
@@ -246,17 +248,19 @@ def exponential_bins(df: DataFrame, value: str, factor: float = 2.0, least: floa
 def similarity_join(left: DataFrame, columns1: Sequence[str], right: DataFrame, columns2: Sequence[str], distance: str, threshold: float, metric: str = "l2") -> DataFrame:
     """Pairs of rows within a distance, both sides' columns with suffixes where names clash.
 
-    l2: rows fall into cells of the threshold's width along the first column, and a row meets the cells next to its own, which turns the
+    l2: rows fall into cells as wide as the threshold along each of the first GRID columns, and a row meets its own cell and those next to it, which turns the
     nested loop into an equi-join. haversine: (latitude, longitude) in degrees; cells are bands of latitude.
     """
     a, b = _suffixed(left, right)
     c1 = [f"{c}-1" if c in right.columns else c for c in columns1]
     c2 = [f"{c}-2" if c in left.columns else c for c in columns2]
     width = max(float(threshold), 1e-12) if metric == "l2" else max(float(threshold) / fn.EARTH_RADIUS * 57.29577951308232, 1e-9)
+    width *= 1 + 1e-9  # guards against rounding of the division
     cell = lambda c: F.floor(F.col(f"`{c}`") / width)
-    # a cell's width is the threshold, so at most its two neighbours matter; one more guards against rounding of the division
-    a = a.withColumn("__cell", F.explode(F.array(*(cell(c1[0]) + i for i in (-1, 0, 1)))))
-    b = b.withColumn("__cell", cell(c2[0]))
+    axes = range(min(GRID, len(c1)) if metric == "l2" else 1)
+    for i in axes:
+        a = a.withColumn(f"__cell{i}", F.explode(F.array(*(cell(c1[i]) + j for j in (-1, 0, 1)))))
+        b = b.withColumn(f"__cell{i}", cell(c2[i]))
     x, y = [F.col(f"`{c}`") for c in c1], [F.col(f"`{c}`") for c in c2]
     if metric == "l2":
         d = fn.euclidean(x, y)
@@ -264,7 +268,8 @@ def similarity_join(left: DataFrame, columns1: Sequence[str], right: DataFrame,
         d = fn.haversine(x[0], x[1], y[0], y[1])
     else:
         raise ValueError("metric is l2 or haversine")
-    return a.join(b, "__cell").withColumn(distance, d).where(F.col(distance) <= threshold).drop("__cell")
+    cells = [f"__cell{i}" for i in axes]
+    return a.join(b, cells).withColumn(distance, d).where(F.col(distance) <= threshold).drop(*cells)
 
 
 def group_jaccard(df: DataFrame, group: Sequence[str], value: str, threshold: float, distance: str = "distance") -> DataFrame:

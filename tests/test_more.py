@@ -266,3 +266,27 @@ def test_strong_components_of_a_chain(spark):
     arcs = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame([(40, 38)], "src long, dst long"))
     got = {r["id"]: r["component"] for r in g.strong_components(arcs).collect()}
     assert got == {i: min(i, 38) for i in range(41)}
+
+
+def test_graph_network_learns():
+    """Two classes of neighbourhoods are told apart by the graph network, and two that no single cut tells apart by trees."""
+    _, p = crawl_of({1: 1}, predictors=[{"kind": "sage", "hidden": 5, "decay": 0.0}])
+    net = p.models[0]
+    rng = np.random.default_rng(1)
+    x = np.zeros((60, 11, 9))
+    y = np.arange(60) % 2
+    for i in range(60):
+        n = int(rng.integers(1, 9))
+        x[i, : n + 1, :8], x[i, : n + 1, 8] = rng.random((n + 1, 8)), 1.0
+        x[i, 1 : n + 1, 3] += y[i]  # only the neighbours tell
+    x = x.reshape(60, -1)
+    net.fit(x, y)
+    assert ((net.apply(x) > 0.5) == y).mean() > 0.95
+    assert -np.mean(np.log(np.where(y == 1, net.apply(x), 1 - net.apply(x)))) < 0.3
+
+    trees = crawl_of({1: 1}, predictors=[{"kind": "boosted"}, {"kind": "forest", "trees": 20}])[1].models
+    x = rng.random((200, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(int)  # no single cut tells
+    for model in trees:
+        model.fit(x, y)
+        assert ((model.apply((x - model.mean) / model.scale) > 0.5) == y).mean() > 0.85
