@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from gleaner.llm import chunks as ck
 from gleaner.llm import textkit as tk
 from gleaner.llm.common import free_shuffles, materialize, parts
-from gleaner.llm.induction import suffixes
+from gleaner.llm.induction import scratch, suffixes
 
 LENGTH = 50
 GRAM = 24
@@ -88,34 +88,34 @@ def _counting(counts: np.ndarray) -> np.ndarray:
 
 
 def smallest_holders(texts: list[bytes], first: np.ndarray) -> np.ndarray:
-    """For each string of LENGTH bytes of each text, in order: the least of `first` of the texts that hold it."""
+    """For each string of LENGTH bytes of each text, in order: the least of `first` of the texts that hold it. Large arrays are mapped from scratch files."""
     size = np.array([len(t) for t in texts])
     strings = size - LENGTH + 1
     base = np.cumsum(strings) - strings
-    symbols = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8).copy()
     begin = np.cumsum(size + 1) - size - 1
-    real = np.ones(len(symbols), bool)
-    real[begin + size] = False
-    symbols[real] += 1  # no byte of UTF-8 is 255
-    string_of = np.full(len(symbols), -1, np.int64)
-    string_of[np.repeat(begin, strings) + _counting(strings)] = np.arange(int(strings.sum()))
-    holder = np.repeat(first, strings)
-    out = np.empty(len(holder), np.int64)
+    symbols = scratch(int((size + 1).sum()), np.uint8)
+    for t, a in zip(texts, begin.tolist()):  # a separator stays 0, and no byte of UTF-8 is 255
+        symbols[a : a + len(t)] = np.frombuffer(t, np.uint8) + np.uint8(1)
+    out = scratch(int(strings.sum()), np.int64)
     held: list[np.ndarray] = []  # strings of the group that is still open
 
+    def of_text(index: np.ndarray) -> np.ndarray:
+        return first[np.searchsorted(base, index, "right") - 1]
+
     def close() -> None:
         if held:
             group = np.concatenate(held)
-            out[group] = holder[group].min()
+            out[group] = of_text(group).min()
             held.clear()
 
     broken = True
     for pos, common in suffixes(symbols, LENGTH, begin + strings - 1):
         broken_before = np.cumsum(common < LENGTH)
-        index = string_of[pos]
-        at = np.flatnonzero(index >= 0)
+        text = np.searchsorted(begin, pos, "right") - 1
+        within = pos - begin[text]
+        at = np.flatnonzero(within < strings[text])
         if len(at):
-            group, index = broken_before[at], index[at]
+            group, index = broken_before[at], base[text[at]] + within[at]
             new = np.ones(len(at), bool)
             new[1:] = group[1:] != group[:-1]
             head = np.flatnonzero(new)
@@ -128,7 +128,7 @@ def smallest_holders(texts: list[bytes], first: np.ndarray) -> np.ndarray:
                 inner = index[cut[1] : cut[-2]]
                 if len(inner):
                     marks = cut[1:-2] - cut[1]
-                    least = np.minimum.reduceat(holder[inner], marks)
+                    least = np.minimum.reduceat(of_text(inner), marks)
                     out[inner] = np.repeat(least, np.diff(np.append(marks, len(inner))))
                 held.append(index[cut[-2] :])
             else:
@@ -228,6 +228,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: b
     Removes each byte of the whole UTF-8 text that a string of 50 bytes covers which also starts in a document with a smaller key, judged on
     the input; matches never cross documents. removed: (start, end) of the maximal removed runs, in bytes. kept_text: the remaining
     bytes, without what is left of cut characters. row: a struct of the columns to carry. A null text is empty; a null key comes after all others; equal keys aren't smaller.
+    Keys are whole numbers (others are cast). Texts of any length are whole; a longer one than a chunk (CHUNK_BYTES) is a chunk of its own.
     """
     spark = docs.sparkSession
     n_parts = parts(docs)

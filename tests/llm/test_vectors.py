@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from gleaner.llm import embeddings
+from gleaner.llm import embeddings, induction
+from gleaner.llm import suffixes as suffixes_module
 from gleaner.llm.induction import suffixes
 
 
@@ -71,6 +72,23 @@ def test_tree_covers():
         todo += node.children
 
 
+def test_a_shard_larger_than_its_memory(monkeypatch):
+    """Strings of texts some ten times what queues, runs and mapped arrays may hold in memory; the smallest holders are those of a dictionary."""
+    rng = np.random.default_rng(5)
+    for name, value in (("IN_MEMORY", 2000), ("RUN", 2000), ("STEP", 5000), ("MAPPED", 4096)):
+        monkeypatch.setattr(induction, name, value)
+    monkeypatch.setattr(suffixes_module, "suffixes", lambda text, depth, last: suffixes(text, depth, last, in_memory=2000, run=2000, step=5000))
+    base = rng.integers(97, 123, 20_000).astype(np.uint8).tobytes()
+    texts = sorted({base[a : a + n] for a, n in zip(rng.integers(0, 19_000, 60).tolist(), rng.integers(60, 900, 60).tolist())} | {b"ab" * 200, b"ab" * 150, b"x" * 300})
+    first = rng.permutation(len(texts)).astype(np.int64)
+    want = {}
+    for t, f in zip(texts, first.tolist()):
+        for a in range(len(t) - 49):
+            want[t[a : a + 50]] = min(want.get(t[a : a + 50], f), f)
+    got = suffixes_module.smallest_holders(texts, first)
+    assert got.tolist() == [want[t[a : a + 50]] for t in texts for a in range(len(t) - 49)] and isinstance(got, np.memmap)
+
+
 @pytest.mark.parametrize("seed", range(60))
 def test_induced_sort(seed):
     """Suffixes come in order to the depth, with their common prefixes, also when queues spill."""
@@ -89,7 +107,7 @@ def test_induced_sort(seed):
             end += 1
         return bytes(text[p : min(end, p + depth)])
 
-    got = list(suffixes(text, depth, last, in_memory=4 if seed % 2 else 1000))
+    got = list(suffixes(text, depth, last, in_memory=4 if seed % 2 else 1000, run=3 if seed % 3 else 1000, step=7 if seed % 5 else 1000))
     pos, common = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
     heads = [head(p) for p in pos]
     assert wanted <= set(pos.tolist()) and len(set(pos.tolist())) == len(pos)
