@@ -26,6 +26,8 @@ MARK = "▁"
 #: Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Texts whose results a worker remembers, some 250 bytes each.
+SEEN = 100_000
 
 
 @dataclass(frozen=True)
@@ -155,6 +157,8 @@ class Codec:
         self.surface = piece_bytes(self.model)
         self.is_byte = np.array([kind == BYTE for _, _, kind in self.model.pieces])
         self._own = None
+        #: What came out for texts that this worker has seen, by a 128-bit hash of the text.
+        self.seen: dict[bytes, tuple] = {}
         #: Without a charsmap the normaliser only marks spaces, which Python's str.replace does faster.
         self.plain = None
         if not self.model.charsmap and not self.model.squeeze and self.model.escape:
@@ -210,26 +214,35 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text: str = "text",
     sent = spark.sparkContext.broadcast((zlib.crc32(data), data, built))
     names = ["key", "n_bytes", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip", "parity"] + ["ids"] * keep_ids
 
+    def measured(codec: Codec, texts: list[str], wanted: list[bool]) -> tuple[list[tuple], list[np.ndarray]]:
+        """For each text (n_tokens, n_byte_tokens, ids_sha256, round_trip, parity), and its ids."""
+        found = codec.encode(texts)
+        rows = [
+            (len(i), int(codec.is_byte[i].sum()), hashlib.sha256(i.astype("<i4").tobytes()).hexdigest(), codec.decode(i) == t.replace(MARK, " "), codec.reference_ids(t) == i.tolist() if w else None)
+            for i, t, w in zip(found, texts, wanted)
+        ]
+        return rows, found
+
     def run(batches):
         codec = _codec(*sent.value)
         for part in tk.slices(batches):
             texts = [x or "" for x in part.column("text").to_pylist()]
-            keys = part.column("key").to_pylist()
-            found = codec.encode(texts)
-            same = [codec.decode(i) == t.replace(MARK, " ") for i, t in zip(found, texts)]
-            checked = [
-                codec.reference_ids(t) == i.tolist() if parity_every and zlib.crc32(("" if k is None else str(k)).encode()) % parity_every == 0 else None
-                for k, i, t in zip(keys, found, texts)
-            ]
-            cols = [
-                part.column("key"),
-                pa.array([len(t.encode()) for t in texts], pa.int64()),
-                pa.array([len(i) for i in found], pa.int64()),
-                pa.array([int(codec.is_byte[i].sum()) for i in found], pa.int64()),
-                pa.array([hashlib.sha256(i.astype("<i4").tobytes()).hexdigest() for i in found], pa.string()),
-                pa.array(same, pa.bool_()),
-                pa.array(checked, pa.bool_()),
-            ]
+            if keep_ids or parity_every != 1:
+                keys = part.column("key").to_pylist()
+                wanted = [bool(parity_every) and zlib.crc32(("" if k is None else str(k)).encode()) % parity_every == 0 for k in keys]
+                rows, found = measured(codec, texts, wanted)
+            else:  # a text that this worker has seen needs no second look
+                marks = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+                new = {m: t for m, t in zip(marks, texts) if m not in codec.seen}
+                known = {m: codec.seen[m] for m in marks if m in codec.seen}
+                known.update(zip(new, measured(codec, list(new.values()), [True] * len(new))[0]))
+                rows = [known[m] for m in marks]
+                if len(codec.seen) > SEEN:
+                    codec.seen.clear()
+                codec.seen.update((m, known[m]) for m in new)
+            n_tokens, n_bytes, shas, same, checked = zip(*rows)
+            cols = [part.column("key"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_bytes, pa.int64())]
+            cols += [pa.array(shas, pa.string()), pa.array(same, pa.bool_()), pa.array(checked, pa.bool_())]
             if keep_ids:
                 cut = np.concatenate([[0], np.cumsum([len(i) for i in found])]).astype(np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))))

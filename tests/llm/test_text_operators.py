@@ -559,4 +559,6 @@ def test_keep_one_drops_the_rows_that_the_join_drops(spark):
 
 
 def test_parity_is_checked_for_every_row(docs):
-    assert pieces.encode(docs).where("parity is null").count() == 0
+    whole = pieces.encode(docs)
+    assert whole.where("parity is null").count() == 0
+    assert as_bag(map(tuple, pieces.encode(docs, keep_ids=False).collect())) == as_bag(map(tuple, whole.drop("ids").collect()))
