@@ -94,28 +94,28 @@ def smallest_holders(texts: list[bytes], first: np.ndarray) -> np.ndarray:
     base = np.cumsum(strings) - strings
     begin = np.cumsum(size + 1) - size - 1
     symbols = scratch(int((size + 1).sum()), np.uint8)
-    for t, a in zip(texts, begin.tolist()):  # a separator stays 0, and no byte of UTF-8 is 255
+    owner = scratch(len(symbols), np.int32)
+    for i, (t, a) in enumerate(zip(texts, begin.tolist())):  # a separator stays 0, and no byte of UTF-8 is 255
         symbols[a : a + len(t)] = np.frombuffer(t, np.uint8) + np.uint8(1)
+        owner[a : a + len(t)] = i
     out = scratch(int(strings.sum()), np.int64)
-    held: list[np.ndarray] = []  # strings of the group that is still open
-
-    def of_text(index: np.ndarray) -> np.ndarray:
-        return first[np.searchsorted(base, index, "right") - 1]
+    shift, final = base - begin, begin + strings
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # strings of the group that is still open, and their holders
 
     def close() -> None:
         if held:
-            group = np.concatenate(held)
-            out[group] = of_text(group).min()
+            group, own = (np.concatenate(x) for x in zip(*held))
+            out[group] = own.min()
             held.clear()
 
     broken = True
     for pos, common in suffixes(symbols, LENGTH, begin + strings - 1):
         broken_before = np.cumsum(common < LENGTH)
-        text = np.searchsorted(begin, pos, "right") - 1
-        within = pos - begin[text]
-        at = np.flatnonzero(within < strings[text])
+        text = owner[pos]
+        at = np.flatnonzero(pos < final[text])
         if len(at):
-            group, index = broken_before[at], base[text[at]] + within[at]
+            text = text[at]
+            group, index, own = broken_before[at], pos[at] + shift[text], first[text]
             new = np.ones(len(at), bool)
             new[1:] = group[1:] != group[:-1]
             head = np.flatnonzero(new)
@@ -123,16 +123,16 @@ def smallest_holders(texts: list[bytes], first: np.ndarray) -> np.ndarray:
             if broken or group[0] > 0:
                 close()
             if len(head) > 1:
-                held.append(index[: cut[1]])
+                held.append((index[: cut[1]], own[: cut[1]]))
                 close()
                 inner = index[cut[1] : cut[-2]]
                 if len(inner):
                     marks = cut[1:-2] - cut[1]
-                    least = np.minimum.reduceat(of_text(inner), marks)
+                    least = np.minimum.reduceat(own[cut[1] : cut[-2]], marks)
                     out[inner] = np.repeat(least, np.diff(np.append(marks, len(inner))))
-                held.append(index[cut[-2] :])
+                held.append((index[cut[-2] :], own[cut[-2] :]))
             else:
-                held.append(index)
+                held.append((index, own))
             broken = bool(broken_before[-1] > group[-1])
         else:
             broken = broken or bool(broken_before[-1] > 0)
