@@ -15,7 +15,7 @@ from gleaner.crawl.policies import POLICIES
 from gleaner.crawl.state import Crawl, Csr
 
 LOG = "run_id string, step int, node long, y int, score double, n_observed int, n_new int, weights array<double>"
-#: A graph of more edges isn't held in each task: see crawl_graph.
+#: A graph of more edges isn't held in each task: see collect_graph.
 MAX_EDGES = 50_000_000
 
 
@@ -92,7 +92,7 @@ def crawl_levels(edges: DataFrame, seeds: DataFrame, budget: int) -> DataFrame:
 
     from gleaner.operators.graph import hops
 
-    seen = hops(edges, seeds)
+    seen = hops(edges, seeds, enough=budget)
     w = Window.partitionBy("source").orderBy("hop", "id")
     return seen.select(F.col("source").alias("seed"), F.row_number().over(w).alias("step"), F.col("id").alias("node")).where(F.col("step") <= budget)
 

@@ -350,8 +350,8 @@ def k_core_sizes(edges: DataFrame, most: int) -> DataFrame:
 # Paths
 
 
-def hops(edges: DataFrame, sources: DataFrame, depth: int | None = None, directed: bool = False) -> DataFrame:
-    """Rows (source, id, hop) by breadth-first frontiers from sources(id), up to depth.
+def hops(edges: DataFrame, sources: DataFrame, depth: int | None = None, directed: bool = False, enough: int | None = None) -> DataFrame:
+    """Rows (source, id, hop) by breadth-first frontiers from sources(id), up to depth; with enough, a source goes no further after the level that brings it so many nodes.
 
     Without directions a frontier's neighbours lie on its own level or on one next to it, so they are held against two levels and not against all that was reached.
     """
@@ -367,6 +367,8 @@ def hops(edges: DataFrame, sources: DataFrame, depth: int | None = None, directe
             break
         frontier, before = new, frontier
         reached = reached.unionByName(frontier)
+        if enough is not None:
+            frontier = frontier.join(reached.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") < enough).select("source"), "source", "left_semi")
     return reached
 
 
