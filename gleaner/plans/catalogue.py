@@ -498,16 +498,6 @@ def g_betweenness(spark, sf):
     return g.betweenness(e, g.nodes_of(e)).select("id", _r("betweenness"))
 
 
-@_query()
-def g_eigenvector(spark, sf):
-    return g.eigenvector_centrality(views.customer_graph(spark, sf), rounds=10)
-
-
-@_query()
-def g_hits(spark, sf):
-    return g.hits(views.customer_graph(spark, sf), rounds=3)
-
-
 @_query(f"WITH {_COP}, p AS (SELECT src AS a, dst AS b FROM edges) SELECT a, b, (SELECT count(*) FROM adj x JOIN adj y ON x.dst = y.dst WHERE x.src = p.a AND y.src = p.b) AS n FROM p")
 def g_common_nbrs(spark, sf):
     e = views.copurchase(spark, sf, 2)
@@ -573,11 +563,6 @@ def g_statistics(spark, sf):
     return out.select("nodes", "edges", "max_degree", _r("mean_degree"), _r("mean_clustering"), "triangles", "wedges", "components", "largest_component")
 
 
-@_query()
-def g_label_communities(spark, sf):
-    return g.label_communities(views.customer_graph(spark, sf), rounds=4)
-
-
 @_query()
 def g_neighbourhood_function(spark, sf):
     return g.neighbourhood_function(views.customer_graph(spark, sf), 4)
@@ -894,24 +879,12 @@ def g_articulation_points(spark, sf):
     return nw.articulation_points(views.customer_graph(spark, sf))
 
 
-@_query()
-def g_personal_ranks(spark, sf):
-    e = views.customer_graph(spark, sf)
-    arcs = g.both_ways(e).withColumn("weight", F.lit(1.0) + F.col("src") % 3)
-    return nw.weighted_page_rank(arcs, g.nodes_of(e), spark.range(9, 12), rounds=5).select("id", _r("rank", 9))
-
-
 @_query()
 def g_weighted_distances(spark, sf):
     arcs = g.both_ways(views.customer_graph(spark, sf)).withColumn("weight", 1.0 + (F.col("src") + F.col("dst")) % 4)
     return g.weighted_distances(arcs, spark.range(9, 10))
 
 
-@_query()
-def g_core_periphery(spark, sf):
-    return nw.core_periphery(views.copurchase(spark, sf, 2))
-
-
 @_query()
 def g_kcore_sizes(spark, sf):
     return g.k_core_sizes(views.customer_graph(spark, sf), 3)
