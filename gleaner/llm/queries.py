@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with their production parameters, and SQL where SQL can express them."""
+"""The queries of the operators, with their production parameters, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, embeddings, jaccard, language, mixing, pieces, quality, sharding, substrings, suffixes
+from gleaner.llm import classifier, embeddings, filters, jaccard, language, mixing, pieces, quality, sharding, substrings, suffixes
 from gleaner.llm.common import held_out, table
 
 
@@ -64,7 +64,12 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = [op1_suffix_array_dedup, op2_embedding_near_dedup, op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_ngram_jaccard, op7_source_mixing, op8_language_id, op9_substring_dedup, op10_rendezvous_sharding]
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 11; null texts are empty, null ids come after all others, an id of several labels counts if one of them is 1."""
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = [op1_suffix_array_dedup, op2_embedding_near_dedup, op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_ngram_jaccard, op7_source_mixing, op8_language_id, op9_substring_dedup, op10_rendezvous_sharding, op11_filter_audit]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -97,6 +102,20 @@ ORACLES = {
     word AS (SELECT doc_id, i AS pos, ws[i] AS word FROM w, unnest(range(1, len(ws) + 1)) t(i)),
     kept AS (SELECT doc_id, count(*) AS n, count(gone.pos) AS r, string_agg(word, ' ' ORDER BY word.pos) FILTER (gone.pos IS NULL) AS t FROM word LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
     SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)""",
+    "op11_filter_audit": rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, {_WORDS.format("t")} AS ws FROM d), mark AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+    x AS (SELECT part, doc_id, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM w),
+    cell AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM x LEFT JOIN mark USING (doc_id) GROUP BY part, mask),
+    l(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    o AS (SELECT l1.f || l2.f || l3.f || l4.f || l5.f AS filter_order, [l1.b, l2.b, l3.b, l4.b, l5.b] AS bits FROM l l1, l l2, l l3, l l4, l l5 WHERE l1.b + l2.b + l3.b + l4.b + l5.b = 31),
+    s AS (SELECT filter_order, CAST(i AS INT) AS step, bits[i] AS bit, CAST(coalesce(list_sum(bits[1:i - 1]), 0) AS INT) AS prior FROM o, range(1, 6) t(i)),
+    r AS (SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER (mask & (prior | bit) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (mask & prior = 0 AND mask & bit > 0), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (mask & prior > 0 AND mask & bit > 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(good) FILTER (mask & prior = 0 AND mask & bit > 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (mask & prior = 0 AND mask & bit > 0), 0) AS BIGINT) AS toxic_lost
+        FROM cell, s GROUP BY part, filter_order, step, bit)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""",
 }
 
 
