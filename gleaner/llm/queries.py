@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, embeddings, filters, jaccard, language, mixing, pieces, quality, sharding, substrings, suffixes
+from gleaner.llm import classifier, embeddings, filters, jaccard, language, mixing, packing, pieces, quality, sharding, substrings, suffixes
 from gleaner.llm.common import held_out, table
 
 
@@ -69,7 +70,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = [op1_suffix_array_dedup, op2_embedding_near_dedup, op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_ngram_jaccard, op7_source_mixing, op8_language_id, op9_substring_dedup, op10_rendezvous_sharding, op11_filter_audit]
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 13; null and empty texts are the end token alone, repeated rows and null ids are pieces like any others."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
+QUERIES = [op1_suffix_array_dedup, op2_embedding_near_dedup, op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_ngram_jaccard, op7_source_mixing, op8_language_id, op9_substring_dedup, op10_rendezvous_sharding, op11_filter_audit, op13_best_fit_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
