@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, embeddings, filters, jaccard, language, mixing, packing, pieces, quality, sharding, substrings, suffixes
+from gleaner.llm import classifier, embeddings, filters, jaccard, language, mixing, packing, pieces, quality, sharding, spelling, substrings, suffixes
 from gleaner.llm.common import held_out, table
 
 
@@ -70,12 +70,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 12; null texts have no words, a null id counts as the empty string, repeated rows count each."""
+    return spelling.variants(table(spark, sf_dir, "documents"), slip_every=199)
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 13; null and empty texts are the end token alone, repeated rows and null ids are pieces like any others."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
-QUERIES = [op1_suffix_array_dedup, op2_embedding_near_dedup, op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_ngram_jaccard, op7_source_mixing, op8_language_id, op9_substring_dedup, op10_rendezvous_sharding, op11_filter_audit, op13_best_fit_packing]
+QUERIES = [op1_suffix_array_dedup, op2_embedding_near_dedup, op3_quality_rules, op4_quality_classifier, op5_sentencepiece, op6_ngram_jaccard, op7_source_mixing, op8_language_id, op9_substring_dedup, op10_rendezvous_sharding, op11_filter_audit, op12_spelling_variants, op13_best_fit_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -125,5 +130,24 @@ ORACLES = {
 }
 
 
+#: crc32 of UTF-8 by its table of 256 steps, which is made by the rule of the polynomial.
+_CRC = """crc AS (SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+ORACLES["op12_spelling_variants"] = rf"""WITH RECURSIVE {_CRC},
+    run AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS r FROM documents),
+    own AS (SELECT k, r, hex(encode(k || r)) AS x, count(*) AS n FROM run WHERE length(r) >= 6 GROUP BY k, r),
+    hash AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: 16 * (instr('0123456789ABCDEF', x[i]) - 1) + instr('0123456789ABCDEF', x[i + 1]) - 1)),
+        lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM own, crc),
+    word AS (SELECT CASE WHEN h % 199 = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w, CAST(sum(n) AS BIGINT) AS n FROM hash GROUP BY w HAVING sum(n) >= 5 AND length(w) >= 6),
+    cut AS (SELECT w, n, i, left(w, i - 1) || substr(w, i + 1) AS d FROM word, unnest(range(1, length(w) + 1)) t(i)),
+    less AS (SELECT DISTINCT cut.w AS a, word.w AS b FROM cut JOIN word ON word.w = cut.d),
+    near AS (SELECT x.w AS a, y.w AS b FROM cut x JOIN cut y ON x.i = y.i AND x.d = y.d AND x.w <> y.w UNION SELECT a, b FROM less UNION SELECT b, a FROM less),
+    best AS (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k, count(*) OVER (PARTITION BY a) AS n_near FROM near JOIN word ON word.w = near.b),
+    form AS (SELECT w, word.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * word.n THEN b END AS form, CASE WHEN best.n >= 5 * word.n THEN best.n END AS form_n FROM word LEFT JOIN best ON best.a = w AND k = 1),
+    chain AS (SELECT w, w AS tip FROM form UNION ALL SELECT chain.w, form.form FROM chain JOIN form ON form.w = chain.tip WHERE form.form IS NOT NULL),
+    root AS (SELECT chain.w, tip FROM chain JOIN form ON form.w = tip WHERE form.form IS NULL)
+    SELECT form.w AS word, form, tip AS root, n, n_near, form_n FROM form JOIN root ON root.w = form.w"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
