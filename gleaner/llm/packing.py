@@ -7,6 +7,7 @@ reduced and packed on the driver, which gives intervals of like pieces and of li
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -23,7 +24,12 @@ from gleaner.operators.table import row_numbers
 
 CAPACITY = 4096
 #: Bytes of words and tokens that a worker remembers.
-REMEMBERED = 64 << 20
+REMEMBERED = 128 << 20
+#: Signs of ASCII but the apostrophe, with which endings begin.
+SIGNS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
+_SIGNS = SIGNS.encode()
+#: Words that go to the tokenizer as one text.
+TOGETHER = 200
 #: Bytes of a long text whose words are held as objects at once.
 PIECE_BYTES = 1 << 20
 
@@ -36,61 +42,85 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(built)
-        a, b, both = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("we'll go", "x1 ", " we'll \n go\tx1\x0b "))
+        a, b, both = (self._ids(x) for x in ("we'll go", "x1 ", " we'll \n go\tx1\x0b "))
         if a + b != both:
             raise ValueError("the tokenizer's words hang on the white space around them")
+        #: A sign that is one token, to stand between words that are encoded together.
+        self.between, self.token = next(((x, self._ids(x)[0]) for x in "|~^" if len(self._ids(x)) == 1 and self._ids(f"a {x} b") == self._ids("a") + self._ids(x) + self._ids("b")), (None, None))
+        #: Tokens of their own, which a word is searched for before anything else is done to it.
+        self.own = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Whether case doesn't matter, and whether signs behind a letter or digit are tokens of their own.
+        self.folds = self._ids("KALO Z1É") == self._ids("kalo z1É")
+        self.parts_signs = all(self._ids(f"{x}{y}{z}") == self._ids(x) + self._ids(y + z) for x in ("kalo", "lé", "7") for y in SIGNS for z in ("", y, "."))
         self.forget()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used, self.held = np.zeros(1 << 18, np.uint32), 0, 0
+        #: The ids of words and of their parts, as little-endian 32-bit numbers.
+        self.known: dict[bytes, bytes] = {}
+        self.part: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _parts(self, w: bytes) -> tuple[bytes, ...]:
+        """Parts of a word whose ids one after another are those of the word: signs at the end often vary where the word doesn't."""
+        if any(x in w for x in self.own):
+            return (w,)
+        w = w.lower() if self.folds else w
+        core = w.rstrip(_SIGNS) if self.parts_signs else w
+        if 0 < len(core) < len(w) and (core[-1:].isalnum() or core[-2:-1] == b"\xc3" and core[-1] not in b"\x97\xb7"):  # ASCII, or a letter from À to ÿ
+            return core, w[len(core) :]
+        return (w,)
 
     def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        size = np.array([len(e.ids) for e in found], np.int64)
-        first, total = len(self.known), int(size.sum())
-        while len(self.start) < first + len(words):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        while len(self.flat) < self.used + total:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.size[first : first + len(words)] = size
-        self.start[first : first + len(words)] = self.used + np.cumsum(size) - size
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32, total)
-        self.known.update(zip(words, range(first, first + len(words))))
-        self.used += total
-        self.held += sum(map(len, words)) + 100 * len(words) + 4 * total
-
-    def encode(self, data: bytes) -> np.ndarray:
-        """The ids of a text without a limit of length."""
+        """Encode words that aren't known; many at once, as a call costs more than a word, but for those that hold the sign between them."""
+        split = [self._parts(w) for w in words]
+        new = set(chain.from_iterable(split)).difference(self.part)
+        sign = None if self.between is None else self.between.encode()
+        apart = [w for w in new if sign is None or sign in w]
+        together = [w for w in new if sign is not None and sign not in w]
+        groups = [together[i : i + TOGETHER] for i in range(0, len(together), TOGETHER)]
+        for group, ids in zip(groups, self._batch([f" {self.between} ".join(w.decode() for w in g) for g in groups])):
+            at = np.flatnonzero(ids == self.token)
+            if len(at) != len(group) - 1:
+                apart += group
+                continue
+            data = ids.tobytes()
+            cut = [-4, *(4 * at).tolist(), len(data)]
+            self.part.update((w, data[a + 4 : b]) for w, a, b in zip(group, cut, cut[1:]))
+        self.part.update((w, ids.tobytes()) for w, ids in zip(apart, self._batch([w.decode() for w in apart])))
+        found = [self.part[x[0]] if len(x) == 1 else self.part[x[0]] + self.part[x[1]] for x in split]
+        self.known.update(zip(words, found))
+        self.held += 200 * (len(words) + len(new)) + 2 * (sum(map(len, words)) + sum(map(len, found)))
+
+    def encode(self, data: bytes) -> bytes:
+        """The ids of a text of any length, as little-endian 32-bit numbers."""
         out, at = [], 0
         while at < len(data):
             to = min(len(data), at + PIECE_BYTES)
             while to < len(data) and data[to] not in tk.SPACES:
                 to += 1
-            out.append(self._encode([data[at:to].split()])[0])
+            out += self._encode([data[at:to].split()])
             at = to
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        return b"".join(out)
 
-    def encode_all(self, data: bytes, off: list[int]) -> list[np.ndarray]:
+    def encode_all(self, data: bytes, off: list[int]) -> list[bytes]:
         """The ids of the texts that start at off."""
         if len(data) > 2 * PIECE_BYTES:
             return [self.encode(data[a:b]) for a, b in zip(off, off[1:])]
         return self._encode([data[a:b].split() for a, b in zip(off, off[1:])])
 
-    def _encode(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+    def _encode(self, texts: list[list[bytes]]) -> list[bytes]:
         if self.held > REMEMBERED:
             self.forget()
-        new = set().union(*texts) - self.known.keys()
+        new = set().union(*texts).difference(self.known)
         if new:
             self.learn(list(new))
-        count = np.array([len(t) for t in texts], np.int64)
-        word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64, int(count.sum()))
-        size = self.size[word]
-        end = np.cumsum(size)
-        ids = self.flat[np.arange(end[-1] if len(end) else 0) + np.repeat(self.start[word] - end + size, size)]
-        cut = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])]
-        return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())]
+        return [b"".join(map(self.known.__getitem__, t)) for t in texts]
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -116,21 +146,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     names = ["key", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def run(batches):
-        encoder = _encoder(*sent.value)
+        encoder, last = _encoder(*sent.value), struct.pack("<I", end)
         for part in tk.slices(batches):
             raw, off = tk.bytes_of(part.column("text"))
             row, starts, found = [], [], []
             for i, ids in enumerate(encoder.encode_all(raw.tobytes(), off.tolist())):
-                ids = np.append(ids, np.uint32(end))
-                cuts = range(0, len(ids), capacity)
+                ids += last
+                cuts = range(0, len(ids) // 4, capacity)
                 row += [i] * len(cuts)
                 starts += cuts
-                found += [ids[a : a + capacity].astype("<u4") for a in cuts]
+                found += [ids[4 * a : 4 * (a + capacity)] for a in cuts]
             cols = [part.column("key").take(pa.array(row)), pa.array([a // capacity for a in starts], pa.int32()), pa.array(starts, pa.int64())]
-            cols += [pa.array([len(x) for x in found], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64())]
+            cols += [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([zlib.crc32(x) for x in found], pa.int64())]
             if keep_ids:
-                cut = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(found).astype(np.int32))))
+                cut = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(np.frombuffer(b"".join(found), "<i4"))))
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = docs.schema[key].dataType.simpleString()
