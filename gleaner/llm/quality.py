@@ -8,11 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleaner.llm import chunks as ck
 from gleaner.llm import textkit as tk
-from gleaner.llm.common import discard, materialize, parts
+from gleaner.llm.common import discard, join_counted, materialize, materialize_counted, parts
 
 #: The model's symbols are bytes as they are. An n-gram is a number of ORDER bytes, newest lowest; a text follows blanks.
 BITS = 8
@@ -28,6 +27,10 @@ BAND = 3.0
 #: Texts of n bytes vary by about 1/sqrt(n) more.
 BAND_SHORT = 1.0
 PERPLEXITY_STEP = 0.005
+#: Log perplexities a letter from here on count as this one where bands are drawn: of texts with hardly a letter. So a language has a bounded number of steps.
+PERPLEXITY_TOP = 64.0
+#: Bands of so many languages are broadcast, some 100 bytes each.
+MOST_BROADCAST = 100_000
 REPEAT_WINDOW = 5
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 #: Digits, A-Z, a-z and bytes above 127.
@@ -125,6 +128,14 @@ def _language(lang: str) -> F.Column:
     return F.coalesce(F.col(lang), F.lit(REST))
 
 
+def _by_language(langs: list[str], off: np.ndarray) -> dict[str, list[tuple[int, int]]]:
+    """Where the texts of each language start and end."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for name, a, b in zip(langs, off[:-1].tolist(), off[1:].tolist()):
+        out.setdefault(name, []).append((a, b))
+    return out
+
+
 def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> KneserNey:
     """Count the n-grams of every document, language by language, and smooth them (modified Kneser-Ney).
 
@@ -156,11 +167,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> KneserNey:
         for part in tk.slices(batches):
             raw, off = tk.bytes_of(part.column("text"))
             key, _ = grams(raw, off)
-            names = np.array(part.column("lang").to_pylist(), object)
-            of_byte = np.repeat(np.arange(len(names)), np.diff(off))
-            for name in set(names):
-                mine = (names == name)[of_byte]
-                waiting.setdefault(name, []).append(np.unique(key[mine], return_counts=True))
+            for name, own in _by_language(part.column("lang").to_pylist(), off).items():
+                waiting.setdefault(name, []).append(np.unique(np.concatenate([key[a:b] for a, b in own]), return_counts=True))
                 if len(waiting[name]) >= 16:
                     merge(name)
             if sum(len(k) for k, _ in total.values()) > 8 << 20:  # a task's memory is bounded
@@ -195,13 +203,10 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> KneserNey:
 def _distinct(c: ck.Chunk, n_parts: int) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
     """The languages of a chunk, for each its sorted distinct n-grams, their hash ranges, and the bytes that it has; and the n-gram at each byte."""
     key, _ = grams(c.raw, c.off)
-    lang = c.row.field("lang").to_pylist()
-    names = sorted(set(lang))
-    place = {x: i for i, x in enumerate(names)}
-    of_byte = np.repeat(np.array([place[x] for x in lang], np.int32), np.diff(c.off))
-    out = []
-    for i in range(len(names)):
-        mine = np.flatnonzero(of_byte == i)
+    texts = _by_language(c.row.field("lang").to_pylist(), c.off)
+    names, out = sorted(texts), []
+    for name in names:
+        mine = np.concatenate([np.arange(a, b) for a, b in texts[name]])
         k = np.unique(key[mine])
         out.append((k, ck.part_of(tk.mix(k.view(np.uint64)), n_parts), mine))
     return names, out, key
@@ -341,21 +346,26 @@ def measure(docs: DataFrame, model: KneserNey, key: str = "doc_id", lang: str =
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """Rows (model, median, spread): of the log perplexity of each language's documents, from a histogram of fixed steps over all of them."""
-    bins = measured.where("log_ppl is not null").groupBy("model", F.floor(F.col("log_ppl") / PERPLEXITY_STEP).cast("int").alias("bin")).count().toPandas()
-    out = []
-    for name, own in bins.groupby("model"):
-        value = (own["bin"].to_numpy() + 0.5) * PERPLEXITY_STEP
-        weight = own["count"].to_numpy()
+    """Rows (model, n, median, spread): of the log perplexity of each language's n documents, null if all are empty; from a histogram of fixed steps over all of them.
+
+    A language has PERPLEXITY_TOP / PERPLEXITY_STEP steps at most, which one task sees; languages are spread over tasks.
+    """
+    step = F.floor(F.least(F.col("log_ppl"), F.lit(PERPLEXITY_TOP)) / PERPLEXITY_STEP).cast("int")
+    steps = measured.groupBy("model", F.when(F.col("log_ppl").isNotNull(), step).alias("step")).agg(F.count("*").alias("n"))
+
+    def draw(key: tuple[pa.Scalar], own: pa.Table) -> pa.Table:
+        n, full = own.column("n").to_numpy(), own.filter(own.column("step").is_valid())
+        value, weight = (full.column("step").to_numpy().astype(float) + 0.5) * PERPLEXITY_STEP, full.column("n").to_numpy()
 
         def middle(v: np.ndarray) -> float:
             order = np.argsort(v)
             return float(v[order][np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)])
 
-        median = middle(value)
-        out.append((name, median, max(1.4826 * middle(np.abs(value - median)), PERPLEXITY_STEP)))
-    schema = T.StructType([T.StructField("model", T.StringType()), T.StructField("median", T.DoubleType()), T.StructField("spread", T.DoubleType())])
-    return measured.sparkSession.createDataFrame(out, schema)
+        median = middle(value) if len(value) else None
+        spread = max(1.4826 * middle(np.abs(value - median)), PERPLEXITY_STEP) if len(value) else None
+        return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([int(n.sum())]), pa.array([median], pa.float64()), pa.array([spread], pa.float64())], ["model", "n", "median", "spread"])
+
+    return steps.groupBy("model").applyInArrow(draw, "model string, n long, median double, spread double")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", band: float = BAND) -> DataFrame:
@@ -363,14 +373,20 @@ def judge(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str =
 
     base_failed: fewer than 10 words, or more than 20 % of the words in repeated 5-word windows. kept: not base_failed, and the log
     perplexity a letter under its language's model lies in that language's band (lower, upper), which is wider for short texts. A null text
-    has no words. Repeated rows and null keys stay. Bands are a row a language, so they are broadcast.
+    has no words. Texts without a letter, of any length, are judged like others: their log perplexity counts as one letter's. Repeated rows and null keys stay;
+    other columns, whatever their names, are ignored. Bands, a row a language, are broadcast up to MOST_BROADCAST of them, and joined beyond that.
     """
     model = train(docs, lang, text)
     measured = measure(docs, model, key, lang, text)
     discard(docs.sparkSession, *model.paths)
+    drawn, _, languages = materialize_counted(bands(measured), "bands")
+    if languages <= MOST_BROADCAST:
+        joined = measured.join(F.broadcast(drawn.drop("n")), "model")
+    else:
+        joined = join_counted(measured, drawn, "model", measured.count(), key)
     width = F.lit(band) * F.col("spread") + F.lit(BAND_SHORT) / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    joined = measured.join(F.broadcast(bands(measured)), "model", "left").withColumn("lower", F.col("median") - width).withColumn("upper", F.col("median") + width)
+    joined = joined.withColumn("lower", F.col("median") - width).withColumn("upper", F.col("median") + width)
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
     return joined.select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), "log_ppl", "lower", "upper"
