@@ -6,7 +6,9 @@ reduced and packed on the driver, which gives intervals of like pieces and of li
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_left, bisect_right
@@ -24,10 +26,12 @@ from gleaner.operators.table import row_numbers
 
 CAPACITY = 4096
 #: Bytes of words and tokens that a worker remembers.
-REMEMBERED = 128 << 20
+REMEMBERED = 400 << 20
 #: Signs of ASCII but the apostrophe, with which endings begin.
 SIGNS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
 _SIGNS = SIGNS.encode()
+#: Lower-case letters a-z and from ß to ÿ, in UTF-8.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Words that go to the tokenizer as one text.
 TOGETHER = 200
 #: Bytes of a long text whose words are held as objects at once.
@@ -48,27 +52,41 @@ class WordEncoder:
         #: A sign that is one token, to stand between words that are encoded together.
         self.between, self.token = next(((x, self._ids(x)[0]) for x in "|~^" if len(self._ids(x)) == 1 and self._ids(f"a {x} b") == self._ids("a") + self._ids(x) + self._ids("b")), (None, None))
         #: Tokens of their own, which a word is searched for before anything else is done to it.
-        self.own = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        own = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.own = re.compile(b"|".join(map(re.escape, own)) if own else b"(?!)").search
         #: Whether case doesn't matter, and whether signs behind a letter or digit are tokens of their own.
         self.folds = self._ids("KALO Z1É") == self._ids("kalo z1É")
         self.parts_signs = all(self._ids(f"{x}{y}{z}") == self._ids(x) + self._ids(y + z) for x in ("kalo", "lé", "7") for y in SIGNS for z in ("", y, "."))
+        self.letters = self._for_letters(Tokenizer, built)
         self.forget()
 
+    def _for_letters(self, kind: type, built: str):
+        """The tokenizer for words of lower-case letters alone, without normalizing and searching for parts, which take most of its time; None if its ids differ."""
+        how = json.loads(built)
+        steps = how["pre_tokenizer"].get("pretokenizers", [how["pre_tokenizer"]])
+        how["normalizer"], how["pre_tokenizer"] = None, {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *(x for x in steps if x["type"] == "ByteLevel")]}
+        own = kind.from_str(json.dumps(how))
+        letters = [chr(i) for i in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
+        tries = [x + y for x in letters for y in ("", "a", "é", x, "the", "rgß")] + [y + x for x in letters for y in ("don", "s", "ñandú")]
+        same = all(own.encode(x, add_special_tokens=False).ids == self._ids(x) for x in [*tries, " ".join(tries), f"a {self.between} b"])
+        return own if same else None
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def forget(self) -> None:
-        #: The ids of words and of their parts, as little-endian 32-bit numbers.
+        #: The ids of words and of their parts, as little-endian 32-bit numbers; and those of the time before, where words that come again are found.
         self.known: dict[bytes, bytes] = {}
         self.part: dict[bytes, bytes] = {}
+        self.before: tuple[dict, dict] = ({}, {})
         self.held = 0
 
     def _parts(self, w: bytes) -> tuple[bytes, ...]:
         """Parts of a word whose ids one after another are those of the word: signs at the end often vary where the word doesn't."""
-        if any(x in w for x in self.own):
+        if self.own(w):
             return (w,)
         w = w.lower() if self.folds else w
         core = w.rstrip(_SIGNS) if self.parts_signs else w
@@ -76,15 +94,28 @@ class WordEncoder:
             return core, w[len(core) :]
         return (w,)
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encode words that aren't known; many at once, as a call costs more than a word, but for those that hold the sign between them."""
-        split = [self._parts(w) for w in words]
+    def learn(self, words: set[bytes]) -> None:
+        """Look up or encode words that aren't known; many at once, as a call costs more than a word, but for those that hold the sign between them."""
+        known, part = self.before
+        again = {w: known[w] for w in words if w in known}
+        fresh = [w for w in words if w not in again]
+        split = [self._parts(w) for w in fresh]
         new = set(chain.from_iterable(split)).difference(self.part)
+        self.part.update((w, part[w]) for w in new if w in part)
+        new = new.difference(part)
+        plain = {w for w in new if _LETTERS.fullmatch(w)} if self.letters else set()
+        self._encode_parts(list(plain), self.letters)
+        self._encode_parts(list(new - plain), self.tokenizer)
+        again.update((w, self.part[x[0]] if len(x) == 1 else self.part[x[0]] + self.part[x[1]]) for w, x in zip(fresh, split))
+        self.known.update(again)
+        self.held += 200 * (len(words) + len(new)) + 2 * (sum(map(len, words)) + sum(map(len, again.values())))
+
+    def _encode_parts(self, new: list[bytes], tokenizer) -> None:
         sign = None if self.between is None else self.between.encode()
         apart = [w for w in new if sign is None or sign in w]
         together = [w for w in new if sign is not None and sign not in w]
         groups = [together[i : i + TOGETHER] for i in range(0, len(together), TOGETHER)]
-        for group, ids in zip(groups, self._batch([f" {self.between} ".join(w.decode() for w in g) for g in groups])):
+        for group, ids in zip(groups, self._batch([f" {self.between} ".join(w.decode() for w in g) for g in groups], tokenizer)):
             at = np.flatnonzero(ids == self.token)
             if len(at) != len(group) - 1:
                 apart += group
@@ -93,9 +124,6 @@ class WordEncoder:
             cut = [-4, *(4 * at).tolist(), len(data)]
             self.part.update((w, data[a + 4 : b]) for w, a, b in zip(group, cut, cut[1:]))
         self.part.update((w, ids.tobytes()) for w, ids in zip(apart, self._batch([w.decode() for w in apart])))
-        found = [self.part[x[0]] if len(x) == 1 else self.part[x[0]] + self.part[x[1]] for x in split]
-        self.known.update(zip(words, found))
-        self.held += 200 * (len(words) + len(new)) + 2 * (sum(map(len, words)) + sum(map(len, found)))
 
     def encode(self, data: bytes) -> bytes:
         """The ids of a text of any length, as little-endian 32-bit numbers."""
@@ -115,12 +143,17 @@ class WordEncoder:
         return self._encode([data[a:b].split() for a, b in zip(off, off[1:])])
 
     def _encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        if self.held > REMEMBERED:
+        if self.held > REMEMBERED // 2:
+            before = (self.known, self.part)
             self.forget()
-        new = set().union(*texts).difference(self.known)
-        if new:
-            self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, t)) for t in texts]
+            self.before = before
+        found = [list(map(self.known.get, t)) for t in texts]
+        lacking = [i for i, f in enumerate(found) if None in f]
+        if lacking:
+            self.learn({w for i in lacking for w, x in zip(texts[i], found[i]) if x is None})
+            for i in lacking:
+                found[i] = list(map(self.known.__getitem__, texts[i]))
+        return [b"".join(f) for f in found]
 
 
 _encoders: dict[int, WordEncoder] = {}
