@@ -75,48 +75,6 @@ def two_paths(edges: DataFrame) -> DataFrame:
     return g.degrees(edges).select("id", (d * (d - 1) / 2).cast("long").alias("paths"))
 
 
-def cut_parts(edges: pd.DataFrame) -> tuple[list[int], list[tuple[int, int]]]:
-    """Articulation points and bridges of one graph, by a depth-first walk without recursion."""
-    near: dict[int, list[int]] = {}
-    for a, b in edges[["src", "dst"]].itertuples(index=False):
-        near.setdefault(int(a), []).append(int(b))
-        near.setdefault(int(b), []).append(int(a))
-    seen: dict[int, int] = {}
-    low: dict[int, int] = {}
-    points, bridges = set(), []
-    for root in sorted(near):
-        if root in seen:
-            continue
-        seen[root] = low[root] = len(seen)
-        stack = [(root, None, iter(sorted(near[root])))]
-        branches = 0
-        while stack:
-            v, parent, rest = stack[-1]
-            for u in rest:
-                if u == parent:
-                    continue
-                if u in seen:
-                    low[v] = min(low[v], seen[u])
-                    continue
-                seen[u] = low[u] = len(seen)
-                stack.append((u, v, iter(sorted(near[u]))))
-                break
-            else:
-                stack.pop()
-                if parent is None:
-                    continue
-                low[parent] = min(low[parent], low[v])
-                if low[v] > seen[parent]:
-                    bridges.append((min(v, parent), max(v, parent)))
-                if parent == root:
-                    branches += 1
-                elif low[v] >= seen[parent]:
-                    points.add(parent)
-        if branches > 1:
-            points.add(root)
-    return sorted(points), sorted(bridges)
-
-
 def _by_component(edges: DataFrame, work, schema: str, most: int) -> DataFrame:
     labels, _ = materialize(g.components(edges), "labels")
     tagged = edges.join(labels, F.col("src") == F.col("id")).select("component", "src", "dst")
@@ -126,16 +84,6 @@ def _by_component(edges: DataFrame, work, schema: str, most: int) -> DataFrame:
     return tagged.groupBy("component").applyInPandas(work, schema)
 
 
-def articulation_points(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
-    """Rows (id): nodes whose removal splits their component. A component is one task's work, up to `most` edges."""
-    return _by_component(edges, lambda pdf: pd.DataFrame({"id": cut_parts(pdf)[0]}), "id long", most)
-
-
-def bridges(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
-    """Rows (src, dst): edges whose removal splits their component."""
-    return _by_component(edges, lambda pdf: pd.DataFrame(cut_parts(pdf)[1], columns=["src", "dst"]), "src long, dst long", most)
-
-
 def max_flow(arcs: pd.DataFrame, source: int, sink: int) -> float:
     """Largest flow over directed arcs (src, dst, capacity), by shortest augmenting paths."""
     left: dict[int, dict[int, float]] = {}
@@ -217,64 +165,6 @@ def covering_group(edges: DataFrame, size: int) -> DataFrame:
     return spark.createDataFrame(found, "rank int, id long, gain long")
 
 
-def blocks_of(edges: pd.DataFrame) -> list[list[tuple[int, int]]]:
-    """The biconnected sets of one graph, as lists of edges: edges of one set lie on a common cycle; a bridge is a set of its own."""
-    near: dict[int, list[int]] = {}
-    for a, b in edges[["src", "dst"]].itertuples(index=False):
-        near.setdefault(int(a), []).append(int(b))
-        near.setdefault(int(b), []).append(int(a))
-    seen: dict[int, int] = {}
-    low: dict[int, int] = {}
-    out: list[list[tuple[int, int]]] = []
-    for root in sorted(near):
-        if root in seen:
-            continue
-        seen[root] = low[root] = len(seen)
-        way, trail = [(root, None, iter(sorted(near[root])))], []
-        while way:
-            v, up, rest = way[-1]
-            u = next(rest, None)
-            if u is None:
-                way.pop()
-                if up is not None:
-                    low[up] = min(low[up], low[v])
-                    if low[v] >= seen[up]:  # nothing below v gets past up
-                        cut = trail.index((up, v))
-                        out.append(sorted((min(e), max(e)) for e in trail[cut:]))
-                        del trail[cut:]
-            elif u not in seen:
-                seen[u] = low[u] = len(seen)
-                trail.append((v, u))
-                way.append((u, v, iter(sorted(near[u]))))
-            elif u != up and seen[u] < seen[v]:
-                trail.append((v, u))
-                low[v] = min(low[v], seen[u])
-    return out
-
-
-def biconnected(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
-    """Rows (block, src, dst): the biconnected sets, named by their smallest edge's ends. A component is one task's work, up to `most` edges."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [("%d-%d" % own[0], *e) for own in blocks_of(pdf) for e in own]
-        return pd.DataFrame(rows, columns=["block", "src", "dst"])
-
-    return _by_component(edges, work, "block string, src long, dst long", most)
-
-
-def biconnected_sizes(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
-    """Rows (nodes, blocks): how many biconnected sets of more than one edge have so many nodes."""
-    b = biconnected(edges, most)
-    own = b.select("block", F.explode(F.array("src", "dst")).alias("id")).groupBy("block").agg(F.countDistinct("id").alias("nodes"))
-    return own.where("nodes > 2").groupBy("nodes").agg(F.count("*").alias("blocks"))
-
-
-def without_bridges(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
-    """Rows (nodes, components): sizes of what is left when all bridges are taken away, single nodes left out."""
-    kept = edges.join(bridges(edges, most), ["src", "dst"], "left_anti")
-    return g.component_sizes(kept).groupBy("nodes").agg(F.count("*").alias("components"))
-
-
 def split_communities(edges: pd.DataFrame) -> pd.DataFrame:
     """Communities of one small graph by taking away the edge of most shortest paths again and again, at the stage of largest modularity (rows id, community)."""
     near: dict[int, set[int]] = {}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gleaner.crawl import evaluation as ev
 from gleaner.crawl import run as crawl
 from gleaner.functions import columns as fn
+from gleaner.operators import cuts
 from gleaner.operators import features as ft
 from gleaner.operators import graph as g
 from gleaner.operators import networks as nw
@@ -869,14 +870,20 @@ def g_growth(spark, sf):
     return nw.growth(_timed(spark, sf)).select(F.unix_timestamp("bucket").alias("bucket"), "nodes", "edges")
 
 
-@_query()
+#: What each edge's first end still reaches without that edge, and which edges their second end is not reached by.
+_BRIDGES = f"""WITH RECURSIVE {_CUST}, r(s, d, id) AS (SELECT src, dst, src FROM edges UNION SELECT r.s, r.d, adj.dst FROM r JOIN adj ON adj.src = r.id WHERE least(adj.src, adj.dst) <> r.s OR greatest(adj.src, adj.dst) <> r.d),
+bridge AS (SELECT src, dst FROM edges WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.s = src AND r.d = dst AND r.id = dst))"""
+
+
+@_query(_BRIDGES + " SELECT src, dst FROM bridge")
 def g_bridges(spark, sf):
-    return nw.bridges(views.customer_graph(spark, sf))
+    return cuts.bridges(views.customer_graph(spark, sf))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_CUST}, r(v, id) AS (SELECT src, min(dst) FROM adj GROUP BY src UNION SELECT r.v, adj.dst FROM r JOIN adj ON adj.src = r.id WHERE adj.dst <> r.v)
+    SELECT DISTINCT adj.src AS id FROM adj LEFT JOIN r ON r.v = adj.src AND r.id = adj.dst WHERE r.id IS NULL""")
 def g_articulation_points(spark, sf):
-    return nw.articulation_points(views.customer_graph(spark, sf))
+    return cuts.articulation_points(views.customer_graph(spark, sf))
 
 
 @_query()

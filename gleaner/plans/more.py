@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from gleaner.crawl import evaluation as ev
 from gleaner.crawl import presets, store
 from gleaner.functions import columns as fn
+from gleaner.operators import cuts
 from gleaner.operators import features as ft
 from gleaner.operators import graph as g
 from gleaner.operators import networks as nw
 from gleaner.operators import table as tb
 from gleaner.operators import windows as wd
 from gleaner.plans import views
-from gleaner.plans.catalogue import _AB, _COP, _CUST, _EV, _HIST, _LOG, _STATE, _TRI, _ab, _log, _means, _query, _r, _round, _state
+from gleaner.plans.catalogue import _AB, _BRIDGES, _COP, _CUST, _EV, _HIST, _LOG, _STATE, _TRI, _ab, _log, _means, _query, _r, _round, _state
 from gleaner.plans.views import table
 from gleaner.session import shared_folder
 from gleaner.sources import files
@@ -425,14 +426,23 @@ def g_edge_betweenness(spark, sf):
     return g.edge_betweenness(e, g.nodes_of(e).where("id % 50 = 0")).select("src", "dst", _r("betweenness"))
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {_CUST}, q(v, a, id) AS (SELECT src, dst, dst FROM adj UNION SELECT q.v, q.a, adj.dst FROM q JOIN adj ON adj.src = q.id WHERE adj.dst <> q.v),
+    piece AS (SELECT v, a, v * 1000000 + min(id) AS p FROM q GROUP BY v, a), link AS (SELECT x.p, y.p AS o FROM piece x JOIN piece y ON x.v = y.a AND x.a = y.v),
+    c(p, m) AS (SELECT p, p FROM link UNION SELECT link.o, c.m FROM c JOIN link ON link.p = c.p WHERE c.m < link.o), own AS (SELECT p // 1000000 AS v, min(m) AS block FROM c GROUP BY p)
+    SELECT nodes, count(*) AS blocks FROM (SELECT count(DISTINCT v) AS nodes FROM own GROUP BY block) WHERE nodes > 2 GROUP BY nodes"""
+)
 def g_biconnected_sizes(spark, sf):
-    return nw.biconnected_sizes(views.customer_graph(spark, sf))
+    return cuts.biconnected_sizes(views.customer_graph(spark, sf))
 
 
-@_query()
+@_query(
+    _BRIDGES + """, solid AS (SELECT src, dst FROM adj WHERE (least(src, dst), greatest(src, dst)) NOT IN (SELECT (src, dst) FROM bridge)),
+    c(id, m) AS (SELECT src, src FROM solid UNION SELECT solid.dst, c.m FROM c JOIN solid ON solid.src = c.id WHERE c.m < solid.dst), own AS (SELECT id, min(m) AS m FROM c GROUP BY id)
+    SELECT nodes, count(*) AS components FROM (SELECT count(*) AS nodes FROM own GROUP BY m) GROUP BY nodes"""
+)
 def g_without_bridges(spark, sf):
-    return nw.without_bridges(views.customer_graph(spark, sf))
+    return cuts.without_bridges(views.customer_graph(spark, sf))
 
 
 @_query()

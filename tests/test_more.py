@@ -174,50 +174,6 @@ def test_edge_betweenness(spark, edges):
     assert got == pytest.approx(want)
 
 
-def test_biconnected_sets(spark):
-    rng = random.Random(3)
-    pairs = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(17)})
-    near = {}
-    for a, b in pairs:
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-
-    def joined(gone, a, b):
-        seen, todo = set(gone), [a]
-        while todo:
-            v = todo.pop()
-            if v not in seen:
-                seen.add(v)
-                todo += near[v]
-        return b in seen
-
-    head = {e: e for e in pairs}
-
-    def find(e):
-        while head[e] != e:
-            e = head[e]
-        return e
-
-    for e, f in itertools.combinations(pairs, 2):  # edges that meet in v belong together if their other ends are joined without v
-        shared = set(e) & set(f)
-        if shared:
-            (v,) = shared
-            (a,), (b,) = set(e) - shared, set(f) - shared
-            if joined({v}, a, b):
-                head[find(f)] = find(e)
-    want = {}
-    for e in pairs:
-        want.setdefault(find(e), []).append(e)
-    got = nw.blocks_of(pd.DataFrame(pairs, columns=["src", "dst"]))
-    assert sorted(map(sorted, got)) == sorted(map(sorted, want.values())) and max(map(len, got)) > 2
-    df = spark.createDataFrame(pairs, "src long, dst long")
-    sizes = sorted(len({v for e in b for v in e}) for b in got if len(b) > 1)
-    assert sorted(n for r in nw.biconnected_sizes(df).collect() for n in [r["nodes"]] * r["blocks"]) == sizes
-    bridges = {b[0] for b in got if len(b) == 1}
-    left = g.component_sizes(df.where(~F.concat_ws("-", "src", "dst").isin(["%d-%d" % b for b in bridges]))).groupBy("nodes").count()
-    assert sorted(map(tuple, nw.without_bridges(df).collect())) == sorted(map(tuple, left.collect()))
-
-
 def test_split_communities(spark):
     two = [(a, b) for a, b in itertools.combinations(range(5), 2)] + [(a + 10, b + 10) for a, b in itertools.combinations(range(5), 2)] + [(0, 10)]
     got = {r["id"]: r["community"] for r in nw.split_communities_by_component(spark.createDataFrame(two, "src long, dst long")).collect()}

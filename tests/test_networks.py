@@ -33,25 +33,6 @@ def split(edges):
     return parts
 
 
-def test_cuts(spark, t7):
-    assert sorted(r["id"] for r in nw.articulation_points(t7).collect()) == [5, 6]
-    assert sorted(tuple(r) for r in nw.bridges(t7).collect()) == [(5, 6), (6, 7)]
-    with pytest.raises(ValueError):
-        nw.bridges(t7, most=3)
-
-
-@pytest.mark.parametrize("seed", range(12))
-def test_bridges_by_removal(seed):
-    import random
-
-    rng = random.Random(seed)
-    edges = rng.sample(list(itertools.combinations(range(9), 2)), 11)
-    _, bridges = nw.cut_parts(pd.DataFrame(edges, columns=["src", "dst"]))
-    nodes = {v for e in edges for v in e}
-    parts = lambda es: split(es) + len(nodes - {v for e in es for v in e})
-    assert bridges == sorted(e for e in edges if parts([x for x in edges if x != e]) > parts(edges))
-
-
 def test_max_flow():
     arcs = pd.DataFrame([(0, 1, 3), (0, 2, 2), (1, 2, 1), (1, 3, 2), (2, 3, 4)], columns=["src", "dst", "capacity"])
     assert nw.max_flow(arcs, 0, 3) == 5.0 and nw.max_flow(arcs, 3, 0) == 0.0
