@@ -98,17 +98,27 @@ class WordEncoder:
         """Look up or encode words that aren't known; many at once, as a call costs more than a word, but for those that hold the sign between them."""
         known, part = self.before
         again = {w: known[w] for w in words if w in known}
-        fresh = [w for w in words if w not in again]
-        split = [self._parts(w) for w in fresh]
-        new = set(chain.from_iterable(split)).difference(self.part)
-        self.part.update((w, part[w]) for w in new if w in part)
-        new = new.difference(part)
-        plain = {w for w in new if _LETTERS.fullmatch(w)} if self.letters else set()
-        self._encode_parts(list(plain), self.letters)
-        self._encode_parts(list(new - plain), self.tokenizer)
-        again.update((w, self.part[x[0]] if len(x) == 1 else self.part[x[0]] + self.part[x[1]]) for w, x in zip(fresh, split))
+        letters, split, plain, other = _LETTERS.fullmatch, [], [], []
+        fresh = words.difference(again)
+        for w in fresh:
+            if letters(w):
+                plain.append(w)
+                split.append((w,))
+            else:
+                own = self._parts(w)
+                (plain if letters(own[0]) else other).append(own[0])
+                other += own[1:]
+                split.append(own)
+        for kind, tokenizer in ((plain, self.letters or self.tokenizer), (other, self.tokenizer)):
+            new = set(kind).difference(self.part)
+            old = [w for w in new if w in part]
+            self.part.update((w, part[w]) for w in old)
+            self._encode_parts(list(new.difference(old)), tokenizer)
+            self.held += 200 * len(new)
+        parts = self.part
+        again.update((w, parts[x[0]] if len(x) == 1 else parts[x[0]] + parts[x[1]]) for w, x in zip(fresh, split))
         self.known.update(again)
-        self.held += 200 * (len(words) + len(new)) + 2 * (sum(map(len, words)) + sum(map(len, again.values())))
+        self.held += 240 * len(words)
 
     def _encode_parts(self, new: list[bytes], tokenizer) -> None:
         sign = None if self.between is None else self.between.encode()
@@ -147,13 +157,10 @@ class WordEncoder:
             before = (self.known, self.part)
             self.forget()
             self.before = before
-        found = [list(map(self.known.get, t)) for t in texts]
-        lacking = [i for i, f in enumerate(found) if None in f]
-        if lacking:
-            self.learn({w for i in lacking for w, x in zip(texts[i], found[i]) if x is None})
-            for i in lacking:
-                found[i] = list(map(self.known.__getitem__, texts[i]))
-        return [b"".join(f) for f in found]
+        new = set().union(*texts).difference(self.known)
+        if new:
+            self.learn(new)
+        return [b"".join(map(self.known.__getitem__, t)) for t in texts]
 
 
 _encoders: dict[int, WordEncoder] = {}
