@@ -628,47 +628,6 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return now
 
 
-def greedy_communities(edges: pd.DataFrame) -> pd.DataFrame:
-    """Communities of one graph held in pandas by merging the pair that raises modularity most (rows id, community)."""
-    ids = np.unique(edges[["src", "dst"]].to_numpy())
-    at = {int(v): i for i, v in enumerate(ids)}
-    m = len(edges)
-    share: dict[int, dict[int, float]] = {i: {} for i in range(len(ids))}
-    for s, d in edges[["src", "dst"]].itertuples(index=False):
-        a, b = at[int(s)], at[int(d)]
-        share[a][b] = share[a].get(b, 0.0) + 1 / (2 * m)
-        share[b][a] = share[b].get(a, 0.0) + 1 / (2 * m)
-    weight = {i: sum(v.values()) for i, v in share.items()}
-    owner = {i: [i] for i in share}
-    while True:
-        best, pair = 1e-12, None
-        for a, row in share.items():
-            for b, e in row.items():
-                if a < b and (gain := 2 * (e - weight[a] * weight[b])) > best:
-                    best, pair = gain, (a, b)
-        if pair is None:
-            break
-        a, b = pair
-        for c, e in share.pop(b).items():
-            share[c].pop(b, None)
-            if c != a:
-                share[a][c] = share[a].get(c, 0.0) + e
-                share[c][a] = share[a][c]
-        weight[a] += weight.pop(b)
-        owner[a] += owner.pop(b)
-    return pd.DataFrame([(int(ids[i]), int(ids[min(group)])) for group in owner.values() for i in group], columns=["id", "community"])
-
-
-def greedy_communities_by_component(edges: DataFrame) -> DataFrame:
-    """greedy_communities of each connected component, one a task: a component must fit in a task, so this is for graphs that were cut before."""
-    labels = components(edges)
-    tagged = edges.join(labels, F.col("src") == F.col("id")).select("component", "src", "dst")
-    return tagged.groupBy("component").applyInPandas(lambda pdf: greedy_communities(pdf), "id long, community long")
-
-
-# Statistics
-
-
 def graph_statistics(edges: DataFrame) -> DataFrame:
     """One row of scalar statistics of an undirected graph."""
     c, _ = materialize(clustering(edges), "stats")

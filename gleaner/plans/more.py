@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.crawl import evaluation as ev
 from gleaner.crawl import presets, store
 from gleaner.functions import columns as fn
+from gleaner.operators import communities as cm
 from gleaner.operators import cuts
 from gleaner.operators import features as ft
 from gleaner.operators import graph as g
@@ -539,3 +540,41 @@ def e_merged(spark, sf):
 def d_presets(spark, sf):
     rows = [(p.title, p.budget) for p in presets.PRESETS if p.graph[0] in ("sel_harv", "snap")]
     return spark.createDataFrame(rows, "title string, budget int")
+
+
+# Communities
+
+_LINES = """WITH n AS (SELECT DISTINCT l_orderkey * 10000000 + l_partkey AS id, l_orderkey AS o FROM lineitem), big AS (SELECT o, min(id) AS least FROM n GROUP BY o HAVING count(*) > 1)
+    SELECT id, least AS community FROM n JOIN big USING (o)"""
+
+
+def _order_parts(spark, sf):
+    """Parts of an order, linked with each other: the best communities are the orders, by any score."""
+    n = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_orderkey") * 10_000_000 + F.col("l_partkey")).alias("id")).distinct()
+    return n.select("o", F.col("id").alias("src")).join(n.select("o", F.col("id").alias("dst")), "o").where("src < dst").select("src", "dst")
+
+
+@_query(_LINES)
+def g_communities(spark, sf):
+    return cm.multilevel(_order_parts(spark, sf), cm.MODULARITY)[0]
+
+
+@_query(_LINES)
+def g_modules(spark, sf):
+    return cm.multilevel(_order_parts(spark, sf), cm.MAP_EQUATION)[0]
+
+
+@_query()
+def g_community_levels(spark, sf):
+    levels = cm.multilevel(views.copurchase(spark, sf, 2), cm.MODULARITY)[1]
+    return spark.createDataFrame(levels, "level int, communities long, modularity double")
+
+
+@_query(
+    f"""WITH {_COP}, s AS (SELECT count(*) AS s FROM adj), l AS (SELECT p_partkey AS id, p_brand AS c FROM part), x AS (SELECT a.c AS c, a.c <> b.c AS out FROM adj JOIN l a ON a.id = src JOIN l b ON b.id = dst),
+    g AS (SELECT count(*) / s AS total, count(*) FILTER (out) / s AS cut FROM x, s GROUP BY c, s), q AS (SELECT sum(cut) AS q FROM g)
+    SELECT round((SELECT CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END FROM q) + (SELECT sum((cut + total) * log2(cut + total) - 2 * CASE WHEN cut > 0 THEN cut * log2(cut) ELSE 0 END) FROM g) - (SELECT sum(d / s * log2(d / s)) FROM deg, s), 6) AS code_length"""
+)
+def g_code_length(spark, sf):
+    brands = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("community"))
+    return cm.code_length(views.copurchase(spark, sf, 2), brands).select(_r("code_length"))

@@ -125,12 +125,10 @@ def test_weighted_distances(spark):
     assert {r["id"]: r["distance"] for r in g.weighted_distances(arcs, spark.range(1, 2)).collect()} == {1: 0.0, 2: 2.0, 3: 1.0, 4: 3.0}
 
 
-def test_growth_and_communities(spark):
+def test_growth():
     for kind in ("preferential", "copying", "forest_fire", "small_world"):
         e = g.growth_graph(40, 2, 1, kind)
         assert len(e) and (e.src < e.dst).all() and not e.duplicated().any()
-    two = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6)], "src long, dst long")
-    assert rows(g.greedy_communities_by_component(two)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)]
 
 
 def test_edge_files(spark, tmp_path):
