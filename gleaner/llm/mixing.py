@@ -146,15 +146,23 @@ def weigh(docs: DataFrame, target: Target = Target(), key: str = "doc_id", sourc
     """
     report, schedule, n = plan(docs, target, key, source, text)
     tagged = docs.select(docs[key].alias(key), docs[source].alias("__source"), block_of(docs[key], target.seed).alias("__block"), n_tokens(docs[text]).alias("tokens"))
-    own = report.select(F.col("source").alias("__s"), "weight", "repetition")
-    own = F.broadcast(own) if n <= BROADCAST_ROWS else own  # a source has a row of the schedule at least, or none is read
     found = _read(tagged, schedule, n, "left")
-    found = found.join(own, found["__source"].eqNullSafe(own["__s"]))
+    own = report.select(F.col("source").alias("__s"), "weight", "repetition")
+    if n <= BROADCAST_ROWS:  # a source has a row of the schedule at least, or none is read
+        found = found.join(F.broadcast(own), found["__source"].eqNullSafe(own["__s"]))
+    else:  # a source's rows are in as many keys as it has blocks
+        own = own.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+        found = found.join(own, found["__source"].eqNullSafe(own["__s"]) & (found["__block"] == own["__b"]))
     return found.select(key, F.col("__source").alias("source"), "tokens", "weight", "repetition", F.col("__block").alias("block"), "epoch", "place", "at")
 
 
 def realise(docs: DataFrame, target: Target = Target(), key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mix itself: each row of docs, all its columns, as often as its block is read (not at all if its block's turn doesn't come)."""
+    """The mix itself: each row of docs, all its columns, as often as its block is read (not at all if its block's turn doesn't come).
+
+    Rows of one key, and those of null, share a block, so repeated rows are read as often as each other; a null or empty text has no tokens. No rows give none.
+    Columns may have any names; none but key, source and text is looked at.
+    """
     _, schedule, n = plan(docs, target, key, source, text)
-    tagged = docs.withColumn("__source", docs[source]).withColumn("__block", block_of(docs[key], target.seed))
-    return _read(tagged, schedule, n, "inner").select(*docs.columns)
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row")
+    tagged = docs.select(whole, docs[source].alias("__source"), block_of(docs[key], target.seed).alias("__block"))
+    return _read(tagged, schedule, n, "inner").select(*(F.col("__row")[c].alias(c) for c in docs.columns))

@@ -2,7 +2,8 @@
 
 The index lies in a folder and outlives a call: immutable runs of fingerprints, each a table bucketed by hash range and sorted within it. The windows
 of a batch of documents are shuffled to those ranges and merge-joined there with every run, which stay where they are; hits must agree in
-further bits of an independent hash. What is new becomes one more run, and runs are compacted into one, range by range, when there are FAN of them.
+further bits of an independent hash. What is new becomes one more run. Runs have a level, and FAN of one level are compacted into one of the next, range by range, before a batch comes
+in: an entry is copied as often as there are levels, whose number grows with the logarithm of the batches, and no more is on disk twice than the runs of one level.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from gleaner.llm.common import discard, free_shuffles, materialize, parts, share
 
 WINDOW = 13
 BATCHES = 4
-FAN = 4
+FAN = 2
 #: Ranges of the index for each hash range of the input.
 RANGES = 4
 _ENTRY = "kind int, part int, chunk long, h binary, v binary, first binary"
@@ -97,26 +98,27 @@ def _decoded(h, v, first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class FingerprintIndex:
     """Runs of window fingerprints in a folder; ranges is the number of hash ranges, fixed when the index is made, of which a task holds one at a time."""
 
-    def __init__(self, spark: SparkSession, path: str, ranges: int, runs: list[str] | None = None, fan: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, ranges: int, runs: list[str] | None = None, fan: int | None = None, levels: list[int] | None = None):
         self.spark, self.path, self.ranges, self.runs, self.fan = spark, path, ranges, runs or [], fan or FAN
+        self.levels = levels or [0] * len(self.runs)
         self.tables: dict[str, str] = {}
         self.version = 0
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, fan: int | None = None) -> FingerprintIndex:
         """The index that an earlier call saved there."""
-        rows = spark.read.parquet(f"{path}/manifest").collect()  # a row a version and run
+        rows = [r.asDict() for r in spark.read.option("mergeSchema", "true").parquet(f"{path}/manifest").collect()]  # a row a version and run
         version = max(r["version"] for r in rows)
         own = sorted((r for r in rows if r["version"] == version), key=lambda r: r["at"])
-        out = cls(spark, path, own[0]["ranges"], [r["run"] for r in own if r["run"]], fan)
+        out = cls(spark, path, own[0]["ranges"], [r["run"] for r in own if r["run"]], fan, [r.get("level") or 0 for r in own if r["run"]])
         out.version = version
         return out
 
     def save(self) -> None:
         """Write down which runs there are; a reader sees the newest list whole."""
         self.version += 1
-        rows = [(self.version, i, self.ranges, r) for i, r in enumerate(self.runs)] or [(self.version, 0, self.ranges, None)]
-        self.spark.createDataFrame(rows, "version int, at int, ranges int, run string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        rows = [(self.version, i, self.ranges, r, level) for i, (r, level) in enumerate(zip(self.runs, self.levels))] or [(self.version, 0, self.ranges, None, None)]
+        self.spark.createDataFrame(rows, "version int, at int, ranges int, run string, level int").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def _table(self, run: str) -> DataFrame:
         """A run as a table that Spark knows to be bucketed, so that reading it needs no shuffle."""
@@ -134,8 +136,8 @@ class FingerprintIndex:
         self.tables[run] = name
         return run
 
-    def _with_runs(self, rows: DataFrame | None) -> DataFrame:
-        for i, run in enumerate(self.runs):
+    def _with_runs(self, rows: DataFrame | None, runs: list[str]) -> DataFrame:
+        for i, run in enumerate(runs):
             own = self._table(run).where("kind = 1").select("part", F.lit(-1).cast("long").alias("chunk"), F.lit(i).alias("run"), "h", "v", "first")
             rows = own if rows is None else rows.union(own)
         return rows
@@ -146,8 +148,8 @@ class FingerprintIndex:
         Returns rows (chunk, part, value): a bit for each window, 1 if a smaller id has it, in this batch or an earlier one.
         Batches may come in any order of ids; a window's smallest id is kept, by a newer run if need be. Only the batch is shuffled.
         """
-        if len(self.runs) >= self.fan:
-            self.compact()
+        while len(self.runs) >= self.fan and self.levels[-self.fan] == self.levels[-1]:
+            self.compact(self.fan)
         batch = entries.select("part", "chunk", F.lit(-1).alias("run"), "h", "v", "first").repartition(self.ranges, "part")
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +176,15 @@ class FingerprintIndex:
             if fresh.any():
                 yield _row(1, part, None, *_encoded(h[fresh], v[fresh], first[fresh]))
 
-        run = self._write(self._with_runs(batch).groupBy("part").applyInArrow(merge, _ENTRY))
+        run = self._write(self._with_runs(batch, self.runs).groupBy("part").applyInArrow(merge, _ENTRY))
         self.runs.append(run)
+        self.levels.append(0)
         if not ck.exists(self.spark, f"{run}/kind=0"):
             return self.spark.createDataFrame([], "chunk long, part int, value binary")
         return self.spark.read.schema("chunk long, part int, h binary").parquet(f"{run}/kind=0").withColumnRenamed("h", "value")
 
-    def compact(self) -> None:
-        """Merge all runs into one, which keeps each window's smallest id; nothing is shuffled. Answers that were written with the old runs stay."""
+    def compact(self, last: int | None = None) -> None:
+        """Merge the last runs (all by default) into one a level above theirs, which keeps each window's smallest id; nothing is shuffled. Answers that were written with the old runs stay."""
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, part = [], 0
@@ -191,18 +194,20 @@ class FingerprintIndex:
                     held.append(_decoded(*(b.column(c)[i].as_buffer() for c in ("h", "v", "first"))))
             yield _row(1, part, None, *_encoded(*_distinct(*(np.concatenate(x) for x in zip(*held)))))
 
-        if len(self.runs) > 1:
-            new = self._write(self._with_runs(None).groupBy("part").applyInArrow(merge, _ENTRY))
-            self._forget()
-            self.runs = [new]
+        own = self.runs[-last:] if last else self.runs
+        if len(own) > 1:
+            new = self._write(self._with_runs(None, own).groupBy("part").applyInArrow(merge, _ENTRY))
+            self._forget(own)
+            at = len(self.runs) - len(own)
+            self.runs[at:], self.levels[at:] = [new], [max(self.levels[at:]) + 1]
 
-    def _forget(self) -> None:
-        discard(self.spark, *(f"{run}/kind=1" for run in self.runs))
+    def _forget(self, runs: list[str]) -> None:
+        discard(self.spark, *(f"{run}/kind=1" for run in runs))
 
     def drop(self) -> None:
         """Delete the fingerprints; answers stay."""
-        self._forget()
-        self.runs = []
+        self._forget(self.runs)
+        self.runs, self.levels = [], []
 
     def close(self) -> None:
         """Take the tables out of the catalog; their files stay."""
