@@ -4,7 +4,6 @@ import itertools
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

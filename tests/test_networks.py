@@ -1,6 +1,5 @@
 """Cuts, flows, groups, timed and typed networks, the result store."""
 
-import itertools
 
 import pandas as pd
 import pytest
