@@ -13,7 +13,6 @@ import struct
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
